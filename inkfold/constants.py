@@ -98,4 +98,7 @@ WHITESPACE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 
+# The same characters one by one: exactly those that Python strips.
+WHITESPACE_CHARACTERS = "".join(chr(code) for code in range(0x110000) if chr(code).isspace())
+
 CONTRACT_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in CONTRACT_FIELDS])

@@ -4,7 +4,7 @@ Reading one element of the text put in brackets makes Spark check the whole text
 characters, a second value or a cut-off document all give null instead of a partial result.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRICT = {"allowSingleQuotes": "false"}
@@ -12,12 +12,23 @@ FALSY_JSON = r'^(?:null|false|""|\[\s*\]|\{\s*\}|-?0(?:\.0*)?(?:[eE][-+]?[0-9]+)
 JSON_SPACE = " \t\r\n"
 
 
+def _values(text: Column, ddl: str) -> Column:
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"ARRAY<{ddl}>", STRICT)
+
+
+def _only(values: Column) -> Column:
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+
+
 def read_json(text: Column, ddl: str) -> Column:
     """The single JSON value in ``text`` as the given type; null if it is not exactly one value."""
-    values = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"ARRAY<{ddl}>", STRICT)
     # The lambda names the parsed array, so that two uses of it still cost one parse.
-    only = F.transform(F.array(values), lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
-    return F.get(only, F.lit(0))
+    return F.get(F.transform(F.array(_values(text, ddl)), _only), F.lit(0))
+
+
+def with_json(df: DataFrame, name: str, text: str, ddl: str) -> DataFrame:
+    """``read_json`` as a column of the frame, in two steps that compile better than a lambda."""
+    return df.withColumn(name, _values(F.col(text), ddl)).withColumn(name, _only(F.col(name)))
 
 
 def is_json_string(value: Column) -> Column:

@@ -3,7 +3,13 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkfold.constants import EDGE_CHARACTERS, MARKER, SENTINEL, WHITESPACE
+from inkfold.constants import (
+    EDGE_CHARACTERS,
+    MARKER,
+    SENTINEL,
+    WHITESPACE,
+    WHITESPACE_CHARACTERS,
+)
 
 
 def is_blank(value: Column) -> Column:
@@ -44,5 +50,10 @@ def count_markers(text: Column) -> Column:
 
 
 def preserve_space(text: Column) -> Column:
-    """True when either edge of the text is whitespace, which a word processor would drop."""
-    return text.rlike(f"^[{WHITESPACE}]|[{WHITESPACE}]\\z")
+    """True when either edge of the text is whitespace, which a word processor would drop.
+
+    Only the two edge characters are looked at: a pattern would walk the whole text.
+    """
+    spaces = F.lit(WHITESPACE_CHARACTERS)
+    first, last = F.substring(text, 1, 1), F.substring(text, -1, 1)
+    return (text != "") & (F.contains(spaces, first) | F.contains(spaces, last))

@@ -16,6 +16,12 @@ from inkfold.sources.templates import Run, tokenize_templates
 SALTS = 32
 
 
+def fields_of(template: Sequence[Run]) -> list[str]:
+    """The contract fields a template uses, in their declared order."""
+    used = {field for run in template for _, field in run.pieces()}
+    return [field for field in CONTRACT_FIELDS if field in used]
+
+
 def merged_text(run: Run, values: Column) -> Column:
     """The text of one known run: literals and field columns side by side."""
     pieces = []

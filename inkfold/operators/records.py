@@ -5,9 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.constants import CONTRACT_FIELDS, CONTRACT_SCHEMA, SENTINEL
-from inkfold.functions.documents import is_json_string, read_json, variant_text
-from inkfold.functions.nested import wrap_nested
+from inkfold.constants import CONTRACT_FIELDS, SENTINEL
+from inkfold.functions.documents import variant_text, with_json
 from inkfold.functions.text import wrap_value
 
 
@@ -24,6 +23,17 @@ def payload_to_json(document: Column, pretty: bool = False) -> Column:
     return F.to_json(document, options)
 
 
+def _shown(value: Column) -> Column:
+    """How a template shows a JSON value: text is marked, other values are written as they are."""
+    text, kind = variant_text(value), F.schema_of_variant(value)
+    return (
+        F.when(kind == "STRING", wrap_value(text))
+        .when(kind == "VOID", F.lit("None"))
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .otherwise(text)
+    )
+
+
 def parse_extraction(replies: DataFrame) -> DataFrame:
     """Adds ``parsed``, ``record`` and ``marked`` to replies given as JSON text.
 
@@ -33,35 +43,29 @@ def parse_extraction(replies: DataFrame) -> DataFrame:
     """
     members = ", ".join(f"`{field}`: VARIANT" for field in CONTRACT_FIELDS)
     reply = F.col("_reply")
-
-    def shown(value: Column) -> Column:
-        text = variant_text(value)
-        return (
-            F.when(is_json_string(value), wrap_value(text))
-            .when(F.schema_of_variant(value) == "VOID", F.lit("None"))
-            .when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(text))
-            .otherwise(text)
-        )
-
-    def view(show) -> Column:
-        fields = [show(reply.getField(f)).alias(f) for f in CONTRACT_FIELDS]
-        return F.when(reply.isNotNull(), F.struct(*fields))
-
-    return (
-        replies.withColumn("_reply", read_json(F.col("reply"), f"STRUCT<{members}>"))
-        .withColumns(
-            {
-                "parsed": reply.isNotNull(),
-                "record": view(variant_text),
-                "marked": view(shown),
-            }
-        )
-        .drop("_reply")
+    values = F.array(*[reply.getField(field) for field in CONTRACT_FIELDS])
+
+    def view(name: str) -> Column:
+        fields = [F.get(name, F.lit(i)).alias(f) for i, f in enumerate(CONTRACT_FIELDS)]
+        return F.when(F.col("parsed"), F.struct(*fields))
+
+    # One lambda over the values instead of 40 expressions: unrolled, the generated code would
+    # be too large to compile.
+    listed = with_json(replies, "_reply", "reply", f"STRUCT<{members}>").withColumns(
+        {
+            "parsed": reply.isNotNull(),
+            "_texts": F.transform(values, variant_text),
+            "_shown": F.transform(values, _shown),
+        }
+    )
+    return listed.withColumns({"record": view("_texts"), "marked": view("_shown")}).drop(
+        "_reply", "_texts", "_shown"
     )
 
 
-def mark_record(record: Column) -> Column:
-    return wrap_nested(record, CONTRACT_SCHEMA)
+def mark_record(record: Column, fields: Sequence[str] = CONTRACT_FIELDS) -> Column:
+    """The given fields of a record with their values marked."""
+    return F.struct(*[wrap_value(record.getField(field)).alias(field) for field in fields])
 
 
 def schema_conformance(replies: DataFrame, fields: Sequence[str] = CONTRACT_FIELDS) -> DataFrame:
@@ -75,7 +79,12 @@ def schema_conformance(replies: DataFrame, fields: Sequence[str] = CONTRACT_FIEL
 
 def contract_key_values(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per record and field: ``(keys, field, value, is_not_found)``."""
-    listed = records.select(*keys, "record.*").unpivot(
-        list(keys), CONTRACT_FIELDS, "field", "value"
+    entries = F.array(
+        *[
+            F.struct(F.lit(field).alias("field"), F.col("record").getField(field).alias("value"))
+            for field in CONTRACT_FIELDS
+        ]
+    )
+    return records.select(*keys, F.inline(entries)).withColumn(
+        "is_not_found", F.col("value").eqNullSafe(F.lit(SENTINEL))
     )
-    return listed.withColumn("is_not_found", F.col("value").eqNullSafe(F.lit(SENTINEL)))

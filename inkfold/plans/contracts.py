@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.constants import MARKER
-from inkfold.functions.documents import is_json_string, variant_text
 from inkfold.functions.files import encode_base64, result_name
 from inkfold.operators.extract import Rule, document_type, rule_extract
-from inkfold.operators.merge import merged_runs, merged_text
+from inkfold.operators.merge import fields_of, merged_runs, merged_text
 from inkfold.operators.records import mark_record, parse_extraction
 from inkfold.operators.segments import segment_runs
-from inkfold.sources.quotations import payload_accepted, read_payload
+from inkfold.sources.quotations import payload_accepted, payload_id, read_payloads
 from inkfold.sources.templates import Run
 
 GENERATED = 200
@@ -26,15 +25,12 @@ FAILED = 500
 
 def extract_records(payloads: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``(payload, quotation_id, accepted, record)``; the record of a rejected line is null."""
-    parsed = payloads.select(
-        "payload", read_payload(F.col("payload"), document_type(rules)).alias("_parsed")
-    )
-    quotation_id = F.col("_parsed.quotation_id")
-    return parsed.select(
+    parsed = F.col("_parsed")
+    return read_payloads(payloads.select("payload"), document_type(rules)).select(
         "payload",
-        F.when(is_json_string(quotation_id), variant_text(quotation_id)).alias("quotation_id"),
-        payload_accepted(F.col("_parsed")).alias("accepted"),
-        rule_extract(F.col("_parsed.result_quotation"), rules).alias("record"),
+        payload_id(parsed).alias("quotation_id"),
+        payload_accepted(parsed).alias("accepted"),
+        rule_extract(parsed.getField("result_quotation"), rules).alias("record"),
     )
 
 
@@ -52,7 +48,9 @@ def generate_contracts(
 ) -> DataFrame:
     """The styled segments of the contract of every accepted payload."""
     records = extract_records(payloads, rules)
-    marked = records.select("quotation_id", "accepted", mark_record(F.col("record")).alias("marked"))
+    marked = records.select(
+        "quotation_id", "accepted", mark_record(F.col("record"), fields_of(template)).alias("marked")
+    )
     return segment_runs(_exploded_runs(marked, F.col("accepted"), template))
 
 
@@ -82,7 +80,8 @@ def contract_results(
 
     Lines that the gate turns down stay as rows with their text in ``rejected``.
     """
-    records = extract_records(payloads, rules).withColumn("marked", mark_record(F.col("record")))
+    marked = mark_record(F.col("record"), fields_of(template))
+    records = extract_records(payloads, rules).withColumn("marked", marked)
     return records.select(*_results(F.col("accepted"), REJECTED, template, F.col("payload")))
 
 

@@ -3,7 +3,12 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.functions.documents import is_json_string, read_json, variant_text
+from inkfold.functions.documents import (
+    is_json_string,
+    read_json,
+    variant_text,
+    with_json,
+)
 
 ANY_OBJECT = "STRUCT<`_`: STRING>"
 
@@ -14,22 +19,26 @@ def scan_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataF
     return reader.text(path).withColumnRenamed("value", "payload")
 
 
-def read_payload(payload: Column, document_type: str = ANY_OBJECT) -> Column:
-    """``(quotation_id VARIANT, result_quotation <document_type>)`` from one parse.
+def read_payloads(payloads: DataFrame, document_type: str = ANY_OBJECT) -> DataFrame:
+    """Adds ``_parsed``, a struct of ``quotation_id VARIANT`` and ``result_quotation``.
 
     ``document_type`` is a STRUCT, which comes back null for anything but a JSON object. Reading
     the document straight into the fields a job needs saves parsing it again.
     """
-    return read_json(
-        payload, f"STRUCT<quotation_id: VARIANT, result_quotation: {document_type}>"
-    )
+    payload_type = f"STRUCT<quotation_id: VARIANT, result_quotation: {document_type}>"
+    return with_json(payloads, "_parsed", "payload", payload_type)
+
+
+def payload_id(parsed: Column) -> Column:
+    """The id if it is a JSON string, else null."""
+    quotation_id = parsed.getField("quotation_id")
+    return F.when(is_json_string(quotation_id), variant_text(quotation_id))
 
 
 def payload_accepted(parsed: Column) -> Column:
     """A string id that is not empty, and a document that is an object."""
-    quotation_id = parsed.getField("quotation_id")
-    has_id = is_json_string(quotation_id) & (variant_text(quotation_id) != "")
-    return F.coalesce(has_id & parsed.getField("result_quotation").isNotNull(), F.lit(False))
+    usable = (payload_id(parsed) != "") & parsed.getField("result_quotation").isNotNull()
+    return F.coalesce(usable, F.lit(False))
 
 
 def payload_gate(payloads: DataFrame) -> DataFrame:
@@ -37,21 +46,22 @@ def payload_gate(payloads: DataFrame) -> DataFrame:
 
     Splitting by ``accepted`` gives the valid frame and the quarantine.
     """
-    parsed = payloads.withColumn("_parsed", read_payload(F.col("payload")))
-    quotation_id = F.col("_parsed.quotation_id")
-    return parsed.withColumns(
-        {
-            "quotation_id": F.when(is_json_string(quotation_id), variant_text(quotation_id)),
-            "accepted": payload_accepted(F.col("_parsed")),
-        }
-    ).drop("_parsed")
+    parsed = F.col("_parsed")
+    return (
+        read_payloads(payloads)
+        .withColumns({"quotation_id": payload_id(parsed), "accepted": payload_accepted(parsed)})
+        .drop("_parsed")
+    )
 
 
 def quotation_scan(payloads: DataFrame) -> DataFrame:
     """``(quotation_id, doc)`` of the accepted payloads, the document as JSON text."""
     document = read_json(F.col("payload"), "STRUCT<result_quotation: STRING>")
-    return (
-        payload_gate(payloads)
-        .where("accepted")
-        .select("quotation_id", document.getField("result_quotation").alias("doc"))
+    parsed = F.col("_parsed")
+    row = F.struct(
+        payload_id(parsed).alias("quotation_id"), document.getField("result_quotation").alias("doc")
+    )
+    # Rejected lines give no row here; a filter would be pushed down and parse the line again.
+    return read_payloads(payloads).select(
+        F.inline(F.when(payload_accepted(parsed), F.array(row)))
     )

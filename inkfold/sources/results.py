@@ -1,6 +1,7 @@
 """The result table. Spark's commit protocol takes the place of temporary files."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_results(results: DataFrame, path: str) -> None:
@@ -9,4 +10,6 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The result table; a filter on ``accepted`` reads only the folder it needs."""
+    written = spark.read.parquet(path)
+    return written.withColumn("accepted", F.col("accepted").cast("boolean"))
