@@ -56,28 +56,33 @@ class Rule:
         return FORMATTERS[self.formatter]
 
 
+ITEM = object()
+
+
 def document_type(rules: Iterable[Rule]) -> str:
     """The STRUCT that holds just the paths of the rules: other parts are skipped in parsing."""
-    root: dict = {}
+    leaves = {}
     for rule in rules:
-        node = root
-        for step in rule.steps():
-            node = node.setdefault("[]" if isinstance(step, int) else step, {})
-            if "type" in node and not isinstance(node["type"], dict):
-                break
-        leaf = rule.shown().reads
-        if node and node != {"type": leaf}:
-            raise ValueError(f"path of {rule.field} is read in two ways: {rule.path}")
-        node["type"] = leaf
-    return _ddl(root)
-
-
-def _ddl(node: dict) -> str:
-    if isinstance(node.get("type"), str):
-        return node["type"]
-    if "[]" in node:
-        return f"ARRAY<{_ddl(node['[]'])}>"
-    return "STRUCT<" + ", ".join(f"`{name}`: {_ddl(child)}" for name, child in node.items()) + ">"
+        path = tuple(ITEM if isinstance(step, int) else step for step in rule.steps())
+        reads = rule.shown().reads
+        if leaves.setdefault(path, reads) != reads:
+            raise ValueError(f"{rule.path} is read as {leaves[path]} and as {reads}")
+    return _type_below((), leaves)
+
+
+def _type_below(prefix: tuple, leaves: dict[tuple, str]) -> str:
+    below = [path for path in leaves if path[: len(prefix)] == prefix]
+    if below == [prefix]:
+        return leaves[prefix]
+    # Names of the next level, in the order of the rules.
+    steps = list(dict.fromkeys(path[len(prefix)] for path in below if path != prefix))
+    if prefix in leaves or (ITEM in steps and steps != [ITEM]):
+        names = ".".join("[]" if step is ITEM else step for step in prefix)
+        raise ValueError(f"rules read ${'.' if names else ''}{names} as two different types")
+    if steps == [ITEM]:
+        return f"ARRAY<{_type_below((*prefix, ITEM), leaves)}>"
+    members = [f"`{step}`: {_type_below((*prefix, step), leaves)}" for step in steps]
+    return f"STRUCT<{', '.join(members)}>"
 
 
 def rule_extract(document: Column, rules: Iterable[Rule]) -> Column:

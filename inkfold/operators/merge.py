@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.constants import CONTRACT_FIELDS
+from inkfold.operators.ordered import heavy_keys
 from inkfold.operators.sizes import is_small
 from inkfold.sources.templates import Run, tokenize_templates
 
 SALTS = 32
+TEMPLATE_DOCUMENTS = 1_000_000
 
 
 def fields_of(template: Sequence[Run]) -> list[str]:
@@ -62,30 +64,54 @@ def template_merge(documents: DataFrame, template: Sequence[Run]) -> DataFrame:
     )
 
 
+def _salted_join(documents: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
+    """Join on ``template_id``, the documents of much used templates spread over ``SALTS`` keys.
+
+    Only the runs of those templates are repeated, once per salt.
+    """
+    zero, last = F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")
+    heavy = heavy_keys(documents, ["template_id"], limit)
+    if heavy is None:
+        return documents.join(runs, "template_id")
+    heavy = heavy.withColumn("_heavy", F.lit(True))
+    # Maps cannot be hashed, and the other columns tell documents apart.
+    plain = [name for name, kind in documents.dtypes if not kind.startswith("map")]
+    spread = F.pmod(F.xxhash64(*plain), F.lit(SALTS))
+    salted = documents.join(heavy, "template_id", "left").withColumn(
+        "_salt", F.when(F.col("_heavy"), spread).otherwise(zero)
+    )
+    salts = F.when(F.col("_heavy"), F.sequence(zero, last)).otherwise(F.array(zero))
+    copies = runs.join(heavy, "template_id", "left").withColumn("_salt", F.explode(salts))
+    return (
+        salted.drop("_heavy")
+        .join(copies.drop("_heavy"), ["template_id", "_salt"])
+        .drop("_salt")
+    )
+
+
 def template_merge_data(
-    documents: DataFrame, templates: DataFrame, small: bool | None = None
+    documents: DataFrame,
+    templates: DataFrame,
+    small: bool | None = None,
+    limit: int = TEMPLATE_DOCUMENTS,
 ) -> DataFrame:
     """One row per document and run, the runs taken from a table by ``template_id``.
 
     The template's literals and field names are laid side by side inside the row, so merging
-    adds no grouping. Templates that pass the size check are broadcast. Otherwise documents
-    are salted by their content, as one template may serve most of them.
+    adds no grouping. Templates that pass the size check are broadcast; otherwise the join
+    shuffles, with the documents of templates used more than ``limit`` times salted.
     """
     runs = tokenize_templates(templates).drop("text")
     small = is_small(templates) if small is None else small
-    names = [name for name in documents.columns if name not in ("marked", "template_id")]
     values = F.map_from_arrays(
         F.array(*[F.lit(field) for field in CONTRACT_FIELDS]),
         F.array(*[F.col("marked").getField(field) for field in CONTRACT_FIELDS]),
     )
-    filled = documents.select("template_id", *[F.col(f"`{n}`") for n in names], values.alias("_values"))
+    filled = documents.withColumn("_values", values).drop("marked")
     if small:
         joined = filled.join(F.broadcast(runs), "template_id")
     else:
-        salted = filled.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)))
-        salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-        copies = runs.withColumn("_salt", F.explode(salts).cast("bigint"))
-        joined = salted.join(copies, ["template_id", "_salt"]).drop("_salt")
+        joined = _salted_join(filled, runs, limit)
     text = F.array_join(
         F.zip_with(
             "literals",
