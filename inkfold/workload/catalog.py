@@ -24,7 +24,6 @@ from inkfold.workload import tables as t
 from inkfold.workload.tables import RULES, TEMPLATE, table
 
 LISTED_FIELDS = [rule.field for rule in RULES]
-DOC_ID = F.col("quotation_id").alias("doc_id")
 RUN_KEYS = ["doc_id", "part", "section", "run_seq"]
 
 
@@ -32,6 +31,11 @@ def _orders(spark: SparkSession, d: str, *columns) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", *columns)
 
 
+def _doc_id() -> Column:
+    """The id under a name that no contract field has, as fields stand beside it here."""
+    return F.col("quotation_id").alias("doc_id")
+
+
 def _join(array, separator="|") -> Column:
     return F.array_join(array, separator)
 
@@ -100,7 +104,7 @@ def parts_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flat_results(frame: DataFrame) -> DataFrame:
-    return frame.select(DOC_ID, "file_name", "file_base64", "contract_data.*")
+    return frame.select(_doc_id(), "file_name", "file_base64", "contract_data.*")
 
 
 def result_sink(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +183,7 @@ def payload_to_json(spark: SparkSession, d: str) -> DataFrame:
 
 def rule_extract(spark: SparkSession, d: str) -> DataFrame:
     extracted = contracts.extract_records(t.quotation_payloads(spark, d), RULES)
-    return extracted.select(DOC_ID, *[F.col(f"record.{name}") for name in LISTED_FIELDS])
+    return extracted.select(_doc_id(), *[F.col(f"record.{name}") for name in LISTED_FIELDS])
 
 
 def batch_extract(spark: SparkSession, d: str) -> DataFrame:
@@ -418,7 +422,7 @@ def segment_order(spark: SparkSession, d: str) -> DataFrame:
 
 def contract_key_values(spark: SparkSession, d: str) -> DataFrame:
     extracted = contracts.extract_records(t.quotation_payloads(spark, d), RULES)
-    return records.contract_key_values(extracted.withColumn("doc_id", DOC_ID), ["doc_id"])
+    return records.contract_key_values(extracted.withColumn("doc_id", _doc_id()), ["doc_id"])
 
 
 def generate_contracts(spark: SparkSession, d: str) -> DataFrame:
