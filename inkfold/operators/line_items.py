@@ -7,12 +7,19 @@ from inkfold.operators.ordered import GROUP_ROWS, ordered_lists
 
 
 def line_items_nest(
-    items: DataFrame, keys: list[str], order: list[str], limit: int = GROUP_ROWS
+    items: DataFrame,
+    keys: list[str],
+    order: list[str],
+    limit: int = GROUP_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """``(keys, chunk_seq, table_data)``; documents of up to ``limit`` items have one chunk."""
+    """``(keys, chunk_seq, table_data)``; documents of up to ``limit`` items have one chunk.
+
+    ``counted`` may name a frame with no fewer rows per document that is cheaper to count.
+    """
     item = F.struct(F.col("specification"), F.col("total_amount"))
     ties = [*order, "specification", "total_amount"]
-    lists = ordered_lists(items, keys, ties, item, name="table_data", limit=limit)
+    lists = ordered_lists(items, keys, ties, item, name="table_data", limit=limit, counted=counted)
     return lists.drop("before", "total")
 
 

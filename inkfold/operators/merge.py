@@ -70,21 +70,21 @@ def _salted_join(documents: DataFrame, runs: DataFrame, limit: int) -> DataFrame
     Only the runs of those templates are repeated, once per salt.
     """
     zero, last = F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")
-    heavy = heavy_keys(documents, ["template_id"], limit)
-    if heavy is None:
+    hot, _ = heavy_keys(documents, ["template_id"], limit)
+    if hot is None:
         return documents.join(runs, "template_id")
-    heavy = heavy.withColumn("_heavy", F.lit(True))
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     # Maps cannot be hashed, and the other columns tell documents apart.
     plain = [name for name, kind in documents.dtypes if not kind.startswith("map")]
     spread = F.pmod(F.xxhash64(*plain), F.lit(SALTS))
-    salted = documents.join(heavy, "template_id", "left").withColumn(
-        "_salt", F.when(F.col("_heavy"), spread).otherwise(zero)
+    salted = documents.join(hot, "template_id", "left").withColumn(
+        "_salt", F.when(F.col("_hot"), spread).otherwise(zero)
     )
-    salts = F.when(F.col("_heavy"), F.sequence(zero, last)).otherwise(F.array(zero))
-    copies = runs.join(heavy, "template_id", "left").withColumn("_salt", F.explode(salts))
+    salts = F.when(F.col("_hot"), F.sequence(zero, last)).otherwise(F.array(zero))
+    copies = runs.join(hot, "template_id", "left").withColumn("_salt", F.explode(salts))
     return (
-        salted.drop("_heavy")
-        .join(copies.drop("_heavy"), ["template_id", "_salt"])
+        salted.drop("_hot")
+        .join(copies.drop("_hot"), ["template_id", "_salt"])
         .drop("_salt")
     )
 

@@ -9,22 +9,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfold.session import cut_lineage
+from inkfold.session import written
 
 GROUP_ROWS = 2000
-LISTED_KEYS = 1000
+# A group with more than this share of all rows is hot: there are fewer than 1 / share of them.
+HOT_SHARE = 1 / 10_000
 
 
-def heavy_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None. Counts are combined before the shuffle."""
-    rows = F.count(F.lit(1)).alias("_rows")
-    heavy = df.groupBy(*keys).agg(rows).where(F.col("_rows") > limit).select(*keys)
-    head = heavy.limit(LISTED_KEYS + 1).collect()
-    if not head:
-        return None
-    if len(head) <= LISTED_KEYS:
-        return F.broadcast(df.sparkSession.createDataFrame(head, heavy.schema))
-    return heavy
+def heavy_keys(
+    df: DataFrame, keys: list[str], limit: int, share: float = HOT_SHARE
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Keys with more than ``limit`` rows: the hot ones, small enough to broadcast, and others.
+
+    None stands for no such keys. A key that is not among the hot ones has at most ``share`` of
+    all rows, so a shuffle by key is even enough for it. Counts are combined before the shuffle.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    seen = counts.agg(F.sum("_rows").alias("rows"), F.max("_rows").alias("top")).first()
+    if (seen["top"] or 0) <= limit:
+        return None, None
+    heavy = written(counts.where(F.col("_rows") > limit), "heavy")
+    is_hot = F.col("_rows") > F.lit(int(seen["rows"] * share))
+    listed = heavy.where(is_hot).select(*keys).collect()
+    schema = heavy.select(*keys).schema
+    hot = F.broadcast(df.sparkSession.createDataFrame(listed, schema)) if listed else None
+    others = heavy.where(~is_hot).select(*keys)
+    return hot, None if others.isEmpty() else others
 
 
 def match_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -37,12 +47,19 @@ def match_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> Da
     return joined.drop(*[f"_other_{key}" for key in keys])
 
 
-def split_heavy(df: DataFrame, keys: list[str], limit: int):
-    """The rows of small groups and those of heavy ones (None where there are none)."""
-    heavy = heavy_keys(df, keys, limit)
-    if heavy is None:
-        return df, None
-    return match_keys(df, heavy, keys, "left_anti"), match_keys(df, heavy, keys, "left_semi")
+def split_heavy(df: DataFrame, keys: list[str], limit: int, counted: DataFrame | None = None):
+    """The rows of small groups and those of heavy ones (None where there are none).
+
+    ``counted`` is a frame that is cheaper to count and has, for each key, no fewer rows. Hot
+    keys are parted off by a broadcast before any shuffle by key.
+    """
+    small, heavy = df, None
+    for found in heavy_keys(df if counted is None else counted, keys, limit):
+        if found is not None:
+            part = match_keys(small, found, keys, "left_semi")
+            small = match_keys(small, found, keys, "left_anti")
+            heavy = part if heavy is None else heavy.unionByName(part)
+    return small, heavy
 
 
 def spread_positions(
@@ -60,12 +77,13 @@ def spread_positions(
         }
     )
     # Written first, so that a task run again sees the same rows with the same numbers.
-    numbered = cut_lineage(measured)
+    numbered = written(measured, "numbered")
     sort = [*keys, *order, "_copy"]
-    sliced = cut_lineage(
+    sliced = written(
         numbered.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
-        .withColumns({"_slice": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+        .withColumns({"_slice": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}),
+        "sliced",
     )
     in_slice = Window.partitionBy(*keys, "_slice").orderBy("_at")
     earlier_slices = (
@@ -107,7 +125,10 @@ def spread_positions(
 def dense_position(
     df: DataFrame, keys: list[str], order: list[Column], name="position", limit=GROUP_ROWS
 ) -> DataFrame:
-    """Adds the place of each row in its group, from 1 without gaps."""
+    """Adds the place of each row in its group, from 1 without gaps.
+
+    The groups are counted first, so ``df`` is read twice: a written table is the input to give.
+    """
     small, heavy = split_heavy(df, keys, limit)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
     ranked = small.withColumn(name, rank)
@@ -125,6 +146,7 @@ def ordered_lists(
     name="items",
     measure: Column | None = None,
     limit=GROUP_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Collect ``value`` per group in ``order`` as ``(keys, chunk_seq, before, total, <name>)``.
 
@@ -134,7 +156,7 @@ def ordered_lists(
     """
     zero = F.lit(0).cast("bigint")
     measure = zero if measure is None else measure.cast("bigint")
-    small, heavy = split_heavy(df, keys, limit)
+    small, heavy = split_heavy(df, keys, limit, counted)
     sort_keys = [F.col(f"`{column}`").alias(f"o{i}") for i, column in enumerate(order)]
     lists = (
         small.groupBy(*keys)

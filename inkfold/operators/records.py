@@ -26,8 +26,10 @@ def payload_to_json(document: Column, pretty: bool = False) -> Column:
 def _shown(value: Column) -> Column:
     """How a template shows a JSON value: text is marked, other values are written as they are."""
     text, kind = variant_text(value), F.schema_of_variant(value)
+    # Most keys of a reply are absent, and absent ones are settled without asking for a kind.
     return (
-        F.when(kind == "STRING", wrap_value(text))
+        F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(kind == "STRING", wrap_value(text))
         .when(kind == "VOID", F.lit("None"))
         .when(kind == "BOOLEAN", F.initcap(text))
         .otherwise(text)

@@ -11,11 +11,16 @@ from inkfold.functions.documents import (
 )
 
 ANY_OBJECT = "STRUCT<`_`: STRING>"
+FILES_PER_BATCH = 10_000
 
 
-def scan_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def scan_payloads(
+    spark: SparkSession, path: str, stream: bool = False, files_per_batch: int = FILES_PER_BATCH
+) -> DataFrame:
     """Landed payload lines as ``(payload)``, unparsed so that a bad line cannot fail the scan."""
-    reader = spark.readStream if stream else spark.read
+    reader = spark.read
+    if stream:
+        reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
     return reader.text(path).withColumnRenamed("value", "payload")
 
 

@@ -17,7 +17,7 @@ from inkfold.operators import (
     segments,
 )
 from inkfold.plans import contracts
-from inkfold.session import scratch_path
+from inkfold.session import scratch_path, written
 from inkfold.sources import parts, quotations, results, templates
 from inkfold.streaming import jobs
 from inkfold.workload import tables as t
@@ -217,7 +217,7 @@ def _nested_items(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_name").alias("specification"),
         formats.grouped_amount(F.col("l_extendedprice")).alias("total_amount"),
     )
-    return line_items.line_items_nest(items, ["l_orderkey"], ["l_linenumber"])
+    return line_items.line_items_nest(items, ["l_orderkey"], ["l_linenumber"], counted=lines)
 
 
 def line_items_nest(spark: SparkSession, d: str) -> DataFrame:
@@ -416,7 +416,8 @@ def segment_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_order(spark: SparkSession, d: str) -> DataFrame:
-    placed = segments.segment_order(_conversation_segments(spark, d), ["doc_id"])
+    table_of_segments = written(_conversation_segments(spark, d), "segments")
+    placed = segments.segment_order(table_of_segments, ["doc_id"])
     return placed.select(*RUN_KEYS, "seg_seq", "position")
 
 

@@ -328,5 +328,6 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(SYSTEM_ERROR_LABEL + "bad value | "), quotation),
         F.concat(F.lit("INFO: "), F.col("event_type"), F.lit(" 200 OK")),
     ]
-    line = F.get(F.array(*shapes), (F.col("event_id") % len(shapes)).cast("int"))
+    kind = F.col("event_id") % len(shapes)
+    line = F.coalesce(*[F.when(kind == i, shape) for i, shape in enumerate(shapes)])
     return table(spark, sf_dir, "events").select("event_id", line.alias("line"))

@@ -227,12 +227,22 @@ def test_dense_position_of_heavy_groups(spark):
         assert [r["v"] for r in mine] == sorted(r["v"] for r in mine)
 
 
-def test_heavy_keys_beyond_the_list(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "LISTED_KEYS", 2)
-    frame = spark.range(90).select((F.col("id") % 9).alias("k"), F.col("id").alias("v"))
+def test_heavy_groups_that_are_not_hot(spark, monkeypatch):
+    monkeypatch.setattr(ordered.heavy_keys, "__defaults__", (0.2,))
+    key = F.when(F.col("id") < 30, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 6).cast("string")))
+    frame = spark.range(90).select(key.alias("k"), F.col("id").alias("v"))
+    frame = frame.unionByName(spark.createDataFrame([("small", 1)], "k STRING, v BIGINT"))
+    hot, others = ordered.heavy_keys(frame, ["k"], 3)
+    assert rows(hot) == [("hot",)] and len(rows(others)) == 6
     got = ordered.dense_position(frame, ["k"], [F.col("v")], limit=3)
-    expected = [(v % 9, v, v // 9 + 1) for v in range(90)]
-    assert rows(got, "k", "v", "position") == sorted(expected, key=repr)
+    groups = {}
+    for row in got.collect():
+        groups.setdefault(row["k"], []).append((row["position"], row["v"]))
+    assert sum(map(len, groups.values())) == 91
+    for pairs in groups.values():
+        values = [v for _, v in sorted(pairs)]
+        assert values == sorted(values) and [p for p, _ in sorted(pairs)] == list(range(1, len(pairs) + 1))
+    assert ordered.heavy_keys(frame, ["k"], 1000) == (None, None)
 
 
 def test_spread_is_over_many_tasks(spark):
