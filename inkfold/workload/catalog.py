@@ -28,7 +28,7 @@ RUN_KEYS = ["doc_id", "part", "section", "run_seq"]
 
 
 def _orders(spark: SparkSession, d: str, *columns) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", *columns)
+    return t.spread_table(spark, d, "orders").select("o_orderkey", *columns)
 
 
 def _doc_id() -> Column:
@@ -238,7 +238,7 @@ def line_items_explode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wrap_value(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return t.spread_table(spark, d, "documents").select(
         "doc_id", text.wrap_value(F.col("text")).alias("marked")
     )
 
@@ -307,7 +307,7 @@ def result_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def base64_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    encoded = table(spark, d, "documents").select(
+    encoded = t.spread_table(spark, d, "documents").select(
         "doc_id", files.encode_base64(F.encode("text", "UTF-8")).alias("file_base64")
     )
     decoded = F.decode(files.decode_base64(F.col("file_base64")), "UTF-8")

@@ -54,6 +54,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table on at least as many tasks as there are cores.
+
+    A small file is one split, which would leave all work on its rows to one task. Tables of
+    many splits, as large ones are, come back as they are, without a shuffle.
+    """
+    frame = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def money(value: Column) -> Column:
     return value.cast("decimal(18,2)")
 
@@ -97,7 +108,7 @@ def orders_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
     )
-    orders = table(spark, sf_dir, "orders")
+    orders = spread_table(spark, sf_dir, "orders")
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
 
 
@@ -201,7 +212,7 @@ def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, line_no, value)``: every line of every document, blank English lines replaced."""
-    lines = table(spark, sf_dir, "documents").select(
+    lines = spread_table(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "value")
     )
     value = F.when((F.col("lang") == "en") & (F.col("value") == ""), SENTINEL).otherwise(
@@ -242,7 +253,7 @@ def conversation_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every page as a template run with two placeholders."""
-    lines = table(spark, sf_dir, "pages").select(
+    lines = spread_table(spark, sf_dir, "pages").select(
         "page_id", F.posexplode(F.split("html", "\n", -1)).alias("run_seq", "line")
     )
     text = F.concat(F.lit("{{ Contract_id }} "), F.col("line"), F.lit(" {{Quotation_date}}"))
@@ -297,7 +308,7 @@ def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit('{"error":"e'), value, F.lit('","detail":null,"email":"m"')))
     )
     whole = F.when((kind == "error") & (F.col("value") < 50), F.concat(body, F.lit("}"))).otherwise(body)
-    return table(spark, sf_dir, "events").select("event_id", whole.alias("body"))
+    return spread_table(spark, sf_dir, "events").select("event_id", whole.alias("body"))
 
 
 def _label(table_of_labels: dict[str, str], value: str) -> str:
@@ -330,4 +341,4 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     kind = F.col("event_id") % len(shapes)
     line = F.coalesce(*[F.when(kind == i, shape) for i, shape in enumerate(shapes)])
-    return table(spark, sf_dir, "events").select("event_id", line.alias("line"))
+    return spread_table(spark, sf_dir, "events").select("event_id", line.alias("line"))
