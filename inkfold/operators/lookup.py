@@ -3,41 +3,49 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.operators.joins import HOT_ROWS, salted_join, skewed_anti_join
 from inkfold.operators.sizes import is_small
 
 FOUND = 200
 NOT_FOUND = 404
 
 
-def lookup_misses(requests: DataFrame, landed: DataFrame, small: bool | None = None) -> DataFrame:
+def lookup_misses(
+    requests: DataFrame, landed: DataFrame, small: bool | None = None, limit: int = HOT_ROWS
+) -> DataFrame:
     """Requests for which nothing has landed, repeated ones included."""
     small = is_small(requests.select("quotation_id")) if small is None else small
     ids = landed.select("quotation_id")
     if small:
         wanted = requests.select("quotation_id").distinct()
-        ids = ids.join(F.broadcast(wanted), "quotation_id", "left_semi")
-    # Distinct ids, so a hot id is one row here and only the request side can be skewed.
-    matched = ids.distinct()
-    return requests.join(F.broadcast(matched) if small else matched, "quotation_id", "left_anti")
+        matched = ids.join(F.broadcast(wanted), "quotation_id", "left_semi").distinct()
+        return requests.join(F.broadcast(matched), "quotation_id", "left_anti")
+    # Distinct ids, so an id that landed often is one row and only requests can be skewed.
+    return skewed_anti_join(requests, ids.distinct(), "quotation_id", limit)
 
 
-def quotation_lookup(requests: DataFrame, landed: DataFrame) -> DataFrame:
+def quotation_lookup(
+    requests: DataFrame, landed: DataFrame, small: bool | None = None, limit: int = HOT_ROWS
+) -> DataFrame:
     """Every request with ``http_status`` and ``doc``.
 
     ``landed`` is ``(quotation_id, status, doc)``; a status other than 200 is passed through
-    without a document, and an id that never landed gives 404. Matches and misses are two joins
-    so that a small request list is broadcast and the documents stay where they are; otherwise
-    both are shuffle joins whose hot keys adaptive execution splits on either side.
+    without a document, and an id that never landed gives 404. Matches and misses are two joins:
+    a request list that passes the size check is broadcast and the documents stay where they
+    are, which an outer join could not do. A longer list is shuffled, hot ids spread.
     """
-    small = is_small(requests)
-    asked = F.broadcast(requests) if small else requests
+    small = is_small(requests) if small is None else small
+    if small:
+        matches = landed.join(F.broadcast(requests), "quotation_id")
+    else:
+        matches = salted_join(requests, landed, "quotation_id", limit)
     status = F.coalesce(F.col("status"), F.lit(FOUND))
-    found = landed.join(asked, "quotation_id").select(
+    found = matches.select(
         *requests.columns,
         status.alias("http_status"),
         F.when(status == FOUND, F.col("doc")).alias("doc"),
     )
-    missing = lookup_misses(requests, landed, small).select(
+    missing = lookup_misses(requests, landed, small, limit).select(
         *requests.columns,
         F.lit(NOT_FOUND).alias("http_status"),
         F.lit(None).cast("string").alias("doc"),

@@ -10,13 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.constants import CONTRACT_FIELDS
-from inkfold.operators.ordered import heavy_keys
+from inkfold.operators.joins import HOT_ROWS, salted_join
 from inkfold.operators.sizes import is_small
 from inkfold.sources.templates import Run, tokenize_templates
 
-SALTS = 32
-TEMPLATE_DOCUMENTS = 1_000_000
-
 
 def fields_of(template: Sequence[Run]) -> list[str]:
     """The contract fields a template uses, in their declared order."""
@@ -64,36 +61,11 @@ def template_merge(documents: DataFrame, template: Sequence[Run]) -> DataFrame:
     )
 
 
-def _salted_join(documents: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
-    """Join on ``template_id``, the documents of much used templates spread over ``SALTS`` keys.
-
-    Only the runs of those templates are repeated, once per salt.
-    """
-    zero, last = F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")
-    hot, _ = heavy_keys(documents, ["template_id"], limit)
-    if hot is None:
-        return documents.join(runs, "template_id")
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    # Maps cannot be hashed, and the other columns tell documents apart.
-    plain = [name for name, kind in documents.dtypes if not kind.startswith("map")]
-    spread = F.pmod(F.xxhash64(*plain), F.lit(SALTS))
-    salted = documents.join(hot, "template_id", "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(zero)
-    )
-    salts = F.when(F.col("_hot"), F.sequence(zero, last)).otherwise(F.array(zero))
-    copies = runs.join(hot, "template_id", "left").withColumn("_salt", F.explode(salts))
-    return (
-        salted.drop("_hot")
-        .join(copies.drop("_hot"), ["template_id", "_salt"])
-        .drop("_salt")
-    )
-
-
 def template_merge_data(
     documents: DataFrame,
     templates: DataFrame,
     small: bool | None = None,
-    limit: int = TEMPLATE_DOCUMENTS,
+    limit: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per document and run, the runs taken from a table by ``template_id``.
 
@@ -111,7 +83,7 @@ def template_merge_data(
     if small:
         joined = filled.join(F.broadcast(runs), "template_id")
     else:
-        joined = _salted_join(filled, runs, limit)
+        joined = salted_join(filled, runs, "template_id", limit)
     text = F.array_join(
         F.zip_with(
             "literals",

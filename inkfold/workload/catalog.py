@@ -208,7 +208,7 @@ def batch_extract(spark: SparkSession, d: str) -> DataFrame:
 
 def _nested_items(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "part").select("p_partkey", "p_name")
-    lines = table(spark, d, "lineitem").select(
+    lines = t.spread_table(spark, d, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice"
     )
     items = lines.join(names, F.col("l_partkey") == F.col("p_partkey")).select(

@@ -92,7 +92,9 @@ def order_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     Prices are summed per order and brand first, so an order's list is no longer than there
     are brands, however many line items it has.
     """
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+    lines = spread_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_extendedprice"
+    )
     brands = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     per_brand = (
         lines.join(brands, F.col("l_partkey") == F.col("p_partkey"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkfold.constants import CONTRACT_FIELDS, SENTINEL
-from inkfold.operators import extract, line_items, lookup, merge, ordered, records, segments, sizes
+from inkfold.operators import extract, joins, line_items, lookup, merge, ordered, records, segments, sizes
 from inkfold.operators.extract import Rule
 from inkfold.sources import parts, quotations, templates
 
@@ -45,14 +45,28 @@ def test_payload_gate_keeps_every_line(spark):
     assert rows(scanned.where("quotation_id = 'f'"), "doc") == [('{"customer":"text"}',)]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_lookup(spark, monkeypatch, small):
-    monkeypatch.setattr(lookup, "is_small", lambda *a, **k: small)
-    requests = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "z"), (5, None)], "seq INT, quotation_id STRING")
+@pytest.mark.parametrize("small, limit", [(True, 1), (False, 1), (False, 100), (None, 100)])
+def test_lookup(spark, small, limit):
+    asked = [(1, "a"), (2, "a"), (3, "b"), (4, "z"), (5, None)] + [(i, "y") for i in range(6, 9)]
+    requests = spark.createDataFrame(asked, "seq INT, quotation_id STRING")
     landed = spark.createDataFrame([("a", None, "A"), ("b", 503, "B"), ("c", 200, "C")], "quotation_id STRING, status INT, doc STRING")
-    got = rows(lookup.quotation_lookup(requests, landed), "seq", "http_status", "doc")
-    assert got == [(1, 200, "A"), (2, 200, "A"), (3, 503, None), (4, 404, None), (5, 404, None)]
-    assert rows(lookup.lookup_misses(requests, landed), "seq") == [(4,), (5,)]
+    got = rows(lookup.quotation_lookup(requests, landed, small, limit), "seq", "http_status", "doc")
+    missing = [(i, 404, None) for i in range(4, 9)]
+    assert got == [(1, 200, "A"), (2, 200, "A"), (3, 503, None), *missing]
+    misses = lookup.lookup_misses(requests, landed, small, limit)
+    assert rows(misses, "seq") == [(i,) for i in range(4, 9)]
+
+
+def test_salted_join_is_the_join(spark):
+    many = spark.range(500).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id") % 50).alias("k"), (F.col("id") % 9).alias("v"))
+    few = spark.range(60).select((F.col("id") % 30).alias("k"), F.col("id").alias("w"))
+    expected = rows(many.join(few, "k"))
+    for limit in (5, 100, 1000):
+        assert rows(joins.salted_join(many, few, "k", limit)) == expected
+        ids = few.select("k").distinct()
+        assert rows(joins.skewed_anti_join(many, ids, "k", limit)) == rows(many.join(few, "k", "left_anti"))
+    parted = joins.salted_join(many, few, "k", 100)._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in parted
 
 
 def test_size_check(spark):
