@@ -23,7 +23,7 @@ def log_timestamp(ts: Column) -> Column:
 def thai_date(value: Column) -> Column:
     """Day, Thai month name and Buddhist-era year of a date or ISO date text."""
     date = value.try_cast("date")
-    months = F.array(*[F.lit(month) for month in THAI_MONTHS])
+    months = F.expr(f"array({', '.join(repr(month) for month in THAI_MONTHS)})")
     return F.concat(
         F.dayofmonth(date).cast("string"),
         F.lit(" "),

@@ -24,7 +24,8 @@ def blank_or_sentinel(value: Column) -> Column:
 
 def wrap_value(value: Column) -> Column:
     """Cut the edge characters and put the fill marker on both sides."""
-    marked = F.concat(F.lit(MARKER), F.btrim(value, F.lit(EDGE_CHARACTERS)), F.lit(MARKER))
+    marker = F.lit(MARKER)
+    marked = F.concat(marker, F.btrim(value, F.lit(EDGE_CHARACTERS)), marker)
     return F.when(blank_or_sentinel(value), value).otherwise(marked)
 
 

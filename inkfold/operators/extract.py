@@ -96,10 +96,12 @@ def rule_extract(document: Column, rules: Iterable[Rule]) -> Column:
     if unknown:
         raise ValueError(f"not fields of a contract record: {sorted(unknown)}")
 
+    not_found = F.lit(SENTINEL)
+
     def value(field: str) -> Column:
         rule = by_field.get(field)
         if rule is None:
-            return F.lit(SENTINEL)
+            return not_found
         found = document
         for step in rule.steps():
             found = F.get(found, F.lit(step)) if isinstance(step, int) else found.getField(step)

@@ -23,13 +23,13 @@ def fields_of(template: Sequence[Run]) -> list[str]:
 
 def merged_text(run: Run, values: Column) -> Column:
     """The text of one known run: literals and field columns side by side."""
-    pieces = []
+    pieces, empty = [], F.lit("")
     for literal, field in run.pieces():
         if literal:
             pieces.append(F.lit(literal))
         if field in CONTRACT_FIELDS:
-            pieces.append(F.coalesce(values.getField(field), F.lit("")))
-    return F.concat(*pieces) if pieces else F.lit("")
+            pieces.append(F.coalesce(values.getField(field), empty))
+    return F.concat(*pieces) if pieces else empty
 
 
 def merged_runs(template: Sequence[Run], values: Column) -> Column:
