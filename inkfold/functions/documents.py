@@ -7,7 +7,12 @@ characters, a second value or a cut-off document all give null instead of a part
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STRICT = {"allowSingleQuotes": "false"}
+# Standard quotes only, and no bound on the length of texts and numbers below that of a string.
+STRICT = {
+    "allowSingleQuotes": "false",
+    "maxStringLen": str(2**31 - 1),
+    "maxNumLen": str(2**31 - 1),
+}
 FALSY_JSON = r'^(?:null|false|""|\[\s*\]|\{\s*\}|-?0(?:\.0*)?(?:[eE][-+]?[0-9]+)?)$'
 JSON_SPACE = " \t\r\n"
 

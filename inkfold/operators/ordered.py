@@ -181,5 +181,5 @@ def ordered_lists(
 
 def _collected(entry: list[Column]) -> Column:
     """The values ``v`` of a group, sorted by the other columns of the entries."""
-    entries = F.array_sort(F.collect_list(F.struct(*entry)))
+    entries = F.sort_array(F.collect_list(F.struct(*entry)))
     return F.transform(entries, lambda e: e.getField("v"))

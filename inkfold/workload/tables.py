@@ -102,7 +102,7 @@ def order_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(money(F.sum(money(F.col("l_extendedprice")))).alias("monthly"))
     )
     return per_brand.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("name", "monthly"))).alias("modules")
+        F.sort_array(F.collect_list(F.struct("name", "monthly"))).alias("modules")
     )
 
 

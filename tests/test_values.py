@@ -20,6 +20,13 @@ def test_read_json_takes_exactly_one_value(evaluate):
     assert got[-1] is not None and got[3] is None and got[5] is None
 
 
+def test_read_json_takes_long_texts_whole(spark):
+    size = 25_000_000
+    text = F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), size), F.lit('"}'))
+    frame = spark.range(1).select(documents.read_json(text, "STRUCT<a: STRING>").alias("r"))
+    assert frame.select(F.length("r.a")).first()[0] == size
+
+
 def test_success_flag(evaluate):
     cases = {
         '{"success":true}': True,
