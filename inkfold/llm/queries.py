@@ -3,13 +3,37 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from inkfold.llm.exact_dedup import exact_dedup
+from inkfold.llm.language import identify
+from inkfold.llm.packing import best_fit_packing
 from inkfold.llm.personal_data import personal_data
+from inkfold.llm.repetition import repetition_rules
+from inkfold.llm.secret_scan import secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sequence, of which permitted length, holds each document or piece of one?"""
+    return best_fit_packing(documents(spark, sf_dir))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which secrets does each document hold, and do they look live or copied?"""
+    return secret_scan(documents(spark, sf_dir)).drop("span_list")
+
+
+def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How repetitive is each document, and does it stay?"""
+    return repetition_rules(documents(spark, sf_dir))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which language is each document in?"""
+    return identify(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents repeat another one's text, and which one stays?"""
     return exact_dedup(documents(spark, sf_dir))
@@ -21,6 +45,10 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_secret_scan": op2_secret_scan,
+    "op5_repetition_rules": op5_repetition_rules,
+    "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_personal_data": op9_personal_data,
 }
