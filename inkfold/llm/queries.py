@@ -8,6 +8,8 @@ from inkfold.llm.packing import best_fit_packing
 from inkfold.llm.personal_data import personal_data
 from inkfold.llm.repetition import repetition_rules
 from inkfold.llm.secret_scan import secret_scan
+from inkfold.llm.substring_dedup import substring_dedup
+from inkfold.llm.suffix_dedup import suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir)).drop("span_list")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which bytes of each document stand in an earlier one too?"""
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How repetitive is each document, and does it stay?"""
     return repetition_rules(documents(spark, sf_dir))
@@ -34,6 +41,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of each document lie in a passage that occurs more than once?"""
+    return substring_dedup(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents repeat another one's text, and which one stays?"""
     return exact_dedup(documents(spark, sf_dir))
@@ -47,8 +59,10 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_repetition_rules": op5_repetition_rules,
     "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_personal_data": op9_personal_data,
 }
