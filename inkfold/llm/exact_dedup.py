@@ -16,38 +16,27 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), runs, " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row per input row.
+def digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Adds ``_norm``, ``_digest`` and ``_salt``."""
+    norm = normalised(F.col(text_col))
+    salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
+    return docs.withColumn("_norm", norm).withColumns({"_digest": F.sha2("_norm", 256), "_salt": salt})
 
-    Stage 1 counts equal texts inside each task, before anything is shuffled. Stage 2 merges
-    them by digest and salt, so that a text that a third of all rows share meets in ``SALTS``
-    tasks. Stage 3 combines the winners of the salts. The full text is part of the key at every
-    stage; two texts with one digest, should they ever exist, stop the job instead of merging.
-    The verdict returns to the rows by digest and salt, which spreads hot texts again.
 
-    Null texts equal empty ones. Rows that repeat both id and text are all kept or all dropped;
-    a null id is kept only if its whole group has no id. Other columns are not read.
-    """
-    digests = docs.select(
-        F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")
-    ).select(
-        "doc_id",
-        "norm",
-        F.sha2("norm", 256).alias("text_sha256"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
-    )
-    salted = digests.groupBy("text_sha256", "salt", "norm").agg(
+def verdicts(digests: DataFrame) -> DataFrame:
+    """``(_digest, _salt, keep_id, group_size)`` from ``(doc_id, _norm, _digest, _salt)``."""
+    salted = digests.groupBy("_digest", "_salt", "_norm").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")
     )
     winners = (
-        salted.repartition("text_sha256")
-        .groupBy("text_sha256", "norm")
+        salted.repartition("_digest")
+        .groupBy("_digest", "_norm")
         .agg(
             F.min("first_id").alias("keep_id"),
             F.sum("n").alias("group_size"),
-            F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"),
+            F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("salts"),
         )
-        .groupBy("text_sha256")
+        .groupBy("_digest")
         .agg(
             F.first("keep_id").alias("keep_id"),
             F.first("group_size").alias("group_size"),
@@ -60,20 +49,45 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ).otherwise(F.col("group_size"))
     all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
     own_salts = F.filter(all_salts, lambda s: F.getbit("salts", s) == 1)
-    verdict = winners.select(
-        "text_sha256",
+    return winners.select(
+        "_digest",
         "keep_id",
         one_text.cast("bigint").alias("group_size"),
-        F.explode(own_salts).alias("salt"),
+        F.explode(own_salts).alias("_salt"),
     )
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row per input row.
+
+    Stage 1 counts equal texts inside each task, before anything is shuffled. Stage 2 merges
+    them by digest and salt, so that a text that a third of all rows share meets in ``SALTS``
+    tasks. Stage 3 combines the winners of the salts. The full text is part of the key at every
+    stage; two texts with one digest, should they ever exist, stop the job instead of merging.
+    The verdict returns to the rows by digest and salt, which spreads hot texts again.
+
+    Null texts equal empty ones. Rows that repeat both id and text are one document: all kept or
+    all dropped; a null id is kept only if its whole group has no id. Other columns are not read.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    digests = digested(rows, "doc_id", "text")
     return (
-        digests.drop("norm")
-        .join(verdict, ["text_sha256", "salt"])
+        digests.drop("_norm", "text")
+        .join(verdicts(digests), ["_digest", "_salt"])
         .select(
             "doc_id",
             "keep_id",
             "group_size",
             F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-            "text_sha256",
+            F.col("_digest").alias("text_sha256"),
         )
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows that stay, all columns as they are; see ``exact_dedup``."""
+    digests = digested(docs.select("doc_id", "text"), "doc_id", "text")
+    rows = digested(docs, "doc_id", "text").drop("_norm")
+    verdict = verdicts(digests).select("_digest", "_salt", F.col("keep_id").alias("_keep"))
+    met = rows.join(verdict.hint("shuffle_hash"), ["_digest", "_salt"])
+    return met.where(F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*docs.columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.words import LOWER, chunks
+from inkfold.llm.words import LOWER, Chunk, chunks
 
 #: Families of related languages; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -24,6 +24,8 @@ DIMENSIONS = 4096
 EPOCHS = 12
 REGULARISATION = 1e-4
 ROWS_AT_ONCE = 256
+#: Below this a prediction is no better than a guess between four languages.
+MIN_SCORE = 0.25
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -137,7 +139,7 @@ def predict(model: Model, vectors: np.ndarray) -> tuple[list[str], np.ndarray]:
     return list(langs), score
 
 
-def _row_groups(chunk) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _row_groups(chunk: Chunk) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """A chunk in groups of few rows: the profiles of many short texts would not fit."""
     for at in range(0, len(chunk.offsets) - 1, ROWS_AT_ONCE):
         offsets = chunk.offsets[at : at + ROWS_AT_ONCE + 1]
@@ -189,6 +191,41 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
+def with_held_out(docs: DataFrame) -> DataFrame:
+    """Adds ``held_out``: the ``crc32`` of the id is 1 modulo 3, or there is no id."""
+    digest = F.crc32(F.col("doc_id").cast("string"))
+    return docs.withColumn("held_out", F.coalesce(F.pmod(digest, F.lit(3)) == 1, F.lit(True)))
+
+
+def identified(chunk: Chunk, model: Model) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
+    """Rows with their languages and scores, a few at a time."""
+    for rows, data, offsets in _row_groups(chunk):
+        langs, score = predict(model, profiles(data, offsets))
+        known = has_letter(data, offsets)
+        langs = [lang if ok else UNKNOWN for lang, ok in zip(langs, known, strict=True)]
+        yield rows, langs, np.where(known, score, 0.0)
+
+
+def in_known_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows, all columns as they are, whose text is in a learned language.
+
+    Texts without a letter are rejected, and those that score less than ``min_score``. If there
+    is nothing to learn from, no text can be told, and only texts without a letter go.
+    """
+    model = train(with_held_out(docs.select("doc_id", "text", "lang")))
+
+    def filtered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            if not model.families:
+                yield chunk.rows.filter(pa.array(has_letter(chunk.data, chunk.offsets)))
+                continue
+            for rows, langs, score in identified(chunk, model):
+                told = np.array([lang != UNKNOWN for lang in langs], bool)
+                yield rows.filter(pa.array(told & (score >= min_score)))
+
+    return docs.mapInArrow(filtered, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` per row of ``(doc_id, text, lang)``.
 
@@ -197,22 +234,18 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     so is every text when there is nothing to learn from. Repeated rows give repeated results.
     Prediction is one pass over whole texts without a shuffle; the model is a few vectors.
     """
-    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(True))
-    rows = docs.select("doc_id", "text", F.col("lang"), held_out.alias("held_out"))
+    rows = with_held_out(docs.select("doc_id", "text", "lang"))
     fitted = train(rows) if model is None else model
 
     def predicted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            for part, data, offsets in _row_groups(chunk):
-                langs, score = predict(fitted, profiles(data, offsets))
-                known = has_letter(data, offsets)
-                langs = [lang if ok else UNKNOWN for lang, ok in zip(langs, known, strict=True)]
+            for part, langs, score in identified(chunk, fitted):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
                         part.column("held_out"),
                         pa.array(langs, pa.string()),
-                        pa.array(np.where(known, score, 0.0)),
+                        pa.array(score),
                     ],
                     names=["doc_id", "held_out", "lang_pred", "score"],
                 )

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from inkfold.llm.exact_dedup import exact_dedup
+from inkfold.llm.jaccard_join import near_duplicates
 from inkfold.llm.language import identify
 from inkfold.llm.packing import best_fit_packing
 from inkfold.llm.personal_data import personal_data
@@ -23,7 +24,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which secrets does each document hold, and do they look live or copied?"""
-    return secret_scan(documents(spark, sf_dir)).drop("span_list")
+    return secret_scan(documents(spark, sf_dir)).drop("sig", "span_list")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,11 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are near copies of each other, directly or through others?"""
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -65,6 +71,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_personal_data": op9_personal_data,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL = {
@@ -78,4 +85,30 @@ ORACLE_SQL = {
             doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    # The shingles of whole texts, all pairs that share one, and reachability over the links.
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+            FROM words, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS t(i)
+        ), sizes AS (
+            SELECT w.doc_id, count(s.s) AS n FROM words w LEFT JOIN shingles s USING (doc_id) GROUP BY 1
+        ), shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT x, y FROM shared
+            JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * both >= 75 * (p.n + q.n - both)
+        ), reached(doc_id, seen) AS (
+            SELECT doc_id, doc_id FROM words
+            UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.seen
+        )
+        SELECT s.doc_id, s.n AS n_shingles, min(r.seen) AS component_id
+        FROM sizes s JOIN reached r USING (doc_id) GROUP BY 1, 2
+    """,
 }

@@ -29,18 +29,22 @@ BLOCKS = "part int, block binary, key bigint, sig int, n bigint, hashes binary"
 SHARED = "key bigint, sig int, n bigint, hashes binary"
 
 
-def keyed(docs: DataFrame, text: Column | None = None) -> DataFrame:
+def row_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+
+
+def row_sig() -> Column:
+    return F.hash(F.coalesce(F.col("text"), F.lit("")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
     """``(key, sig, text)``: the id (the largest number for null) and a signature of the text.
 
     Rows that repeat an id with another text stay apart by the signature; rows equal in both
     get equal results, whichever of them an answer is joined to.
     """
-    text = F.coalesce(F.col("text") if text is None else text, F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("key"),
-        F.hash(text).alias("sig"),
-        text.alias("text"),
-    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(row_key().alias("key"), row_sig().alias("sig"), text.alias("text"))
 
 
 def id_of(key: str = "key") -> Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.llm.recurring import NO_ID, row_key, row_sig
 from inkfold.session import written
 
 BASE_KINDS = {
@@ -41,7 +42,7 @@ SALTS = 64
 
 CANDIDATE = "struct<start:int,rank:int,end:int,kind:string,digest:string,live:boolean>"
 SCANNED = (
-    "doc_id bigint, owner string, repository string, n_assign bigint, n_access bigint, n_hex bigint, "
+    "doc_id bigint, sig int, owner string, repository string, n_assign bigint, n_access bigint, n_hex bigint, "
     f"base_sha256 string, candidates array<{CANDIDATE}>"
 )
 
@@ -114,7 +115,7 @@ def _scanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             results = [scan(text.as_py() or "") for text in part.column("text")]
-            columns = [part.column(name) for name in ("doc_id", "owner", "repository")]
+            columns = [part.column(name) for name in ("doc_id", "sig", "owner", "repository")]
             columns += [pa.array([r[0][i] for r in results], pa.int64()) for i in range(3)]
             columns.append(pa.array([r[1] for r in results], pa.string()))
             columns.append(pa.array([r[2] for r in results], pa.list_(pa.struct(schema))))
@@ -168,6 +169,7 @@ def secret_scan(
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
+        row_sig().alias("sig"),
         owner.cast("string").alias("owner"),
         repository.cast("string").alias("repository"),
         "text",
@@ -206,5 +208,51 @@ def secret_scan(
         F.coalesce(F.size("added").cast("bigint"), zero).alias("n_added"),
         F.coalesce("n_live", zero).alias("n_live"),
         F.coalesce("n_copied", zero).alias("n_copied"),
+        "sig",
         "span_list",
     )
+
+
+MARK = "[secret]"
+
+
+def redacted_text(text: str, spans: list[dict]) -> str:
+    """The text with each run of overlapping spans replaced by one mark."""
+    pieces, at = [], 0
+    for span in sorted(spans, key=lambda s: (s["start"], s["end"])):
+        if span["start"] >= at or not pieces:
+            pieces += [text[at : span["start"]], MARK]
+        at = max(at, span["end"])
+    return "".join([*pieces, text[at:]])
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """All rows and columns, with the secrets in the texts replaced and ``n_chars`` adjusted."""
+    spans = secret_scan(docs).where(F.size("span_list") > 0)
+    spans = spans.select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"), F.col("sig").alias("_sig"), F.col("span_list").alias("_spans")
+    ).dropDuplicates(["_key", "_sig"])  # rows equal in id and text have equal spans
+    rows = docs.withColumns({"_key": row_key(), "_sig": row_sig()})
+    met = rows.join(spans.hint("shuffle_hash"), ["_key", "_sig"], "left").select(*docs.columns, "_spans")
+
+    names = docs.columns
+    place = names.index("text")
+
+    def replaced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("_spans")
+            texts = batch.column("text")
+            if found.null_count < len(found):
+                texts = pa.array(
+                    [redacted_text(t.as_py() or "", s.as_py()) if s.is_valid else t.as_py() for t, s in zip(texts, found, strict=True)],
+                    texts.type,
+                )
+            columns = batch.columns[: len(names)]
+            columns[place] = texts
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = met.mapInArrow(replaced, docs.schema)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return out
