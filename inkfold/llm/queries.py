@@ -7,6 +7,7 @@ from inkfold.llm.jaccard_join import near_duplicates
 from inkfold.llm.language import identify
 from inkfold.llm.packing import best_fit_packing
 from inkfold.llm.personal_data import personal_data
+from inkfold.llm.pieces import piece_encoding
 from inkfold.llm.repetition import repetition_rules
 from inkfold.llm.secret_scan import secret_scan
 from inkfold.llm.substring_dedup import substring_dedup
@@ -27,6 +28,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir)).drop("sig", "span_list")
 
 
+def op3_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What are the best segmentations of each document into sentence pieces?"""
+    return piece_encoding(documents(spark, sf_dir))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which bytes of each document stand in an earlier one too?"""
     return suffix_dedup(documents(spark, sf_dir))
@@ -65,6 +71,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
+    "op3_piece_encoding": op3_piece_encoding,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_repetition_rules": op5_repetition_rules,
     "op6_language_id": op6_language_id,
@@ -98,12 +105,12 @@ ORACLE_SQL = {
         ), sizes AS (
             SELECT w.doc_id, count(s.s) AS n FROM words w LEFT JOIN shingles s USING (doc_id) GROUP BY 1
         ), shared AS (
-            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both
             FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
         ), links AS (
             SELECT x, y FROM shared
             JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
-            WHERE 100 * both >= 75 * (p.n + q.n - both)
+            WHERE 100 * n_both >= 75 * (p.n + q.n - n_both)
         ), reached(doc_id, seen) AS (
             SELECT doc_id, doc_id FROM words
             UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.seen
