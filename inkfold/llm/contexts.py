@@ -15,9 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.recurring import binaries, runs_of
-
-CUTS = "key bigint, sig int, cuts binary"
+from inkfold.llm.recurring import owner_numbers, runs_of, told
 
 
 class Sides(NamedTuple):
@@ -39,47 +37,56 @@ def room(starts: np.ndarray, lows: np.ndarray, highs: np.ndarray, span: int, rea
     return least, np.minimum(reach, starts - lows)
 
 
-def repeated_range(right: Sides, left: Sides, least, most, span: int, verdict):
+def repeated_range(right: Sides, left: Sides, least, most, members, span: int, verdict):
     """For each anchor the least and greatest offset of a repeated window, or a range that is empty.
 
-    ``verdict(groups, members)`` says which of the members of equal windows count as repeats.
+    Only ``members`` are compared. ``verdict(groups, members)`` says which of the members, sorted
+    by groups of equal windows, count as repeats.
     """
     n = len(least)
     low, high = np.full(n, span), np.full(n, -1)
     for offset in range(int(most.max(initial=-1)) + 1):
-        members = np.flatnonzero((least <= offset) & (offset <= most))
-        if not len(members):
+        own = members[(least[members] <= offset) & (offset <= most[members])]
+        if not len(own):
             continue
-        tails, heads = right.classes(span - offset)[members], left.classes(offset)[members]
-        pairs = tails * (n + 1) + heads
-        hit = members[verdict(pairs, members)]
+        pairs = right.classes(span - offset)[own] * (n + 1) + left.classes(offset)[own]
+        order = np.argsort(pairs)
+        own = own[order]
+        hit = own[verdict(runs_of(pairs[order]), own)]
         low[hit] = np.minimum(low[hit], offset)
         high[hit] = np.maximum(high[hit], offset)
     return low, high
 
 
-def cut_table(keys, sigs, owners, starts, low, high, span: int) -> pa.Table:
-    """One row per text with its cuts ``(from, to)``; windows of one anchor always overlap."""
+def sorted_rows(rows: np.ndarray) -> Sides:
+    """Sides of rows of bytes."""
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    differ = rows[order][1:] != rows[order][:-1]
+    common = np.zeros(len(rows), np.int64)
+    common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return Sides(order, common)
+
+
+def cuts_told(keys, sigs, places, low, high, span: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The cuts ``(from, to)`` of each text; windows of one anchor always overlap."""
     hit = np.flatnonzero(high >= low)
-    order = hit[np.argsort(owners[hit], kind="stable")]
+    if not len(hit):
+        return
+    owners = owner_numbers(keys[hit], sigs[hit])
+    order = np.argsort(owners, kind="stable")
     bounds = runs_of(owners[order])
-    texts = owners[order][bounds[:-1]]
-    cuts = np.empty((len(order), 2), np.int64)
-    cuts[:, 0] = starts[order] - high[order]
-    cuts[:, 1] = starts[order] - low[order] + span
-    return pa.table(
-        [pa.array(keys[texts]), pa.array(sigs[texts]), binaries(cuts.reshape(-1), 2 * np.diff(bounds))],
-        names=["key", "sig", "cuts"],
-    )
+    first, hit = hit[order][bounds[:-1]], hit[order]
+    cuts = np.empty((len(hit), 2), np.int64)
+    cuts[:, 0] = places[hit] - high[hit]
+    cuts[:, 1] = places[hit] - low[hit] + span
+    none = np.full(len(first), -1)
+    yield from told(keys[first], sigs[first], none, 2 * np.diff(bounds), cuts.reshape(-1), parts)
 
 
-def collected(pieces: DataFrame, column: str, partitions: int) -> DataFrame:
-    """The pieces of each row as one list, dealt like the texts they will meet.
-
-    A list is bounded by the length of its text.
-    """
-    dealt = pieces.repartition(partitions, "key", "sig")
-    return dealt.groupBy("key", "sig").agg(F.collect_list(column).alias(column))
+def dealt_like(found: DataFrame, name: str, partitions: int) -> DataFrame:
+    """Answers dealt like the texts that they will meet."""
+    dealt = found.select("key", "sig", F.col("data").alias(name)).repartition(partitions, "key", "sig")
+    return dealt.hint("shuffle_hash")
 
 
 def cut_mask(column: pa.Array, offsets: np.ndarray, n: int) -> np.ndarray:
@@ -87,7 +94,7 @@ def cut_mask(column: pa.Array, offsets: np.ndarray, n: int) -> np.ndarray:
     change = np.zeros(n + 1, np.int64)
     for row, blobs in enumerate(column):
         if blobs.is_valid:
-            cuts = np.frombuffer(b"".join(blobs.as_py()), np.int64).reshape(-1, 2) + offsets[row]
+            cuts = np.frombuffer(blobs.as_py(), np.int64).reshape(-1, 2) + offsets[row]
             np.add.at(change, cuts[:, 0], 1)
             np.add.at(change, cuts[:, 1], -1)
     return np.cumsum(change[:-1]) > 0
@@ -98,27 +105,3 @@ def only(chosen: np.ndarray, least: np.ndarray, most: np.ndarray, span: int):
     low, high = np.full(len(least), span), np.full(len(least), -1)
     low[chosen], high[chosen] = least[chosen], most[chosen]
     return low, high
-
-
-def owner_numbers(keys: np.ndarray, sigs: np.ndarray) -> np.ndarray:
-    """A number for each pair of key and signature."""
-    order = np.lexsort((sigs, keys))
-    fresh = np.zeros(len(keys), bool)
-    fresh[1:] = (np.diff(keys[order]) != 0) | (np.diff(sigs[order]) != 0)
-    owners = np.empty(len(keys), np.int64)
-    owners[order] = np.cumsum(fresh)
-    return owners
-
-
-def first_of(owners: np.ndarray, keys: np.ndarray, sigs: np.ndarray):
-    first = np.unique(owners, return_index=True)[1]
-    return keys[first], sigs[first]
-
-
-def passed_on(table: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
-    n = table.num_rows
-    spread = pa.array((np.arange(n) % parts).astype(np.int32))
-    rows = pa.table(
-        [spread, pa.nulls(n, pa.binary()), *table.columns], names=["part", "block", *table.column_names]
-    )
-    yield from rows.to_batches()

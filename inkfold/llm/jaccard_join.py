@@ -87,9 +87,9 @@ def _assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in batches:
         nodes, sets = [], []
-        columns = [batch.column(name).to_pylist() for name in ("hashes", "n", "key", "sig")]
-        for pieces, n, key, sig in zip(*columns, strict=True):
-            shared = np.unique(np.frombuffer(b"".join(pieces), np.uint64))
+        columns = [batch.column(name).to_pylist() for name in ("data", "n", "key", "sig")]
+        for data, n, key, sig in zip(*columns, strict=True):
+            shared = np.unique(np.frombuffer(data, np.uint64))
             if n and UNDER * len(shared) >= OVER * n:
                 salt = b"" if len(shared) == n else f"{key}:{sig}".encode()
                 nodes.append(hashlib.blake2b(shared.tobytes(), digest_size=16, key=salt).hexdigest())
@@ -215,10 +215,7 @@ def components_of(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     rows = keyed(docs)
     parts = parts_for(rows, part_bytes)
     shared = recurring(rows, shingle_hashes, parts, with_counts=True)
-    whole = shared.groupBy("key", "sig").agg(
-        F.max("n").alias("n"), F.count("n").alias("copies"), F.collect_list("hashes").alias("hashes")
-    )
-    sets = written(whole.mapInArrow(_assembled, SETS), "sets")
+    sets = written(shared.mapInArrow(_assembled, SETS), "sets")
     nodes = written(
         sets.where("node IS NOT NULL").groupBy("node").agg(
             F.first("n").cast("int").alias("n"), F.first("shingles").alias("shingles"), F.min("key").alias("key")

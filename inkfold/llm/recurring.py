@@ -16,17 +16,22 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.words import Chunk, chunks
+from inkfold.llm.words import Chunk, chunks, mix
 
 #: Bytes of text per part or partition.
 PART_BYTES = 24 << 20
+#: Parts of the hash space for each group of texts: hashes weigh more in memory than their text.
+HASH_PARTS = 3
 #: Hashes packed at once by a task.
 BLOCK_HASHES = 1 << 20
 NO_ID = (1 << 63) - 1
 _WITNESS = np.uint32(0xFFFFFFFF)
 
-BLOCKS = "part int, block binary, key bigint, sig int, n bigint, hashes binary"
-SHARED = "key bigint, sig int, n bigint, hashes binary"
+#: What tasks send to a part: ``dest`` is null in blocks that the part compares, and names the
+#: group of texts that a settled block is for.
+BLOCKS = "part int, dest int, block binary"
+TOLD = "dest int, block binary"
+ANSWERS = "key bigint, sig int, n bigint, copies bigint, data binary"
 
 
 def row_key() -> Column:
@@ -101,7 +106,7 @@ class _Blocks:
     """The hashes of a task's texts until there are enough for a block per part."""
 
     def __init__(self, parts: int, with_counts: bool):
-        self.parts, self.with_counts = parts, with_counts
+        self.parts, self.texts, self.with_counts = parts * HASH_PARTS, parts, with_counts
         self.clear()
 
     def clear(self) -> None:
@@ -139,78 +144,116 @@ class _Blocks:
             local[real] = index
             steps = np.diff(left[own], prepend=np.uint64(0))
             block = pack([keys[used], sigs[used], steps, local])
-            yield _block_row(int(part), block)
+            yield block_rows([int(part)], [None], [block])
 
     def _settled(self, keys, sigs, counts, hashes, owners) -> Iterator[pa.RecordBatch]:
         """Texts with the hashes known to recur, and each text's count where wanted."""
         order = np.argsort(owners, kind="stable")
         per_text = np.bincount(owners, minlength=len(counts))
         shown = np.arange(len(counts)) if self.with_counts else np.flatnonzero(per_text)
-        for at in range(0, len(shown), 5000):
-            some = shown[at : at + 5000]
-            low, high = np.searchsorted(owners[order], [some[0], some[-1] + 1])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((some % self.parts).astype(np.int32)),
-                    pa.nulls(len(some), pa.binary()),
-                    pa.array(keys[some]),
-                    pa.array(sigs[some]),
-                    pa.array(counts[some].astype(np.int64)) if self.with_counts else pa.nulls(len(some), pa.int64()),
-                    binaries(hashes[order[low:high]], per_text[some]),
-                ],
-                names=["part", "block", "key", "sig", "n", "hashes"],
-            )
-
-
-def _block_row(part: int, block: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
+        known = counts[shown].astype(np.int64) if self.with_counts else np.full(len(shown), -1)
+        yield from told(keys[shown], sigs[shown], known, per_text[shown], hashes[order], self.texts)
+
+
+def block_rows(parts: list[int], dests: list[int | None], blocks: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(parts, pa.int32()), pa.array(dests, pa.int32()), pa.array(blocks, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "dest", "block"])
+
+
+def told(keys, sigs, known, counts, data, parts: int) -> Iterator[pa.RecordBatch]:
+    """Answers for texts, ``counts`` items of ``data`` each, in one block per group of texts."""
+    dest = part_of(mix(keys.astype(np.uint64) ^ mix(sigs.astype(np.uint64))), parts).astype(np.int64)
+    order = np.argsort(dest, kind="stable")
+    ends = np.cumsum(counts)
+    bounds = runs_of(dest[order])
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        own = order[low:high]
+        size = counts[own]
+        items = np.repeat(ends[own] - np.cumsum(size), size) + np.arange(int(size.sum()))
+        number = int(dest[own[0]])
+        yield block_rows([number], [number], [pack([keys[own], sigs[own], known[own], size, data[items]])])
+
+
+def compared(table: pa.Table, compare: Callable[[list[list[np.ndarray]]], Iterator[pa.RecordBatch]]) -> pa.Table:
+    """Blocks of one part: settled ones pass, ``compare`` answers the others."""
+    settled = table.column("dest").is_valid()
+    answers = [table.filter(settled).select(["dest", "block"])]
+    blocks = [unpack(b.as_py()) for b in table.filter(table.column("dest").is_null()).column("block")]
+    if blocks:
+        batches = list(compare(blocks))
+        if batches:
+            answers.append(pa.Table.from_batches(batches).select(["dest", "block"]))
+    return pa.concat_tables(answers)
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """The answers for a group of texts, one row per text."""
+    blocks = [unpack(b.as_py()) for b in table.column("block")]
+    keys, sigs, known, counts, data = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    owners = owner_numbers(keys, sigs)
+    first = np.unique(owners, return_index=True)[1]
+    n = np.full(len(first), -1, np.int64)
+    np.maximum.at(n, owners, known)
+    of_item = np.repeat(owners, counts)
+    sizes = np.bincount(of_item, minlength=len(first))
+    return pa.table(
         [
-            pa.array([part], pa.int32()),
-            pa.array([block], pa.binary()),
-            pa.nulls(1, pa.int64()),
-            pa.nulls(1, pa.int32()),
-            pa.nulls(1, pa.int64()),
-            pa.nulls(1, pa.binary()),
+            pa.array(keys[first]),
+            pa.array(sigs[first]),
+            pa.array(n),
+            pa.array(np.bincount(owners, weights=known >= 0, minlength=len(first)).astype(np.int64)),
+            binaries(data[np.argsort(of_item, kind="stable")], sizes),
         ],
-        names=["part", "block", "key", "sig", "n", "hashes"],
+        names=["key", "sig", "n", "copies", "data"],
     )
 
 
-def _met(table: pa.Table) -> pa.Table:
-    """All blocks of one part: the hashes of each text that occur again, here or elsewhere."""
-    is_block = table.column("block").is_valid()
-    passed = table.filter(table.column("block").is_null()).select(["key", "sig", "n", "hashes"])
-    keys, sigs, hashes, owners, total = [], [], [], [], 0
-    for block in table.filter(is_block).column("block"):
-        key, sig, steps, owner = unpack(block.as_py())
-        keys.append(key)
-        sigs.append(sig)
-        hashes.append(np.cumsum(steps, dtype=np.uint64))
-        owners.append(np.where(owner == _WITNESS, np.int64(-1), owner.astype(np.int64) + total))
-        total += len(key)
-    if not hashes:
-        return passed
-    hashes, owners = np.concatenate(hashes), np.concatenate(owners)
-    order = np.argsort(hashes, kind="stable")
-    hashes, owners = hashes[order], owners[order]
-    bounds = runs_of(hashes)
-    sizes = np.diff(bounds)
-    recurs = (sizes > 1) | (owners[bounds[:-1]] < 0)
-    told = np.repeat(recurs, sizes) & (owners >= 0)
-    hashes, owners = hashes[told], owners[told]
-    order = np.argsort(owners, kind="stable")
-    bounds = runs_of(owners[order])
-    texts = owners[order][bounds[:-1]]
-    found = pa.table(
-        [
-            pa.array(np.concatenate(keys)[texts]),
-            pa.array(np.concatenate(sigs)[texts]),
-            pa.nulls(len(texts), pa.int64()),
-            binaries(hashes[order], np.diff(bounds)),
-        ],
-        names=["key", "sig", "n", "hashes"],
-    )
-    return pa.concat_tables([passed, found])
+def answers(blocks: DataFrame, compare: Callable) -> DataFrame:
+    """``(key, sig, n, copies, data)``: what the parts found, one row per text that has any.
+
+    Answers travel packed, a block per part and group of texts, so their rows are not more when
+    there are more parts.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        return compared(table, compare)
+
+    return blocks.groupBy("part").applyInArrow(run, TOLD).groupBy("dest").applyInArrow(_gathered, ANSWERS)
+
+
+def owner_numbers(keys: np.ndarray, sigs: np.ndarray) -> np.ndarray:
+    """A number for each pair of key and signature."""
+    order = np.lexsort((sigs, keys))
+    fresh = np.zeros(len(keys), bool)
+    fresh[1:] = (np.diff(keys[order]) != 0) | (np.diff(sigs[order]) != 0)
+    owners = np.empty(len(keys), np.int64)
+    owners[order] = np.cumsum(fresh)
+    return owners
+
+
+def _met(parts: int):
+    def compare(blocks: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """The hashes of each text that occur again, in this block or another."""
+        keys, sigs, hashes, owners, total = [], [], [], [], 0
+        for key, sig, steps, owner in blocks:
+            keys.append(key)
+            sigs.append(sig)
+            hashes.append(np.cumsum(steps, dtype=np.uint64))
+            owners.append(np.where(owner == _WITNESS, np.int64(-1), owner.astype(np.int64) + total))
+            total += len(key)
+        keys, sigs, hashes, owners = map(np.concatenate, (keys, sigs, hashes, owners))
+        order = np.argsort(hashes, kind="stable")
+        hashes, owners = hashes[order], owners[order]
+        bounds = runs_of(hashes)
+        sizes = np.diff(bounds)
+        recurs = np.repeat((sizes > 1) | (owners[bounds[:-1]] < 0), sizes) & (owners >= 0)
+        hashes, owners = hashes[recurs], owners[recurs]
+        order = np.argsort(owners, kind="stable")
+        bounds = runs_of(owners[order])
+        texts = owners[order][bounds[:-1]]
+        yield from told(keys[texts], sigs[texts], np.full(len(texts), -1), np.diff(bounds), hashes[order], parts)
+
+    return compare
 
 
 def recurring(
@@ -219,11 +262,11 @@ def recurring(
     parts: int,
     with_counts: bool = False,
 ) -> DataFrame:
-    """``(key, sig, n, hashes)``: the hashes of each row that occur at least twice anywhere.
+    """``(key, sig, n, copies, data)``: the hashes of each text that occur at least twice anywhere.
 
     ``rows`` is ``keyed``; ``hashes_of`` gives the hashes of a chunk's texts, text by text, and
-    how many each text has. A row's hashes come in any number of pieces. With ``with_counts``,
-    exactly one piece of every row, also of those that share nothing, has its count ``n``.
+    how many each text has. With ``with_counts``, texts that share nothing have a row as well,
+    ``n`` is how many hashes a text has, and ``copies`` how many rows are equal in id and text.
     """
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,4 +277,4 @@ def recurring(
                 yield from blocks.emit()
         yield from blocks.emit()
 
-    return rows.mapInArrow(packed, BLOCKS).groupBy("part").applyInArrow(_met, SHARED)
+    return answers(rows.mapInArrow(packed, BLOCKS), _met(parts))

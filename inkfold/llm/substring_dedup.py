@@ -14,27 +14,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkfold.llm.contexts import (
-    CUTS,
     Sides,
-    collected,
     cut_mask,
-    cut_table,
-    first_of,
+    cuts_told,
+    dealt_like,
     only,
-    owner_numbers,
-    passed_on,
     repeated_range,
     room,
 )
 from inkfold.llm.recurring import (
+    BLOCKS,
     PART_BYTES,
+    answers,
+    block_rows,
     id_of,
     keyed,
     pack,
     part_of,
     parts_for,
     recurring,
-    unpack,
 )
 from inkfold.llm.repetition import word_ids
 from inkfold.llm.words import (
@@ -50,9 +48,8 @@ from inkfold.llm.words import (
 
 SPAN, GRAM = 35, 8
 REACH = SPAN - GRAM
-#: Seeds extended at once by a task.
-BLOCK_SEEDS = 1 << 14
-SEEDS = "part int, block binary, key bigint, sig int, cuts binary"
+#: Seeds packed at once by a task; joins of a fraction of a part, for they carry their words.
+BLOCK_SEEDS, JOINS_PER_PART = 1 << 14, 8
 CLEANED = "key bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
@@ -82,8 +79,8 @@ def sorted_side(ids: np.ndarray) -> Sides:
 class _Seeds:
     """Recurring anchors of a task's texts with the words around them, for a block per part."""
 
-    def __init__(self, parts: int):
-        self.parts, self.pending, self.size = parts, [], 0
+    def __init__(self, parts: int, texts: int):
+        self.parts, self.texts, self.pending, self.size = parts, texts, [], 0
 
     def add(self, chunk: Chunk) -> None:
         words = find_words(chunk.data, chunk.offsets)
@@ -93,7 +90,7 @@ class _Seeds:
         for row in range(len(bounds) - 1):
             own = slice(bounds[row], bounds[row + 1])
             if own.start < own.stop:
-                known = np.frombuffer(b"".join(column[row].as_py()), np.uint64)
+                known = np.frombuffer(column[row].as_py(), np.uint64)
                 kept[own] = np.isin(hashes[own], known)
         places, hashes = places[kept], hashes[kept]
         texts = np.searchsorted(words.offsets, places, "right") - 1
@@ -132,11 +129,9 @@ class _Seeds:
         group = np.cumsum(~same) - 1
         several = np.bincount(group)[group] > 1
         done = whole.order[several]
-        owners = owner_numbers(keys, sigs)
         if len(done):
             ranges = only(done, least, most, SPAN)
-            table = cut_table(*first_of(owners, keys, sigs), owners, places, *ranges, SPAN)
-            yield from passed_on(table, self.parts)
+            yield from cuts_told(keys, sigs, places, *ranges, SPAN, self.texts)
         # One of them goes on and stands for several.
         order, twice = whole.order[~same], several[~same]
         limits = np.searchsorted(part[order], np.arange(self.parts + 1))
@@ -151,16 +146,7 @@ class _Seeds:
                     np.array([len(t) for t in texts], np.uint32), np.frombuffer(b"".join(texts), np.uint8),
                 ]
             )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int32()),
-                    pa.array([block], pa.binary()),
-                    pa.nulls(1, pa.int64()),
-                    pa.nulls(1, pa.int32()),
-                    pa.nulls(1, pa.binary()),
-                ],
-                names=["part", "block", "key", "sig", "cuts"],
-            )
+            yield block_rows([number], [None], [block])
 
 
 def sides_of(around: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,13 +166,8 @@ def sides_of(around: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.nd
     return left, right
 
 
-def _extended(table: pa.Table) -> pa.Table:
+def _extended(columns: list[list[np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
     """All seeds of one part: which windows around them occur twice?"""
-    passed = table.filter(table.column("block").is_null()).select(["key", "sig", "cuts"])
-    blocks = table.filter(table.column("block").is_valid()).column("block")
-    columns = [unpack(block.as_py()) for block in blocks]
-    if not columns:
-        return passed
     keys, sigs, places, least, most, before, twice, sizes, letters = (
         np.concatenate(x) for x in zip(*columns, strict=True)
     )
@@ -196,16 +177,14 @@ def _extended(table: pa.Table) -> pa.Table:
     left, right = sides_of(around, before.astype(np.int64))
     weight = 1 + twice.astype(np.int64)
 
-    def repeated(groups: np.ndarray, members: np.ndarray) -> np.ndarray:
-        numbers = np.unique(groups, return_inverse=True)[1].ravel()
-        return np.bincount(numbers, weights=weight[members])[numbers] > 1
+    least, most = least.astype(np.int64), most.astype(np.int64)
 
-    low, high = repeated_range(
-        sorted_side(right), sorted_side(left), least.astype(np.int64), most.astype(np.int64), SPAN, repeated
-    )
-    owners = owner_numbers(keys, sigs)
-    found = cut_table(*first_of(owners, keys, sigs), owners, places.astype(np.int64), low, high, SPAN)
-    return pa.concat_tables([passed, found])
+    def repeated(bounds: np.ndarray, members: np.ndarray) -> np.ndarray:
+        return np.repeat(np.add.reduceat(weight[members], bounds[:-1]) > 1, np.diff(bounds))
+
+    everyone = np.arange(len(keys))
+    low, high = repeated_range(sorted_side(right), sorted_side(left), least, most, everyone, SPAN, repeated)
+    yield from cuts_told(keys, sigs, places.astype(np.int64), low, high, SPAN, parts)
 
 
 def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,24 +227,18 @@ def repeated_passages(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFram
     parts = parts_for(rows, part_bytes)
     shared = recurring(rows, seed_hashes, parts)
     dealt = rows.repartition(parts, "key", "sig")
-    known = collected(shared.select("key", "sig", "hashes"), "hashes", parts)
 
     def extended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = _Seeds(parts)
+        seeds = _Seeds(parts * JOINS_PER_PART, parts)
         for chunk in chunks(batches):
             seeds.add(chunk)
             if seeds.size >= BLOCK_SEEDS:
                 yield from seeds.emit()
         yield from seeds.emit()
 
-    pieces = (
-        dealt.join(known.hint("shuffle_hash"), ["key", "sig"])
-        .mapInArrow(extended, SEEDS)
-        .groupBy("part")
-        .applyInArrow(_extended, CUTS)
-    )
-    cuts = collected(pieces, "cuts", parts)
-    return dealt.join(cuts.hint("shuffle_hash"), ["key", "sig"], "left")
+    seeds = dealt.join(dealt_like(shared, "hashes", parts), ["key", "sig"]).mapInArrow(extended, BLOCKS)
+    cuts = answers(seeds, lambda blocks: _extended(blocks, parts))
+    return dealt.join(dealt_like(cuts, "cuts", parts), ["key", "sig"], "left")
 
 
 def substring_dedup(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:

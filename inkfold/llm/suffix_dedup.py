@@ -12,38 +12,36 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from inkfold.llm.contexts import (
-    CUTS,
     Sides,
-    collected,
     cut_mask,
-    cut_table,
-    first_of,
+    cuts_told,
+    dealt_like,
     only,
-    owner_numbers,
-    passed_on,
     repeated_range,
     room,
+    sorted_rows,
 )
 from inkfold.llm.recurring import (
+    BLOCKS,
     PART_BYTES,
+    answers,
+    block_rows,
     id_of,
     keyed,
     pack,
     part_of,
     parts_for,
     recurring,
-    unpack,
 )
-from inkfold.llm.words import Chunk, anchors, chunks, range_hashes, rolling_sums
+from inkfold.llm.words import Chunk, anchors, chunks, eights, gram_hashes
 
-SPAN, GRAM = 50, 24
+SPAN, GRAM = 50, 20
 REACH = SPAN - GRAM
-#: Suffixes sorted at once by a task.
-RUN_SUFFIXES = 1 << 17
-RUNS = "part int, block binary, key bigint, sig int, cuts binary"
+CHOICE = 0x9E3779B97F4A7C15
+#: Suffixes sorted at once by a task; merges of a fraction of a part, for strings are objects.
+RUN_SUFFIXES, MERGES_PER_PART = 1 << 17, 4
 CLEANED = (
     "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 )
@@ -54,10 +52,10 @@ def anchor_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     n = len(chunk.data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    sums, starts = rolling_sums(chunk.data), np.arange(n)
-    hashes = range_hashes(sums, starts, starts + GRAM)
-    places = anchors(hashes, chunk.offsets, GRAM, SPAN)
-    return places, hashes[places]
+    # Eight bytes decide which grams are anchors, the whole gram what they are joined on.
+    choice = (eights(chunk.data)[:n] * np.uint64(CHOICE) >> np.uint64(32)).astype(np.uint32)
+    places = anchors(choice, chunk.offsets, GRAM, SPAN)
+    return places, gram_hashes(chunk.data, places, GRAM)
 
 
 def distinct_anchors(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +77,7 @@ def shared_places(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     for row in range(len(bounds) - 1):
         own = slice(bounds[row], bounds[row + 1])
         if own.start < own.stop:
-            known = np.frombuffer(b"".join(column[row].as_py()), np.uint64)
+            known = np.frombuffer(column[row].as_py(), np.uint64)
             kept[own] = np.isin(hashes[own], known)
     return places[kept], hashes[kept]
 
@@ -179,8 +177,8 @@ def merged_sides(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width:
 class _Runs:
     """Suffixes of a task's texts until there are enough for a sorted run per part."""
 
-    def __init__(self, parts: int):
-        self.parts, self.pending, self.size = parts, [], 0
+    def __init__(self, parts: int, texts: int):
+        self.parts, self.texts, self.pending, self.size = parts, texts, [], 0
 
     def add(self, chunk: Chunk) -> None:
         places, hashes = shared_places(chunk)
@@ -220,66 +218,50 @@ class _Runs:
         settled = keys[order] > keys[order][head]
         done = order[settled]
         if len(done):
-            owners = owner_numbers(keys, sigs)
             ranges = only(done, least, most, SPAN)
-            table = cut_table(*first_of(owners, keys, sigs), owners, places, *ranges, SPAN)
-            yield from passed_on(table, self.parts)
+            yield from cuts_told(keys, sigs, places, *ranges, SPAN, self.texts)
         order = order[~settled]
         limits = np.searchsorted(part[order], np.arange(self.parts + 1))
         for number in np.flatnonzero(np.diff(limits)):
             own = order[limits[number] : limits[number + 1]]
             common, tails = front_coded(right[own])
-            flipped = np.ascontiguousarray(left[own]).view(f"S{REACH}").ravel()
-            by_left = np.argsort(flipped, kind="stable")
-            left_common, left_tails = front_coded(left[own][by_left])
             block = pack(
                 [
                     keys[own], sigs[own], places[own].astype(np.uint32), least[own].astype(np.uint8),
-                    most[own].astype(np.uint8), common, tails, left_common, left_tails,
-                    by_left.astype(np.uint32),
+                    most[own].astype(np.uint8), common, tails, left[own].reshape(-1),
                 ]
             )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int32()),
-                    pa.array([block], pa.binary()),
-                    pa.nulls(1, pa.int64()),
-                    pa.nulls(1, pa.int32()),
-                    pa.nulls(1, pa.binary()),
-                ],
-                names=["part", "block", "key", "sig", "cuts"],
-            )
+            yield block_rows([number], [None], [block])
 
 
-def _merged(table: pa.Table) -> pa.Table:
+def _merged(blocks: list[list[np.ndarray]], texts: int) -> Iterator[pa.RecordBatch]:
     """All runs of one part: which windows does a smaller id have too?"""
-    passed = table.filter(table.column("block").is_null()).select(["key", "sig", "cuts"])
-    columns, rights, lefts, total = [], [], [], 0
-    for block in table.filter(table.column("block").is_valid()).column("block"):
-        *own, common, tails, left_common, left_tails, by_left = unpack(block.as_py())
-        n = len(common)
-        columns.append(own)
-        rights.append((common, tails, np.arange(n) + total))
-        lefts.append((left_common, left_tails, by_left.astype(np.int64) + total))
-        total += n
-    if not columns:
-        return passed
-    keys, sigs, places, least, most = (np.concatenate(x) for x in zip(*columns, strict=True))
+    columns, runs, total = [], [], 0
+    for *own, common, tails, left in blocks:
+        columns.append([*own, left])
+        runs.append((common, tails, np.arange(len(common)) + total))
+        total += len(common)
+    keys, sigs, places, least, most, left = (np.concatenate(x) for x in zip(*columns, strict=True))
+    least, most = least.astype(np.int64), most.astype(np.int64)
+    right, left = merged_sides(runs, SPAN), sorted_rows(left.reshape(-1, REACH))
     ranks = np.unique(keys, return_inverse=True)[1].ravel()
-
-    def later(groups: np.ndarray, members: np.ndarray) -> np.ndarray:
+    # Equal in suffix and in what stands before: every window of the larger ids is a repeat, and
+    # the least id speaks for all.
+    whole = [right.classes(SPAN), left.classes(REACH), least * (SPAN + 1) + most]
+    order = np.lexsort((ranks, *whole))
+    same = np.all([np.diff(x[order], prepend=-1) == 0 for x in whole], axis=0)
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(total)))
+    settled = np.zeros(total, bool)
+    settled[order] = ranks[order] > ranks[order][head]
+
+    def later(bounds: np.ndarray, members: np.ndarray) -> np.ndarray:
         """Members of a group in which a smaller id is."""
-        numbers = np.unique(groups, return_inverse=True)[1].ravel()
-        smallest = np.full(numbers.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, numbers, ranks[members])
-        return ranks[members] > smallest[numbers]
+        smallest = np.minimum.reduceat(ranks[members], bounds[:-1])
+        return ranks[members] > np.repeat(smallest, np.diff(bounds))
 
-    low, high = repeated_range(
-        merged_sides(rights, SPAN), merged_sides(lefts, REACH), least.astype(np.int64), most.astype(np.int64), SPAN, later
-    )
-    owners = owner_numbers(keys, sigs)
-    found = cut_table(*first_of(owners, keys, sigs), owners, places.astype(np.int64), low, high, SPAN)
-    return pa.concat_tables([passed, found])
+    low, high = repeated_range(right, left, least, most, np.flatnonzero(~settled), SPAN, later)
+    low[settled], high[settled] = least[settled], most[settled]
+    yield from cuts_told(keys, sigs, places.astype(np.int64), low, high, SPAN, texts)
 
 
 def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,24 +295,20 @@ def suffix_cuts(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     shared = recurring(rows, distinct_anchors, parts)
     # One exchange of the texts serves both joins: they meet their anchors, later their cuts.
     dealt = rows.repartition(parts, "key", "sig")
-    known = collected(shared.select("key", "sig", "hashes"), "hashes", parts)
+    merges = parts * MERGES_PER_PART
 
     def sorted_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _Runs(parts)
+        runs = _Runs(merges, parts)
         for chunk in chunks(batches):
             runs.add(chunk)
             if runs.size >= RUN_SUFFIXES:
                 yield from runs.emit()
         yield from runs.emit()
 
-    pieces = (
-        dealt.join(known.hint("shuffle_hash"), ["key", "sig"])
-        .mapInArrow(sorted_runs, RUNS)
-        .groupBy("part")
-        .applyInArrow(_merged, CUTS)
-    )
-    cuts = collected(pieces, "cuts", parts)
-    return dealt.join(cuts.hint("shuffle_hash"), ["key", "sig"], "left")
+    known = dealt_like(shared, "hashes", parts)
+    runs = dealt.join(known, ["key", "sig"]).mapInArrow(sorted_runs, BLOCKS)
+    cuts = answers(runs, lambda blocks: _merged(blocks, parts))
+    return dealt.join(dealt_like(cuts, "cuts", parts), ["key", "sig"], "left")
 
 
 def suffix_dedup(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:

@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+#: Arrays of so many numbers stay in a core's cache.
+CHUNK_BYTES = 1 << 18
 _U64 = np.uint64
 #: Whitespace of all word rules here: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -149,15 +150,30 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 def anchors(hashes: np.ndarray, offsets: np.ndarray, gram: int, span: int) -> np.ndarray:
     """Winnowing: starts of grams that are the least of some window of ``span`` items.
 
-    ``hashes[i]`` is that of the ``gram`` items from item i on. Every window of ``span`` items
-    inside one text holds an anchor, and equal windows hold the same ones: all grams that share
-    the least hash are taken.
+    ``hashes[i]`` depends on nothing but the ``gram`` items from item i on. Every window of
+    ``span`` items inside one text holds an anchor, and equal windows hold the same ones: all
+    grams that share the least hash are taken.
     """
     width, n = span - gram + 1, len(hashes)
     windows = n - width + 1
     if windows <= 0:
         return np.zeros(0, np.int64)
-    least = np.where(inside(offsets, span, windows), _sliding(hashes, width, np.minimum), _U64(0))
-    pad = np.zeros(width - 1, _U64)
-    most = _sliding(np.concatenate([pad, least, pad]), width, np.maximum)
-    return np.flatnonzero((most == hashes) & (hashes > 0))
+    hashes = np.maximum(hashes, 1)  # 0 stands for windows that leave their text
+    least = _sliding(hashes, width, np.minimum) * inside(offsets, span, windows)
+    pad = np.zeros(width - 1, hashes.dtype)
+    most = _sliding(np.concatenate([pad, least.astype(hashes.dtype), pad]), width, np.maximum)
+    return np.flatnonzero(most == hashes)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a number; the last seven positions have none."""
+    data = np.ascontiguousarray(data)
+    return np.ndarray(max(0, len(data) - 7), np.dtype("<u8"), data, strides=(1,)) if len(data) > 7 else np.zeros(0, _U64)
+
+
+def gram_hashes(data: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` bytes (8 or more) from each place on."""
+    numbers, total = eights(data), np.zeros(len(places), _U64)
+    for at in [*range(0, width - 8, 8), width - 8]:
+        total = _splitmix(total * _U64(_RADIX) + numbers[places + at])
+    return total
