@@ -69,6 +69,7 @@ RESULT_DEFAULT_PREFIX = "contract_"
 RESULT_SUFFIX = ".docx"
 LOGIN_ERROR_DEFAULT = "ชื่อผู้ใช้หรือรหัสผ่านไม่ถูกต้อง"
 QUOTATION_ERROR_DEFAULT = "ไม่พบข้อมูลใบเสนอราคา"
+UNKNOWN_CAUSE = "ไม่ทราบสาเหตุ"
 DISPLAY_NAME_DEFAULT = "ผู้ใช้งาน"
 
 # Words of the amount, instalment and date texts.

@@ -1,9 +1,12 @@
 """Column functions over JSON text.
 
-Reading one element of the text put in brackets makes Spark check the whole text: trailing
-characters, a second value or a cut-off document all give null instead of a partial result.
+The text is read as the first element of an array whose last element is an end mark. Trailing
+characters, a second value or a cut-off document leave an array of another length or without the
+mark. The mark is drawn anew for every expression, so no text can hold it and close the array.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,23 +20,43 @@ FALSY_JSON = r'^(?:null|false|""|\[\s*\]|\{\s*\}|-?0(?:\.0*)?(?:[eE][-+]?[0-9]+)
 JSON_SPACE = " \t\r\n"
 
 
-def _values(text: Column, ddl: str) -> Column:
-    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"ARRAY<{ddl}>", STRICT)
+class _Framed:
+    """One read of a JSON value between brackets, with an end mark of its own.
+
+    The mark is an element of the type that is read: for structs, a member that only it has.
+    """
+
+    def __init__(self, ddl: str):
+        self.mark = f"end_{uuid.uuid4().hex}"
+        self.in_struct = ddl.startswith("STRUCT<")
+        if self.in_struct:
+            ddl = f"{ddl[:-1]}, `{self.mark}`: BOOLEAN>"
+        elif ddl != "STRING":
+            raise ValueError(f"read as a STRUCT or as a STRING, not as {ddl}")
+        self.ddl = ddl
 
+    def values(self, text: Column) -> Column:
+        end = f'{{"{self.mark}": true}}' if self.in_struct else f'"{self.mark}"'
+        framed = F.concat(F.lit("["), text, F.lit(f",{end}]"))
+        return F.from_json(framed, f"ARRAY<{self.ddl}>", STRICT)
 
-def _only(values: Column) -> Column:
-    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+    def only(self, values: Column) -> Column:
+        last = F.get(values, F.lit(1))
+        ended = last.getField(self.mark) if self.in_struct else last == self.mark
+        return F.when((F.size(values) == 2) & ended, F.get(values, F.lit(0)))
 
 
 def read_json(text: Column, ddl: str) -> Column:
     """The single JSON value in ``text`` as the given type; null if it is not exactly one value."""
+    framed = _Framed(ddl)
     # The lambda names the parsed array, so that two uses of it still cost one parse.
-    return F.get(F.transform(F.array(_values(text, ddl)), _only), F.lit(0))
+    return F.get(F.transform(F.array(framed.values(text)), framed.only), F.lit(0))
 
 
 def with_json(df: DataFrame, name: str, text: str, ddl: str) -> DataFrame:
     """``read_json`` as a column of the frame, in two steps that compile better than a lambda."""
-    return df.withColumn(name, _values(F.col(text), ddl)).withColumn(name, _only(F.col(name)))
+    framed = _Framed(ddl)
+    return df.withColumn(name, framed.values(F.col(text))).withColumn(name, framed.only(F.col(name)))
 
 
 def is_json_string(value: Column) -> Column:

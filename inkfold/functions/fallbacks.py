@@ -7,6 +7,7 @@ from inkfold.constants import (
     DISPLAY_NAME_DEFAULT,
     LOGIN_ERROR_DEFAULT,
     QUOTATION_ERROR_DEFAULT,
+    UNKNOWN_CAUSE,
 )
 from inkfold.functions.documents import (
     JSON_SPACE,
@@ -56,6 +57,16 @@ def quotation_error(body: Column) -> Column:
     return first_truthy(body, ["detail", "error"], QUOTATION_ERROR_DEFAULT)
 
 
+def client_error(body: Column) -> Column:
+    """What the client shows of a refused login: ``error`` alone, then the default."""
+    return first_truthy(body, ["error"], LOGIN_ERROR_DEFAULT)
+
+
+def logged_error(body: Column) -> Column:
+    """What the log shows of a refused login: the default only where ``error`` is absent."""
+    return F.when(_is_object(body), key_or_default(body, "error", UNKNOWN_CAUSE)).otherwise(F.lit(""))
+
+
 def upstream_detail(body: Column) -> Column:
     return key_or_default(body, "detail", LOGIN_ERROR_DEFAULT)
 

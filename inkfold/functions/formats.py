@@ -11,8 +11,11 @@ from inkfold.constants import (
     PAY_WORD,
     THAI_MONTHS,
 )
+from inkfold.functions.text import is_blank
 
 LIST_SEPARATOR = ", "
+# Commas between digit groups, the currency word at the end, and spaces around them.
+AMOUNT_DRESS = rf"(?<=\d),(?=\d{{3}}(?:\D|$))|\s*{CURRENCY_WORD}\s*$|^\s+|\s+$"
 
 
 def log_timestamp(ts: Column) -> Column:
@@ -20,26 +23,40 @@ def log_timestamp(ts: Column) -> Column:
     return F.substring(ts.cast("string"), 1, 19)
 
 
+def _as_it_is(value: Column) -> Column:
+    """The text of a value that is there but cannot be read: never to be taken for a missing one."""
+    text = value.cast("string")
+    return F.when(~is_blank(text), text)
+
+
 def thai_date(value: Column) -> Column:
-    """Day, Thai month name and Buddhist-era year of a date or ISO date text."""
+    """Day, Thai month name and Buddhist-era year of a date or ISO date text, else the text."""
     date = value.try_cast("date")
     months = F.expr(f"array({', '.join(repr(month) for month in THAI_MONTHS)})")
-    return F.concat(
+    shown = F.concat(
         F.dayofmonth(date).cast("string"),
         F.lit(" "),
         F.element_at(months, F.month(date)),
         F.lit(" "),
         (F.year(date) + BUDDHIST_ERA_OFFSET).cast("string"),
     )
+    return F.coalesce(shown, _as_it_is(value))
+
+
+def _grouped(value: Column) -> Column:
+    """The amount without its grouping commas and currency word, shown again; null if unreadable."""
+    plain = F.regexp_replace(value.cast("string"), AMOUNT_DRESS, "")
+    return F.format_number(plain.try_cast("decimal(38,2)"), 2)
 
 
 def grouped_amount(value: Column) -> Column:
-    """Digits grouped by thousands with two decimals, rounded half up on the decimal value."""
-    return F.format_number(value.try_cast("decimal(18,2)"), 2)
+    """Digits grouped by thousands with two decimals, rounded half up; other text as it is."""
+    return F.coalesce(_grouped(value), _as_it_is(value))
 
 
 def baht_amount(value: Column) -> Column:
-    return F.concat(grouped_amount(value), F.lit(f" {CURRENCY_WORD}"))
+    """A grouped amount with the currency word; text that is no amount as it is."""
+    return F.coalesce(F.concat(_grouped(value), F.lit(f" {CURRENCY_WORD}")), _as_it_is(value))
 
 
 def payment_terms(terms: Column) -> Column:

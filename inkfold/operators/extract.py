@@ -115,19 +115,44 @@ def batch_extract(
     extractor: Callable[[pd.Series], Iterable[str | None]],
     partitions: int | None = None,
 ) -> DataFrame:
-    """``(quotation_id, reply)`` from a caller's function over batches of document texts.
+    """``(quotation_id, reply, error)`` from a caller's function over batches of document texts.
 
     The function gets the documents of one Arrow batch and gives one JSON text per document,
     None for a document it could not read. Batches stream, so a task holds one at a time;
     ``partitions`` spreads slow extractors over more tasks than the input files give.
+
+    A batch that fails, or comes back with another number of replies, is tried again document by
+    document: the one that fails has no reply but the text of its ``error``. If every document of
+    a task fails, the extractor is at fault and the task fails with the last error.
     """
     source = documents.select("quotation_id", "doc")
     if partitions:
         source = source.repartition(partitions)
 
+    def replies_of(docs: pd.Series) -> list[str | None]:
+        replies = list(extractor(docs))
+        if len(replies) != len(docs):
+            raise ValueError(f"{len(replies)} replies to {len(docs)} documents")
+        return replies
+
     def run(batches):
+        seen, failed, last = 0, 0, None
         for batch in batches:
-            replies = list(extractor(batch["doc"]))
-            yield pd.DataFrame({"quotation_id": batch["quotation_id"], "reply": replies})
-
-    return source.mapInPandas(run, "quotation_id STRING, reply STRING")
+            seen += len(batch)
+            errors = [None] * len(batch)
+            try:
+                replies = replies_of(batch["doc"])
+            except Exception:
+                replies = [None] * len(batch)
+                for i in range(len(batch)):
+                    try:
+                        replies[i] = replies_of(batch["doc"].iloc[i : i + 1])[0]
+                    except Exception as error:
+                        errors[i], last, failed = f"{type(error).__name__}: {error}", error, failed + 1
+            yield pd.DataFrame(
+                {"quotation_id": batch["quotation_id"], "reply": replies, "error": errors}, dtype="object"
+            )
+        if seen and failed == seen:
+            raise last
+
+    return source.mapInPandas(run, "quotation_id STRING, reply STRING, error STRING")

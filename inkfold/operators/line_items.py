@@ -13,14 +13,16 @@ def line_items_nest(
     limit: int = GROUP_ROWS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """``(keys, chunk_seq, table_data)``; documents of up to ``limit`` items have one chunk.
+    """``(keys, chunk_seq, table_data)``: the array is cut after every ``limit`` items.
 
+    The layout is part of the result, and the same for every document: one of n items has
+    ``ceil(n / limit)`` rows, each a value of bounded size.
     ``counted`` may name a frame with no fewer rows per document that is cheaper to count.
     """
     item = F.struct(F.col("specification"), F.col("total_amount"))
     ties = [*order, "specification", "total_amount"]
     lists = ordered_lists(items, keys, ties, item, name="table_data", limit=limit, counted=counted)
-    return lists.drop("before", "total")
+    return lists.drop("chunks", "before", "total")
 
 
 def line_items_explode(documents: DataFrame) -> DataFrame:

@@ -67,8 +67,8 @@ def spread_positions(
 ) -> DataFrame:
     """Adds ``_position`` (from 1, in ``order`` within ``keys``) without one task per group.
 
-    ``_before`` is the sum of ``measure`` over the earlier rows of the group and ``_total`` that
-    over all of them. Rows equal in all ``order`` columns are parted by a number written with them, so copies spread as well.
+    ``_before`` is the sum of ``measure`` over the earlier rows of the group, ``_total`` that over
+    all of them, and ``_group_rows`` their number. Rows equal in all ``order`` columns are parted by a number written with them, so copies spread as well.
     """
     measured = df.withColumns(
         {
@@ -102,6 +102,7 @@ def spread_positions(
         F.coalesce(F.sum("_rows").over(earlier_slices), F.lit(0)).alias("_rows_before"),
         F.coalesce(F.sum("_sum").over(earlier_slices), F.lit(0)).alias("_sum_before"),
         F.sum("_sum").over(Window.partitionBy(*keys)).alias("_total"),
+        F.sum("_rows").over(Window.partitionBy(*keys)).alias("_group_rows"),
     )
     running = F.sum("_measure").over(in_slice.rowsBetween(Window.unboundedPreceding, -1))
     return (
@@ -135,7 +136,7 @@ def dense_position(
     if heavy is None:
         return ranked
     spread = spread_positions(heavy, keys, order).withColumnRenamed("_position", name)
-    return ranked.unionByName(spread.drop("_before", "_total"))
+    return ranked.unionByName(spread.drop("_before", "_total", "_group_rows"))
 
 
 def ordered_lists(
@@ -148,10 +149,10 @@ def ordered_lists(
     limit=GROUP_ROWS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Collect ``value`` per group in ``order`` as ``(keys, chunk_seq, before, total, <name>)``.
+    """Collect ``value`` per group in ``order``: ``(keys, chunk_seq, chunks, before, total, <name>)``.
 
-    A group of up to ``limit`` rows is one row with chunk 0. A larger group becomes several
-    rows of at most ``limit`` values; its lists joined by ``chunk_seq`` are the whole group.
+    A group is cut after every ``limit`` values, and each part is one row: a group of n rows has
+    ``chunks = ceil(n / limit)`` of them, whose lists joined by ``chunk_seq`` are the group.
     ``before`` sums ``measure`` over the earlier chunks, ``total`` over the group.
     """
     zero = F.lit(0).cast("bigint")
@@ -161,7 +162,7 @@ def ordered_lists(
     lists = (
         small.groupBy(*keys)
         .agg(_collected([*sort_keys, value.alias("v")]).alias(name), F.sum(measure).alias("total"))
-        .withColumns({"chunk_seq": zero, "before": zero})
+        .withColumns({"chunk_seq": zero, "chunks": F.lit(1).cast("bigint"), "before": zero})
     )
     if heavy is None:
         return lists
@@ -171,6 +172,7 @@ def ordered_lists(
         spread.withColumn("chunk_seq", chunk)
         .groupBy(*keys, "chunk_seq")
         .agg(
+            F.first(F.ceil(F.col("_group_rows") / limit).cast("bigint")).alias("chunks"),
             F.min("_before").alias("before"),
             F.first("_total").alias("total"),
             _collected([F.col("_position"), value.alias("v")]).alias(name),

@@ -105,8 +105,9 @@ def outcome_class(
 
     ``failure`` is ``connection``, any other text for another exception, or null. A login does
     not need a token; fetching needs the header only; generating needs a valid token, and any
-    failure in it is a processing error.
+    failure in it is a processing error. A header or token nobody reported is not there.
     """
+    has_bearer, token_valid = (F.coalesce(x, F.lit(False)) for x in (has_bearer, token_valid))
     code = F.when((operation == "quotation") & ~has_bearer, 401).when(
         (operation == "generate") & ~(has_bearer & token_valid), 401
     )

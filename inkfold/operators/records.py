@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.constants import CONTRACT_FIELDS, SENTINEL
-from inkfold.functions.documents import variant_text, with_json
+from inkfold.functions.documents import read_json, variant_text, with_json
 from inkfold.functions.text import wrap_value
 
 
@@ -71,9 +71,13 @@ def mark_record(record: Column, fields: Sequence[str] = CONTRACT_FIELDS) -> Colu
 
 
 def schema_conformance(replies: DataFrame, fields: Sequence[str] = CONTRACT_FIELDS) -> DataFrame:
-    """Adds ``missing`` and ``extra``: declared keys a reply lacks, and keys nobody declared."""
+    """Adds ``missing`` and ``extra``: declared keys a reply lacks, and keys nobody declared.
+
+    Both are null for a reply that is not one JSON object as a whole.
+    """
     declared = F.array(*[F.lit(field) for field in fields])
-    keys = F.json_object_keys(F.col("reply"))
+    whole = read_json(F.col("reply"), "STRUCT<`_`: STRING>").isNotNull()
+    keys = F.when(whole, F.json_object_keys(F.col("reply")))
     return replies.withColumns(
         {"missing": F.array_except(declared, keys), "extra": F.array_except(keys, declared)}
     )
@@ -87,6 +91,7 @@ def contract_key_values(records: DataFrame, keys: Sequence[str]) -> DataFrame:
             for field in CONTRACT_FIELDS
         ]
     )
-    return records.select(*keys, F.inline(entries)).withColumn(
+    held = F.when(F.col("record").isNotNull(), entries)  # no rows for a rejected line
+    return records.select(*keys, F.inline(held)).withColumn(
         "is_not_found", F.col("value").eqNullSafe(F.lit(SENTINEL))
     )

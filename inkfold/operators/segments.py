@@ -18,11 +18,12 @@ from inkfold.sources.parts import reading_order
 def run_text_concat(
     pieces: DataFrame, keys: list[str], order: str = "piece_seq", limit: int = GROUP_ROWS
 ) -> DataFrame:
-    """``(keys, chunk_seq, markers_before, markers, text)`` from the text pieces of each run.
+    """``(keys, chunk_seq, chunks, markers_before, markers, text)`` from the pieces of each run.
 
-    Null and empty pieces add nothing. A run of up to ``limit`` pieces is one row. A longer one
-    is several rows, whose texts joined by ``chunk_seq`` are the run. The markers in the earlier
-    rows and in the whole run are all that segmenting one row needs to know of the others.
+    Null and empty pieces add nothing. A run is cut after every ``limit`` pieces, and its rows'
+    texts joined by ``chunk_seq`` are the run. The markers in the earlier rows and in the whole
+    run tell where the pieces of a row stand; segments across a cut are put together again by
+    ``segment_runs``, so that ``limit`` never shows in segments.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lists = ordered_lists(
@@ -31,6 +32,7 @@ def run_text_concat(
     return lists.select(
         *keys,
         "chunk_seq",
+        "chunks",
         F.col("before").alias("markers_before"),
         F.col("total").alias("markers"),
         F.array_join("_pieces", "").alias("text"),
@@ -51,9 +53,9 @@ def split_segments(runs: DataFrame) -> DataFrame:
     """Every piece of every run with ``seg_seq`` and ``is_filled``, empty pieces included.
 
     Runs without a marker come back whole, as one unfilled piece. The other columns stay. Where
-    the columns ``markers_before`` and ``markers`` are given, a row may be a part of its run.
+    ``run_text_concat`` cut a run into several rows, the pieces at the cuts are joined.
     """
-    inner = ("text", "markers_before", "markers")
+    inner = ("text", "markers_before", "markers", "chunk_seq", "chunks")
     kept = [F.col(f"`{name}`") for name in runs.columns if name not in inner]
     marked = has_marker(F.col("text"))
     if "markers" in runs.columns:
@@ -61,13 +63,38 @@ def split_segments(runs: DataFrame) -> DataFrame:
     else:
         start, is_split = F.lit(0), marked
     pieces = F.when(marked, split_marker(F.col("text"))).otherwise(F.array("text"))
+    parts = [F.col("chunk_seq"), F.col("chunks")] if "chunks" in runs.columns else []
     exploded = runs.select(
-        *kept, start.alias("_start"), is_split.alias("is_split"), F.posexplode(pieces).alias("_at", "text")
+        *kept,
+        *parts,
+        start.alias("_start"),
+        is_split.alias("is_split"),
+        F.size(pieces).alias("_size"),
+        F.posexplode(pieces).alias("_at", "text"),
     )
     seg_seq = (F.col("_start") + F.col("_at")).cast("int")
-    return exploded.withColumns({"seg_seq": seg_seq, "is_filled": filled_flag(seg_seq)}).drop(
-        "_start", "_at"
-    )
+    placed = exploded.withColumns({"seg_seq": seg_seq, "is_filled": filled_flag(seg_seq)})
+    if parts:
+        placed = _joined_at_cuts(placed)
+    return placed.drop("_start", "_at", "_size", "chunk_seq", "chunks")
+
+
+def _joined_at_cuts(pieces: DataFrame) -> DataFrame:
+    """The first and last pieces of neighbouring parts of a run become one segment again.
+
+    Only these are grouped; what a group collects is the text of one segment, which is one value
+    of the result in any case. Runs of one part fall out of this branch when it is planned.
+    """
+    first = (F.col("_at") == 0) & (F.col("chunk_seq") > 0)
+    last = (F.col("_at") == F.col("_size") - 1) & (F.col("chunk_seq") < F.col("chunks") - 1)
+    at_cut = (F.col("chunks") > 1) & (first | last)
+    names = [n for n in pieces.columns if n not in ("text", "chunk_seq", "chunks", "_start", "_at", "_size")]
+    keys = [F.col(f"`{name}`") for name in names]
+    in_order = F.sort_array(F.collect_list(F.struct("chunk_seq", "text")))
+    whole = F.array_join(F.transform(in_order, lambda p: p.getField("text")), "")
+    joined = pieces.where(at_cut).groupBy(*keys).agg(whole.alias("text"))
+    columns = [*keys, F.col("text")]
+    return pieces.where(~at_cut).select(*columns).unionByName(joined.select(*columns))
 
 
 def segment_style(segments: DataFrame) -> DataFrame:
@@ -90,7 +117,10 @@ def segment_style(segments: DataFrame) -> DataFrame:
 
 
 def segment_runs(runs: DataFrame) -> DataFrame:
-    """Runs to styled segments: split, place, drop empty pieces, style. No shuffle."""
+    """Runs to styled segments: split, place, drop empty pieces, style.
+
+    No shuffle, but of the pieces at the cuts of runs that ``run_text_concat`` laid out in parts.
+    """
     styled = segment_style(nonempty_segments(split_segments(runs)))
     return styled.withColumn("preserve_space", preserve_space(F.col("text"))).drop("is_split")
 
@@ -99,7 +129,4 @@ def segment_order(
     segments: DataFrame, keys: list[str], limit: int = GROUP_ROWS
 ) -> DataFrame:
     """Adds ``position``: the place of a segment in its document, from 1 without gaps."""
-    order = [*reading_order(), F.col("seg_seq")]
-    if "chunk_seq" in segments.columns:
-        order.append(F.col("chunk_seq"))
-    return dense_position(segments, keys, order, limit=limit)
+    return dense_position(segments, keys, [*reading_order(), F.col("seg_seq")], limit=limit)

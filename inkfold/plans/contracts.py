@@ -26,11 +26,13 @@ FAILED = 500
 def extract_records(payloads: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``(payload, quotation_id, accepted, record)``; the record of a rejected line is null."""
     parsed = F.col("_parsed")
+    accepted = payload_accepted(parsed)
+    record = rule_extract(parsed.getField("result_quotation"), rules)
     return read_payloads(payloads.select("payload"), document_type(rules)).select(
         "payload",
         payload_id(parsed).alias("quotation_id"),
-        payload_accepted(parsed).alias("accepted"),
-        rule_extract(parsed.getField("result_quotation"), rules).alias("record"),
+        accepted.alias("accepted"),
+        F.when(accepted, record).alias("record"),
     )
 
 

@@ -13,13 +13,19 @@ from inkfold.sources.quotations import scan_payloads
 from inkfold.sources.templates import Run
 
 
-def _write(frame: DataFrame, sink: str, checkpoint: str, partition: str | None) -> StreamingQuery:
+#: Process what has landed, then stop. ``{"processingTime": "1 minute"}`` runs on.
+ONCE = {"availableNow": True}
+
+
+def _write(
+    frame: DataFrame, sink: str, checkpoint: str, partition: str | None, trigger: dict
+) -> StreamingQuery:
     writer = (
         frame.writeStream.format("parquet")
         .outputMode("append")
         .option("path", sink)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
     )
     return (writer.partitionBy(partition) if partition else writer).start()
 
@@ -31,13 +37,14 @@ def generate_contracts_stream(
     checkpoint: str,
     rules: Sequence[Rule],
     template: Sequence[Run],
+    trigger: dict = ONCE,
 ) -> StreamingQuery:
     """Results of landed payloads. Turned-down lines go to the ``accepted=false`` partition.
 
     A repeated id is generated again, as the request service does.
     """
     payloads = scan_payloads(spark, source, stream=True)
-    return _write(contract_results(payloads, rules, template), sink, checkpoint, "accepted")
+    return _write(contract_results(payloads, rules, template), sink, checkpoint, "accepted", trigger)
 
 
 def contract_segments_stream(
@@ -47,14 +54,15 @@ def contract_segments_stream(
     checkpoint: str,
     rules: Sequence[Rule],
     template: Sequence[Run],
+    trigger: dict = ONCE,
 ) -> StreamingQuery:
     """Styled segments of landed payloads."""
     payloads = scan_payloads(spark, source, stream=True)
-    return _write(generate_contracts(payloads, rules, template), sink, checkpoint, "part")
+    return _write(generate_contracts(payloads, rules, template), sink, checkpoint, "part", trigger)
 
 
 def log_parse_stream(
-    spark: SparkSession, source: str, sink: str, checkpoint: str
+    spark: SparkSession, source: str, sink: str, checkpoint: str, trigger: dict = ONCE
 ) -> StreamingQuery:
     """Parsed lines of landed request logs, unparsed lines among them."""
-    return _write(log_parse(scan_logs(spark, source, stream=True)), sink, checkpoint, None)
+    return _write(log_parse(scan_logs(spark, source, stream=True)), sink, checkpoint, None, trigger)

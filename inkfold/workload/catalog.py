@@ -24,6 +24,8 @@ from inkfold.workload import tables as t
 from inkfold.workload.tables import RULES, TEMPLATE, table
 
 LISTED_FIELDS = [rule.field for rule in RULES]
+# The layouts that the queries ask for; the SQL states them on its own.
+ITEMS_PER_ROW, PIECES_PER_ROW = 500, 800
 RUN_KEYS = ["doc_id", "part", "section", "run_seq"]
 
 
@@ -217,7 +219,9 @@ def _nested_items(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_name").alias("specification"),
         formats.grouped_amount(F.col("l_extendedprice")).alias("total_amount"),
     )
-    return line_items.line_items_nest(items, ["l_orderkey"], ["l_linenumber"], counted=lines)
+    return line_items.line_items_nest(
+        items, ["l_orderkey"], ["l_linenumber"], limit=ITEMS_PER_ROW, counted=lines
+    )
 
 
 def line_items_nest(spark: SparkSession, d: str) -> DataFrame:
@@ -402,7 +406,7 @@ def template_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_text_concat(spark: SparkSession, d: str) -> DataFrame:
-    return segments.run_text_concat(t.conversation_pieces(spark, d), RUN_KEYS)
+    return segments.run_text_concat(t.conversation_pieces(spark, d), RUN_KEYS, limit=PIECES_PER_ROW)
 
 
 def _conversation_segments(spark: SparkSession, d: str) -> DataFrame:

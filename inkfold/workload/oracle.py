@@ -9,7 +9,6 @@ from inkfold.constants import (
     THAI_MONTHS,
     WHITESPACE,
 )
-from inkfold.operators.ordered import GROUP_ROWS
 from inkfold.sources.templates import PLACEHOLDER
 from inkfold.workload.tables import RULES, TEMPLATE, TERM_DAYS, TERM_NOTES
 
@@ -63,9 +62,10 @@ modules AS (
   FROM brand GROUP BY l_orderkey)"""
 
 DAY = "CAST(o_orderdate AS DATE)"
+WRITTEN_DAY = f"CASE WHEN o_orderstatus = 'P' THEN strftime({DAY}, '%d/%m/%Y') ELSE {thai(DAY)} END"
 FIELD_SQL = {
     "Contract_id": ID,
-    "Contract_date": thai(DAY),
+    "Contract_date": WRITTEN_DAY,
     "Customer_company_name": "c_name",
     "Standard_module_name": "c_mktsegment",
     "Contract_start_date": thai(DAY),
@@ -78,7 +78,7 @@ FIELD_SQL = {
     "Implement_price": baht("o_totalprice"),
     "Implement_payment_terms": TERMS,
     "Quotation_id": ID,
-    "Quotation_date": thai(DAY),
+    "Quotation_date": WRITTEN_DAY,
     "Customer_company_signature_name": "c_name",
 }
 RECORD_COLUMNS = ", ".join(f'{FIELD_SQL.get(f, S)} AS "{f}"' for f in CONTRACT_FIELDS)
@@ -227,9 +227,10 @@ FROM requests r LEFT JOIN landed l ON r.quotation_id = l.quotation_id""",
 SELECT request_seq, quotation_id FROM requests r
 WHERE NOT EXISTS (SELECT 1 FROM landed l WHERE l.quotation_id = r.quotation_id)""",
     "payload_gate": f"""SELECT o_orderkey,
-  CASE o_orderpriority WHEN '2-HIGH' THEN {ID} WHEN '4-NOT SPECIFIED' THEN {ID}
-    WHEN '5-LOW' THEN '' END AS quotation_id,
-  o_orderpriority = '4-NOT SPECIFIED' AS accepted FROM {ORDERS}""",
+  CASE WHEN o_orderpriority = '2-HIGH' THEN {ID} WHEN o_orderpriority = '5-LOW' THEN ''
+    WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus NOT IN ('P', 'F') THEN {ID}
+    END AS quotation_id,
+  o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus NOT IN ('P', 'F') AS accepted FROM {ORDERS}""",
     "template_scan": f"""WITH split_pages AS (
   SELECT page_id, string_split(html, chr(10)) AS lines FROM pages),
 placed AS (SELECT page_id, lines, unnest(range(len(lines))) AS pos FROM split_pages),
@@ -259,10 +260,10 @@ SELECT {", ".join(f'"{f}"' for f in CONTRACT_FIELDS)} FROM record""",
   CASE WHEN o_orderpriority = '2-HIGH' THEN CAST(o_custkey AS VARCHAR) END AS "marked_Standard_users_count"
 FROM {ORDERS}""",
     "schema_conformance": f"""WITH reply AS (
-  SELECT o_orderkey, {REPLY_KEYS} AS keys, {whole(CONTRACT_FIELDS)} AS declared FROM {ORDERS})
+  SELECT o_orderkey, o_orderpriority, {REPLY_KEYS} AS keys, {whole(CONTRACT_FIELDS)} AS declared FROM {ORDERS})
 SELECT o_orderkey,
-  array_to_string(list_filter(declared, lambda x: NOT list_contains(keys, x)), '|') AS missing,
-  array_to_string(list_filter(keys, lambda x: NOT list_contains(declared, x)), '|') AS extra
+  {of_reply("array_to_string(list_filter(declared, lambda x: NOT list_contains(keys, x)), '|')")} AS missing,
+  {of_reply("array_to_string(list_filter(keys, lambda x: NOT list_contains(declared, x)), '|')")} AS extra
 FROM reply""",
     "not_found_fill": f"""WITH {MODULES}
 SELECT o_orderkey, COALESCE(details, {S}) AS details
@@ -282,11 +283,11 @@ SELECT doc_id, {", ".join(f'"{rule.field}"' for rule in RULES)} FROM record""",
     "batch_extract": f"""SELECT {ID} AS quotation_id, {ID} AS "Contract_id",
   c_name AS "Customer_company_name", {S} AS "Customer_tax_id" FROM {ORDERS}""",
     "line_items_nest": f"""WITH {ITEM_POSITIONS}
-SELECT l_orderkey, pos // {GROUP_ROWS} AS chunk_seq, CAST(COUNT(*) AS INTEGER) AS n_items,
+SELECT l_orderkey, pos // 500 AS chunk_seq, CAST(COUNT(*) AS INTEGER) AS n_items,
   string_agg(specification || '=' || total_amount, '|' ORDER BY pos) AS items
 FROM numbered GROUP BY 1, 2""",
     "line_items_explode": f"""WITH {ITEM_POSITIONS}
-SELECT l_orderkey, pos // {GROUP_ROWS} AS chunk_seq, CAST(pos % {GROUP_ROWS} AS INTEGER) AS item_seq,
+SELECT l_orderkey, pos // 500 AS chunk_seq, CAST(pos % 500 AS INTEGER) AS item_seq,
   specification, total_amount FROM numbered""",
     "wrap_value": f"""SELECT doc_id, {mark("text")} AS marked FROM documents""",
     "wrap_nested": f"""SELECT o_orderkey, {mark("c_name")} AS name,
@@ -352,12 +353,12 @@ UNION ALL SELECT 'data', o_orderkey, 'footer', 0, 0, 'Office of ' || n_name
 FROM {ORDERS} JOIN nation ON c_nationkey = n_nationkey""",
     "run_text_concat": f"""WITH {PIECES},
 numbered AS (
-  SELECT *, (row_number() OVER (PARTITION BY {RUN_KEYS} ORDER BY piece_seq, text) - 1) // {GROUP_ROWS}
+  SELECT *, (row_number() OVER (PARTITION BY {RUN_KEYS} ORDER BY piece_seq, text) - 1) // 800
     AS chunk_seq, CAST(length(text) - length(replace(text, {M}, '')) AS BIGINT) AS n FROM pieces),
 chunks AS (
   SELECT {RUN_KEYS}, chunk_seq, SUM(n) AS n, string_agg(text, '' ORDER BY piece_seq, text) AS text
   FROM numbered GROUP BY ALL)
-SELECT {RUN_KEYS}, chunk_seq, CAST(COALESCE(SUM(n) OVER (PARTITION BY {RUN_KEYS} ORDER BY chunk_seq
+SELECT {RUN_KEYS}, chunk_seq, COUNT(*) OVER (PARTITION BY {RUN_KEYS}) AS chunks, CAST(COALESCE(SUM(n) OVER (PARTITION BY {RUN_KEYS} ORDER BY chunk_seq
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS markers_before,
   CAST(SUM(n) OVER (PARTITION BY {RUN_KEYS}) AS BIGINT) AS markers, text FROM chunks""",
     "segment_runs": f"WITH {CONVERSATION_SEGMENTS} SELECT * FROM segments",

@@ -69,6 +69,23 @@ def money(value: Column) -> Column:
     return value.cast("decimal(18,2)")
 
 
+def written_amount(value: Column) -> Column:
+    """An amount as people write it: plain, with grouping commas, or with the currency word."""
+    plain, priority = money(value).cast("string"), F.col("o_orderpriority")
+    grouped = F.format_number(money(value), 2)
+    return (
+        F.when(priority == "1-URGENT", grouped)
+        .when(priority == "2-HIGH", F.concat(plain, F.lit(" บาท")))
+        .when(priority == "5-LOW", F.concat(grouped, F.lit("บาท ")))
+        .otherwise(plain)
+    )
+
+
+def written_date(day: Column) -> Column:
+    """An ISO date; for pending orders one that cannot be told from month first."""
+    return F.when(F.col("o_orderstatus") == "P", F.date_format(day, "dd/MM/yyyy")).otherwise(day.cast("string"))
+
+
 def instalment(total: Column, percent: int) -> Column:
     return money(money(total) * F.lit(percent).cast("decimal(3,0)") * F.expr("0.01BD"))
 
@@ -129,7 +146,7 @@ def order_document() -> Column:
     day = F.col("o_orderdate").cast("date")
     return F.struct(
         order_id().alias("docno"),
-        day.cast("string").alias("date"),
+        written_date(day).alias("date"),
         F.struct(
             day.cast("string").alias("start"),
             F.date_add(day, TERM_DAYS).cast("string").alias("end"),
@@ -138,7 +155,7 @@ def order_document() -> Column:
             "customer"
         ),
         F.col("o_orderpriority").alias("priority"),
-        money(F.col("o_totalprice")).alias("total"),
+        written_amount(F.col("o_totalprice")).alias("total"),
         order_terms().alias("terms"),
         F.col("modules"),
     )
@@ -171,6 +188,8 @@ def mixed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(priority == "2-HIGH", array_document)
         .when(priority == "3-MEDIUM", F.concat(F.lit("{"), good))
         .when(priority == "5-LOW", empty_id)
+        .when(F.col("o_orderstatus") == "P", F.concat(good, F.lit("] trailing")))
+        .when(F.col("o_orderstatus") == "F", F.concat(good, F.lit("],[1")))
         .otherwise(good)
     )
     return orders_with_customer(spark, sf_dir).select("o_orderkey", payload.alias("payload"))
@@ -206,7 +225,12 @@ def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("o_orderstatus") == "F", F.col("c_mktsegment")).alias("Remark"),
         )
     )
-    reply = F.when(priority == "3-MEDIUM", F.concat(good, F.lit("}"))).otherwise(good)
+    reply = (
+        F.when((priority == "3-MEDIUM") & (F.col("o_orderstatus") == "O"), F.concat(good, F.lit("] x")))
+        .when((priority == "3-MEDIUM") & (F.col("o_orderstatus") == "F"), F.concat(good, F.lit("],[1")))
+        .when(priority == "3-MEDIUM", F.concat(good, F.lit("}")))
+        .otherwise(good)
+    )
     return orders_with_customer(spark, sf_dir).select(
         "o_orderkey", order_id().alias("quotation_id"), reply.alias("reply")
     )

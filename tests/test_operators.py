@@ -112,7 +112,7 @@ def test_rule_extract_never_guesses(spark):
     pick = [[row[f] for f in ("Contract_id", "License_fee", "Contract_date", "Customer_company_name", "Customer_address", "License_fee_year")] for row in got]
     assert pick == [
         ["N1", "1,000.00 บาท", "1 มกราคม 2567", "C", "y", SENTINEL],
-        ["7", SENTINEL, SENTINEL, SENTINEL, SENTINEL, SENTINEL],
+        ["7", "much", SENTINEL, SENTINEL, SENTINEL, SENTINEL],
         [SENTINEL] * 6,
     ]
 
@@ -135,9 +135,11 @@ def test_parse_extraction(spark):
 
 def test_schema_conformance(spark):
     full = json.dumps({f: "x" for f in CONTRACT_FIELDS})
-    frame = spark.createDataFrame([('{"a":1,"z":2}',), ('{"b":1,"a":2}',), (full,)], "reply STRING")
+    broken = ['{"a":1}}', '{"a":1} x', '{"a":1}] x']
+    frame = spark.createDataFrame([('{"a":1,"z":2}',), ('{"b":1,"a":2}',), (full,), *[(b,) for b in broken]], "reply STRING")
     got = records.schema_conformance(frame, ["a", "b"]).collect()
     assert [(r["missing"], r["extra"]) for r in got[:2]] == [(["b"], ["z"]), ([], [])]
+    assert [(r["missing"], r["extra"]) for r in got[3:]] == [(None, None)] * 3
     row = records.schema_conformance(frame).collect()[2]
     assert row["missing"] == [] and row["extra"] == []
 
@@ -154,6 +156,21 @@ def test_batch_extract_may_fail_a_document(spark):
         assert rows(got, "quotation_id", "parsed") == [("a", True), ("b", False), ("c", True)]
 
 
+def test_batch_extract_tries_a_failing_batch_again(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in zip("abc", ["1", "x", "3"])], "quotation_id STRING, doc STRING")
+
+    def read(batch):
+        return [json.dumps({"Contract_id": int(text)}) for text in batch]
+
+    got = extract.batch_extract(docs.coalesce(1), read).collect()
+    assert [(r["quotation_id"], r["reply"] is None) for r in got] == [("a", False), ("b", True), ("c", False)]
+    assert [r["error"] is None for r in got] == [True, False, True] and "ValueError" in got[1]["error"]
+    short = extract.batch_extract(docs.coalesce(1), lambda batch: ["{}"] if len(batch) == 1 else [])
+    assert [r["reply"] for r in short.collect()] == ["{}"] * 3
+    with pytest.raises(Exception, match="no luck"):
+        extract.batch_extract(docs, lambda batch: (_ for _ in ()).throw(ValueError("no luck"))).collect()
+
+
 SEGMENTS = {
     f"p {M}b{M} q{M}c{M}": [(0, "p ", False), (1, "b", True), (2, " q", False), (3, "c", True)],
     f"X{M}{M}Y": [(0, "X", False), (2, "Y", False)],
@@ -210,15 +227,25 @@ def test_long_runs_are_the_same_in_chunks(spark):
             assert p["markers_before"] == before and p["markers"] == whole[run]["markers"]
             before += p["text"].count(M)
 
-    def by_place(frame):
-        joined = {}
-        for r in sorted(frame.collect(), key=lambda r: (r["seg_seq"], r["chunk_seq"])):
-            key = (r["doc_id"], r["seg_seq"], r["is_filled"], r["underline"], r["color"])
-            joined[key] = joined.get(key, "") + r["text"]
-        return joined
-
+    columns = [*RUN, "seg_seq", "text", "is_filled", "underline", "color", "preserve_space"]
     expected = segments.segment_runs(segments.run_text_concat(pieces, RUN))
-    assert by_place(segments.segment_runs(chunked)) == by_place(expected)
+    places = segments.segment_order(expected, ["doc_id"])
+    for limit in (2, 7, 2000):
+        laid_out = segments.run_text_concat(pieces, RUN, limit=limit)
+        got = segments.segment_runs(laid_out)
+        assert rows(got, *columns) == rows(expected, *columns)
+        placed = segments.segment_order(got, ["doc_id"], limit=limit)
+        assert rows(placed, *columns, "position") == rows(places, *columns, "position")
+
+
+def test_a_segment_across_a_cut_is_one_segment(spark):
+    texts = [f"x {M}ab", "c", f" d{M} e", "f"]
+    pieces = [("d", "body", 0, 0, i, text) for i, text in enumerate(texts)]
+    frame = spark.createDataFrame(pieces, "doc_id STRING, part STRING, section INT, run_seq INT, piece_seq INT, text STRING")
+    for limit in (1, 2, 3, 2000):
+        found = segments.segment_runs(segments.run_text_concat(frame, RUN, limit=limit))
+        got = sorted((r["seg_seq"], r["text"], r["is_filled"], r["preserve_space"]) for r in found.collect())
+        assert got == [(0, "x ", False, True), (1, "abc d", True, False), (2, " ef", False, True)]
 
 
 def test_joined_segments_are_the_text_without_markers(spark):

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 from conftest import ROOT, TESTDATA
+from inkfold.workload.catalog import QUERIES
 
 spec = importlib.util.spec_from_file_location("spark_entry", os.path.join(ROOT, "__spark_entry__.py"))
 spark_entry = importlib.util.module_from_spec(spec)
@@ -21,10 +22,10 @@ def duck(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(QUERIES) <= set(spark_entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(spark_entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_gives_the_rows_of_its_sql(spark, duck, sf_dir, name):
     frame = spark_entry.queries()[name](spark, sf_dir)
     columns = sorted(frame.columns)

@@ -5,7 +5,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkfold.constants import SENTINEL
+from inkfold.constants import LOGIN_ERROR_DEFAULT, SENTINEL, UNKNOWN_CAUSE
 from inkfold.functions import documents, fallbacks, files, formats, nested
 
 M = "⁣"
@@ -67,29 +67,47 @@ def test_error_texts(evaluate):
     assert evaluate(fallbacks.upstream_detail, bodies) == ["d", "d", "", default, default, None, listed]
 
 
+def test_texts_that_close_the_frame_are_no_json(evaluate):
+    texts = ['{"success":true}] x', '{"success":true}],[1', '{"success":true},{"success":true}', '{"success":true}', "", None]
+    assert evaluate(fallbacks.success_flag, texts) == [None, None, None, True, None, None]
+
+
+def test_client_and_log_errors(evaluate):
+    bodies = ['{"error":"e","detail":"d"}', '{"error":""}', '{"detail":"d"}', "[1]"]
+    assert evaluate(fallbacks.client_error, bodies) == ["e", LOGIN_ERROR_DEFAULT, LOGIN_ERROR_DEFAULT, LOGIN_ERROR_DEFAULT]
+    assert evaluate(fallbacks.logged_error, bodies) == ["e", "", UNKNOWN_CAUSE, ""]
+
+
 def test_display_name(evaluate):
     users = ['{"name":"n","email":"e"}', '{"username":"u","name":"n"}', '{"userid":"x"}']
     assert evaluate(fallbacks.display_name, users) == ["n", "u", "ผู้ใช้งาน"]
 
 
 def test_dates_and_amounts(evaluate):
-    days = ["2024-01-01", "2024-02-29", "1999-12-31", "no date", None]
+    days = ["2024-01-01", "2024-02-29", "1999-12-31", "01/03/2026", " ", None]
     assert evaluate(formats.thai_date, days) == [
         "1 มกราคม 2567",
         "29 กุมภาพันธ์ 2567",
         "31 ธันวาคม 2542",
+        "01/03/2026",
         None,
         None,
     ]
     assert evaluate(formats.thai_date, [date(2024, 6, 5)], "DATE") == ["5 มิถุนายน 2567"]
-    amounts = ["90000", "1234567.005", "0.5", "1.2E7", "x"]
+    amounts = ["90000", "1234567.005", "0.5", "1.2E7", "much", "90,000.00", "90000 บาท", " 1,234.5บาท ", "12345678901234567890", "1,2"]
     assert evaluate(formats.baht_amount, amounts) == [
         "90,000.00 บาท",
         "1,234,567.01 บาท",
         "0.50 บาท",
         "12,000,000.00 บาท",
-        None,
+        "much",
+        "90,000.00 บาท",
+        "90,000.00 บาท",
+        "1,234.50 บาท",
+        "12,345,678,901,234,567,890.00 บาท",
+        "1,2",
     ]
+    assert evaluate(formats.grouped_amount, ["7", "", None]) == ["7.00", None, None]
 
 
 def test_log_timestamp_needs_no_zone(spark, evaluate):
@@ -112,9 +130,9 @@ def test_lists(evaluate):
         None,
     ]
     modules = "ARRAY<STRUCT<name: STRING, monthly: STRING>>"
-    lists = [[("HR", "10"), ("CRM", None)], [], None]
-    assert evaluate(formats.module_details, lists, modules) == ["HR 10.00 บาท, CRM", None, None]
-    assert evaluate(formats.module_count, lists, modules) == ["2", "0", None]
+    lists = [[("HR", "10"), ("CRM", None), ("BI", "free")], [], None]
+    assert evaluate(formats.module_details, lists, modules) == ["HR 10.00 บาท, CRM, BI free", None, None]
+    assert evaluate(formats.module_count, lists, modules) == ["3", "0", None]
 
 
 def test_wrap_nested(spark):
