@@ -87,7 +87,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, all columns as they are; see ``exact_dedup``."""
     digests = digested(docs.select("doc_id", "text"), "doc_id", "text")
-    rows = digested(docs, "doc_id", "text").drop("_norm")
-    verdict = verdicts(digests).select("_digest", "_salt", F.col("keep_id").alias("_keep"))
-    met = rows.join(verdict.hint("shuffle_hash"), ["_digest", "_salt"])
-    return met.where(F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*docs.columns)
+    # The row as one value: none of its columns can clash with those used here.
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    rows = digested(rows, "doc_id", "text").drop("_norm", "text")
+    verdict = verdicts(digests).hint("shuffle_hash")
+    met = rows.join(verdict, ["_digest", "_salt"])
+    return met.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("_row.*")

@@ -229,25 +229,22 @@ def redacted_text(text: str, spans: list[dict]) -> str:
 def redacted(docs: DataFrame) -> DataFrame:
     """All rows and columns, with the secrets in the texts replaced and ``n_chars`` adjusted."""
     spans = secret_scan(docs).where(F.size("span_list") > 0)
-    spans = spans.select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"), F.col("sig").alias("_sig"), F.col("span_list").alias("_spans")
-    ).dropDuplicates(["_key", "_sig"])  # rows equal in id and text have equal spans
-    rows = docs.withColumns({"_key": row_key(), "_sig": row_sig()})
-    met = rows.join(spans.hint("shuffle_hash"), ["_key", "_sig"], "left").select(*docs.columns, "_spans")
-
+    spans = spans.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "sig", "span_list")
+    spans = spans.dropDuplicates(["key", "sig"])  # rows equal in id and text have equal spans
+    rows = docs.select(F.struct("*").alias("row"), row_key().alias("key"), row_sig().alias("sig"))
+    met = rows.join(spans.hint("shuffle_hash"), ["key", "sig"], "left").select("row", "span_list")
     names = docs.columns
     place = names.index("text")
 
     def replaced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("_spans")
-            texts = batch.column("text")
+            columns, found = batch.column("row").flatten(), batch.column("span_list")
+            texts = columns[place]
             if found.null_count < len(found):
                 texts = pa.array(
                     [redacted_text(t.as_py() or "", s.as_py()) if s.is_valid else t.as_py() for t, s in zip(texts, found, strict=True)],
                     texts.type,
                 )
-            columns = batch.columns[: len(names)]
             columns[place] = texts
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
