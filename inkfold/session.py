@@ -1,5 +1,7 @@
 """Session settings and the shared folder that jobs may write intermediate tables to."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,20 @@ def build_session(app="inkfold", master=None, **settings) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session.
+
+    Workers find it without this where it is installed or on their path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_inkfold_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="inkfold-"), "inkfold")
+    context.addPyFile(shutil.make_archive(archive, "zip", root, "inkfold"))
+    context._inkfold_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: the session's checkpoint folder.
 
