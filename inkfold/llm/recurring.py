@@ -20,8 +20,8 @@ from inkfold.llm.words import Chunk, chunks, mix
 
 #: Bytes of text per part or partition.
 PART_BYTES = 24 << 20
-#: Parts of the hash space for each group of texts: hashes weigh more in memory than their text.
-HASH_PARTS = 3
+#: Bits of a hash that do when a false match costs a look, not an error: 48 of 64.
+SHORT = np.uint64(0xFFFFFFFFFFFF0000)
 #: Hashes packed at once by a task.
 BLOCK_HASHES = 1 << 20
 NO_ID = (1 << 63) - 1
@@ -63,7 +63,7 @@ def parts_for(rows: DataFrame, part_bytes: int = PART_BYTES) -> int:
 
 def pack(arrays: Iterable[np.ndarray]) -> bytes:
     """Arrays, byte plane by byte plane, compressed: high planes are mostly zeros."""
-    engine, packed = zstandard.ZstdCompressor(level=1), []
+    engine, packed = zstandard.ZstdCompressor(level=3), []
     for array in arrays:
         array = np.ascontiguousarray(array)
         planes = array.view(np.uint8).reshape(len(array), array.itemsize).T if len(array) else array
@@ -105,8 +105,8 @@ def runs_of(ordered: np.ndarray) -> np.ndarray:
 class _Blocks:
     """The hashes of a task's texts until there are enough for a block per part."""
 
-    def __init__(self, parts: int, with_counts: bool):
-        self.parts, self.texts, self.with_counts = parts * HASH_PARTS, parts, with_counts
+    def __init__(self, parts: int, texts: int, with_counts: bool):
+        self.parts, self.texts, self.with_counts = parts, texts, with_counts
         self.clear()
 
     def clear(self) -> None:
@@ -143,7 +143,8 @@ class _Blocks:
             local = np.full(len(real), _WITNESS)
             local[real] = index
             steps = np.diff(left[own], prepend=np.uint64(0))
-            block = pack([keys[used], sigs[used], steps, local])
+            # Differences, for ids that follow each other and hashes in order.
+            block = pack([np.diff(keys[used], prepend=0), sigs[used], steps, local])
             yield block_rows([int(part)], [None], [block])
 
     def _settled(self, keys, sigs, counts, hashes, owners) -> Iterator[pa.RecordBatch]:
@@ -236,7 +237,7 @@ def _met(parts: int):
         """The hashes of each text that occur again, in this block or another."""
         keys, sigs, hashes, owners, total = [], [], [], [], 0
         for key, sig, steps, owner in blocks:
-            keys.append(key)
+            keys.append(np.cumsum(key))
             sigs.append(sig)
             hashes.append(np.cumsum(steps, dtype=np.uint64))
             owners.append(np.where(owner == _WITNESS, np.int64(-1), owner.astype(np.int64) + total))
@@ -261,16 +262,18 @@ def recurring(
     hashes_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]],
     parts: int,
     with_counts: bool = False,
+    hash_parts: int = 1,
 ) -> DataFrame:
     """``(key, sig, n, copies, data)``: the hashes of each text that occur at least twice anywhere.
 
     ``rows`` is ``keyed``; ``hashes_of`` gives the hashes of a chunk's texts, text by text, and
-    how many each text has. With ``with_counts``, texts that share nothing have a row as well,
+    how many each text has; ``parts`` is the number of groups of texts, ``hash_parts`` how many
+    parts of the hash space there are for each. With ``with_counts``, texts that share nothing have a row as well,
     ``n`` is how many hashes a text has, and ``copies`` how many rows are equal in id and text.
     """
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _Blocks(parts, with_counts)
+        blocks = _Blocks(parts * hash_parts, parts, with_counts)
         for chunk in chunks(batches):
             blocks.add(chunk.rows, *hashes_of(chunk))
             if blocks.size >= BLOCK_HASHES:

@@ -25,6 +25,7 @@ from inkfold.llm.contexts import (
 from inkfold.llm.recurring import (
     BLOCKS,
     PART_BYTES,
+    SHORT,
     answers,
     block_rows,
     id_of,
@@ -57,7 +58,7 @@ def seeds_of(chunk: Chunk, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Places of anchors, by word, and their hashes."""
     hashes = window_hashes(word_hashes(chunk.data, words), GRAM)
     places = anchors(hashes, words.offsets, GRAM, SPAN)
-    return places, hashes[places]
+    return places, hashes[places] & SHORT
 
 
 def seed_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:

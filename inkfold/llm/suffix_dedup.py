@@ -26,6 +26,7 @@ from inkfold.llm.contexts import (
 from inkfold.llm.recurring import (
     BLOCKS,
     PART_BYTES,
+    SHORT,
     answers,
     block_rows,
     id_of,
@@ -55,7 +56,7 @@ def anchor_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     # Eight bytes decide which grams are anchors, the whole gram what they are joined on.
     choice = (eights(chunk.data)[:n] * np.uint64(CHOICE) >> np.uint64(32)).astype(np.uint32)
     places = anchors(choice, chunk.offsets, GRAM, SPAN)
-    return places, gram_hashes(chunk.data, places, GRAM)
+    return places, gram_hashes(chunk.data, places, GRAM) & SHORT
 
 
 def distinct_anchors(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
