@@ -4,33 +4,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.operators.ordered import heavy_keys
+from inkfold.session import written
 
-SALTS = 32
+#: A key with more rows than this is spread over one part for every so many of them.
 HOT_ROWS = 1_000_000
+#: So many keys are small enough to send to every executor.
+BROADCAST_KEYS = 10_000
 
 
-def salted_join(many: DataFrame, few: DataFrame, key: str, limit: int = HOT_ROWS) -> DataFrame:
-    """Inner join on ``key`` for a side in which some keys have more than ``limit`` rows.
+def hot_parts(rows: DataFrame, key: str, limit: int) -> DataFrame | None:
+    """``(key, parts)`` of the keys with more than ``limit`` rows; None if there are none.
 
-    The rows of such hot keys are spread over ``SALTS`` parts, and only the matching rows of the
-    other side are repeated, once per part. Without hot keys it is a plain join.
+    Counted once, combined before the shuffle, and written: there are at most as many as all rows
+    over ``limit``, and they are broadcast only if they are few.
     """
-    many = many.where(F.col(key).isNotNull())
-    hot, _ = heavy_keys(many, [key], limit)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    parts = F.ceil(F.col("_rows") / limit).cast("bigint").alias("_parts")
+    hot = written(counts.where(F.col("_rows") > limit).select(key, parts), "hot")
+    number = hot.count()
+    if not number:
+        return None
+    return F.broadcast(hot) if number <= BROADCAST_KEYS else hot
+
+
+def spread_hot(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """The rows of hot keys with ``_part``, dealt in turn: equal rows spread like others.
+
+    Their numbers are written with them, so that a task run again deals them out the same way.
+    """
+    numbered = rows.join(hot, key).withColumn("_row", F.monotonically_increasing_id())
+    numbered = written(numbered, "spread")
+    return numbered.withColumn("_part", F.pmod(F.col("_row"), F.col("_parts"))).drop("_row", "_parts")
+
+
+def salted_join(
+    many: DataFrame, few: DataFrame, key: str, limit: int = HOT_ROWS, how: str = "inner"
+) -> DataFrame:
+    """Inner or left join for a side in which some keys have more than ``limit`` rows.
+
+    The rows of such keys are spread over as many parts as they have limits of rows, and only the
+    matching rows of the other side are repeated, once per part. Without hot keys it is a plain join.
+    """
+    hot = hot_parts(many.select(key), key, limit)
     if hot is None:
-        return many.join(few, key)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    zero, last = F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")
-    # Taken from the row, so that a task run again puts it in the same part. Maps have no hash.
-    hashed = [F.col(f"`{name}`") for name, kind in many.dtypes if not kind.startswith("map")]
-    part = F.pmod(F.xxhash64(*hashed), F.lit(SALTS))
-    spread = many.join(hot, key, "left").withColumn(
-        "_part", F.when(F.col("_hot"), part).otherwise(zero)
-    )
-    parts = F.when(F.col("_hot"), F.sequence(zero, last)).otherwise(F.array(zero))
-    copies = few.join(hot, key, "left").withColumn("_part", F.explode(parts))
-    joined = spread.drop("_hot").join(copies.drop("_hot"), [key, "_part"])
-    return joined.drop("_part")
+        return many.join(few, key, how)
+    part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
+    copies = few.join(hot, key).withColumn("_part", part).drop("_parts")
+    of_hot = spread_hot(many, hot, key).join(copies, [key, "_part"], how).drop("_part")
+    return many.join(hot, key, "left_anti").join(few, key, how).unionByName(of_hot)
 
 
 def skewed_anti_join(many: DataFrame, ids: DataFrame, key: str, limit: int = HOT_ROWS) -> DataFrame:

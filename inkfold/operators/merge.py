@@ -69,6 +69,9 @@ def template_merge_data(
 ) -> DataFrame:
     """One row per document and run, the runs taken from a table by ``template_id``.
 
+    A document whose template is not in the table, or that names none, has one row without a run
+    and without text: it cannot be made, and must not go unseen.
+
     The template's literals and field names are laid side by side inside the row, so merging
     adds no grouping. Templates that pass the size check are broadcast; otherwise the join
     shuffles, with the documents of templates used more than ``limit`` times salted.
@@ -81,9 +84,9 @@ def template_merge_data(
     )
     filled = documents.withColumn("_values", values).drop("marked")
     if small:
-        joined = filled.join(F.broadcast(runs), "template_id")
+        joined = filled.join(F.broadcast(runs), "template_id", "left")
     else:
-        joined = salted_join(filled, runs, "template_id", limit)
+        joined = salted_join(filled, runs, "template_id", limit, "left")
     text = F.array_join(
         F.zip_with(
             "literals",

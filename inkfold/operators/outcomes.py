@@ -17,6 +17,8 @@ ACTION_LABELS = {
     "กำลังสร้างสัญญาจากใบเสนอราคา": "generate",
 }
 SYSTEM_ERROR_LABEL = "เกิดข้อผิดพลาดในระบบ: "
+REMOVED_LABEL = "ลบไฟล์ชั่วคราวเรียบร้อย: "
+NOT_REMOVED_LABEL = "เกิดข้อผิดพลาดในการลบไฟล์ชั่วคราว "
 USER_PREFIX = "userid="
 
 # Parts of a line are put between separators by one replacement and then split, so the pattern
@@ -57,6 +59,10 @@ def log_parse(lines: DataFrame) -> DataFrame:
 
     whole = F.size("_parts") == len(PART_NAMES)
     system = F.startswith(line, F.lit(SYSTEM_ERROR_LABEL))
+    # The removal of a generated file: done, or the file and what stood against it.
+    removed = F.startswith(line, F.lit(REMOVED_LABEL))
+    stuck = F.startswith(line, F.lit(NOT_REMOVED_LABEL))
+    left = F.split(F.substr(line, F.lit(len(NOT_REMOVED_LABEL) + 1)), ": ", 2)
     action = F.coalesce(
         _lookup(part("action_label"), ACTION_LABELS), F.when(part("user").isNotNull(), "login")
     )
@@ -66,20 +72,30 @@ def log_parse(lines: DataFrame) -> DataFrame:
     outcome = F.when(opening, "started").otherwise(_lookup(part("label"), OUTCOME_LABELS))
 
     def of_known(value: Column) -> Column:
-        return F.when(~system & known, value)
+        return F.when(~(system | removed | stuck) & known, value)
 
     return lined.select(
         *[F.col(f"`{name}`") for name in lines.columns],
         of_known(part("label")).alias("tag"),
-        F.when(system, "error").when(known, outcome).alias("outcome"),
+        F.when(system | stuck, "error")
+        .when(removed, "succeeded")
+        .when(known, outcome)
+        .alias("outcome"),
         of_known(part("time")).try_cast("timestamp_ntz").alias("ts"),
-        F.when(system, "generate").when(known, action).alias("action"),
-        of_known(part("subject")).alias("subject"),
+        F.when(removed | stuck, "cleanup")
+        .when(system, "generate")
+        .when(known, action)
+        .alias("action"),
+        F.when(removed, F.substr(line, F.lit(len(REMOVED_LABEL) + 1)))
+        .when(stuck, F.get(left, F.lit(0)))
+        .otherwise(of_known(part("subject")))
+        .alias("subject"),
         of_known(part("http")).try_cast("int").alias("http_status"),
         F.when(system, F.substr(line, F.lit(len(SYSTEM_ERROR_LABEL) + 1)))
+        .when(stuck, F.get(left, F.lit(1)))
         .when(known, part("error"))
         .alias("error"),
-        F.coalesce(system | known, F.lit(False)).alias("parsed"),
+        F.coalesce(system | removed | stuck | known, F.lit(False)).alias("parsed"),
     )
 
 

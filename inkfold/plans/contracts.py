@@ -12,12 +12,23 @@ from pyspark.sql import functions as F
 from inkfold.constants import MARKER
 from inkfold.functions.files import encode_base64, result_name
 from inkfold.operators.extract import Rule, document_type, rule_extract
-from inkfold.operators.merge import fields_of, merged_runs, merged_text
+from inkfold.operators.merge import fields_of, merged_runs, merged_text, template_merge_data
 from inkfold.operators.records import mark_record, parse_extraction
 from inkfold.operators.segments import segment_runs
 from inkfold.sources.quotations import payload_accepted, payload_id, read_payloads
 from inkfold.sources.templates import Run
 
+SEGMENT_COLUMNS = [
+    ("part", "string"),
+    ("section", "int"),
+    ("run_seq", "int"),
+    ("seg_seq", "int"),
+    ("text", "string"),
+    ("is_filled", "boolean"),
+    ("underline", "string"),
+    ("color", "string"),
+    ("preserve_space", "boolean"),
+]
 GENERATED = 200
 REJECTED = 422
 FAILED = 500
@@ -87,13 +98,49 @@ def contract_results(
     return records.select(*_results(F.col("accepted"), REJECTED, template, F.col("payload")))
 
 
+def contracts_from_templates(
+    payloads: DataFrame,
+    rules: Sequence[Rule],
+    templates: DataFrame,
+    template_id: Column,
+    small: bool | None = None,
+) -> DataFrame:
+    """Styled segments of accepted payloads, merged into templates that a table holds.
+
+    ``template_id`` is computed from the extracted ``record``. A payload whose template is not in
+    the table fails alone: it has one row with ``http_status`` 500 and no segment. Rejected
+    payloads have no rows; ``contract_results`` is where they are kept.
+    """
+    kept = F.struct("quotation_id", template_id.alias("template_id"), mark_record(F.col("record")).alias("marked"))
+    records = extract_records(payloads, rules)
+    documents = records.select(F.inline(F.when(F.col("accepted"), F.array(kept))))
+    merged = template_merge_data(documents, templates, small)
+    styled = merged.withColumns({n: F.lit(None).cast("string") for n in ("underline", "color") if n not in merged.columns})
+    failed = styled.where(F.col("text").isNull()).select(
+        "quotation_id",
+        "template_id",
+        *[F.lit(None).cast(kind).alias(name) for name, kind in SEGMENT_COLUMNS],
+        F.lit(FAILED).alias("http_status"),
+    )
+    made = segment_runs(styled.where(F.col("text").isNotNull())).select(
+        "quotation_id",
+        "template_id",
+        *[name for name, _ in SEGMENT_COLUMNS],
+        F.lit(GENERATED).alias("http_status"),
+    )
+    return made.unionByName(failed)
+
+
 def reply_results(replies: DataFrame, template: Sequence[Run]) -> DataFrame:
     """Results from the replies ``(quotation_id, reply)`` of a batch extractor.
 
-    A reply that is not one JSON object fails its document only.
+    A reply that is not one JSON object fails its document only. ``contract_data`` is the view of
+    the declared fields; ``reply`` is the whole reply as it came, with keys nobody declared, types,
+    and absent keys told from null ones.
     """
-    parsed = parse_extraction(replies)
-    return parsed.select(*_results(F.col("parsed"), FAILED, template, F.col("reply")))
+    parsed, usable = parse_extraction(replies), F.col("parsed")
+    raw = F.when(usable, F.col("reply")).alias("reply")
+    return parsed.select(*_results(usable, FAILED, template, F.col("reply")), raw)
 
 
 def reply_segments(replies: DataFrame, template: Sequence[Run]) -> DataFrame:

@@ -15,13 +15,20 @@ FILES_PER_BATCH = 10_000
 
 
 def scan_payloads(
-    spark: SparkSession, path: str, stream: bool = False, files_per_batch: int = FILES_PER_BATCH
+    spark: SparkSession,
+    path: str,
+    stream: bool = False,
+    files_per_batch: int = FILES_PER_BATCH,
+    whole_file: bool = False,
 ) -> DataFrame:
-    """Landed payload lines as ``(payload)``, unparsed so that a bad line cannot fail the scan."""
+    """Landed payloads as ``(payload)``, unparsed so that a bad one cannot fail the scan.
+
+    A payload is a line, or with ``whole_file`` a file: saved responses are often indented.
+    """
     reader = spark.read
     if stream:
         reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path).withColumnRenamed("value", "payload")
+    return reader.text(path, wholetext=whole_file).withColumnRenamed("value", "payload")
 
 
 def read_payloads(payloads: DataFrame, document_type: str = ANY_OBJECT) -> DataFrame:

@@ -105,15 +105,19 @@ def parts_union(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _flat_results(frame: DataFrame) -> DataFrame:
-    return frame.select(_doc_id(), "file_name", "file_base64", "contract_data.*")
+def _both_routes(frame: DataFrame) -> DataFrame:
+    """Accepted and rejected results alike, with what the rejected line ends on."""
+    ending = F.right("rejected", F.lit(len(t.BROKEN_ENDING))).alias("rejected_ending")
+    return frame.select(
+        _doc_id(), "accepted", "http_status", "file_name", "file_base64", ending, "contract_data.*"
+    )
 
 
 def result_sink(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "results")
-    made = contracts.contract_results(t.quotation_payloads(spark, d), RULES, TEMPLATE)
+    made = contracts.contract_results(t.broken_payloads(spark, d), RULES, TEMPLATE)
     results.write_results(made, path)
-    return _flat_results(results.read_results(spark, path).where("accepted"))
+    return _both_routes(results.read_results(spark, path))
 
 
 # Projections, filters, predicates
@@ -388,7 +392,7 @@ def _named_orders(spark: SparkSession, d: str) -> DataFrame:
     )
     return t.orders_with_customer(spark, d).select(
         "o_orderkey",
-        F.col("c_nationkey").cast("string").alias("template_id"),
+        t.chosen_template().alias("template_id"),
         records.mark_record(record).alias("marked"),
     )
 
@@ -435,6 +439,33 @@ def generate_contracts(spark: SparkSession, d: str) -> DataFrame:
     return made.withColumnRenamed("quotation_id", "doc_id")
 
 
+def reply_results(spark: SparkSession, d: str) -> DataFrame:
+    made = contracts.reply_results(t.order_replies(spark, d), TEMPLATE)
+    shown = ["Contract_id", "Customer_company_name", "Customer_tax_id", "Standard_users_count"]
+    return made.select(
+        _doc_id(),
+        "accepted",
+        "http_status",
+        "file_name",
+        "file_base64",
+        F.sha2("reply", 256).alias("reply_sha256"),
+        F.sha2("rejected", 256).alias("rejected_sha256"),
+        *[F.col(f"contract_data.{name}").alias(name) for name in shown],
+    )
+
+
+def reply_segments(spark: SparkSession, d: str) -> DataFrame:
+    made = contracts.reply_segments(t.order_replies(spark, d), TEMPLATE)
+    return made.withColumnRenamed("quotation_id", "doc_id")
+
+
+def contracts_from_templates(spark: SparkSession, d: str) -> DataFrame:
+    made = contracts.contracts_from_templates(
+        t.quotation_payloads(spark, d), RULES, t.priority_templates(spark, d), F.col("record.Implement_package_name")
+    )
+    return made.withColumnRenamed("quotation_id", "doc_id")
+
+
 # Logs and outcomes
 
 
@@ -467,12 +498,12 @@ def outcome_class(spark: SparkSession, d: str) -> DataFrame:
 
 def generate_contracts_stream(spark: SparkSession, d: str) -> DataFrame:
     source, sink = scratch_path(spark, "landing"), scratch_path(spark, "contracts")
-    t.quotation_payloads(spark, d).write.text(source)
+    t.broken_payloads(spark, d).write.text(source)
     query = jobs.generate_contracts_stream(
         spark, source, sink, scratch_path(spark, "progress"), RULES, TEMPLATE
     )
     query.awaitTermination()
-    return _flat_results(results.read_results(spark, sink).where("accepted"))
+    return _both_routes(results.read_results(spark, sink))
 
 
 def log_parse_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -528,6 +559,9 @@ QUERIES = {
         segment_order,
         contract_key_values,
         generate_contracts,
+        reply_results,
+        reply_segments,
+        contracts_from_templates,
         log_parse,
         outcome_class,
         generate_contracts_stream,

@@ -16,7 +16,7 @@ M = "chr(8291)"
 S = f"'{SENTINEL}'"
 EDGES = "(' ' || chr(9) || chr(10) || chr(13) || '''\",')"
 ID = "'QO' || o_orderkey"
-ORDERS = "orders JOIN customer ON o_custkey = c_custkey"
+ORDERS = "orders LEFT JOIN customer ON o_custkey = c_custkey"
 
 
 def unmarked(x: str) -> str:
@@ -55,7 +55,7 @@ TERMS = " || ', ' || ".join(term(i) for i in range(len(TERM_NOTES)))
 MODULES = f"""
 brand AS (
   SELECT l_orderkey, p_brand, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS monthly
-  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, p_brand),
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, p_brand),
 modules AS (
   SELECT l_orderkey, CAST(COUNT(*) AS VARCHAR) AS n_modules,
     string_agg(p_brand || ' ' || {baht("monthly")}, ', ' ORDER BY p_brand) AS details
@@ -101,10 +101,14 @@ FILE_TEXT = " || chr(10) || ".join(
     run_text(run, lambda f: f"CASE WHEN {unmarked(f)} THEN {f} ELSE trim({f}, {EDGES}) END")
     for run in TEMPLATE
 )
+# The lines of pending orders, whose dates are not ISO, are broken.
 RESULTS = f"""WITH {RECORD}
-SELECT doc_id, 'สัญญา_' || doc_id || '.docx' AS file_name,
-  base64(encode({FILE_TEXT})) AS file_base64, {", ".join(f'"{f}"' for f in CONTRACT_FIELDS)}
-FROM record"""
+SELECT doc_id, TRUE AS accepted, 200 AS http_status, 'สัญญา_' || doc_id || '.docx' AS file_name,
+  base64(encode({FILE_TEXT})) AS file_base64, NULL AS rejected_ending,
+  {", ".join(f'"{f}"' for f in CONTRACT_FIELDS)}
+FROM record WHERE NOT contains("Contract_date", '/')
+UNION ALL SELECT NULL, FALSE, 422, NULL, NULL, '] x', {", ".join("NULL" for _ in CONTRACT_FIELDS)}
+FROM record WHERE contains("Contract_date", '/')"""
 
 
 def text_or_null(value: str | None) -> str:
@@ -200,22 +204,52 @@ def of_reply(value: str) -> str:
     return f"CASE WHEN o_orderpriority <> '3-MEDIUM' THEN {value} END"
 
 
-LOG_SHAPE = "event_id % 13"
+REPLY_GOOD = "(o_orderpriority <> '3-MEDIUM')"
+REPLY_ENDING = "CASE o_orderstatus WHEN 'O' THEN '] x' WHEN 'F' THEN '],[1' ELSE '}' END"
+REPLY_TEXT = (
+    f"('{{\"Contract_id\":\"' || {ID} || '\",\"Customer_company_name\":\"' || c_name || '\"'"
+    f" || CASE WHEN o_orderpriority <> '1-URGENT' THEN ',\"Customer_tax_id\":\"{SENTINEL}\"' ELSE '' END"
+    " || CASE WHEN o_orderpriority = '2-HIGH' THEN ',\"Standard_users_count\":' || o_custkey ELSE '' END"
+    " || CASE WHEN o_orderstatus = 'F' THEN ',\"Remark\":\"' || c_mktsegment || '\"' ELSE '' END || '}')"
+)
+REPLY_FIELDS = {
+    "Contract_id": ID,
+    "Customer_company_name": "c_name",
+    "Customer_tax_id": f"CASE WHEN o_orderpriority <> '1-URGENT' THEN {S} ELSE '' END",
+}
+
+
+def reply_value(quoted: str, marked: bool) -> str:
+    """What a template shows of a reply's field; a field that no reply has is empty."""
+    value = REPLY_FIELDS.get(quoted.strip('"'), "''")
+    trimmed = f"CASE WHEN {unmarked(value)} THEN {value} ELSE trim({value}, {EDGES}) END"
+    return mark(value) if marked else trimmed
+
+
+REPLY_FILE = " || chr(10) || ".join(run_text(run, lambda f: reply_value(f, False)) for run in TEMPLATE)
+REPLY_RUNS = " UNION ALL ".join(
+    f"SELECT {ID} AS doc_id, '{run.part}' AS part, {run.section} AS section, {run.run_seq} AS run_seq, "
+    f"{run_text(run, lambda f: reply_value(f, True))} AS text, {text_or_null(run.underline)} AS underline, "
+    f"{text_or_null(run.color)} AS color FROM {ORDERS} WHERE {REPLY_GOOD}"
+    for run in TEMPLATE
+)
+LOG_SHAPE = "event_id % 15"
 LOG_TIME = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
 LOG_PARSED = f"""
   CASE WHEN {LOG_SHAPE} IN (1, 7, 10) THEN 'สำเร็จ' WHEN {LOG_SHAPE} IN (2, 3, 8) THEN 'ล้มเหลว'
     WHEN {LOG_SHAPE} = 4 THEN 'เชื่อมต่อไม่ได้' WHEN {LOG_SHAPE} IN (5, 9) THEN 'ข้อผิดพลาด' END AS tag,
   CASE WHEN {LOG_SHAPE} IN (0, 6, 10) THEN 'started' WHEN {LOG_SHAPE} IN (1, 7) THEN 'succeeded'
     WHEN {LOG_SHAPE} IN (2, 3, 8) THEN 'failed' WHEN {LOG_SHAPE} = 4 THEN 'unreachable'
-    WHEN {LOG_SHAPE} IN (5, 9, 11) THEN 'error' END AS outcome,
+    WHEN {LOG_SHAPE} IN (5, 9, 11, 14) THEN 'error' WHEN {LOG_SHAPE} = 13 THEN 'succeeded' END AS outcome,
   CASE WHEN {LOG_SHAPE} <= 6 THEN date_trunc('second', ts) END AS ts,
   CASE WHEN {LOG_SHAPE} <= 5 THEN 'login' WHEN {LOG_SHAPE} <= 9 THEN 'quotation'
-    WHEN {LOG_SHAPE} <= 11 THEN 'generate' END AS action,
-  CASE WHEN {LOG_SHAPE} <= 5 THEN 'u' || user_id WHEN {LOG_SHAPE} <= 10 THEN 'QO' || user_id END AS subject,
+    WHEN {LOG_SHAPE} <= 11 THEN 'generate' WHEN {LOG_SHAPE} >= 13 THEN 'cleanup' END AS action,
+  CASE WHEN {LOG_SHAPE} <= 5 THEN 'u' || user_id WHEN {LOG_SHAPE} <= 10 THEN 'QO' || user_id
+    WHEN {LOG_SHAPE} >= 13 THEN '/tmp/QO' || user_id || '.docx' END AS subject,
   CASE WHEN {LOG_SHAPE} IN (3, 8) THEN CAST(400 + user_id % 100 AS INTEGER) END AS http_status,
   CASE {LOG_SHAPE} WHEN 2 THEN 'wrong password | twice' WHEN 5 THEN 'HTTP reply cut off'
-    WHEN 9 THEN 'no route' WHEN 11 THEN 'bad value | QO' || user_id END AS error,
-  {LOG_SHAPE} <= 11 AS parsed"""
+    WHEN 9 THEN 'no route' WHEN 11 THEN 'bad value | QO' || user_id WHEN 14 THEN 'in use: yes' END AS error,
+  {LOG_SHAPE} <> 12 AS parsed"""
 
 ORACLE_SQL = {
     "quotation_scan": f"""SELECT {ID} AS quotation_id, c_name AS customer,
@@ -348,9 +382,11 @@ known AS ({" UNION ALL ".join(
     f"{r.run_seq} AS run_seq, {run_text(r, mark)} AS text FROM named" for r in TEMPLATE)})
 SELECT * FROM known
 UNION ALL SELECT 'data', o_orderkey, 'body', 0, 0, {NATION_TEXT}
-FROM {ORDERS} JOIN nation ON c_nationkey = n_nationkey
+FROM {ORDERS} JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')
 UNION ALL SELECT 'data', o_orderkey, 'footer', 0, 0, 'Office of ' || n_name
-FROM {ORDERS} JOIN nation ON c_nationkey = n_nationkey""",
+FROM {ORDERS} JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')
+UNION ALL SELECT 'data', o_orderkey, NULL, NULL, NULL, NULL
+FROM {ORDERS} WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
     "run_text_concat": f"""WITH {PIECES},
 numbered AS (
   SELECT *, (row_number() OVER (PARTITION BY {RUN_KEYS} ORDER BY piece_seq, text) - 1) // 800
@@ -373,6 +409,33 @@ SELECT doc_id, field, value, value = {S} AS is_not_found FROM listed""",
 runs AS ({CONTRACT_RUNS}),
 {segments_of("runs", RUN_KEYS)}
 SELECT * FROM segments""",
+    "reply_results": f"""SELECT {ID} AS doc_id, {REPLY_GOOD} AS accepted,
+  CASE WHEN {REPLY_GOOD} THEN 200 ELSE 500 END AS http_status,
+  {of_reply(f"'สัญญา_' || {ID} || '.docx'")} AS file_name,
+  {of_reply(f"base64(encode({REPLY_FILE}))")} AS file_base64,
+  {of_reply(f"sha256({REPLY_TEXT})")} AS reply_sha256,
+  CASE WHEN NOT {REPLY_GOOD} THEN sha256({REPLY_TEXT} || {REPLY_ENDING}) END AS rejected_sha256,
+  {of_reply(ID)} AS "Contract_id", {of_reply("c_name")} AS "Customer_company_name",
+  CASE WHEN o_orderpriority NOT IN ('1-URGENT', '3-MEDIUM') THEN {S} END AS "Customer_tax_id",
+  CASE WHEN o_orderpriority = '2-HIGH' THEN CAST(o_custkey AS VARCHAR) END AS "Standard_users_count"
+FROM {ORDERS}""",
+    "reply_segments": f"""WITH runs AS ({REPLY_RUNS}),
+{segments_of("runs", RUN_KEYS)}
+SELECT * FROM segments""",
+    "contracts_from_templates": f"""WITH {RECORD},
+runs AS (
+  SELECT doc_id, "Implement_package_name" AS template_id, 'body' AS part, 0 AS section, 0 AS run_seq,
+    "Implement_package_name" || ': ' || ({mark('"Contract_id"')}) || ' for '
+      || ({mark('"Customer_company_name"')}) || ', tax {SENTINEL}' AS text,
+    CAST(NULL AS VARCHAR) AS underline, CAST(NULL AS VARCHAR) AS color
+  FROM record WHERE "Implement_package_name" <> '5-LOW'
+  UNION ALL SELECT doc_id, "Implement_package_name", 'footer', 0, 0,
+    "Implement_package_name" || ' of ' || ({mark('"Quotation_date"')}), NULL, NULL
+  FROM record WHERE "Implement_package_name" <> '5-LOW'),
+{segments_of("runs", "template_id, " + RUN_KEYS)}
+SELECT *, 200 AS http_status FROM segments
+UNION ALL SELECT "Implement_package_name", doc_id, {", ".join(["NULL"] * 9)}, 500
+FROM record WHERE "Implement_package_name" = '5-LOW'""",
     "log_parse": f"""WITH parsed AS (SELECT event_id, {LOG_PARSED} FROM events)
 SELECT *, CASE WHEN outcome = 'succeeded' THEN 200 WHEN outcome = 'unreachable' THEN 503
   WHEN outcome = 'error' THEN 500 WHEN outcome = 'failed' THEN COALESCE(http_status, 200) END AS code
@@ -400,6 +463,8 @@ FROM requests""",
   WHEN 9 THEN '[❌ ข้อผิดพลาด] ดึงข้อมูลใบเสนอราคา: QO' || user_id || ' | no route'
   WHEN 10 THEN '[✅ สำเร็จ] กำลังสร้างสัญญาจากใบเสนอราคา: QO' || user_id
   WHEN 11 THEN 'เกิดข้อผิดพลาดในระบบ: bad value | QO' || user_id
+  WHEN 13 THEN 'ลบไฟล์ชั่วคราวเรียบร้อย: /tmp/QO' || user_id || '.docx'
+  WHEN 14 THEN 'เกิดข้อผิดพลาดในการลบไฟล์ชั่วคราว /tmp/QO' || user_id || '.docx: in use: yes'
   ELSE 'INFO: ' || event_type || ' 200 OK' END AS line, {LOG_PARSED}
 FROM events""",
 }

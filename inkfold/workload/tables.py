@@ -7,7 +7,13 @@ from inkfold.constants import SENTINEL
 from inkfold.functions.formats import log_timestamp
 from inkfold.functions.text import wrap_value
 from inkfold.operators.extract import Rule
-from inkfold.operators.outcomes import ACTION_LABELS, OUTCOME_LABELS, SYSTEM_ERROR_LABEL
+from inkfold.operators.outcomes import (
+    ACTION_LABELS,
+    NOT_REMOVED_LABEL,
+    OUTCOME_LABELS,
+    REMOVED_LABEL,
+    SYSTEM_ERROR_LABEL,
+)
 from inkfold.operators.records import payload_to_json
 from inkfold.sources.templates import Run
 
@@ -114,7 +120,7 @@ def order_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     brands = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     per_brand = (
-        lines.join(brands, F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(brands, F.col("l_partkey") == F.col("p_partkey"), "left")
         .groupBy("l_orderkey", F.col("p_brand").alias("name"))
         .agg(money(F.sum(money(F.col("l_extendedprice")))).alias("monthly"))
     )
@@ -128,7 +134,7 @@ def orders_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
     )
     orders = spread_table(spark, sf_dir, "orders")
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").drop("c_custkey")
 
 
 def order_id() -> Column:
@@ -167,6 +173,42 @@ def quotation_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_with_modules(spark, sf_dir).select(payload_to_json(payload).alias("payload"))
 
 
+#: What makes a payload line unusable though its beginning is a whole payload.
+BROKEN_ENDING = "] x"
+
+
+def broken_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload lines, those of pending orders with something behind the object."""
+    pending = F.get_json_object("payload", "$.result_quotation.date").contains("/")
+    line = F.when(pending, F.concat("payload", F.lit(BROKEN_ENDING))).otherwise(F.col("payload"))
+    return quotation_payloads(spark, sf_dir).select(line.alias("payload"))
+
+
+def chosen_template() -> Column:
+    """The template of an order by nation; one that nobody has for low orders, none for urgent ones."""
+    priority = F.col("o_orderpriority")
+    return F.when(priority == "5-LOW", "lost").when(
+        priority != "1-URGENT", F.col("c_nationkey").cast("string")
+    )
+
+
+def priority_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template of two runs for each order priority but the lowest."""
+    kinds = table(spark, sf_dir, "orders").where("o_orderpriority <> '5-LOW'").select("o_orderpriority").distinct()
+    runs = F.array(
+        *[
+            F.struct(F.lit(part).alias("part"), F.concat(F.col("o_orderpriority"), F.lit(text)).alias("text"))
+            for part, text in (
+                ("body", ": {{ Contract_id }} for {{Customer_company_name}}, tax {{ Customer_tax_id }}"),
+                ("footer", " of {{ Quotation_date }}"),
+            )
+        ]
+    )
+    return kinds.select(F.col("o_orderpriority").alias("template_id"), F.explode(runs).alias("r")).select(
+        "template_id", "r.part", F.lit(0).alias("section"), F.lit(0).alias("run_seq"), "r.text"
+    )
+
+
 def mixed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payload lines of which most order priorities give one kind of unusable line."""
     document = F.struct(F.col("c_name").alias("name"))
@@ -364,6 +406,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(good + action["generate"]), quotation),
         F.concat(F.lit(SYSTEM_ERROR_LABEL + "bad value | "), quotation),
         F.concat(F.lit("INFO: "), F.col("event_type"), F.lit(" 200 OK")),
+        F.concat(F.lit(f"{REMOVED_LABEL}/tmp/"), quotation, F.lit(".docx")),
+        F.concat(F.lit(f"{NOT_REMOVED_LABEL}/tmp/"), quotation, F.lit(".docx: in use: yes")),
     ]
     kind = F.col("event_id") % len(shapes)
     line = F.coalesce(*[F.when(kind == i, shape) for i, shape in enumerate(shapes)])

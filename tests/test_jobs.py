@@ -9,6 +9,7 @@ from inkfold.operators.extract import Rule
 from inkfold.operators.outcomes import log_parse, logged_code, outcome_class
 from inkfold.plans import contracts
 from inkfold.sources import logs, results
+from inkfold.sources.quotations import scan_payloads
 from inkfold.sources.templates import Run
 from inkfold.streaming import jobs
 
@@ -176,6 +177,49 @@ def test_outcome_table(spark):
     assert frame.where(~outcome_class(*columns).eqNullSafe(F.col("code"))).count() == 0
 
 
+def test_a_header_nobody_reported_is_not_there(spark):
+    cases = [("quotation", None, True), ("generate", True, None), ("generate", None, True), ("login", None, None)]
+    frame = spark.createDataFrame(cases, "op STRING, bearer BOOLEAN, token BOOLEAN")
+    code = outcome_class(F.col("op"), F.lit(200), F.lit(None).cast("string"), F.col("bearer"), F.col("token"))
+    assert [r["c"] for r in frame.select(code.alias("c")).collect()] == [401, 401, 401, 200]
+
+
+def test_logs_of_removed_files(spark):
+    # The two lines about generated files.
+    lines = [
+        "ลบไฟล์ชั่วคราวเรียบร้อย: /tmp/a.docx",
+        "เกิดข้อผิดพลาดในการลบไฟล์ชั่วคราว /tmp/a.docx: busy: later",
+    ]
+    got = log_parse(spark.createDataFrame([(line,) for line in lines], "line STRING")).collect()
+    assert [(r["action"], r["outcome"], r["subject"], r["error"], r["parsed"]) for r in got] == [
+        ("cleanup", "succeeded", "/tmp/a.docx", None, True),
+        ("cleanup", "error", "/tmp/a.docx", "busy: later", True),
+    ]
+
+
+def test_rejected_lines_have_no_record(spark):
+    good = '{"quotation_id":"1","result_quotation":{"no":"1"}}'
+    lines = [good, good + "] trailing", good + "],[1", '{"quotation_id":5,"result_quotation":{}}']
+    frame = spark.createDataFrame([(line,) for line in lines], "payload STRING")
+    got = contracts.extract_records(frame, RULES).collect()
+    assert [(r["accepted"], r["record"] is None) for r in got] == [(True, False)] + [(False, True)] * 3
+
+
+def test_a_payload_may_be_a_whole_file(spark, tmp_path):
+    path = tmp_path / "saved"
+    path.mkdir()
+    text = '{\n "quotation_id": "1",\n "result_quotation": {"no": "1"}\n}\n'
+    (path / "one.json").write_text(text)
+    for stream in (False, True):
+        frame = scan_payloads(spark, str(path), stream=stream, whole_file=True)
+        if stream:
+            query = frame.writeStream.format("memory").queryName("saved").trigger(availableNow=True).start()
+            query.awaitTermination()
+            frame = spark.table("saved")
+        assert [r["payload"] for r in frame.collect()] == [text]
+        assert contracts.extract_records(frame, RULES).first()["accepted"]
+
+
 def physical_plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 

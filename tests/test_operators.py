@@ -65,8 +65,18 @@ def test_salted_join_is_the_join(spark):
         assert rows(joins.salted_join(many, few, "k", limit)) == expected
         ids = few.select("k").distinct()
         assert rows(joins.skewed_anti_join(many, ids, "k", limit)) == rows(many.join(few, "k", "left_anti"))
-    parted = joins.salted_join(many, few, "k", 100)._jdf.queryExecution().executedPlan().toString()
-    assert "_part" in parted
+        left = many.unionByName(spark.createDataFrame([(None, 1), (None, 1), (777, 2)], "k BIGINT, v BIGINT"))
+        assert rows(joins.salted_join(left, few, "k", limit, "left")) == rows(left.join(few, "k", "left"))
+
+
+def test_equal_rows_of_a_hot_key_spread_by_their_number(spark):
+    rows_ = spark.range(4000).select(F.lit("hot").alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    rows_ = rows_.unionByName(spark.range(90).select(F.lit("b").alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m")))
+    hot = joins.hot_parts(rows_, "k", 100)
+    assert rows(hot) == [("hot", 40)]
+    parts_ = joins.spread_hot(rows_, hot, "k").groupBy("_part").count().collect()
+    assert len(parts_) == 40 and max(r["count"] for r in parts_) <= 130
+    assert joins.hot_parts(rows_, "k", 4000) is None
 
 
 def test_size_check(spark):
@@ -345,6 +355,10 @@ def test_both_template_forms_agree(spark):
     for small, limit in ((True, 1), (False, 1), (False, 100), (None, 1)):
         got = merge.template_merge_data(documents, table, small, limit)
         assert rows(got, *columns) == known
+    lost = documents.withColumn("template_id", F.when(F.col("doc") == 0, "nobody's"))
+    for small in (True, False):
+        got = merge.template_merge_data(lost, table, small)
+        assert [(r["doc"], r["part"], r["text"]) for r in got.orderBy("doc").collect()] == [(0, None, None), (1, None, None)]
 
 
 def test_parts_union(spark):
