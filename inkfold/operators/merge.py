@@ -72,11 +72,15 @@ def template_merge_data(
     A document whose template is not in the table, or that names none, has one row without a run
     and without text: it cannot be made, and must not go unseen.
 
-    The template's literals and field names are laid side by side inside the row, so merging
-    adds no grouping. Templates that pass the size check are broadcast; otherwise the join
-    shuffles, with the documents of templates used more than ``limit`` times salted.
+    A template is one row with its runs, so a document meets it once and its values travel once;
+    runs become rows last. Literals and field names of a run are laid side by side and merged
+    inside the row, without grouping. Templates that pass the size check are broadcast; otherwise
+    the join shuffles, with the documents of templates used more than ``limit`` times spread.
     """
-    runs = tokenize_templates(templates).drop("text")
+    tokenized = tokenize_templates(templates).drop("text")
+    names = [name for name in tokenized.columns if name != "template_id"]
+    shown = [name for name in names if name not in ("literals", "fields")]
+    whole = tokenized.groupBy("template_id").agg(F.collect_list(F.struct(*names)).alias("_runs"))
     small = is_small(templates) if small is None else small
     values = F.map_from_arrays(
         F.array(*[F.lit(field) for field in CONTRACT_FIELDS]),
@@ -84,17 +88,23 @@ def template_merge_data(
     )
     filled = documents.withColumn("_values", values).drop("marked")
     if small:
-        joined = filled.join(F.broadcast(runs), "template_id", "left")
+        joined = filled.join(F.broadcast(whole), "template_id", "left")
     else:
-        joined = salted_join(filled, runs, "template_id", limit, "left")
-    text = F.array_join(
-        F.zip_with(
-            "literals",
-            "fields",
+        joined = salted_join(filled, whole, "template_id", limit, "left")
+
+    def text(run: Column) -> Column:
+        pieces = F.zip_with(
+            run.getField("literals"),
+            run.getField("fields"),
             lambda literal, field: F.concat(
                 literal, F.coalesce(F.try_element_at(F.col("_values"), field), F.lit(""))
             ),
-        ),
-        "",
+        )
+        return F.array_join(pieces, "")
+
+    merged = F.transform(
+        "_runs",
+        lambda run: F.struct(*[run.getField(n).alias(n) for n in shown], text(run).alias("text")),
     )
-    return joined.withColumn("text", text).drop("_values", "literals", "fields")
+    kept = [F.col(f"`{name}`") for name in filled.columns if name != "_values"]
+    return joined.select(*kept, F.inline_outer(merged))
