@@ -24,14 +24,23 @@ def payload_to_json(document: Column, pretty: bool = False) -> Column:
 
 
 def _shown(value: Column) -> Column:
-    """How a template shows a JSON value: text is marked, other values are written as they are."""
+    """How a template shows a JSON value: text is marked, other values are written as they are.
+
+    Lists and objects of texts are shown as JSON with each text marked. Deeper nesting and mixed
+    lists are shown as JSON as it is: no field of a contract record is meant to hold them.
+    """
     text, kind = variant_text(value), F.schema_of_variant(value)
+    listed = F.try_variant_get(value, "$", "array<string>")
+    named = F.try_variant_get(value, "$", "map<string,string>")
+    of_texts = F.rlike(kind, F.lit(r"^OBJECT<[^:<>]+: STRING(?:, [^:<>]+: STRING)*>$"))
     # Most keys of a reply are absent, and absent ones are settled without asking for a kind.
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
         .when(kind == "STRING", wrap_value(text))
         .when(kind == "VOID", F.lit("None"))
         .when(kind == "BOOLEAN", F.initcap(text))
+        .when(kind == "ARRAY<STRING>", F.to_json(F.transform(listed, wrap_value)))
+        .when(of_texts, F.to_json(F.transform_values(named, lambda _, v: wrap_value(v))))
         .otherwise(text)
     )
 

@@ -132,10 +132,14 @@ def test_parse_extraction(spark):
         '{"Contract_id":"a","Manday_price":5,"Customer_email":null,"Contract_date":true,"Extra":1}',
         "[1]",
         "{bad",
+        '{"Contract_id":["a, ","b"],"Quotation_id":{"k":"v","l":" "},"Manday_price":[1,"x"],"Customer_email":{"k":{"l":"v"}}}',
     ]
     frame = spark.createDataFrame([(r,) for r in replies], "reply STRING")
     got = records.parse_extraction(frame).collect()
-    assert [r["parsed"] for r in got] == [True, False, False]
+    assert [r["parsed"] for r in got] == [True, False, False, True]
+    nested_ = got[3]["marked"]
+    assert (nested_["Contract_id"], nested_["Quotation_id"]) == (f'["{M}a{M}","{M}b{M}"]', f'{{"k":"{M}v{M}","l":" "}}')
+    assert (nested_["Manday_price"], nested_["Customer_email"]) == ('[1,"x"]', '{"k":{"l":"v"}}')
     record, marked = got[0]["record"], got[0]["marked"]
     assert (record["Contract_id"], record["Manday_price"], record["Customer_email"]) == ("a", "5", None)
     assert (marked["Contract_id"], marked["Manday_price"]) == (f"{M}a{M}", "5")
