@@ -38,7 +38,14 @@ OVER, UNDER = 3, 4
 #: No boundary between light and heavy sets lies above this: subsets would be too many.
 MOST_LIGHT = 16
 
-SETS = "key bigint, sig int, n bigint, copies bigint, node string, shingles array<bigint>"
+#: A text has more shingles than its bytes would make of other hashes.
+HASH_PARTS = 3
+#: Bits of a hash that tell shingles apart, and words of the bitmap of a set.
+TOLD_APART, BITMAP_WORDS = np.uint64(0xFFFFFFFFFFFFFF00), 16
+SETS = (
+    "key bigint, sig int, n bigint, copies bigint, node string, shingles array<bigint>, "
+    "bits array<bigint>"
+)
 SUBSETS = "subset binary, low int, high int, n int, node string"
 
 
@@ -56,7 +63,7 @@ def shingle_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
             whole = window_hashes(hashes, width)[short]
             found.append(mix(whole + np.uint64(width)))
             places.append(short)
-    found, places = np.concatenate(found), np.concatenate(places)
+    found, places = np.concatenate(found) & TOLD_APART, np.concatenate(places)
     texts = np.searchsorted(words.offsets, places, "right") - 1
     order = np.lexsort((found, texts))
     found, texts = found[order], texts[order]
@@ -80,13 +87,23 @@ def prefix_length(n: Column) -> Column:
     return n - F.ceil(n * OVER / UNDER) + 1
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Bit b is set if an odd number of shingles falls on b.
+
+    Of two sets' bitmaps, no more bits differ than shingles do.
+    """
+    places = (shingles >> np.uint64(20)) % np.uint64(64 * BITMAP_WORDS)
+    odd = np.bincount(places.astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Recurring shingles of each document as one sorted set; no node where they cannot link.
 
     Sets that recur as a whole are one node; a set with shingles of its own is a node of its own.
     """
     for batch in batches:
-        nodes, sets = [], []
+        nodes, sets, bits = [], [], []
         columns = [batch.column(name).to_pylist() for name in ("data", "n", "key", "sig")]
         for data, n, key, sig in zip(*columns, strict=True):
             shared = np.unique(np.frombuffer(data, np.uint64))
@@ -94,9 +111,11 @@ def _assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 salt = b"" if len(shared) == n else f"{key}:{sig}".encode()
                 nodes.append(hashlib.blake2b(shared.tobytes(), digest_size=16, key=salt).hexdigest())
                 sets.append(shared.view(np.int64))
+                bits.append(bitmap(shared))
             else:
                 nodes.append(None)
                 sets.append(None)
+                bits.append(None)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("key"),
@@ -105,8 +124,9 @@ def _assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("copies"),
                 pa.array(nodes, pa.string()),
                 pa.array(sets, pa.list_(pa.int64())),
+                pa.array(bits, pa.list_(pa.int64())),
             ],
-            names=["key", "sig", "n", "copies", "node", "shingles"],
+            names=["key", "sig", "n", "copies", "node", "shingles", "bits"],
         )
 
 
@@ -171,7 +191,7 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
 
 
 def prefixes(nodes: DataFrame, counts: DataFrame, light: int) -> DataFrame:
-    """``(shingle, node, n, place)``: the rarest shingles of each set that heavy sets can meet.
+    """``(shingle, node, n, alone, place)``: the rarest shingles of each set that heavy sets can meet.
 
     The order is the same for all: shingles of one document come first and stand in no list,
     then the rarer, then by hash.
@@ -187,7 +207,7 @@ def prefixes(nodes: DataFrame, counts: DataFrame, light: int) -> DataFrame:
     taken = F.slice("items", F.lit(1), F.greatest(prefix_length(F.col("n")) - F.col("alone"), F.lit(0)).cast("int"))
     listed = ranked.select("node", "n", "alone", F.posexplode(taken).alias("at", "item"))
     return listed.where("item.df > 1").select(
-        F.col("item.shingle").alias("shingle"), "node", "n", (F.col("alone") + F.col("at")).alias("place")
+        F.col("item.shingle").alias("shingle"), "node", "n", "alone", (F.col("alone") + F.col("at")).alias("place")
     )
 
 
@@ -199,6 +219,17 @@ def _can_link(light: int) -> Column:
     return fits & (most * (OVER + UNDER) >= (n + m) * OVER)
 
 
+def _bits_agree() -> Column:
+    """Not more bits differ, with the shingles of one document only, than the overlap allows."""
+    apart = F.aggregate(
+        F.zip_with("bits", "other_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))),
+        F.col("alone") + F.col("other_alone"),
+        lambda total, one: total + one,
+    )
+    n, m = F.col("n"), F.col("m")
+    return apart <= n + m - 2 * F.ceil((n + m) * OVER / (OVER + UNDER)).cast("int")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that link, compared in full."""
     sides = [
@@ -214,11 +245,12 @@ def components_of(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(key, sig, n, copies, component)``: one row per id and text, see ``near_duplicates``."""
     rows = keyed(docs)
     parts = parts_for(rows, part_bytes)
-    shared = recurring(rows, shingle_hashes, parts, with_counts=True)
+    shared = recurring(rows, shingle_hashes, parts, with_counts=True, hash_parts=HASH_PARTS)
     sets = written(shared.mapInArrow(_assembled, SETS), "sets")
     nodes = written(
         sets.where("node IS NOT NULL").groupBy("node").agg(
-            F.first("n").cast("int").alias("n"), F.first("shingles").alias("shingles"), F.min("key").alias("key")
+            F.first("n").cast("int").alias("n"), F.first("shingles").alias("shingles"),
+            F.first("bits").alias("bits"), F.min("key").alias("key"),
         ),
         "nodes",
     )
@@ -227,8 +259,9 @@ def components_of(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     own = own.withColumn("label", F.coalesce("label", "node"))
     least = own.groupBy("label").agg(F.min("key").alias("component"))
     of_node = own.join(least, "label").select("node", "component")
-    linked = sets.where("node IS NOT NULL").drop("shingles").join(of_node, "node")
-    alone = sets.where("node IS NULL").drop("shingles").withColumn("component", F.col("key"))
+    sets = sets.drop("shingles", "bits")
+    linked = sets.where("node IS NOT NULL").join(of_node, "node")
+    alone = sets.where("node IS NULL").withColumn("component", F.col("key"))
     return linked.unionByName(alone).drop("node")
 
 
@@ -242,8 +275,10 @@ def near_duplicates(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     link to each other. Other columns are not read.
 
     Heavy sets are linked in two passes. The first compares each member of an inverted list with
-    the list's least member only; the second compares members of one list that are still in
-    different components. So groups of near copies cost about their size, and no link is lost.
+    one of them only, the one with the fewest rarer shingles: of near copies that is the original.
+    The second compares members of one list that are still in different components, unless their
+    bitmaps differ in more bits than their sets may in shingles. So groups of near copies cost
+    about their size, and no link is lost.
     """
     every = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
     return (
@@ -260,9 +295,9 @@ def near_duplicates(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows, all columns as they are, with the least id of their component."""
     first = components_of(docs).where(F.col("key") == F.col("component"))
-    first = first.select(F.col("key").alias("_key"), F.col("sig").alias("_sig"))
-    rows = docs.withColumns({"_key": row_key(), "_sig": row_sig()})
-    return rows.join(first.hint("shuffle_hash"), ["_key", "_sig"], "left_semi").select(*docs.columns)
+    first = first.select("key", "sig").hint("shuffle_hash")
+    rows = docs.select(F.struct("*").alias("row"), row_key().alias("key"), row_sig().alias("sig"))
+    return rows.join(first, ["key", "sig"], "left_semi").select("row.*")
 
 
 def links_of(nodes: DataFrame) -> DataFrame:
@@ -274,7 +309,7 @@ def links_of(nodes: DataFrame) -> DataFrame:
     light = boundary({r["n"]: r["count"] for r in by_size}, mean or 1.0)
     lists = written(prefixes(nodes, counts, light), "prefixes")
     firsts = lists.groupBy("shingle").agg(
-        F.min(F.struct("node", "n", "place")).alias("first"), F.count(F.lit(1)).alias("members")
+        F.min(F.struct("place", "node", "n")).alias("first"), F.count(F.lit(1)).alias("members")
     )
     stars = lists.join(firsts.where("members > 1"), "shingle").select(
         F.col("node").alias("a"), "n", "place", F.col("first.node").alias("b"),
@@ -287,15 +322,16 @@ def links_of(nodes: DataFrame) -> DataFrame:
     labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per_label = labelled.select("shingle", "label").distinct()
     apart = per_label.groupBy("shingle").count().where("count > 1").select("shingle")
-    open_lists = written(labelled.join(apart, "shingle"), "open")
+    open_lists = labelled.join(apart, "shingle").join(nodes.select("node", "bits"), "node")
+    open_lists = written(open_lists, "open")
     others = open_lists.select(
-        "shingle", F.col("node").alias("b"), F.col("n").alias("m"),
-        F.col("place").alias("other_place"), F.col("label").alias("other_label"),
+        "shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("alone").alias("other_alone"),
+        F.col("place").alias("other_place"), F.col("label").alias("other_label"), F.col("bits").alias("other_bits"),
     )
     pairs = (
         open_lists.withColumnRenamed("node", "a")
         .join(others, "shingle")
-        .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other_label")) & _can_link(light))
+        .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other_label")) & _can_link(light) & _bits_agree())
         .select("a", "b")
         .distinct()
     )
