@@ -51,8 +51,19 @@ def quotation_scan(spark: SparkSession, d: str) -> DataFrame:
     scanned = quotations.quotation_scan(quotations.scan_payloads(spark, path))
     return scanned.select(
         "quotation_id",
-        F.get_json_object("doc", "$.customer.name").alias("customer"),
-        F.get_json_object("doc", "$.priority").alias("priority"),
+        *[
+            F.get_json_object("doc", path).alias(name)
+            for name, path in {
+                "docno": "$.docno",
+                "day": "$.date",
+                "period_start": "$.period.start",
+                "customer": "$.customer.name",
+                "segment": "$.customer.segment",
+                "priority": "$.priority",
+                "last_note": "$.terms[2].note",
+            }.items()
+        ],
+        F.json_array_length(F.get_json_object("doc", "$.modules")).alias("n_modules"),
     )
 
 
@@ -129,13 +140,12 @@ def contract_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_extraction(spark: SparkSession, d: str) -> DataFrame:
-    shown = ["Contract_id", "Customer_company_name", "Customer_tax_id", "Standard_users_count"]
     parsed = records.parse_extraction(t.order_replies(spark, d))
     return parsed.select(
         "o_orderkey",
         "parsed",
-        *[F.col(f"record.{name}").alias(f"raw_{name}") for name in shown],
-        *[F.col(f"marked.{name}").alias(f"marked_{name}") for name in shown],
+        *[F.col(f"record.{name}").alias(f"raw_{name}") for name in CONTRACT_FIELDS],
+        *[F.col(f"marked.{name}").alias(f"marked_{name}") for name in CONTRACT_FIELDS],
     )
 
 

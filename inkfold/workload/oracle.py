@@ -9,9 +9,10 @@ from inkfold.constants import (
     THAI_MONTHS,
     WHITESPACE,
 )
-from inkfold.sources.templates import PLACEHOLDER
 from inkfold.workload.tables import RULES, TEMPLATE, TERM_DAYS, TERM_NOTES
 
+# Fixed values, stated here on their own: the placeholders of templates.
+PLACEHOLDER = r"\{\{\s*([A-Za-z_][A-Za-z0-9_]*)\s*\}\}"
 M = "chr(8291)"
 S = f"'{SENTINEL}'"
 EDGES = "(' ' || chr(9) || chr(10) || chr(13) || '''\",')"
@@ -89,11 +90,13 @@ record AS (
 
 
 def run_text(run, show) -> str:
-    pieces = []
-    for literal, field in run.pieces():
+    """The text of a run: what stands between braces is a field, the rest is as it is."""
+    first, *others = run.text.split("{{")
+    pieces = ["'" + first.replace("'", "''") + "'"]
+    for other in others:
+        field, literal = other.split("}}", 1)
+        pieces.append(show(f'"{field.strip()}"'))
         pieces.append("'" + literal.replace("'", "''") + "'")
-        if field:
-            pieces.append(show(f'"{field}"'))
     return " || ".join(f"({piece})" for piece in pieces)
 
 
@@ -204,6 +207,13 @@ def of_reply(value: str) -> str:
     return f"CASE WHEN o_orderpriority <> '3-MEDIUM' THEN {value} END"
 
 
+REPLY_RAW = {
+    "Contract_id": ID,
+    "Customer_company_name": "c_name",
+    "Customer_tax_id": f"CASE WHEN o_orderpriority <> '1-URGENT' THEN {S} END",
+    "Standard_users_count": "CASE WHEN o_orderpriority = '2-HIGH' THEN CAST(o_custkey AS VARCHAR) END",
+}
+REPLY_MARKED = REPLY_RAW | {"Contract_id": mark(ID), "Customer_company_name": mark("c_name")}
 REPLY_GOOD = "(o_orderpriority <> '3-MEDIUM')"
 REPLY_ENDING = "CASE o_orderstatus WHEN 'O' THEN '] x' WHEN 'F' THEN '],[1' ELSE '}' END"
 REPLY_TEXT = (
@@ -252,8 +262,12 @@ LOG_PARSED = f"""
   {LOG_SHAPE} <> 12 AS parsed"""
 
 ORACLE_SQL = {
-    "quotation_scan": f"""SELECT {ID} AS quotation_id, c_name AS customer,
-  o_orderpriority AS priority FROM {ORDERS}""",
+    "quotation_scan": f"""WITH {MODULES}
+SELECT {ID} AS quotation_id, {ID} AS docno,
+  CASE WHEN o_orderstatus = 'P' THEN strftime({DAY}, '%d/%m/%Y') ELSE CAST({DAY} AS VARCHAR) END AS day,
+  CAST({DAY} AS VARCHAR) AS period_start, c_name AS customer, c_mktsegment AS segment,
+  o_orderpriority AS priority, 'go live' AS last_note, CAST(n_modules AS INTEGER) AS n_modules
+FROM {ORDERS} LEFT JOIN modules ON o_orderkey = l_orderkey""",
     "quotation_lookup": f"""WITH {LANDED}
 SELECT request_seq, r.quotation_id, COALESCE(status, 404) AS http_status, customer
 FROM requests r LEFT JOIN landed l ON r.quotation_id = l.quotation_id""",
@@ -283,15 +297,9 @@ UNION ALL SELECT p_partkey, 'first_page_footer', 0, 0, p_name FROM part""",
     "result_sink": RESULTS,
     "contract_projection": f"""WITH {RECORD}
 SELECT {", ".join(f'"{f}"' for f in CONTRACT_FIELDS)} FROM record""",
-    "parse_extraction": f"""SELECT o_orderkey, o_orderpriority <> '3-MEDIUM' AS parsed,
-  {of_reply(ID)} AS "raw_Contract_id",
-  {of_reply("c_name")} AS "raw_Customer_company_name",
-  CASE WHEN o_orderpriority NOT IN ('1-URGENT', '3-MEDIUM') THEN {S} END AS "raw_Customer_tax_id",
-  CASE WHEN o_orderpriority = '2-HIGH' THEN CAST(o_custkey AS VARCHAR) END AS "raw_Standard_users_count",
-  {of_reply(mark(ID))} AS "marked_Contract_id",
-  {of_reply(mark("c_name"))} AS "marked_Customer_company_name",
-  CASE WHEN o_orderpriority NOT IN ('1-URGENT', '3-MEDIUM') THEN {S} END AS "marked_Customer_tax_id",
-  CASE WHEN o_orderpriority = '2-HIGH' THEN CAST(o_custkey AS VARCHAR) END AS "marked_Standard_users_count"
+    "parse_extraction": f"""SELECT o_orderkey, {REPLY_GOOD} AS parsed,
+  {", ".join(f'{of_reply(REPLY_RAW.get(f, "NULL"))} AS "raw_{f}"' for f in CONTRACT_FIELDS)},
+  {", ".join(f'{of_reply(REPLY_MARKED.get(f, "NULL"))} AS "marked_{f}"' for f in CONTRACT_FIELDS)}
 FROM {ORDERS}""",
     "schema_conformance": f"""WITH reply AS (
   SELECT o_orderkey, o_orderpriority, {REPLY_KEYS} AS keys, {whole(CONTRACT_FIELDS)} AS declared FROM {ORDERS})
