@@ -19,7 +19,7 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 #: Labelled rows per language to learn from, as an expectation: rows are drawn by a hash.
-SAMPLE_PER_LANG = 600
+SAMPLE_PER_LANG = 300
 DIMENSIONS = 4096
 EPOCHS = 12
 REGULARISATION = 1e-4
@@ -63,7 +63,7 @@ def profiles(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def linear_svm(vectors: np.ndarray, positive: np.ndarray) -> np.ndarray:
     """Weights and bias of a linear support vector machine, by averaged subgradient steps."""
-    x = np.hstack([vectors, np.ones((len(vectors), 1))])
+    x = np.hstack([vectors, np.ones((len(vectors), 1), np.float32)])
     y = np.where(positive, 1.0, -1.0)
     # Both classes weigh the same, however many rows each has.
     weight = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~positive).sum(), 1))
@@ -176,9 +176,9 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     sampled = labelled.where(drawn).select("lang", "text")
     rows = sampled.mapInArrow(_profiled, "lang string, vector binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["vector"])))  # the same model on every run
-    vectors = np.array([np.frombuffer(r["vector"], np.float32) for r in rows], np.float64)
     if not rows:
         return Model({}, {}, {})
+    vectors = np.stack([np.frombuffer(r["vector"], np.float32) for r in rows])
     return fit(vectors, np.array([r["lang"] for r in rows], object))
 
 
