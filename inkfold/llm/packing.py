@@ -14,7 +14,7 @@ CAPACITIES = (512, 1024, 2048, 4096)
 FIXED_COST, QUADRATIC = 32.0, 16384.0
 #: Pieces packed together by one task. More waste less at the end of a shard; memory is in
 #: proportion, for a piece is a few numbers.
-SHARD_PIECES = 16_384
+SHARD_PIECES = 4_096
 
 PACKED = (
     "doc_id bigint, piece int, start bigint, n_words bigint, bin string, bin_capacity int, "
