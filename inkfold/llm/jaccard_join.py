@@ -40,6 +40,8 @@ MOST_LIGHT = 16
 
 #: A text has more shingles than its bytes would make of other hashes.
 HASH_PARTS = 3
+#: Rows whose sets are put together at once.
+ROWS_AT_ONCE = 500
 #: Bits of a hash that tell shingles apart, and words of the bitmap of a set.
 TOLD_APART, BITMAP_WORDS = np.uint64(0xFFFFFFFFFFFFFF00), 16
 SETS = (
@@ -102,7 +104,7 @@ def _assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Sets that recur as a whole are one node; a set with shingles of its own is a node of its own.
     """
-    for batch in batches:
+    for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
         nodes, sets, bits = [], [], []
         columns = [batch.column(name).to_pylist() for name in ("data", "n", "key", "sig")]
         for data, n, key, sig in zip(*columns, strict=True):
@@ -193,21 +195,21 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
 def prefixes(nodes: DataFrame, counts: DataFrame, light: int) -> DataFrame:
     """``(shingle, node, n, alone, place)``: the rarest shingles of each set that heavy sets can meet.
 
-    The order is the same for all: shingles of one document come first and stand in no list,
-    then the rarer, then by hash.
+    The order is the same for all: shingles of one set come first and stand in no list, so they are
+    counted only; then the rarer, then by hash. ``alone`` counts those that no other text has.
     """
     indexed = nodes.where(F.col("n") * UNDER >= light * OVER)
     entries = indexed.select("node", "n", F.size("shingles").alias("kept"), F.explode("shingles").alias("shingle"))
     ranked = (
-        entries.join(counts, "shingle")
+        entries.join(counts.where("df > 1"), "shingle")
         .groupBy("node", "n", "kept")
         .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("items"))
-        .withColumn("alone", F.col("n") - F.col("kept"))
+        .withColumns({"alone": F.col("n") - F.col("kept"), "before": F.col("n") - F.size("items")})
     )
-    taken = F.slice("items", F.lit(1), F.greatest(prefix_length(F.col("n")) - F.col("alone"), F.lit(0)).cast("int"))
-    listed = ranked.select("node", "n", "alone", F.posexplode(taken).alias("at", "item"))
-    return listed.where("item.df > 1").select(
-        F.col("item.shingle").alias("shingle"), "node", "n", "alone", (F.col("alone") + F.col("at")).alias("place")
+    taken = F.slice("items", F.lit(1), F.greatest(prefix_length(F.col("n")) - F.col("before"), F.lit(0)).cast("int"))
+    listed = ranked.select("node", "n", "alone", "before", F.posexplode(taken).alias("at", "item"))
+    return listed.select(
+        F.col("item.shingle").alias("shingle"), "node", "n", "alone", (F.col("before") + F.col("at")).alias("place")
     )
 
 

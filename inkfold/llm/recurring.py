@@ -23,7 +23,7 @@ PART_BYTES = 24 << 20
 #: Bits of a hash that do when a false match costs a look, not an error: 48 of 64.
 SHORT = np.uint64(0xFFFFFFFFFFFF0000)
 #: Hashes packed at once by a task.
-BLOCK_HASHES = 1 << 20
+BLOCK_HASHES = 1 << 19
 NO_ID = (1 << 63) - 1
 _WITNESS = np.uint32(0xFFFFFFFF)
 
@@ -217,7 +217,9 @@ def answers(blocks: DataFrame, compare: Callable) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        return compared(table, compare)
+        found = compared(table, compare)
+        pa.default_memory_pool().release_unused()
+        return found
 
     return blocks.groupBy("part").applyInArrow(run, TOLD).groupBy("dest").applyInArrow(_gathered, ANSWERS)
 

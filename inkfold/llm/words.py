@@ -63,6 +63,9 @@ def chunks(
                 batch.slice(at, to - at), data[offsets[0] : offsets[-1]], offsets - offsets[0]
             )
             at = to
+        # Workers live on from stage to stage: what a batch took goes back to the machine.
+        del batch, column
+        pa.default_memory_pool().release_unused()
 
 
 class Words(NamedTuple):
