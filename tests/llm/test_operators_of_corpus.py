@@ -222,6 +222,23 @@ def test_language_of_awkward_texts(docs, rows, spark):
     assert {r["lang_pred"] for r in language.identify(unknown).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_is_in_no_learned_language(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    draw = random.Random(8)
+    foreign = [
+        "De gemeente heeft besloten dat de nieuwe weg langs het kanaal volgend jaar wordt aangelegd, omdat er veel auto's rijden.",
+        "Gmina zdecydowała, że nowa droga wzdłuż kanału zostanie zbudowana w przyszłym roku, bo jeździ tam coraz więcej aut.",
+        "Городской совет решил построить новую дорогу вдоль канала в следующем году.",
+        *("".join(draw.choices("abcdefghijklmnopqrstuvwxyz    ", k=n)) for n in (80, 300, 2000)),
+    ]
+    made = [(-1 - i, text, None) for i, text in enumerate(foreign)]
+    # A text in two learned languages stays.
+    halves = [table.where(F.col("lang") == lang).orderBy("doc_id").first()["text"][:600] for lang in ("de", "fr")]
+    made.append((-100, " ".join(halves), None))
+    kept = {r["doc_id"] for r in language.in_known_language(table.union(spark.createDataFrame(made, table.schema))).collect()}
+    assert kept == {r["doc_id"] for r in table.collect()} | {-100}
+
+
 def check_bins(lengths, capacities):
     lengths = sorted(lengths, reverse=True)
     owner, offset, final, used = packing.best_fit(lengths, capacities)
