@@ -273,6 +273,7 @@ class Encoder:
         self.known: dict[bytes, int] = {}
         empty = np.zeros(0, np.int64)
         self.store = Segmented(empty, empty, empty, np.zeros(0, np.int32))
+        self.ends = empty
 
     def learn(self, units: list[bytes]) -> None:
         texts = [u.decode("utf-8", "surrogatepass").replace(" ", MARK) for u in units]
@@ -307,15 +308,26 @@ class Encoder:
             self.learn(new)
         return np.array([self.known[u] for u in units], np.int64)
 
+    def stored(self, unit: bytes) -> tuple[int, ...]:
+        """The best segmentation of a unit that was looked up."""
+        place = self.known[unit]
+        if len(self.ends) != len(self.store.counts):
+            self.ends = np.cumsum(self.store.counts)
+        return tuple(self.store.ids[self.ends[place] - self.store.counts[place] : self.ends[place]].tolist())
+
     def segmentations(self, units: list[bytes], gaps: np.ndarray) -> list[tuple[int, dict[int, tuple[int, ...]]]]:
         """The best ways to segment a text: what each loses, and the units that differ.
 
         Units are independent, so only the n - 1 with the least gaps can differ in the n best.
+        The stored way of a unit comes first, whichever of several best ones the search gives first.
         """
         open_units = [i for i in np.argsort(gaps, kind="stable")[: self.n - 1].tolist() if gaps[i] < NO_SECOND]
         choices = []
         for i in open_units:
             ways = self.alternatives(units[i].decode("utf-8", "surrogatepass").replace(" ", MARK))
+            first = self.stored(units[i])
+            others = [(score, ids) for score, ids in ways if tuple(ids) != first]
+            ways = [(ways[0][0], first), *others][: self.n]
             choices.append([(ways[0][0] - score, i, ids) for score, ids in ways])
         ranked = sorted(product(*(range(len(c)) for c in choices)), key=lambda pick: (sum(c[k][0] for c, k in zip(choices, pick, strict=True)), pick))
         return [

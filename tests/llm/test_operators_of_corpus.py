@@ -305,6 +305,12 @@ def test_n_best_pieces(text):
         assert pieces.decode(ids, vocab).decode() == plain
 
 
+@pytest.mark.parametrize("text", ["x*****", "if:\n" + " " * 18 + "word", "=" * 9 + " ab", "a" + "-" * 40, "y***** z*****"])
+def test_n_best_pieces_of_tied_units(text):
+    test_n_best_pieces(text)
+    assert len(pieces.encode(text)) == pieces.N_BEST
+
+
 def test_piece_encoding(docs, rows):
     found = pieces.piece_encoding(docs).collect()
     assert len(found) == len(rows) and all(r["round_trip"] for r in found)
