@@ -37,10 +37,13 @@ PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your[_-
 LEAST_ENTROPY = 3.0
 #: A value that more owners have than this is a copied example, not somebody's credential.
 MAX_OWNERS = 2
+#: So is one in more repositories than this, however few own them.
+MAX_REPOSITORIES = 3
 #: One bit of a bigint each; see ``ownership``.
 SALTS = 64
 
 CANDIDATE = "struct<start:int,rank:int,end:int,kind:string,digest:string,live:boolean>"
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string,owners:bigint,repositories:bigint>>"
 SCANNED = (
     "doc_id bigint, sig int, owner string, repository string, n_assign bigint, n_access bigint, n_hex bigint, "
     f"base_sha256 string, candidates array<{CANDIDATE}>"
@@ -151,15 +154,18 @@ def secret_scan(
     owner: Column | None = None,
     repository: Column | None = None,
     max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """Secrets of each row and whether they look like a live credential of one owner.
 
     ``owner`` and ``repository`` name where a row comes from; by default the source, and the
     source with the language. Returns ``(doc_id, n_assign, n_access, n_hex, base_sha256, spans,
-    n_added, n_live, n_copied, span_list)``. Spans of the fixed patterns are always
-    reported. A candidate of the wider patterns is added if it looks live and at most
-    ``max_owners`` owners have its value anywhere in the corpus. ``n_live`` counts such values
-    among all spans, ``n_copied`` the candidates that more owners have.
+    n_added, n_live, n_copied, owners, repositories, sig, span_list)``. Spans of the fixed patterns
+    are always reported. A candidate of the wider patterns is added if it looks live and at most
+    ``max_owners`` owners, in at most ``max_repositories`` repositories of theirs together, have its
+    value anywhere in the corpus. ``n_live`` counts such values among all spans, ``n_copied`` the
+    candidates that more owners or repositories have. ``owners`` and ``repositories`` list how many
+    have the value of each span, in the order of ``spans``.
 
     Null texts count as empty, null owners as one unknown owner. Repeated rows are rows of their
     own. Other columns are not read. Texts are scanned once, whole; what is written and shuffled
@@ -181,23 +187,20 @@ def secret_scan(
         "salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
     )
     judged = candidates.join(ownership(candidates), ["digest", "salt"])
-    few = F.col("owners") <= max_owners
-    added = (F.col("rank") >= len(BASE_KINDS)) & F.col("live") & few
-    span = F.struct("start", "rank", "end", "kind")
+    few = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    fixed = F.col("rank") < len(BASE_KINDS)
+    added = ~fixed & F.col("live") & few
+    span = F.struct("start", "rank", "end", "kind", "owners", "repositories")
     per_row = judged.groupBy("row").agg(
-        F.collect_list(F.when(added, span)).alias("added"),
+        F.sort_array(F.collect_list(F.when(fixed | added, span))).alias("span_list"),
+        F.count_if(added).alias("n_added"),
         F.count_if(F.col("live") & few).alias("n_live"),
         F.count_if(~few).alias("n_copied"),
     )
-    base = F.transform(
-        F.filter("candidates", lambda c: c["rank"] < len(BASE_KINDS)),
-        lambda c: F.struct(*[c[x].alias(x) for x in ("start", "rank", "end", "kind")]),
-    )
     zero = F.lit(0).cast("bigint")
     # A row with candidates meets its own ones only: no row number is hot.
     joined = scanned.join(per_row, "row", "left").withColumn(
-        "span_list",
-        F.sort_array(F.when(F.col("added").isNull(), base).otherwise(F.concat(base, "added"))),
+        "span_list", F.coalesce("span_list", F.from_json(F.lit("[]"), SPANS))
     )
     text_form = F.transform("span_list", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     return joined.select(
@@ -205,9 +208,10 @@ def secret_scan(
         *[f"n_{kind}" for kind in BASE_KINDS],
         "base_sha256",
         F.array_join(text_form, ",").alias("spans"),
-        F.coalesce(F.size("added").cast("bigint"), zero).alias("n_added"),
+        F.coalesce("n_added", zero).alias("n_added"),
         F.coalesce("n_live", zero).alias("n_live"),
         F.coalesce("n_copied", zero).alias("n_copied"),
+        *[F.array_join(F.col("span_list")[name].cast("array<string>"), ",").alias(name) for name in ("owners", "repositories")],
         "sig",
         "span_list",
     )

@@ -176,6 +176,17 @@ def test_ownership_separates_examples_from_credentials(spark):
     assert all(found[i]["spans"] == "" and found[i]["n_copied"] == 1 for i in range(9))
 
 
+def test_value_of_one_owner_in_many_repositories_is_copied(spark):
+    live, copied = "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8", "ghp_" + "z9Y8x7W6v5U4t3S2r1Q0p9O8n7M6l5K4j3I2"
+    made = [row(i, f"use {copied} here", lang=f"l{i}") for i in range(9)]
+    made += [row(9, f"mine {live} ok deadbeefdeadbeef"), row(10, f"mine {live} ok", lang="de")]
+    found = {r["doc_id"]: r for r in secret_scan.secret_scan(spark.createDataFrame(made, SCHEMA)).collect()}
+    for i in range(9):
+        assert (found[i]["spans"], found[i]["n_added"], found[i]["n_live"], found[i]["n_copied"]) == ("", 0, 0, 1)
+    assert (found[9]["n_live"], found[9]["owners"], found[9]["repositories"]) == (1, "1,1", "2,1")
+    assert found[10]["n_added"] == found[10]["n_live"] == 1 and found[10]["n_copied"] == 0
+
+
 def test_redacted_text():
     spans = [{"start": 2, "end": 4}, {"start": 3, "end": 6}, {"start": 6, "end": 7}, {"start": 9, "end": 10}]
     mark = secret_scan.MARK
