@@ -28,8 +28,13 @@ ADDED_KINDS = {
         r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})"
     ),
     "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "pem": re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,8000}-----END"),
-    "entropy": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,512}(?![A-Za-z0-9+/_=-])"),
+    # Header lines, then the key. Nothing passes five hyphens and nothing is tried twice, so a text
+    # is read about once, however many blocks are left open in it.
+    "pem": re.compile(
+        r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
+        r"(?:\s*+[A-Za-z][A-Za-z0-9-]*+:(?:[^\r\n-]|-(?!----))*+)*+[A-Za-z0-9+/=\s]{40,}+-----END"
+    ),
+    "entropy": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}+"),
 }
 KINDS = [*BASE_KINDS, *ADDED_KINDS]
 PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|test|xxxx|12345|abcdef")
@@ -62,7 +67,10 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def added_spans(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Candidates of the wider patterns, clear of the fixed ones and of each other."""
+    """Candidates of the wider patterns, clear of the fixed ones and of each other.
+
+    Only a PEM block may hold fixed ones: its headers can have hex digits.
+    """
     found: list[tuple[str, int, int, str]] = []
     matches = [(k, m) for k, pattern in ADDED_KINDS.items() for m in pattern.finditer(text)]
     covered = bytearray(len(text) if matches else 0)
@@ -70,7 +78,7 @@ def added_spans(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple
         covered[start:end] = b"\1" * (end - start)
     for kind, match in matches:
         start, end = match.span()
-        if covered.find(1, start, end) < 0:
+        if kind == "pem" or covered.find(1, start, end) < 0:
             found.append((kind, start, end, match[0]))
             covered[start:end] = b"\1" * (end - start)
     return found
