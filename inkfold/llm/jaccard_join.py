@@ -45,7 +45,7 @@ ROWS_AT_ONCE = 500
 #: Bits of a hash that tell shingles apart, and words of the bitmap of a set.
 TOLD_APART, BITMAP_WORDS = np.uint64(0xFFFFFFFFFFFFFF00), 16
 SETS = (
-    "key bigint, sig int, n bigint, copies bigint, node string, shingles array<bigint>, "
+    "key bigint, sig bigint, n bigint, copies bigint, node string, shingles array<bigint>, "
     "bits array<bigint>"
 )
 SUBSETS = "subset binary, low int, high int, n int, node string"

@@ -31,7 +31,7 @@ _WITNESS = np.uint32(0xFFFFFFFF)
 #: group of texts that a settled block is for.
 BLOCKS = "part int, dest int, block binary"
 TOLD = "dest int, block binary"
-ANSWERS = "key bigint, sig int, n bigint, copies bigint, data binary"
+ANSWERS = "key bigint, sig bigint, n bigint, copies bigint, data binary"
 
 
 def row_key() -> Column:
@@ -39,11 +39,11 @@ def row_key() -> Column:
 
 
 def row_sig() -> Column:
-    return F.hash(F.coalesce(F.col("text"), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``(key, sig, text)``: the id (the largest number for null) and a signature of the text.
+    """``(key, sig, text)``: the id (the largest number for null) and 64 bits of a hash of the text.
 
     Rows that repeat an id with another text stay apart by the signature; rows equal in both
     get equal results, whichever of them an answer is joined to.

@@ -50,7 +50,7 @@ SALTS = 64
 CANDIDATE = "struct<start:int,rank:int,end:int,kind:string,digest:string,live:boolean>"
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,owners:bigint,repositories:bigint>>"
 SCANNED = (
-    "doc_id bigint, sig int, owner string, repository string, n_assign bigint, n_access bigint, n_hex bigint, "
+    "doc_id bigint, sig bigint, owner string, repository string, n_assign bigint, n_access bigint, n_hex bigint, "
     f"base_sha256 string, candidates array<{CANDIDATE}>"
 )
 

@@ -207,6 +207,16 @@ def test_long_secrets_are_found_whole():
     assert time.perf_counter() - started < 20
 
 
+def test_texts_without_id_stay_apart(spark):
+    # Two texts with the same 32-bit hash.
+    texts = ['token = "Zx81hQp0Lm4Tn7Rs" 21224', '187276 words before password = "Qk82hWp0Lm4Tn7Rs"']
+    frame = spark.createDataFrame([row(None, t) for t in texts], SCHEMA)
+    assert frame.select(F.hash("text")).distinct().count() == 1
+    found = sorted(r["text"] for r in secret_scan.redacted(frame).collect())
+    assert found == ['187276 words before [secret]"', '[secret]" 21224']
+    assert ordered(jaccard_join.near_duplicates(frame).collect()) == [(None, 1, None), (None, 2, None)]
+
+
 def test_redacted_text():
     spans = [{"start": 2, "end": 4}, {"start": 3, "end": 6}, {"start": 6, "end": 7}, {"start": 9, "end": 10}]
     mark = secret_scan.MARK
