@@ -29,14 +29,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     smaller neighbours, and the node itself, move there too. Both keep components, and alternating
     them leaves one star per component after about log-squared rounds. Every round is two
     groupings and two joins over the edges, written to the shared folder; a node with very many
-    neighbours is combined before the shuffle, and adaptive execution splits its join. Links that
-    are stars already, as most of near copies are, need no round.
+    neighbours is combined before the shuffle, and adaptive execution splits its join, as what it
+    is joined with is written first: a grouping by the same key in the same stage would prevent it.
+    Links that are stars already, as most of near copies are, need no round.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = written(edges.distinct(), "edges")
     while not _all_stars(edges):
         ways = _both_ways(edges)
-        around = ways.groupBy("a").agg(F.min("b").alias("m"))
+        around = written(ways.groupBy("a").agg(F.min("b").alias("m")), "around")
         large = (
             ways.join(around, "a")
             .where(F.col("b") > F.col("a"))
@@ -44,7 +45,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .where("a <> b")
         )
         large = written(large, "edges")
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        below = written(large.groupBy("a").agg(F.min("b").alias("m")), "below")
         small = (
             large.join(below, "a")
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))

@@ -8,6 +8,7 @@ light sets near them in size; what they find is compared in full. The boundary b
 is the one with the least estimated cost.
 """
 
+import base64
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
@@ -19,16 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm.components import connected_components
-from inkfold.llm.recurring import (
-    NO_ID,
-    PART_BYTES,
-    id_of,
-    keyed,
-    parts_for,
-    recurring,
-    row_key,
-    row_sig,
-)
+from inkfold.llm.counted import Gathered, counted
+from inkfold.llm.recurring import NO_ID, PART_BYTES, id_of, keyed, parts_for, row_key, row_sig
 from inkfold.llm.words import LOWER, Chunk, chunks, find_words, inside, mix, window_hashes, word_hashes
 from inkfold.session import written
 
@@ -40,14 +33,17 @@ MOST_LIGHT = 16
 
 #: A text has more shingles than its bytes would make of other hashes.
 HASH_PARTS = 3
-#: Rows whose sets are put together at once.
-ROWS_AT_ONCE = 500
 #: Bits of a hash that tell shingles apart, and words of the bitmap of a set.
 TOLD_APART, BITMAP_WORDS = np.uint64(0xFFFFFFFFFFFFFF00), 16
+#: A node is named by 96 bits of a hash of its set.
+NODE_BYTES = 12
 SETS = (
-    "key bigint, sig bigint, n bigint, copies bigint, node string, shingles array<bigint>, "
-    "bits array<bigint>"
+    "key bigint, sig bigint, n bigint, copies bigint, node string, shingles binary, bits array<bigint>, "
+    "rare array<bigint>, kept int, totals double"
 )
+PAIRS = "a string, b string"
+#: Members of an inverted list whose pairs are made at once; longer lists are dealt into blocks.
+LIST_MEMBERS = 512
 SUBSETS = "subset binary, low int, high int, n int, node string"
 
 
@@ -99,37 +95,38 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Recurring shingles of each document as one sorted set; no node where they cannot link.
+def _nodes(found: Gathered) -> pa.Table:
+    """One row per text with its node, the shared part of its set and the rarest shingles of it.
 
     Sets that recur as a whole are one node; a set with shingles of its own is a node of its own.
+    A set of which too few shingles recur cannot link and has none. The order of shingles is the same for
+    all: those that one text has come first and are counted only, then the rarer, then by hash.
     """
-    for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
-        nodes, sets, bits = [], [], []
-        columns = [batch.column(name).to_pylist() for name in ("data", "n", "key", "sig")]
-        for data, n, key, sig in zip(*columns, strict=True):
-            shared = np.unique(np.frombuffer(data, np.uint64))
-            if n and UNDER * len(shared) >= OVER * n:
-                salt = b"" if len(shared) == n else f"{key}:{sig}".encode()
-                nodes.append(hashlib.blake2b(shared.tobytes(), digest_size=16, key=salt).hexdigest())
-                sets.append(shared.view(np.int64))
-                bits.append(bitmap(shared))
-            else:
-                nodes.append(None)
-                sets.append(None)
-                bits.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("key"),
-                batch.column("sig"),
-                batch.column("n"),
-                batch.column("copies"),
-                pa.array(nodes, pa.string()),
-                pa.array(sets, pa.list_(pa.int64())),
-                pa.array(bits, pa.list_(pa.int64())),
-            ],
-            names=["key", "sig", "n", "copies", "node", "shingles", "bits"],
-        )
+    nodes, sets, bits, rare = [], [], [], []
+    for i, n in enumerate(found.n.tolist()):
+        own = slice(found.bounds[i], found.bounds[i + 1])
+        shared = found.hashes[own]
+        if not n or UNDER * len(shared) < OVER * n:
+            for column in (nodes, sets, bits, rare):
+                column.append(None)
+            continue
+        salt = b"" if len(shared) == n else f"{found.keys[i]}:{found.sigs[i]}".encode()
+        digest = hashlib.blake2b(shared.tobytes(), digest_size=NODE_BYTES, key=salt).digest()
+        taken = n - -(-OVER * n // UNDER) + 1 - (n - len(shared))
+        nodes.append(base64.b64encode(digest).decode())
+        sets.append(shared.tobytes())
+        bits.append(bitmap(shared))
+        rare.append(shared[np.lexsort((shared, found.totals[own]))[:taken]].view(np.int64))
+    entries = np.add.reduceat(np.append(found.totals, 0).astype(np.float64), found.bounds[:-1])
+    entries[np.diff(found.bounds) == 0] = 0
+    columns = {
+        "key": pa.array(found.keys), "sig": pa.array(found.sigs), "n": pa.array(found.n),
+        "copies": pa.array(found.copies), "node": pa.array(nodes, pa.string()),
+        "shingles": pa.array(sets, pa.binary()), "bits": pa.array(bits, pa.list_(pa.int64())),
+        "rare": pa.array(rare, pa.list_(pa.int64())), "kept": pa.array(np.diff(found.bounds).astype(np.int32)),
+        "totals": pa.array(entries),
+    }
+    return pa.table(columns)
 
 
 def _subsets(most: int):
@@ -140,7 +137,7 @@ def _subsets(most: int):
             rows: list[tuple] = []
             for row in batch.to_pylist():
                 n, node = row["n"], row["node"]
-                items = [int(x).to_bytes(8, "big", signed=True) for x in row["shingles"]]
+                items = [row["shingles"][at : at + 8] for at in range(0, len(row["shingles"]), 8)]
                 for m in partners(n, most):
                     for chosen in combinations(items, needed(n, m)):
                         digest = hashlib.blake2b(b"".join(chosen), digest_size=16).digest()
@@ -168,10 +165,12 @@ def light_links(nodes: DataFrame, most: int) -> DataFrame:
     small = nodes.where(F.col("n") <= most)
     rows = small.select("n", "node", "shingles").mapInArrow(_subsets(most), SUBSETS)
     keys = ["subset", "low", "high"]
+    rows = written(rows, "subsets")
     firsts = rows.groupBy(*keys).agg(
         F.min(F.when(F.col("n") == F.col("low"), F.col("node"))).alias("of_low"),
         F.min(F.when(F.col("n") == F.col("high"), F.col("node"))).alias("of_high"),
     )
+    firsts = written(firsts, "firsts")
     other = F.when(F.col("n") == F.col("low"), F.col("of_high")).otherwise(F.col("of_low"))
     tied = rows.join(firsts.where("of_low IS NOT NULL AND of_high IS NOT NULL"), keys)
     return tied.select(F.col("node").alias("a"), other.alias("b")).where("a <> b").distinct()
@@ -192,25 +191,15 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
     return min(range(MOST_LIGHT + 1), key=cost)
 
 
-def prefixes(nodes: DataFrame, counts: DataFrame, light: int) -> DataFrame:
+def prefixes(nodes: DataFrame, light: int) -> DataFrame:
     """``(shingle, node, n, alone, place)``: the rarest shingles of each set that heavy sets can meet.
 
-    The order is the same for all: shingles of one set come first and stand in no list, so they are
-    counted only; then the rarer, then by hash. ``alone`` counts those that no other text has.
+    ``alone`` counts those that no other text has: they come first, and stand in no list.
     """
     indexed = nodes.where(F.col("n") * UNDER >= light * OVER)
-    entries = indexed.select("node", "n", F.size("shingles").alias("kept"), F.explode("shingles").alias("shingle"))
-    ranked = (
-        entries.join(counts.where("df > 1"), "shingle")
-        .groupBy("node", "n", "kept")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("items"))
-        .withColumns({"alone": F.col("n") - F.col("kept"), "before": F.col("n") - F.size("items")})
-    )
-    taken = F.slice("items", F.lit(1), F.greatest(prefix_length(F.col("n")) - F.col("before"), F.lit(0)).cast("int"))
-    listed = ranked.select("node", "n", "alone", "before", F.posexplode(taken).alias("at", "item"))
-    return listed.select(
-        F.col("item.shingle").alias("shingle"), "node", "n", "alone", (F.col("before") + F.col("at")).alias("place")
-    )
+    alone = (F.col("n") - F.col("kept")).alias("alone")
+    listed = indexed.select("node", "n", alone, F.posexplode("rare").alias("at", "shingle"))
+    return listed.select("shingle", "node", "n", "alone", (F.col("alone") + F.col("at")).alias("place"))
 
 
 def _can_link(light: int) -> Column:
@@ -232,36 +221,48 @@ def _bits_agree() -> Column:
     return apart <= n + m - 2 * F.ceil((n + m) * OVER / (OVER + UNDER)).cast("int")
 
 
+def _linking(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that overlap enough."""
+    for batch in batches:
+        left, right = batch.column("s_a"), batch.column("s_b")
+        sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        both = np.zeros(batch.num_rows, np.int64)
+        for i in range(batch.num_rows):
+            a, b = (np.frombuffer(x[i].as_buffer(), np.uint64) for x in (left, right))
+            places = np.searchsorted(b, a)
+            both[i] = np.count_nonzero(b[np.minimum(places, len(b) - 1)] == a)
+        yield batch.select(["a", "b"]).filter(pa.array(both * (OVER + UNDER) >= sizes * OVER))
+
+
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that link, compared in full."""
+    """The pairs (a, b) of nodes that link, compared by all their shingles."""
     sides = [
         nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}"))
         for x in "ab"
     ]
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    joined = pairs.join(sides[0], "a").join(sides[1], "b")
-    return joined.where(both * (OVER + UNDER) >= (F.col("n_a") + F.col("n_b")) * OVER).select("a", "b")
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_linking, PAIRS)
 
 
 def components_of(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(key, sig, n, copies, component)``: one row per id and text, see ``near_duplicates``."""
     rows = keyed(docs)
-    parts = parts_for(rows, part_bytes)
-    shared = recurring(rows, shingle_hashes, parts, with_counts=True, hash_parts=HASH_PARTS)
-    sets = written(shared.mapInArrow(_assembled, SETS), "sets")
+    groups = parts_for(rows, part_bytes)
+    sets = written(counted(rows, shingle_hashes, groups, groups * HASH_PARTS, _nodes, SETS), "sets")
     nodes = written(
         sets.where("node IS NOT NULL").groupBy("node").agg(
             F.first("n").cast("int").alias("n"), F.first("shingles").alias("shingles"),
-            F.first("bits").alias("bits"), F.min("key").alias("key"),
+            F.first("bits").alias("bits"), F.first("rare").alias("rare"), F.first("kept").alias("kept"),
+            F.first("totals").alias("totals"), F.min("key").alias("key"),
         ),
         "nodes",
     )
     labels = connected_components(links_of(nodes))
     own = nodes.select("node", "key").join(labels, "node", "left")
-    own = own.withColumn("label", F.coalesce("label", "node"))
-    least = own.groupBy("label").agg(F.min("key").alias("component"))
+    own = written(own.withColumn("label", F.coalesce("label", "node")), "labels")
+    # Written, so that adaptive execution can split the rows of a large component.
+    least = written(own.groupBy("label").agg(F.min("key").alias("component")), "least")
     of_node = own.join(least, "label").select("node", "component")
-    sets = sets.drop("shingles", "bits")
+    sets = sets.select("key", "sig", "n", "copies", "node")
     linked = sets.where("node IS NOT NULL").join(of_node, "node")
     alone = sets.where("node IS NULL").withColumn("component", F.col("key"))
     return linked.unionByName(alone).drop("node")
@@ -281,6 +282,10 @@ def near_duplicates(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     The second compares members of one list that are still in different components, unless their
     bitmaps differ in more bits than their sets may in shingles. So groups of near copies cost
     about their size, and no link is lost.
+
+    Shingles are known by 56 bits of a hash, and sets are compared by these in full; the words
+    themselves are not compared. Two different shingles of two documents of 500 words are taken
+    for one with a chance below one in 10^11.
     """
     every = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
     return (
@@ -295,7 +300,11 @@ def near_duplicates(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows, all columns as they are, with the least id of their component."""
+    """The rows, all columns as they are, with the least id of their component.
+
+    Rows that repeat an id and text all stay if theirs stays, and so do rows without an id whose
+    partners have none either: nothing tells them apart.
+    """
     first = components_of(docs).where(F.col("key") == F.col("component"))
     first = first.select("key", "sig").hint("shuffle_hash")
     rows = docs.select(F.struct("*").alias("row"), row_key().alias("key"), row_sig().alias("sig"))
@@ -303,17 +312,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def links_of(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (node, n, shingles) that give the components of all links."""
-    spread = nodes.select(F.explode("shingles").alias("shingle"))
-    counts = written(spread.groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("df")), "counts")
-    mean = counts.agg((F.sum(F.col("df").cast("double") * F.col("df")) / F.sum("df")).alias("x")).first()["x"]
+    """Links (a, b) between nodes that give the components of all links."""
+    mean = nodes.agg((F.sum("totals") / F.sum("kept")).alias("x")).first()["x"]
     by_size = nodes.where(F.col("n") <= UNDER * MOST_LIGHT).groupBy("n").count().collect()
     light = boundary({r["n"]: r["count"] for r in by_size}, mean or 1.0)
-    lists = written(prefixes(nodes, counts, light), "prefixes")
+    lists = written(prefixes(nodes, light), "prefixes")
+    # Aggregates are written before they are joined by their key: adaptive execution splits a hot key
+    # only where the other side of the join is not aggregated by it in the same stage.
     firsts = lists.groupBy("shingle").agg(
         F.min(F.struct("place", "node", "n")).alias("first"), F.count(F.lit(1)).alias("members")
     )
-    stars = lists.join(firsts.where("members > 1"), "shingle").select(
+    firsts = written(firsts.where("members > 1"), "firsts")
+    stars = lists.join(firsts, "shingle").select(
         F.col("node").alias("a"), "n", "place", F.col("first.node").alias("b"),
         F.col("first.n").alias("m"), F.col("first.place").alias("other_place"),
     )
@@ -322,20 +332,66 @@ def links_of(nodes: DataFrame) -> DataFrame:
     # Second pass: lists whose members are still apart.
     labels = connected_components(found)
     labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per_label = labelled.select("shingle", "label").distinct()
-    apart = per_label.groupBy("shingle").count().where("count > 1").select("shingle")
+    labelled = written(labelled.join(firsts.select("shingle", "members"), "shingle"), "labelled")
+    apart = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    apart = written(apart.where("least < most").select("shingle"), "apart")
     open_lists = labelled.join(apart, "shingle").join(nodes.select("node", "bits"), "node")
     open_lists = written(open_lists, "open")
-    others = open_lists.select(
+    pairs = short_pairs(open_lists.where(F.col("members") <= LIST_MEMBERS), light).unionByName(
+        long_pairs(open_lists.where(F.col("members") > LIST_MEMBERS), light, LIST_MEMBERS)
+    )
+    known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return found.unionByName(verified(pairs.distinct().join(known, ["a", "b"], "left_anti"), nodes))
+
+
+def short_pairs(lists: DataFrame, light: int) -> DataFrame:
+    """Members of one list that are still apart and may link."""
+    others = lists.select(
         "shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("alone").alias("other_alone"),
         F.col("place").alias("other_place"), F.col("label").alias("other_label"), F.col("bits").alias("other_bits"),
     )
-    pairs = (
-        open_lists.withColumnRenamed("node", "a")
+    return (
+        lists.withColumnRenamed("node", "a")
         .join(others, "shingle")
         .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other_label")) & _can_link(light) & _bits_agree())
         .select("a", "b")
-        .distinct()
     )
-    known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return found.unionByName(verified(pairs.join(known, ["a", "b"], "left_anti"), nodes))
+
+
+def long_pairs(lists: DataFrame, light: int, block: int) -> DataFrame:
+    """The same for lists of many members: these are dealt into blocks, and blocks meet in pairs.
+
+    A pair of blocks is a group of about two ``block`` members, which are compared as arrays; pairs
+    become rows only if they may link. A list of k blocks sends each member to k groups.
+    """
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    dealt = lists.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
+        "shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
+        "node", "n", "alone", "place", "label", "bits",
+    )
+
+    def pairs(table: pa.Table) -> pa.Table:
+        n, alone, place, own = (table.column(x).to_numpy().astype(np.int64) for x in ("n", "alone", "place", "own"))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        label = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        bits = np.stack(table.column("bits").to_numpy(zero_copy_only=False)).view(np.uint64)
+        left, right = [], []
+        others = np.flatnonzero(own == high)
+        for i in np.flatnonzero(own == low):
+            j = others[(label[others] != label[i]) & ((others > i) if low == high else True)]
+            small, great = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            most = np.minimum(n[i] - place[i], n[j] - place[j])
+            sums = n[i] + n[j]
+            j = j[(small * UNDER >= great * OVER) & (great > light) & (most * (OVER + UNDER) >= sums * OVER)]
+            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) + alone[i] + alone[j]
+            least = -(-(n[i] + n[j]) * OVER // (OVER + UNDER))
+            j = j[differ <= n[i] + n[j] - 2 * least]
+            left.append(np.full(len(j), i))
+            right.append(j)
+        names = table.column("node")
+        ends = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right)]
+        return pa.table([names.take(pa.array(x)) for x in ends], names=["a", "b"])
+
+    found = met.groupBy("shingle", "low", "high").applyInArrow(pairs, PAIRS)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

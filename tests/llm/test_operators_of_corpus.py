@@ -105,10 +105,11 @@ def test_substring_dedup(docs, rows, monkeypatch, small):
     assert ordered(found) == ordered(brute.substring_dedup(pairs(rows)))
 
 
-@pytest.mark.parametrize("light", [None, 0, 7])
-def test_near_duplicates(docs, rows, monkeypatch, light):
+@pytest.mark.parametrize("light, members", [(None, 512), (0, 2), (7, 512)])
+def test_near_duplicates(docs, rows, monkeypatch, light, members):
     if light is not None:
         monkeypatch.setattr(jaccard_join, "boundary", lambda sizes, length: light)
+    monkeypatch.setattr(jaccard_join, "LIST_MEMBERS", members)  # of 2: lists are dealt into blocks
     found = jaccard_join.near_duplicates(docs, 20_000).collect()
     assert ordered(found) == ordered(brute.near_duplicates(pairs(rows)))
 
