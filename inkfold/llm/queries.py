@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkfold.llm.exact_dedup import exact_dedup
 from inkfold.llm.jaccard_join import near_duplicates
 from inkfold.llm.language import identify
+from inkfold.llm.nearest import nearest_neighbours
 from inkfold.llm.packing import best_fit_packing
 from inkfold.llm.personal_data import personal_data
 from inkfold.llm.pieces import piece_encoding
@@ -12,6 +13,7 @@ from inkfold.llm.repetition import repetition_rules
 from inkfold.llm.secret_scan import secret_scan
 from inkfold.llm.substring_dedup import substring_dedup
 from inkfold.llm.suffix_dedup import suffix_dedup
+from inkfold.llm.vector_codes import vector_codes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +70,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which codebook entries stand for each vector, and how far off are they?"""
+    return vector_codes(embeddings(spark, sf_dir))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which vectors have the largest inner products with each queried one?"""
+    return nearest_neighbours(embeddings(spark, sf_dir))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -79,6 +95,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_personal_data": op9_personal_data,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 ORACLE_SQL = {
