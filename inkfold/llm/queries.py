@@ -7,6 +7,7 @@ from inkfold.llm.jaccard_join import near_duplicates
 from inkfold.llm.language import identify
 from inkfold.llm.nearest import nearest_neighbours
 from inkfold.llm.packing import best_fit_packing
+from inkfold.llm.periodic import periodic_runs
 from inkfold.llm.personal_data import personal_data
 from inkfold.llm.pieces import piece_encoding
 from inkfold.llm.repetition import repetition_rules
@@ -79,6 +80,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(embeddings(spark, sf_dir))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stretches of each document repeat with a period, and what is left without them?"""
+    return periodic_runs(documents(spark, sf_dir))
+
+
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which vectors have the largest inner products with each queried one?"""
     return nearest_neighbours(embeddings(spark, sf_dir))
@@ -96,6 +102,7 @@ QUERIES = {
     "op9_personal_data": op9_personal_data,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_vector_codes": op11_vector_codes,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
