@@ -22,10 +22,10 @@ def blank_or_sentinel(value: Column) -> Column:
     return (value == SENTINEL) | is_blank(value)
 
 
-def wrap_value(value: Column) -> Column:
+def wrap_value(value: Column, edges: str = EDGE_CHARACTERS) -> Column:
     """Cut the edge characters and put the fill marker on both sides."""
     marker = F.lit(MARKER)
-    marked = F.concat(marker, F.btrim(value, F.lit(EDGE_CHARACTERS)), marker)
+    marked = F.concat(marker, F.btrim(value, F.lit(edges)), marker)
     return F.when(blank_or_sentinel(value), value).otherwise(marked)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkfold.constants import CONTRACT_FIELDS, SENTINEL
 from inkfold.functions import formats
 from inkfold.functions.text import not_found_fill
+from inkfold.session import written
 
 TERMS = "ARRAY<STRUCT<pct: STRING, note: STRING, amount: STRING>>"
 MODULES = "ARRAY<STRUCT<name: STRING, monthly: STRING>>"
@@ -110,6 +111,10 @@ def rule_extract(document: Column, rules: Iterable[Rule]) -> Column:
     return F.struct(*[value(field).alias(field) for field in CONTRACT_FIELDS])
 
 
+class ExtractorFailed(RuntimeError):
+    """An extractor could not read a single document of a job."""
+
+
 def batch_extract(
     documents: DataFrame,
     extractor: Callable[[pd.Series], Iterable[str | None]],
@@ -122,8 +127,12 @@ def batch_extract(
     ``partitions`` spreads slow extractors over more tasks than the input files give.
 
     A batch that fails, or comes back with another number of replies, is tried again document by
-    document: the one that fails has no reply but the text of its ``error``. If every document of
-    a task fails, the extractor is at fault and the task fails with the last error.
+    document: the one that fails has no reply but the text of its ``error``. Which rows come out does
+    not depend on how documents are dealt to tasks and batches.
+
+    Replies are written once, so that the extractor runs once whatever is made of them. If every document
+    of the whole job failed, the extractor is at fault and ``ExtractorFailed`` is raised with one of the
+    errors; no documents are no failure. A stream has no whole to judge by: its errors are rows.
     """
     source = documents.select("quotation_id", "doc")
     if partitions:
@@ -136,9 +145,7 @@ def batch_extract(
         return replies
 
     def run(batches):
-        seen, failed, last = 0, 0, None
         for batch in batches:
-            seen += len(batch)
             errors = [None] * len(batch)
             try:
                 replies = replies_of(batch["doc"])
@@ -148,11 +155,18 @@ def batch_extract(
                     try:
                         replies[i] = replies_of(batch["doc"].iloc[i : i + 1])[0]
                     except Exception as error:
-                        errors[i], last, failed = f"{type(error).__name__}: {error}", error, failed + 1
+                        errors[i] = f"{type(error).__name__}: {error}"
             yield pd.DataFrame(
                 {"quotation_id": batch["quotation_id"], "reply": replies, "error": errors}, dtype="object"
             )
-        if seen and failed == seen:
-            raise last
 
-    return source.mapInPandas(run, "quotation_id STRING, reply STRING, error STRING")
+    replies = source.mapInPandas(run, "quotation_id STRING, reply STRING, error STRING")
+    if source.isStreaming:
+        return replies
+    replies = written(replies, "replies")
+    seen = replies.agg(
+        F.count(F.lit(1)).alias("rows"), F.count("error").alias("failed"), F.min("error").alias("error")
+    ).first()
+    if seen["rows"] and seen["failed"] == seen["rows"]:
+        raise ExtractorFailed(f"all of {seen['rows']} documents failed: {seen['error']}")
+    return replies

@@ -3,25 +3,37 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.operators.joins import HOT_ROWS, salted_join, skewed_anti_join
-from inkfold.operators.sizes import is_small
+from inkfold.operators.joins import HOT_ROWS, key_counts, salted_join
+from inkfold.operators.sizes import counts_fit
 
 FOUND = 200
 NOT_FOUND = 404
+KEY = "quotation_id"
+
+
+def _measured(requests: DataFrame, small: bool | None) -> tuple[bool, DataFrame | None]:
+    """Whether the requests may be broadcast, and the counts of their ids where these were needed."""
+    if small:
+        return True, None
+    counts = key_counts(requests, KEY)
+    return (counts_fit(counts) if small is None else False), counts
 
 
 def lookup_misses(
     requests: DataFrame, landed: DataFrame, small: bool | None = None, limit: int = HOT_ROWS
 ) -> DataFrame:
-    """Requests for which nothing has landed, repeated ones included."""
-    small = is_small(requests.select("quotation_id")) if small is None else small
-    ids = landed.select("quotation_id")
+    """Requests for which nothing has landed, repeated ones and those without an id included.
+
+    Requests that turn out too many to broadcast are read twice: counted by id, and joined.
+    """
+    small, counts = _measured(requests, small)
+    ids = landed.select(KEY)
     if small:
-        wanted = requests.select("quotation_id").distinct()
-        matched = ids.join(F.broadcast(wanted), "quotation_id", "left_semi").distinct()
-        return requests.join(F.broadcast(matched), "quotation_id", "left_anti")
+        wanted = requests.select(KEY).distinct()
+        matched = ids.join(F.broadcast(wanted), KEY, "left_semi").distinct()
+        return requests.join(F.broadcast(matched), KEY, "left_anti")
     # Distinct ids, so an id that landed often is one row and only requests can be skewed.
-    return skewed_anti_join(requests, ids.distinct(), "quotation_id", limit)
+    return salted_join(requests, ids.distinct(), KEY, limit, "left_anti", counts)
 
 
 def quotation_lookup(
@@ -30,22 +42,23 @@ def quotation_lookup(
     """Every request with ``http_status`` and ``doc``.
 
     ``landed`` is ``(quotation_id, status, doc)``; a status other than 200 is passed through
-    without a document, and an id that never landed gives 404. Matches and misses are two joins:
-    a request list that passes the size check is broadcast and the documents stay where they
-    are, which an outer join could not do. A longer list is shuffled, hot ids spread.
+    without a document, and an id that never landed gives 404.
+
+    A request list that passes the size check is broadcast and the documents stay where they are;
+    an outer join could not do that, so matches and misses are two joins. A longer list is shuffled
+    with hot ids spread, in one left join that gives both: it is read once to be counted, which also
+    settles its size, and once to be joined.
     """
-    small = is_small(requests) if small is None else small
-    if small:
-        matches = landed.join(F.broadcast(requests), "quotation_id")
-    else:
-        matches = salted_join(requests, landed, "quotation_id", limit)
+    small, counts = _measured(requests, small)
     status = F.coalesce(F.col("status"), F.lit(FOUND))
-    found = matches.select(
-        *requests.columns,
-        status.alias("http_status"),
-        F.when(status == FOUND, F.col("doc")).alias("doc"),
-    )
-    missing = lookup_misses(requests, landed, small, limit).select(
+    document = F.when(status == FOUND, F.col("doc")).alias("doc")
+    if not small:
+        marked = landed.select(KEY, "status", "doc", F.lit(True).alias("_landed"))
+        joined = salted_join(requests, marked, KEY, limit, "left", counts)
+        known = F.when(F.col("_landed"), status).otherwise(NOT_FOUND).alias("http_status")
+        return joined.select(*[F.col(f"`{name}`") for name in requests.columns], known, document)
+    found = landed.join(F.broadcast(requests), KEY).select(*requests.columns, status.alias("http_status"), document)
+    missing = lookup_misses(requests, landed, True).select(
         *requests.columns,
         F.lit(NOT_FOUND).alias("http_status"),
         F.lit(None).cast("string").alias("doc"),

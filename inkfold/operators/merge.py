@@ -22,7 +22,9 @@ def fields_of(template: Sequence[Run]) -> list[str]:
 
 
 def merged_text(run: Run, values: Column) -> Column:
-    """The text of one known run: literals and field columns side by side."""
+    """The text of one known run: literals and field columns side by side, null without text."""
+    if run.text is None:
+        return F.lit(None).cast("string")
     pieces, empty = [], F.lit("")
     for literal, field in run.pieces():
         if literal:
@@ -69,8 +71,9 @@ def template_merge_data(
 ) -> DataFrame:
     """One row per document and run, the runs taken from a table by ``template_id``.
 
-    A document whose template is not in the table, or that names none, has one row without a run
-    and without text: it cannot be made, and must not go unseen.
+    ``template_found`` tells whether the document's template is in the table. Where it is not, or the
+    document names none, there is one row without a run: it cannot be made, and must not go unseen. A
+    run without text has a row without text, which says nothing about its document.
 
     A template is one row with its runs, so a document meets it once and its values travel once;
     runs become rows last. Literals and field names of a run are laid side by side and merged
@@ -81,6 +84,7 @@ def template_merge_data(
     names = [name for name in tokenized.columns if name != "template_id"]
     shown = [name for name in names if name not in ("literals", "fields")]
     whole = tokenized.groupBy("template_id").agg(F.collect_list(F.struct(*names)).alias("_runs"))
+    whole = whole.withColumn("template_found", F.lit(True))
     small = is_small(templates) if small is None else small
     values = F.map_from_arrays(
         F.array(*[F.lit(field) for field in CONTRACT_FIELDS]),
@@ -107,4 +111,5 @@ def template_merge_data(
         lambda run: F.struct(*[run.getField(n).alias(n) for n in shown], text(run).alias("text")),
     )
     kept = [F.col(f"`{name}`") for name in filled.columns if name != "_values"]
-    return joined.select(*kept, F.inline_outer(merged))
+    found = F.coalesce("template_found", F.lit(False)).alias("template_found")
+    return joined.select(*kept, found, F.inline_outer(merged))

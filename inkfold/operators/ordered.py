@@ -17,14 +17,15 @@ HOT_SHARE = 1 / 10_000
 
 
 def heavy_keys(
-    df: DataFrame, keys: list[str], limit: int, share: float = HOT_SHARE
+    df: DataFrame, keys: list[str], limit: int, share: float = HOT_SHARE, *, weight: Column | None = None
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """Keys with more than ``limit`` rows: the hot ones, small enough to broadcast, and others.
 
-    None stands for no such keys. A key that is not among the hot ones has at most ``share`` of
+    A row counts ``weight`` times where that is given. None stands for no such keys. A key that is not among the hot ones has at most ``share`` of
     all rows, so a shuffle by key is even enough for it. Counts are combined before the shuffle.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    number = F.count(F.lit(1)) if weight is None else F.sum(weight.cast("bigint"))
+    counts = df.groupBy(*keys).agg(number.alias("_rows"))
     seen = counts.agg(F.sum("_rows").alias("rows"), F.max("_rows").alias("top")).first()
     if (seen["top"] or 0) <= limit:
         return None, None
@@ -47,14 +48,25 @@ def match_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> Da
     return joined.drop(*[f"_other_{key}" for key in keys])
 
 
-def split_heavy(df: DataFrame, keys: list[str], limit: int, counted: DataFrame | None = None):
+def split_heavy(
+    df: DataFrame,
+    keys: list[str],
+    limit: int,
+    counted: DataFrame | None = None,
+    weight: Column | None = None,
+    write: bool = False,
+):
     """The rows of small groups and those of heavy ones (None where there are none).
 
-    ``counted`` is a frame that is cheaper to count and has, for each key, no fewer rows. Hot
-    keys are parted off by a broadcast before any shuffle by key.
+    ``counted`` is a frame that is cheaper to count and has, for each key, no fewer rows, or no less
+    ``weight``. Hot keys are parted off by a broadcast before any shuffle by key. With ``write`` rows that
+    have to be split are written first, so that they are made once.
     """
+    parted = heavy_keys(df if counted is None else counted, keys, limit, weight=weight)
+    if write and any(found is not None for found in parted):
+        df = written(df, "rows")
     small, heavy = df, None
-    for found in heavy_keys(df if counted is None else counted, keys, limit):
+    for found in parted:
         if found is not None:
             part = match_keys(small, found, keys, "left_semi")
             small = match_keys(small, found, keys, "left_anti")
@@ -124,13 +136,21 @@ def spread_positions(
 
 
 def dense_position(
-    df: DataFrame, keys: list[str], order: list[Column], name="position", limit=GROUP_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    name="position",
+    limit=GROUP_ROWS,
+    counted: DataFrame | None = None,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Adds the place of each row in its group, from 1 without gaps.
 
-    The groups are counted first, so ``df`` is read twice: a written table is the input to give.
+    The groups are counted first. Without ``counted`` that reads ``df`` twice: a written table is the
+    input to give. With it, see ``split_heavy``, ``df`` is read once, and written only if some group is
+    heavy.
     """
-    small, heavy = split_heavy(df, keys, limit)
+    small, heavy = split_heavy(df, keys, limit, counted, weight, write=counted is not None)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
     ranked = small.withColumn(name, rank)
     if heavy is None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkfold.constants import CONTRACT_FIELDS, SENTINEL
 from inkfold.functions.documents import read_json, variant_text, with_json
+from inkfold.functions.nested import wrap_json
 from inkfold.functions.text import wrap_value
 
 
@@ -26,21 +27,16 @@ def payload_to_json(document: Column, pretty: bool = False) -> Column:
 def _shown(value: Column) -> Column:
     """How a template shows a JSON value: text is marked, other values are written as they are.
 
-    Lists and objects of texts are shown as JSON with each text marked. Deeper nesting and mixed
-    lists are shown as JSON as it is: no field of a contract record is meant to hold them.
+    Lists and objects are shown as JSON in which every string that is a value is marked, at any depth.
     """
     text, kind = variant_text(value), F.schema_of_variant(value)
-    listed = F.try_variant_get(value, "$", "array<string>")
-    named = F.try_variant_get(value, "$", "map<string,string>")
-    of_texts = F.rlike(kind, F.lit(r"^OBJECT<[^:<>]+: STRING(?:, [^:<>]+: STRING)*>$"))
     # Most keys of a reply are absent, and absent ones are settled without asking for a kind.
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
         .when(kind == "STRING", wrap_value(text))
         .when(kind == "VOID", F.lit("None"))
         .when(kind == "BOOLEAN", F.initcap(text))
-        .when(kind == "ARRAY<STRING>", F.to_json(F.transform(listed, wrap_value)))
-        .when(of_texts, F.to_json(F.transform_values(named, lambda _, v: wrap_value(v))))
+        .when(F.rlike(kind, F.lit("^(?:ARRAY|OBJECT)<")), wrap_json(text))
         .otherwise(text)
     )
 
@@ -49,8 +45,8 @@ def parse_extraction(replies: DataFrame) -> DataFrame:
     """Adds ``parsed``, ``record`` and ``marked`` to replies given as JSON text.
 
     ``parsed`` is false for text that is not one JSON object: that document fails, the job goes
-    on. ``record`` is the typed view with null for absent keys. In ``marked`` only JSON strings
-    are marked; other values are shown as they are.
+    on. ``record`` is the typed view with null for absent keys. In ``marked`` JSON strings are
+    marked, inside lists and objects too; other values are shown as they are.
     """
     members = ", ".join(f"`{field}`: VARIANT" for field in CONTRACT_FIELDS)
     reply = F.col("_reply")

@@ -126,7 +126,16 @@ def segment_runs(runs: DataFrame) -> DataFrame:
 
 
 def segment_order(
-    segments: DataFrame, keys: list[str], limit: int = GROUP_ROWS
+    segments: DataFrame, keys: list[str], limit: int = GROUP_ROWS, runs: DataFrame | None = None
 ) -> DataFrame:
-    """Adds ``position``: the place of a segment in its document, from 1 without gaps."""
-    return dense_position(segments, keys, [*reading_order(), F.col("seg_seq")], limit=limit)
+    """Adds ``position``: the place of a segment in its document, from 1 without gaps.
+
+    ``runs`` are the runs, or the pieces of runs, that the segments were made from: a document has no more
+    segments than these have markers and texts, so whether it is a long one is known before anything
+    is split. Segments are then made once, and written only if there is a long document.
+    """
+    order = [*reading_order(), F.col("seg_seq")]
+    if runs is None:
+        return dense_position(segments, keys, order, limit=limit)
+    most = count_markers(F.coalesce("text", F.lit(""))) + 1
+    return dense_position(segments, keys, order, limit=limit, counted=runs.select(*keys, "text"), weight=most)

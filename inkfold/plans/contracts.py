@@ -108,27 +108,41 @@ def contracts_from_templates(
     """Styled segments of accepted payloads, merged into templates that a table holds.
 
     ``template_id`` is computed from the extracted ``record``. A payload whose template is not in
-    the table fails alone: it has one row with ``http_status`` 500 and no segment. Rejected
-    payloads have no rows; ``contract_results`` is where they are kept.
+    the table fails alone: it has one row with ``http_status`` 500 and no segment. A document either
+    fails or has segments, never both. Rejected payloads have no rows; ``contract_results`` is where
+    they are kept.
     """
-    kept = F.struct("quotation_id", template_id.alias("template_id"), mark_record(F.col("record")).alias("marked"))
     records = extract_records(payloads, rules)
-    documents = records.select(F.inline(F.when(F.col("accepted"), F.array(kept))))
+    return segments_from_templates(accepted_records(records), templates, template_id, small)
+
+
+def accepted_records(records: DataFrame) -> DataFrame:
+    """``(quotation_id, record)`` of what the gate lets through.
+
+    Made inside an ``inline``: a filter would be pushed below the extraction and parse again.
+    """
+    kept = F.struct("quotation_id", "record")
+    return records.select(F.inline(F.when(F.col("accepted"), F.array(kept))))
+
+
+def segments_from_templates(
+    records: DataFrame, templates: DataFrame, template_id: Column, small: bool | None = None
+) -> DataFrame:
+    """Segments, and a row with status 500 for each record without a template, in one pass."""
+    documents = records.select(
+        "quotation_id", template_id.alias("template_id"), mark_record(F.col("record")).alias("marked")
+    )
     merged = template_merge_data(documents, templates, small)
     styled = merged.withColumns({n: F.lit(None).cast("string") for n in ("underline", "color") if n not in merged.columns})
-    failed = styled.where(F.col("text").isNull()).select(
-        "quotation_id",
-        "template_id",
-        *[F.lit(None).cast(kind).alias(name) for name, kind in SEGMENT_COLUMNS],
-        F.lit(FAILED).alias("http_status"),
-    )
-    made = segment_runs(styled.where(F.col("text").isNotNull())).select(
+    # A document that cannot be made passes through as one piece of text and comes out without it.
+    found = F.col("template_found")
+    carried = styled.withColumn("text", F.when(found, F.col("text")).otherwise(F.lit(".")))
+    return segment_runs(carried).select(
         "quotation_id",
         "template_id",
-        *[name for name, _ in SEGMENT_COLUMNS],
-        F.lit(GENERATED).alias("http_status"),
+        *[F.when(found, F.col(name)).cast(kind).alias(name) for name, kind in SEGMENT_COLUMNS],
+        F.when(found, GENERATED).otherwise(FAILED).alias("http_status"),
     )
-    return made.unionByName(failed)
 
 
 def reply_results(replies: DataFrame, template: Sequence[Run]) -> DataFrame:

@@ -15,17 +15,19 @@ TEMPLATE_SCHEMA = (
 
 @dataclass(frozen=True)
 class Run:
-    """A run of a template that is known when the job is written."""
+    """A run of a template that is known when the job is written; one without text adds nothing."""
 
     part: str
     section: int
     run_seq: int
-    text: str
+    text: str | None
     underline: str | None = None
     color: str | None = None
 
     def pieces(self) -> list[tuple[str, str | None]]:
         """Literal text and the field that follows it; None after the last literal."""
+        if self.text is None:
+            return []
         tokens = re.split(PLACEHOLDER, self.text)
         return list(zip(tokens[0::2], [*tokens[1::2], None]))
 

@@ -17,7 +17,7 @@ from inkfold.operators import (
     segments,
 )
 from inkfold.plans import contracts
-from inkfold.session import scratch_path, written
+from inkfold.session import scratch_path
 from inkfold.sources import parts, quotations, results, templates
 from inkfold.streaming import jobs
 from inkfold.workload import tables as t
@@ -409,13 +409,13 @@ def _named_orders(spark: SparkSession, d: str) -> DataFrame:
 
 def template_merge(spark: SparkSession, d: str) -> DataFrame:
     documents = _named_orders(spark, d)
-    columns = ["form", "o_orderkey", "part", "section", "run_seq", "text"]
+    columns = ["form", "o_orderkey", "part", "section", "run_seq", "text", "template_found"]
     by_data = merge.template_merge_data(documents, t.nation_templates(spark, d))
     known = merge.template_merge(documents.drop("template_id"), TEMPLATE)
     return (
         by_data.withColumn("form", F.lit("data"))
         .select(*columns)
-        .unionByName(known.withColumn("form", F.lit("known")).select(*columns))
+        .unionByName(known.withColumns({"form": F.lit("known"), "template_found": F.lit(True)}).select(*columns))
     )
 
 
@@ -434,8 +434,8 @@ def segment_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_order(spark: SparkSession, d: str) -> DataFrame:
-    table_of_segments = written(_conversation_segments(spark, d), "segments")
-    placed = segments.segment_order(table_of_segments, ["doc_id"])
+    pieces = t.conversation_pieces(spark, d)
+    placed = segments.segment_order(_conversation_segments(spark, d), ["doc_id"], runs=pieces)
     return placed.select(*RUN_KEYS, "seg_seq", "position")
 
 

@@ -200,9 +200,23 @@ REPLY_KEYS = (
     " || CASE WHEN o_orderpriority <> '1-URGENT' THEN ['Customer_tax_id'] ELSE [] END"
     " || CASE WHEN o_orderpriority = '2-HIGH' THEN ['Standard_users_count'] ELSE [] END"
     " || CASE WHEN o_orderstatus = 'F' THEN ['Remark'] ELSE [] END"
+    " || CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN ['Optional_module_details'] ELSE [] END"
 )
 
 
+def nested(m: str, space: str, quote: str, tab: str) -> str:
+    """A reply's value of mixed kinds; ``m`` stands around marked texts, the others at edges that are cut."""
+    return (
+        f"'[\"' || {m} || c_name || {m} || '\",' || o_custkey || ',{{\"deep\":[[\"' || {m} || '{space}{quote}' || c_mktsegment"
+        f" || '{quote}{tab}' || {m} || '\",true,null],{{\"a:b\":\"{SENTINEL}\"}}],\"note\":\"  \"}},\"' || {m}"
+        f" || 'say \\\"' || o_orderstatus || '\\\", \\\\n' || {m} || '\"]'"
+    )
+
+
+NESTED_RAW = nested("''", " ", "''", "\\t")
+NESTED_MARKED, NESTED_SHOWN = nested(M, "", "", ""), nested("''", "", "", "")
+
+
 def of_reply(value: str) -> str:
     return f"CASE WHEN o_orderpriority <> '3-MEDIUM' THEN {value} END"
 
@@ -212,15 +226,22 @@ REPLY_RAW = {
     "Customer_company_name": "c_name",
     "Customer_tax_id": f"CASE WHEN o_orderpriority <> '1-URGENT' THEN {S} END",
     "Standard_users_count": "CASE WHEN o_orderpriority = '2-HIGH' THEN CAST(o_custkey AS VARCHAR) END",
+    "Optional_module_details": f"CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN {NESTED_RAW} END",
+}
+REPLY_MARKED = REPLY_RAW | {
+    "Contract_id": mark(ID),
+    "Customer_company_name": mark("c_name"),
+    "Optional_module_details": f"CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN {NESTED_MARKED} END",
 }
-REPLY_MARKED = REPLY_RAW | {"Contract_id": mark(ID), "Customer_company_name": mark("c_name")}
 REPLY_GOOD = "(o_orderpriority <> '3-MEDIUM')"
 REPLY_ENDING = "CASE o_orderstatus WHEN 'O' THEN '] x' WHEN 'F' THEN '],[1' ELSE '}' END"
 REPLY_TEXT = (
     f"('{{\"Contract_id\":\"' || {ID} || '\",\"Customer_company_name\":\"' || c_name || '\"'"
     f" || CASE WHEN o_orderpriority <> '1-URGENT' THEN ',\"Customer_tax_id\":\"{SENTINEL}\"' ELSE '' END"
     " || CASE WHEN o_orderpriority = '2-HIGH' THEN ',\"Standard_users_count\":' || o_custkey ELSE '' END"
-    " || CASE WHEN o_orderstatus = 'F' THEN ',\"Remark\":\"' || c_mktsegment || '\"' ELSE '' END || '}')"
+    " || CASE WHEN o_orderstatus = 'F' THEN ',\"Remark\":\"' || c_mktsegment || '\"' ELSE '' END"
+    f" || CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN ',\"Optional_module_details\":' || {NESTED_RAW} ELSE '' END"
+    " || '}')"
 )
 REPLY_FIELDS = {
     "Contract_id": ID,
@@ -231,6 +252,8 @@ REPLY_FIELDS = {
 
 def reply_value(quoted: str, marked: bool) -> str:
     """What a template shows of a reply's field; a field that no reply has is empty."""
+    if quoted == '"Optional_module_details"':
+        return f"CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN {NESTED_MARKED if marked else NESTED_SHOWN} ELSE '' END"
     value = REPLY_FIELDS.get(quoted.strip('"'), "''")
     trimmed = f"CASE WHEN {unmarked(value)} THEN {value} ELSE trim({value}, {EDGES}) END"
     return mark(value) if marked else trimmed
@@ -388,12 +411,14 @@ SELECT o_orderkey, n_modules, details FROM {ORDERS} LEFT JOIN modules ON o_order
 known AS ({" UNION ALL ".join(
     f"SELECT 'known' AS form, o_orderkey, '{r.part}' AS part, {r.section} AS section, "
     f"{r.run_seq} AS run_seq, {run_text(r, mark)} AS text FROM named" for r in TEMPLATE)})
-SELECT * FROM known
-UNION ALL SELECT 'data', o_orderkey, 'body', 0, 0, {NATION_TEXT}
+SELECT *, TRUE AS template_found FROM known
+UNION ALL SELECT 'data', o_orderkey, 'body', 0, 0, {NATION_TEXT}, TRUE
+FROM {ORDERS} JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')
+UNION ALL SELECT 'data', o_orderkey, 'header', 0, 0, NULL, TRUE
 FROM {ORDERS} JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')
-UNION ALL SELECT 'data', o_orderkey, 'footer', 0, 0, 'Office of ' || n_name
+UNION ALL SELECT 'data', o_orderkey, 'footer', 0, 0, 'Office of ' || n_name, TRUE
 FROM {ORDERS} JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')
-UNION ALL SELECT 'data', o_orderkey, NULL, NULL, NULL, NULL
+UNION ALL SELECT 'data', o_orderkey, NULL, NULL, NULL, NULL, FALSE
 FROM {ORDERS} WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
     "run_text_concat": f"""WITH {PIECES},
 numbered AS (

@@ -193,7 +193,7 @@ def chosen_template() -> Column:
 
 
 def priority_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A template of two runs for each order priority but the lowest."""
+    """A template of two runs, and one without text, for each order priority but the lowest."""
     kinds = table(spark, sf_dir, "orders").where("o_orderpriority <> '5-LOW'").select("o_orderpriority").distinct()
     runs = F.array(
         *[
@@ -201,6 +201,7 @@ def priority_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
             for part, text in (
                 ("body", ": {{ Contract_id }} for {{Customer_company_name}}, tax {{ Customer_tax_id }}"),
                 ("footer", " of {{ Quotation_date }}"),
+                ("header", None),
             )
         ]
     )
@@ -255,6 +256,15 @@ def quotation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_reply() -> Column:
+    """JSON of mixed kinds at several depths, with a key that looks like a pair."""
+    pieces = [
+        '["', F.col("c_name"), '",', F.col("o_custkey").cast("string"), ',{"deep":[[" \'', F.col("c_mktsegment"),
+        '\'\\t",true,null],{"a:b":"', SENTINEL, '"}],"note":"  "},"say \\"', F.col("o_orderstatus"), '\\", \\\\n"]',
+    ]
+    return F.concat(*[F.lit(piece) if isinstance(piece, str) else piece for piece in pieces])
+
+
 def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(o_orderkey, quotation_id, reply)``: good, odd and broken extractor replies."""
     priority = F.col("o_orderpriority")
@@ -267,6 +277,8 @@ def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("o_orderstatus") == "F", F.col("c_mktsegment")).alias("Remark"),
         )
     )
+    with_modules = F.concat(F.left(good, F.length(good) - 1), F.lit(',"Optional_module_details":'), nested_reply(), F.lit("}"))
+    good = F.when(priority == "4-NOT SPECIFIED", with_modules).otherwise(good)
     reply = (
         F.when((priority == "3-MEDIUM") & (F.col("o_orderstatus") == "O"), F.concat(good, F.lit("] x")))
         .when((priority == "3-MEDIUM") & (F.col("o_orderstatus") == "F"), F.concat(good, F.lit("],[1")))
@@ -337,7 +349,7 @@ def page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A template of two runs per nation."""
+    """A template of two runs, and one without text, per nation."""
     body = F.concat(
         F.col("n_name"),
         F.lit(": contract {{ Contract_id }} for {{Customer_company_name}}; tax {{ Customer_tax_id }}"),
@@ -350,6 +362,7 @@ def nation_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(0).alias("run_seq"),
             F.concat(F.lit("Office of "), F.col("n_name")).alias("text"),
         ),
+        F.struct(F.lit("header").alias("part"), F.lit(0).alias("run_seq"), F.lit(None).cast("string").alias("text")),
     )
     return (
         table(spark, sf_dir, "nation")

@@ -9,7 +9,7 @@ from inkfold.operators.extract import Rule
 from inkfold.operators.outcomes import log_parse, logged_code, outcome_class
 from inkfold.plans import contracts
 from inkfold.sources import logs, results
-from inkfold.sources.quotations import scan_payloads
+from inkfold.sources.quotations import quotation_scan, scan_payloads
 from inkfold.sources.templates import Run
 from inkfold.streaming import jobs
 
@@ -71,6 +71,40 @@ def check_results(made):
     assert (bad["http_status"], bad["file_name"], bad["file_base64"], bad["contract_data"]) == (422, None, None, None)
 
 
+TEMPLATE_ROWS = [("t", r.part, r.section, r.run_seq, r.text, r.underline, r.color) for r in TEMPLATE]
+
+
+def test_a_document_succeeds_or_fails(spark, payloads):
+    kind = "template_id STRING, part STRING, section INT, run_seq INT, text STRING, underline STRING, color STRING"
+    only_null = ("n", "body", 0, 0, None, None, None)
+    table = spark.createDataFrame([*TEMPLATE_ROWS, ("t", "header", 0, 0, None, None, None), only_null], kind)
+    for chosen in ("t", "n", "lost", None):
+        template_id = F.when(F.col("record.Contract_id") == "1", F.lit(chosen)).otherwise("t")
+        for small in (True, False):
+            made = contracts.contracts_from_templates(payloads, RULES, table, template_id, small)
+            states = {}
+            for r in made.collect():
+                states.setdefault(r["quotation_id"], []).append((r["http_status"], r["text"] is None))
+            expected = {"t": {(200, False)}, "n": None, "lost": {(500, True)}, None: {(500, True)}}[chosen]
+            assert (set(states["a"]) if "a" in states else None) == expected and set(states["b"]) == {(200, False)}
+            if chosen in ("lost", None):
+                assert len(states["a"]) == 2  # one row for each of the two payloads
+    known = contracts.generate_contracts(payloads, RULES, TEMPLATE)
+    made = contracts.contracts_from_templates(payloads, RULES, table, F.lit("t"), True)
+    assert sorted(map(repr, made.select(*known.columns).collect())) == sorted(map(repr, known.collect()))
+    plan = physical_plan(contracts.contracts_from_templates(payloads, RULES, table, F.lit("t"), True))
+    assert plan.count("from_json") == 1 and "Union" not in plan
+
+
+def test_equal_jobs_have_equal_plans(payloads):
+    for job in (
+        lambda: contracts.generate_contracts(payloads, RULES, TEMPLATE),
+        lambda: contracts.contract_results(payloads, RULES, TEMPLATE),
+        lambda: quotation_scan(payloads),
+    ):
+        assert job().sameSemantics(job())
+
+
 def test_results_and_sink(spark, payloads, tmp_path):
     made = contracts.contract_results(payloads, RULES, TEMPLATE)
     check_results(made.collect())

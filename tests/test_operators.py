@@ -1,5 +1,6 @@
 import json
 import random
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,19 +65,46 @@ def test_salted_join_is_the_join(spark):
     for limit in (5, 100, 1000):
         assert rows(joins.salted_join(many, few, "k", limit)) == expected
         ids = few.select("k").distinct()
-        assert rows(joins.skewed_anti_join(many, ids, "k", limit)) == rows(many.join(few, "k", "left_anti"))
+        assert rows(joins.salted_join(many, ids, "k", limit, "left_anti")) == rows(many.join(few, "k", "left_anti"))
         left = many.unionByName(spark.createDataFrame([(None, 1), (None, 1), (777, 2)], "k BIGINT, v BIGINT"))
-        assert rows(joins.salted_join(left, few, "k", limit, "left")) == rows(left.join(few, "k", "left"))
+        left = left.unionByName(spark.range(20).select(F.lit(None).cast("bigint").alias("k"), F.col("id").alias("v")))
+        for how in ("left", "left_anti", "inner"):
+            counts = joins.key_counts(left, "k")
+            assert rows(joins.salted_join(left, few, "k", limit, how, counts)) == rows(left.join(few, "k", how))
 
 
 def test_equal_rows_of_a_hot_key_spread_by_their_number(spark):
     rows_ = spark.range(4000).select(F.lit("hot").alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
     rows_ = rows_.unionByName(spark.range(90).select(F.lit("b").alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m")))
-    hot = joins.hot_parts(rows_, "k", 100)
+    counts = joins.key_counts(rows_, "k")
+    hot = joins.hot_parts(counts, "k", 100)
     assert rows(hot) == [("hot", 40)]
-    parts_ = joins.spread_hot(rows_, hot, "k").groupBy("_part").count().collect()
+    spread = joins.spread_hot(rows_, hot, "k")
+    parts_ = spread.where("k = 'hot'").groupBy("_part").count().collect()
     assert len(parts_) == 40 and max(r["count"] for r in parts_) <= 130
-    assert joins.hot_parts(rows_, "k", 4000) is None
+    assert spread.where("k = 'b' AND _part = 0").count() == 90
+    assert joins.hot_parts(counts, "k", 4000) is None
+
+
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_long_request_lists_are_read_twice(spark, monkeypatch, limit):
+    """Counted once and joined once, with hot ids and without; the written copy is another folder."""
+    path = f"{tempfile.mkdtemp()}/r"  # short, as plans cut long paths
+    spark.range(60).selectExpr("id AS seq", "IF(id < 20, 'hot', CAST(id AS STRING)) AS quotation_id").write.parquet(path)
+    landed = spark.createDataFrame([("hot", 200, "A"), ("30", 503, "B")], "quotation_id STRING, status INT, doc STRING")
+    for job in (lookup.quotation_lookup, lookup.lookup_misses):
+        read = []
+        plain = joins.written
+        monkeypatch.setattr(joins, "written", lambda df, label: read.append(scans(df, path)) or plain(df, label))
+        read.append(scans(job(spark.read.parquet(path), landed, False, limit), path))
+        assert sum(read) == 2 and len(read) == (3 if limit == 3 else 2)
+        monkeypatch.setattr(joins, "written", plain)
+
+
+def scans(frame, path):
+    """How often the plan reads a folder."""
+    plan = frame._jdf.queryExecution().sparkPlan().toString()
+    return len([line for line in plan.splitlines() if "FileScan" in line and path in line])
 
 
 def test_size_check(spark):
@@ -139,7 +167,7 @@ def test_parse_extraction(spark):
     assert [r["parsed"] for r in got] == [True, False, False, True]
     nested_ = got[3]["marked"]
     assert (nested_["Contract_id"], nested_["Quotation_id"]) == (f'["{M}a{M}","{M}b{M}"]', f'{{"k":"{M}v{M}","l":" "}}')
-    assert (nested_["Manday_price"], nested_["Customer_email"]) == ('[1,"x"]', '{"k":{"l":"v"}}')
+    assert (nested_["Manday_price"], nested_["Customer_email"]) == (f'[1,"{M}x{M}"]', f'{{"k":{{"l":"{M}v{M}"}}}}')
     record, marked = got[0]["record"], got[0]["marked"]
     assert (record["Contract_id"], record["Manday_price"], record["Customer_email"]) == ("a", "5", None)
     assert (marked["Contract_id"], marked["Manday_price"]) == (f"{M}a{M}", "5")
@@ -181,8 +209,29 @@ def test_batch_extract_tries_a_failing_batch_again(spark):
     assert [r["error"] is None for r in got] == [True, False, True] and "ValueError" in got[1]["error"]
     short = extract.batch_extract(docs.coalesce(1), lambda batch: ["{}"] if len(batch) == 1 else [])
     assert [r["reply"] for r in short.collect()] == ["{}"] * 3
-    with pytest.raises(Exception, match="no luck"):
-        extract.batch_extract(docs, lambda batch: (_ for _ in ()).throw(ValueError("no luck"))).collect()
+    with pytest.raises(extract.ExtractorFailed, match="all of 3 documents failed: ValueError: no luck"):
+        extract.batch_extract(docs, lambda batch: (_ for _ in ()).throw(ValueError("no luck")))
+    # Nothing to read is no failure, and a bad document that is alone in its task is a row.
+    assert extract.batch_extract(docs.limit(0), read).collect() == []
+    for partitions in (1, 3, 50):
+        got = extract.batch_extract(docs.repartition(50, "quotation_id"), read, partitions)
+        assert rows(got.select("quotation_id", F.col("error").isNull().alias("ok"))) == [("a", True), ("b", False), ("c", True)]
+
+
+def test_an_extractor_runs_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def read(batch):
+        for text in batch:
+            with open(calls, "a") as file:
+                file.write(text)
+            yield "{}"
+
+    docs = spark.createDataFrame([("a", "1"), ("b", "2")], "quotation_id STRING, doc STRING").coalesce(1)
+    got = extract.batch_extract(docs, read)
+    assert got.count() == got.where("reply = '{}'").count() == 2
+    with open(calls) as file:
+        assert file.read() == "12"
 
 
 SEGMENTS = {
@@ -308,6 +357,16 @@ def test_spread_is_over_many_tasks(spark):
     assert sliced.select(F.spark_partition_id()).distinct().count() >= 1
 
 
+def test_segments_are_written_only_for_long_documents(spark, monkeypatch):
+    pieces = piece_table(spark)
+    made = segments.segment_runs(segments.run_text_concat(pieces, RUN))
+    expected = rows(segments.segment_order(made, ["doc_id"]))
+    labels, plain = [], ordered.written
+    monkeypatch.setattr(ordered, "written", lambda df, label: labels.append(label) or plain(df, label))
+    assert rows(segments.segment_order(made, ["doc_id"], 1000, pieces)) == expected and labels == []
+    assert rows(segments.segment_order(made, ["doc_id"], 20, pieces)) == expected and labels.count("rows") == 1
+
+
 def test_segment_order(spark):
     runs = [("d", "footer", 0, 0), ("d", "body", 0, 1), ("d", "header", 1, 0), ("d", "body", 0, 0), ("d", "header", 0, 0), ("e", "even_page_header", 0, 0)]
     frame = spark.createDataFrame([(*r, f"x{M}y{M}") for r in runs], "doc_id STRING, part STRING, section INT, run_seq INT, text STRING")
@@ -363,6 +422,18 @@ def test_both_template_forms_agree(spark):
     for small in (True, False):
         got = merge.template_merge_data(lost, table, small)
         assert [(r["doc"], r["part"], r["text"]) for r in got.orderBy("doc").collect()] == [(0, None, None), (1, None, None)]
+        assert [r["template_found"] for r in got.collect()] == [False, False]
+
+
+def test_a_run_without_text_is_passed_over(spark):
+    documents, template = merge_input(spark), [*TEMPLATE, templates.Run("header", 0, 0, None)]
+    table = spark.createDataFrame([("t", r.part, r.section, r.run_seq, r.text, r.underline, r.color) for r in template], templates.TEMPLATE_SCHEMA)
+    known = merge.template_merge(documents.drop("template_id"), template)
+    columns = ["doc", "part", "section", "run_seq", "text", "underline", "color"]
+    by_data = merge.template_merge_data(documents, table, True)
+    assert rows(by_data, *columns) == rows(known, *columns) and by_data.where("NOT template_found").count() == 0
+    pieces = [rows(segments.segment_runs(f.select(*columns)), "doc", "part", "run_seq", "seg_seq", "text") for f in (known, by_data)]
+    assert pieces[0] == pieces[1] and {p[1] for p in pieces[0]} == {"body", "footer"}
 
 
 def test_parts_union(spark):

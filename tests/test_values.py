@@ -5,7 +5,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkfold.constants import LOGIN_ERROR_DEFAULT, SENTINEL, UNKNOWN_CAUSE
+from inkfold.constants import EDGE_CHARACTERS, LOGIN_ERROR_DEFAULT, MARKER, SENTINEL, UNKNOWN_CAUSE
 from inkfold.functions import documents, fallbacks, files, formats, nested
 
 M = "⁣"
@@ -170,3 +170,35 @@ def test_json_text_keeps_nulls_and_letters(spark):
     row = got.first()
     assert row["t"] == '{"a":"ก","b":null}'
     assert json.loads(row["p"]) == {"a": "ก", "b": None} and "\n" in row["p"]
+
+
+NESTED = [
+    '["p",1]',
+    '["a",{"k":"b"}]',
+    '{"x":["y"]}',
+    '{"a:b":"c","d":":e"}',
+    '[[],{},"",[" \\t","\\u001c\\u00a0"],null,true,-1.5,"ไม่พบข้อมูล"]',
+    '["\\\\","\\"q\\"","\\\\\\"x","\\\\n, ","\\t\\r\\n x \\f","\\\\\\\\t"]',
+    '{"k\\":":{"l":["m\\",\\"n",{"o":"\\u0001p\\u0002"}]}}',
+    '["é ü \u2063"," \' \\", "]',
+]
+
+
+def test_wrap_json_is_the_walk(evaluate):
+    """Against a walk over the parsed value, on keys, escapes and edges of all kinds."""
+
+    def walk(value):
+        if isinstance(value, dict):
+            return {key: walk(item) for key, item in value.items()}
+        if isinstance(value, list):
+            return [walk(item) for item in value]
+        if not isinstance(value, str) or value == SENTINEL or not value.strip():
+            return value
+        return f"{MARKER}{value.strip(EDGE_CHARACTERS)}{MARKER}"
+
+    deep = '"x"'
+    for _ in range(40):
+        deep = f'[{{"k":{deep}}},"y"]'
+    texts = [*NESTED, deep, json.dumps(["w " * 3 + str(i) for i in range(3000)])]
+    shown = evaluate(lambda c: nested.wrap_json(F.to_json(F.parse_json(c))), texts)
+    assert [json.loads(s) for s in shown] == [walk(json.loads(t)) for t in texts]
