@@ -9,9 +9,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.constants import CONTRACT_FIELDS
+from inkfold.constants import CONTRACT_FIELDS, MARKER
 from inkfold.operators.joins import HOT_ROWS, salted_join
 from inkfold.operators.sizes import is_small
+from inkfold.sources.parts import reading_order
 from inkfold.sources.templates import Run, tokenize_templates
 
 
@@ -63,28 +64,22 @@ def template_merge(documents: DataFrame, template: Sequence[Run]) -> DataFrame:
     )
 
 
-def template_merge_data(
-    documents: DataFrame,
-    templates: DataFrame,
-    small: bool | None = None,
-    limit: int = HOT_ROWS,
-) -> DataFrame:
-    """One row per document and run, the runs taken from a table by ``template_id``.
+def _with_runs(
+    documents: DataFrame, templates: DataFrame, small: bool | None, limit: int
+) -> tuple[DataFrame, list[Column], Column]:
+    """Documents with the runs of their templates, the columns to keep, and the merged runs in reading order.
 
-    ``template_found`` tells whether the document's template is in the table. Where it is not, or the
-    document names none, there is one row without a run: it cannot be made, and must not go unseen. A
-    run without text has a row without text, which says nothing about its document.
-
-    A template is one row with its runs, so a document meets it once and its values travel once;
-    runs become rows last. Literals and field names of a run are laid side by side and merged
-    inside the row, without grouping. Templates that pass the size check are broadcast; otherwise
-    the join shuffles, with the documents of templates used more than ``limit`` times spread.
+    A template is one row with its runs, so a document meets it once and its values travel once.
+    Literals and field names of a run are laid side by side and merged inside the row, without
+    grouping. Templates that pass the size check are broadcast; otherwise the join shuffles, with the
+    documents of templates used more than ``limit`` times spread.
     """
     tokenized = tokenize_templates(templates).drop("text")
     names = [name for name in tokenized.columns if name != "template_id"]
     shown = [name for name in names if name not in ("literals", "fields")]
-    whole = tokenized.groupBy("template_id").agg(F.collect_list(F.struct(*names)).alias("_runs"))
-    whole = whole.withColumn("template_found", F.lit(True))
+    entry = F.struct(F.struct(*reading_order()).alias("place"), F.struct(*names).alias("run"))
+    in_order = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e.getField("run"))
+    whole = tokenized.groupBy("template_id").agg(in_order.alias("_runs")).withColumn("template_found", F.lit(True))
     small = is_small(templates) if small is None else small
     values = F.map_from_arrays(
         F.array(*[F.lit(field) for field in CONTRACT_FIELDS]),
@@ -112,4 +107,35 @@ def template_merge_data(
     )
     kept = [F.col(f"`{name}`") for name in filled.columns if name != "_values"]
     found = F.coalesce("template_found", F.lit(False)).alias("template_found")
-    return joined.select(*kept, found, F.inline_outer(merged))
+    return joined, [*kept, found], merged
+
+
+def template_merge_data(
+    documents: DataFrame,
+    templates: DataFrame,
+    small: bool | None = None,
+    limit: int = HOT_ROWS,
+) -> DataFrame:
+    """One row per document and run, the runs taken from a table by ``template_id``.
+
+    ``template_found`` tells whether the document's template is in the table. Where it is not, or the
+    document names none, there is one row without a run: it cannot be made, and must not go unseen. A
+    run without text has a row without text, which says nothing about its document.
+    """
+    joined, kept, merged = _with_runs(documents, templates, small, limit)
+    return joined.select(*kept, F.inline_outer(merged))
+
+
+def template_texts(
+    documents: DataFrame,
+    templates: DataFrame,
+    small: bool | None = None,
+    limit: int = HOT_ROWS,
+) -> DataFrame:
+    """One row per document with ``file_text``: its runs in reading order, one per line, without markers.
+
+    Runs without text have no line. A document whose template is not in the table has no text.
+    """
+    joined, kept, merged = _with_runs(documents, templates, small, limit)
+    lines = F.array_join(F.transform(merged, lambda run: run.getField("text")), "\n")
+    return joined.select(*kept, F.replace(lines, F.lit(MARKER), F.lit("")).alias("file_text"))

@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from inkfold.constants import MARKER
 from inkfold.functions.files import encode_base64, result_name
 from inkfold.operators.extract import Rule, document_type, rule_extract
-from inkfold.operators.merge import fields_of, merged_runs, merged_text, template_merge_data
+from inkfold.operators.merge import (
+    fields_of,
+    merged_runs,
+    merged_text,
+    template_merge_data,
+    template_texts,
+)
 from inkfold.operators.records import mark_record, parse_extraction
 from inkfold.operators.segments import segment_runs
+from inkfold.session import written
 from inkfold.sources.quotations import payload_accepted, payload_id, read_payloads
 from inkfold.sources.templates import Run
 
@@ -60,7 +67,10 @@ def generate_contracts(
     payloads: DataFrame, rules: Sequence[Rule], template: Sequence[Run]
 ) -> DataFrame:
     """The styled segments of the contract of every accepted payload."""
-    records = extract_records(payloads, rules)
+    return segments_of(extract_records(payloads, rules), template)
+
+
+def segments_of(records: DataFrame, template: Sequence[Run]) -> DataFrame:
     marked = records.select(
         "quotation_id", "accepted", mark_record(F.col("record"), fields_of(template)).alias("marked")
     )
@@ -73,8 +83,8 @@ def file_text(template: Sequence[Run], marked: Column) -> Column:
     return F.replace(lines, F.lit(MARKER), F.lit(""))
 
 
-def _results(usable: Column, failed: int, template: Sequence[Run], source: Column) -> list[Column]:
-    file = encode_base64(F.encode(file_text(template, F.col("marked")), "UTF-8"))
+def _results(usable: Column, failed: int | Column, text: Column, source: Column) -> list[Column]:
+    file = encode_base64(F.encode(text, "UTF-8"))
     return [
         F.col("quotation_id"),
         usable.alias("accepted"),
@@ -93,9 +103,29 @@ def contract_results(
 
     Lines that the gate turns down stay as rows with their text in ``rejected``.
     """
-    marked = mark_record(F.col("record"), fields_of(template))
-    records = extract_records(payloads, rules).withColumn("marked", marked)
-    return records.select(*_results(F.col("accepted"), REJECTED, template, F.col("payload")))
+    return results_of(extract_records(payloads, rules), template)
+
+
+def results_of(records: DataFrame, template: Sequence[Run]) -> DataFrame:
+    marked = records.withColumn("marked", mark_record(F.col("record"), fields_of(template)))
+    return marked.select(*_results(F.col("accepted"), REJECTED, file_text(template, F.col("marked")), F.col("payload")))
+
+
+def lasting_records(payloads: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Records to be written and read by several outputs: only rejected lines keep their payload."""
+    records = extract_records(payloads, rules)
+    return records.withColumn("payload", F.when(~F.col("accepted"), F.col("payload")))
+
+
+def contract_outputs(
+    payloads: DataFrame, rules: Sequence[Rule], template: Sequence[Run]
+) -> tuple[DataFrame, DataFrame]:
+    """``(contract_results, generate_contracts)`` of the same payloads, which are parsed once.
+
+    Records are written once to the shared folder, and both frames read them.
+    """
+    records = written(lasting_records(payloads, rules), "records")
+    return results_of(records, template), segments_of(records, template)
 
 
 def contracts_from_templates(
@@ -145,6 +175,28 @@ def segments_from_templates(
     )
 
 
+def results_from_templates(
+    records: DataFrame, templates: DataFrame, template_id: Column, small: bool | None = None
+) -> DataFrame:
+    """One result per record of ``lasting_records``, merged into templates that a table holds.
+
+    Rejected lines have status 422 and their text; a record without a template has status 500, and
+    keeps its data.
+    """
+    documents = records.select(
+        "payload", "quotation_id", "accepted", "record",
+        F.when(F.col("accepted"), template_id).alias("template_id"), mark_record(F.col("record")).alias("marked"),
+    )
+    merged = template_texts(documents, templates, small)
+    made = F.col("accepted") & F.col("template_found")
+    failed = F.when(F.col("accepted"), FAILED).otherwise(REJECTED)
+    shown = merged.select(
+        *_results(made, failed, F.col("file_text"), F.col("payload")),
+        "record", "template_id", F.col("accepted").alias("_gated"),
+    )
+    return shown.withColumns({"contract_data": F.col("record"), "accepted": F.col("_gated")}).drop("record", "_gated")
+
+
 def reply_results(replies: DataFrame, template: Sequence[Run]) -> DataFrame:
     """Results from the replies ``(quotation_id, reply)`` of a batch extractor.
 
@@ -154,7 +206,8 @@ def reply_results(replies: DataFrame, template: Sequence[Run]) -> DataFrame:
     """
     parsed, usable = parse_extraction(replies), F.col("parsed")
     raw = F.when(usable, F.col("reply")).alias("reply")
-    return parsed.select(*_results(usable, FAILED, template, F.col("reply")), raw)
+    text = file_text(template, F.col("marked"))
+    return parsed.select(*_results(usable, FAILED, text, F.col("reply")), raw)
 
 
 def reply_segments(replies: DataFrame, template: Sequence[Run]) -> DataFrame:

@@ -1,13 +1,22 @@
 """Streams over landing folders. Each file is processed once; sinks commit exactly once."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkfold.operators.extract import Rule
 from inkfold.operators.outcomes import log_parse
-from inkfold.plans.contracts import contract_results, generate_contracts
+from inkfold.plans.contracts import (
+    GENERATED,
+    accepted_records,
+    contract_results,
+    generate_contracts,
+    lasting_records,
+    results_from_templates,
+    segments_from_templates,
+)
 from inkfold.sources.logs import scan_logs
 from inkfold.sources.quotations import scan_payloads
 from inkfold.sources.templates import Run
@@ -61,6 +70,51 @@ def contract_segments_stream(
     return _write(generate_contracts(payloads, rules, template), sink, checkpoint, "part", trigger)
 
 
+def contract_tables_stream(
+    spark: SparkSession,
+    source: str,
+    sink: str,
+    checkpoint: str,
+    rules: Sequence[Rule],
+    templates: Callable[[SparkSession], DataFrame],
+    template_id: Column,
+    trigger: dict = ONCE,
+) -> StreamingQuery:
+    """Contracts of landed payloads as tables below ``sink``, from templates that may change meanwhile.
+
+    ``templates`` is asked for the template table in every batch, and ``template_id`` is computed from the
+    extracted ``record``. A batch is parsed once, into its ``records``, which the others read:
+    ``results``, one per payload; ``segments``; and ``dead_letters``, the results that are not 200.
+    ``templates`` keeps the runs that a batch was made with, so that results and segments agree.
+
+    Each batch has a folder of its own in each table, which a repeated batch replaces: it adds nothing.
+    ``contract_table`` reads a table; a batch that was cut off is there in part until it is repeated.
+    """
+
+    def process(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+
+        def put(frame: DataFrame, name: str) -> DataFrame:
+            path = f"{sink}/{name}/batch={number}"
+            frame.write.mode("overwrite").parquet(path)
+            return session.read.schema(frame.schema).parquet(path)
+
+        runs = put(templates(session), "templates")
+        records = put(lasting_records(batch, rules), "records")
+        results = put(results_from_templates(records, runs, template_id), "results")
+        put(results.where(F.col("http_status") != GENERATED), "dead_letters")
+        made = segments_from_templates(accepted_records(records), runs, template_id)
+        put(made.where(F.col("http_status") == GENERATED).drop("http_status"), "segments")
+
+    payloads = scan_payloads(spark, source, stream=True)
+    return payloads.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def contract_table(spark: SparkSession, sink: str, name: str) -> DataFrame:
+    """A table of ``contract_tables_stream`` over all batches, ``batch`` last."""
+    return spark.read.parquet(f"{sink}/{name}")
+
+
 def log_parse_stream(
     spark: SparkSession, source: str, sink: str, checkpoint: str, trigger: dict = ONCE
 ) -> StreamingQuery:

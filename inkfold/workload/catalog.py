@@ -1,6 +1,7 @@
 """The registered queries: one per operator, each over the whole of the tables it reads."""
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -449,6 +450,17 @@ def generate_contracts(spark: SparkSession, d: str) -> DataFrame:
     return made.withColumnRenamed("quotation_id", "doc_id")
 
 
+def contract_outputs(spark: SparkSession, d: str) -> DataFrame:
+    made, pieces = contracts.contract_outputs(t.broken_payloads(spark, d), RULES, TEMPLATE)
+    columns = ["part", "run_seq", "seg_seq"]
+    nothing = [F.lit(None).cast("string" if name == "part" else "int").alias(name) for name in columns]
+    ending = F.right("rejected", F.lit(len(t.BROKEN_ENDING)))
+    results_ = made.select(_doc_id(), "http_status", *nothing, F.coalesce("file_base64", ending).alias("value"))
+    return results_.unionByName(
+        pieces.select(_doc_id(), F.lit(None).cast("int").alias("http_status"), *columns, F.col("text").alias("value"))
+    )
+
+
 def reply_results(spark: SparkSession, d: str) -> DataFrame:
     made = contracts.reply_results(t.order_replies(spark, d), TEMPLATE)
     shown = ["Contract_id", "Customer_company_name", "Customer_tax_id", "Standard_users_count"]
@@ -516,6 +528,30 @@ def generate_contracts_stream(spark: SparkSession, d: str) -> DataFrame:
     return _both_routes(results.read_results(spark, sink))
 
 
+def contract_tables_stream(spark: SparkSession, d: str) -> DataFrame:
+    source, sink, kept = (scratch_path(spark, name) for name in ("landing", "contracts", "templates"))
+    t.broken_payloads(spark, d).write.text(source)
+    t.priority_templates(spark, d).write.parquet(kept)
+    query = jobs.contract_tables_stream(
+        spark, source, sink, scratch_path(spark, "progress"), RULES,
+        lambda session: templates.scan_templates(session, kept), F.col("record.Implement_package_name"),
+    )
+    query.awaitTermination()
+    ending = F.right("rejected", F.lit(len(t.BROKEN_ENDING)))
+    shown = {
+        "results": ("http_status", F.coalesce("file_base64", ending)),
+        "dead_letters": ("http_status", ending),
+        "segments": ("seg_seq", F.col("text")),
+    }
+    tables = [
+        jobs.contract_table(spark, sink, name).select(
+            F.lit(name).alias("kind"), _doc_id(), "template_id", F.col(number).alias("number"), value.alias("value")
+        )
+        for name, (number, value) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def log_parse_stream(spark: SparkSession, d: str) -> DataFrame:
     source, sink = scratch_path(spark, "landing"), scratch_path(spark, "logs")
     t.log_lines(spark, d).select("line").write.text(source)
@@ -569,12 +605,14 @@ QUERIES = {
         segment_order,
         contract_key_values,
         generate_contracts,
+        contract_outputs,
         reply_results,
         reply_segments,
         contracts_from_templates,
         log_parse,
         outcome_class,
         generate_contracts_stream,
+        contract_tables_stream,
         log_parse_stream,
     ]
 }

@@ -141,6 +141,20 @@ CONTRACT_RUNS = " UNION ALL ".join(
     for run in TEMPLATE
 )
 
+def cut(field: str) -> str:
+    return f"""(CASE WHEN {unmarked(f'"{field}"')} THEN "{field}" ELSE trim("{field}", {EDGES}) END)"""
+
+
+PRIORITY_RUNS = f"""runs AS (
+  SELECT doc_id, "Implement_package_name" AS template_id, 'body' AS part, 0 AS section, 0 AS run_seq,
+    "Implement_package_name" || ': ' || ({mark('"Contract_id"')}) || ' for '
+      || ({mark('"Customer_company_name"')}) || ', tax {SENTINEL}' AS text,
+    CAST(NULL AS VARCHAR) AS underline, CAST(NULL AS VARCHAR) AS color
+  FROM record WHERE "Implement_package_name" <> '5-LOW'
+  UNION ALL SELECT doc_id, "Implement_package_name", 'footer', 0, 0,
+    "Implement_package_name" || ' of ' || ({mark('"Quotation_date"')}), NULL, NULL
+  FROM record WHERE "Implement_package_name" <> '5-LOW')"""
+
 DIRTY = "' ''' || c_name || ''', ' || chr(9)"
 MARKED_LINE = (
     f"'Customer ' || (CASE WHEN o_orderstatus = 'P' THEN {M} || {M} "
@@ -442,6 +456,13 @@ SELECT doc_id, field, value, value = {S} AS is_not_found FROM listed""",
 runs AS ({CONTRACT_RUNS}),
 {segments_of("runs", RUN_KEYS)}
 SELECT * FROM segments""",
+    "contract_outputs": f"""WITH {RECORD},
+good AS (SELECT * FROM record WHERE NOT contains("Contract_date", '/')),
+runs AS ({CONTRACT_RUNS.replace(" FROM record", " FROM good")}),
+{segments_of("runs", RUN_KEYS)}
+SELECT doc_id, NULL AS http_status, part, run_seq, seg_seq, text AS value FROM segments
+UNION ALL SELECT doc_id, 200, NULL, NULL, NULL, base64(encode({FILE_TEXT})) FROM good
+UNION ALL SELECT NULL, 422, NULL, NULL, NULL, '] x' FROM record WHERE contains("Contract_date", '/')""",
     "reply_results": f"""SELECT {ID} AS doc_id, {REPLY_GOOD} AS accepted,
   CASE WHEN {REPLY_GOOD} THEN 200 ELSE 500 END AS http_status,
   {of_reply(f"'สัญญา_' || {ID} || '.docx'")} AS file_name,
@@ -456,15 +477,7 @@ FROM {ORDERS}""",
 {segments_of("runs", RUN_KEYS)}
 SELECT * FROM segments""",
     "contracts_from_templates": f"""WITH {RECORD},
-runs AS (
-  SELECT doc_id, "Implement_package_name" AS template_id, 'body' AS part, 0 AS section, 0 AS run_seq,
-    "Implement_package_name" || ': ' || ({mark('"Contract_id"')}) || ' for '
-      || ({mark('"Customer_company_name"')}) || ', tax {SENTINEL}' AS text,
-    CAST(NULL AS VARCHAR) AS underline, CAST(NULL AS VARCHAR) AS color
-  FROM record WHERE "Implement_package_name" <> '5-LOW'
-  UNION ALL SELECT doc_id, "Implement_package_name", 'footer', 0, 0,
-    "Implement_package_name" || ' of ' || ({mark('"Quotation_date"')}), NULL, NULL
-  FROM record WHERE "Implement_package_name" <> '5-LOW'),
+{PRIORITY_RUNS},
 {segments_of("runs", "template_id, " + RUN_KEYS)}
 SELECT *, 200 AS http_status FROM segments
 UNION ALL SELECT "Implement_package_name", doc_id, {", ".join(["NULL"] * 9)}, 500
@@ -483,6 +496,21 @@ SELECT event_id, operation, CASE
   WHEN value < 5 THEN 503 WHEN value < 10 THEN 500 WHEN value < 30 THEN 404 ELSE 200 END AS code
 FROM requests""",
     "generate_contracts_stream": RESULTS,
+    "contract_tables_stream": f"""WITH {RECORD.replace("record AS (", "whole AS (")},
+record AS (SELECT * FROM whole WHERE NOT contains("Contract_date", '/')),
+{PRIORITY_RUNS},
+{segments_of("runs", "template_id, " + RUN_KEYS)},
+results AS (
+  SELECT doc_id, "Implement_package_name" AS template_id,
+    CASE WHEN "Implement_package_name" = '5-LOW' THEN 500 ELSE 200 END AS number,
+    CASE WHEN "Implement_package_name" <> '5-LOW' THEN base64(encode(
+      "Implement_package_name" || ': ' || {cut("Contract_id")} || ' for ' || {cut("Customer_company_name")}
+      || ', tax {SENTINEL}' || chr(10) || "Implement_package_name" || ' of ' || {cut("Quotation_date")})) END AS value
+  FROM record
+  UNION ALL SELECT NULL, NULL, 422, '] x' FROM whole WHERE contains("Contract_date", '/'))
+SELECT 'results' AS kind, * FROM results
+UNION ALL SELECT 'dead_letters', * FROM results WHERE number <> 200
+UNION ALL SELECT 'segments', doc_id, template_id, seg_seq, text FROM segments""",
     "log_parse_stream": f"""SELECT CASE {LOG_SHAPE}
   WHEN 0 THEN '[' || {LOG_TIME} || '] พยายามล็อกอิน: userid=u' || user_id
   WHEN 1 THEN '[✅ สำเร็จ] [' || {LOG_TIME} || '] userid=u' || user_id

@@ -1,5 +1,6 @@
 import base64
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from inkfold.operators.outcomes import log_parse, logged_code, outcome_class
 from inkfold.plans import contracts
 from inkfold.sources import logs, results
 from inkfold.sources.quotations import quotation_scan, scan_payloads
-from inkfold.sources.templates import Run
+from inkfold.sources.templates import TEMPLATE_SCHEMA, Run, scan_templates
 from inkfold.streaming import jobs
 
 RULES = [
@@ -80,7 +81,7 @@ def test_a_document_succeeds_or_fails(spark, payloads):
     table = spark.createDataFrame([*TEMPLATE_ROWS, ("t", "header", 0, 0, None, None, None), only_null], kind)
     for chosen in ("t", "n", "lost", None):
         template_id = F.when(F.col("record.Contract_id") == "1", F.lit(chosen)).otherwise("t")
-        for small in (True, False):
+        for small in (True, False) if chosen == "lost" else (True,):
             made = contracts.contracts_from_templates(payloads, RULES, table, template_id, small)
             states = {}
             for r in made.collect():
@@ -146,6 +147,60 @@ def test_segment_stream_is_the_batch(spark, payloads, tmp_path):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
 
 
+def test_both_outputs_from_one_parse(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "in")
+    land(spark, path, LINES)
+    scanned = spark.read.text(path).withColumnRenamed("value", "payload")
+    plans, plain = [], contracts.written
+    monkeypatch.setattr(contracts, "written", lambda df, label: plans.append(physical_plan(df)) or plain(df, label))
+    made, pieces = contracts.contract_outputs(scanned, RULES, TEMPLATE)
+    assert len(plans) == 1 and plans[0].count("from_json") == 1 and "Exchange" not in plans[0]
+    assert not any("from_json" in physical_plan(f) for f in (made, pieces))
+    check_results(made.collect())
+    expected = contracts.generate_contracts(scanned, RULES, TEMPLATE)
+    assert sorted(map(repr, pieces.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_contract_tables_stream(spark, tmp_path):
+    source, sink, progress, kept = (str(tmp_path / n) for n in ("in", "out", "progress", "templates"))
+
+    def run():
+        scan = lambda session: scan_templates(session, kept)
+        chosen = F.when(F.col("record.Contract_id") == "1", F.lit("t")).otherwise("lost")
+        jobs.contract_tables_stream(spark, source, sink, progress, RULES, scan, chosen).awaitTermination()
+        tables = {n: jobs.contract_table(spark, sink, n) for n in ("records", "results", "segments", "dead_letters")}
+        return {n: sorted(map(repr, f.collect())) for n, f in tables.items()}
+
+    def put_templates(note):
+        made = [*TEMPLATE_ROWS, ("t", "header", 0, 0, note, None, None), ("t", "header", 0, 1, None, None, None)]
+        spark.createDataFrame(made, TEMPLATE_SCHEMA).write.mode("overwrite").parquet(kept)
+
+    put_templates("first")
+    land(spark, source, LINES)
+    one = run()
+    results_ = jobs.contract_table(spark, sink, "results").collect()
+    assert sorted((r["quotation_id"] or "", r["http_status"]) for r in results_) == [("", 422), ("a", 200), ("a", 200), ("b", 500), ("c", 422)]
+    text = base64.b64decode(next(r["file_base64"] for r in results_ if r["quotation_id"] == "a")).decode()
+    assert text == f"No. 1 for Co; tax {SENTINEL}.\nAs agreed.\nfirst\n5.00 บาท"
+    assert sorted(r["rejected"] or "" for r in results_ if not r["accepted"]) == sorted(LINES[3:])
+    dead = jobs.contract_table(spark, sink, "dead_letters").collect()
+    assert sorted(r["http_status"] for r in dead) == [422, 422, 500]
+    assert next(r for r in dead if r["http_status"] == 500)["contract_data"]["Contract_id"] == SENTINEL
+    pieces = jobs.contract_table(spark, sink, "segments")
+    assert {r["quotation_id"] for r in pieces.collect()} == {"a"} and pieces.where("text = 'first'").count() == 2
+
+    put_templates("second")  # a later batch sees the templates of its time
+    land(spark, source, LINES[:1])
+    two = run()
+    assert all(set(one[n]) <= set(two[n]) for n in one) and len(two["results"]) == 6
+    pieces = jobs.contract_table(spark, sink, "segments")
+    assert pieces.where("text = 'second'").count() == 1 and pieces.where("text = 'first'").count() == 2
+
+    for mark in (f"{progress}/commits/1", f"{progress}/commits/.1.crc"):
+        os.unlink(mark)  # as if the last batch had been cut off before its commit
+    assert run() == two
+
+
 T = "2026-01-02 03:04:05"
 LOG = {
     f"[{T}] พยายามล็อกอิน: userid=u": (None, "started", "login", "u", None, None, None),
