@@ -8,7 +8,7 @@ Bayes classifier of spans, which decides on the candidates that the fixed patter
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.session import written
@@ -45,46 +45,86 @@ LABELERS = ["format", "gazetteer", "context", "shape"]
 #: A candidate outside the fixed patterns is reported from this probability on.
 ACCEPT = 0.9
 EM_ROUNDS = 50
+#: Matches of one kind in a text that are put together inside its row; of more, each is a row.
+MOST_MATCHES = 64
 
 
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def located(text: Column, kind: str) -> Column:
-    """Array of ``(kind, start, end, value, before)`` of a pattern's matches, by code points.
+def gaps_and_matches(text: Column, kind: str) -> Column:
+    """Array of ``(value, gap)``: a pattern's matches, and the text between each and the one before.
 
-    The text is cut at the matches; lengths of pieces and matches add up to positions.
+    The text is cut at the matches, so lengths of gaps and matches add up to positions.
     """
     pattern = {**BASE_PATTERNS, **ADDED_PATTERNS}[kind]
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # One space more on either side of no match: an array of pieces is always one longer.
-    pieces = F.split(text, pattern, -1)
+    # An array of pieces is always one longer than that of the matches.
     pairs = F.zip_with(
         matches,
-        F.slice(pieces, 1, F.size(matches)),
+        F.slice(F.split(text, pattern, -1), 1, F.size(matches)),
         lambda value, gap: F.struct(value.alias("value"), gap.alias("gap")),
     )
+    needed = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
+    nothing = F.array().cast("array<struct<value:string,gap:string>>")
+    return F.when(needed & F.rlike(text, F.lit(pattern)), pairs).otherwise(nothing)
+
+
+def located(pairs: Column, kind: str) -> Column:
+    """Array of ``(kind, start, end, value, before)`` by code points, from a few gaps and matches.
+
+    Each step copies the array so far: texts with more than ``MOST_MATCHES`` take ``located_rows``.
+    """
     item = "struct<kind:string,start:int,end:int,value:string,before:string>"
     first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("found"))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["value"])
-        one = F.struct(
-            F.lit(kind).alias("kind"),
-            start.alias("start"),
-            end.alias("end"),
-            pair["value"].alias("value"),
-            F.right(pair["gap"], F.lit(CONTEXT)).alias("before"),
-        )
+        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), *_seen(pair))
         return F.struct(end.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
 
-    all_found = F.aggregate(pairs, first, step, lambda state: state["found"])
-    needed = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
-    return F.when(needed & F.rlike(text, F.lit(pattern)), all_found).otherwise(
-        F.array().cast(f"array<{item}>")
+    return F.aggregate(pairs, first, step, lambda state: state["found"])
+
+
+def _seen(pair: Column) -> list[Column]:
+    return [pair["value"].alias("value"), F.right(pair["gap"], F.lit(CONTEXT)).alias("before")]
+
+
+def located_rows(texts: DataFrame) -> DataFrame:
+    """``(row, found, passed, covered)``: the matches in long lists of ``(row, text)``, a row each.
+
+    Positions are running sums over a text's matches. A span meets a match if, of all spans that begin
+    before the match ends, one ends after it begins: a running maximum. Both are windows over one
+    text, which Spark sorts and spills, so the work is that of sorting the matches.
+    """
+    parts = []
+    for place, kind in enumerate(KINDS):
+        pairs = texts.select("row", F.posexplode(gaps_and_matches(F.col("text"), kind)).alias("at", "pair"))
+        parts.append(
+            pairs.select(
+                "row", "at", F.lit(kind).alias("kind"), F.lit(place).alias("place"), *_seen(F.col("pair")),
+                F.length("pair.value").alias("width"), F.length("pair.gap").alias("gap"),
+            )
+        )
+    in_order = Window.partitionBy("row", "place").orderBy("at")
+    end = F.sum(F.col("gap") + F.col("width")).over(in_order).cast("int")
+    placed = reduce(DataFrame.unionByName, parts).withColumn("end", end)
+    found = F.struct("kind", (F.col("end") - F.col("width")).alias("start"), "end", "value", "before")
+    passed = reduce(
+        lambda rest, kind: F.when(F.col("kind") == kind, passes(kind, F.col("value"))).otherwise(rest),
+        BASE_PATTERNS,
+        F.lit(False),
     )
+    matches = placed.select("row", "place", found.alias("found"), passed.alias("passed"))
+    # Two events a match: where it ends it asks, where it begins it counts if it is a span.
+    asks = F.struct(F.col("found.end").alias("at"), F.lit(0).alias("begins"), F.lit(-1).alias("reach"))
+    span = F.struct(F.col("found.start").alias("at"), F.lit(1).alias("begins"), F.col("found.end").alias("reach"))
+    events = matches.select("*", F.inline(F.when(F.col("passed"), F.array(asks, span)).otherwise(F.array(asks))))
+    before = Window.partitionBy("row").orderBy("at", "begins").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = events.withColumn("reached", F.max("reach").over(before)).where("begins = 0")
+    return reached.select("row", "place", "found", "passed", (F.col("reached") > F.col("found.start")).alias("covered"))
 
 
 def passes(kind: str, value: Column) -> Column:
@@ -242,14 +282,22 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of the fixed patterns, then the candidates of other kinds that lie clear of
     those and that the trained classifier accepts. Null and empty texts have no spans; repeated rows are rows of their own; a table
     without rows or candidates leaves the classifier at its prior. Other columns are not read.
+    Names of more than 64 characters and hosts of more than 63 are not taken for spelled-out addresses.
 
     The texts are scanned once, into a table of one small row each in the shared folder; nothing
-    is shuffled but the counts of vote patterns and feature values.
+    is shuffled but the counts of vote patterns and feature values. Texts with more than
+    ``MOST_MATCHES`` matches of a kind are kept in that table and scanned again, match by match: time
+    grows with the matches, not with their square.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    raw = docs.select(
-        F.col(id_col).alias("doc_id"),
-        *[located(text, kind).alias(f"_{kind}") for kind in KINDS],
+    pairs = docs.select(
+        F.col(id_col).alias("doc_id"), text.alias("_text"), *[gaps_and_matches(text, kind).alias(f"_{kind}") for kind in KINDS]
+    )
+    many = F.greatest(*[F.size(f"_{kind}") for kind in KINDS]) > MOST_MATCHES
+    raw = pairs.select(
+        "doc_id",
+        F.when(many, F.col("_text")).alias("long_text"),
+        *[F.when(~many, located(F.col(f"_{kind}"), kind)).alias(f"_{kind}") for kind in KINDS],
     )
 
     def passing(kind: str) -> Column:
@@ -259,36 +307,62 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every_base = F.concat(*base.values())
     names = list(features(F.struct(*[F.lit("").alias(x) for x in ("kind", "value", "before")])))
 
-    def described(found: Column) -> Column:
+    def described(found: Column, covered: Column) -> Column:
         return F.struct(
             *[found[x].alias(x) for x in ("kind", "start", "end")],
-            F.exists(
-                every_base, lambda s: (s["start"] < found["end"]) & (found["start"] < s["end"])
-            ).alias("covered"),
+            covered.alias("covered"),
             votes(found).alias("votes"),
             F.struct(*[column.alias(name) for name, column in features(found).items()]).alias("features"),
         )
 
+    def met(found: Column) -> Column:
+        return F.exists(every_base, lambda s: (s["start"] < found["end"]) & (found["start"] < s["end"]))
+
     scanned = written(
         raw.select(
             "doc_id",
+            "long_text",
             *[F.size(base[kind]).cast("bigint").alias(f"n_{kind}") for kind in BASE_PATTERNS],
             _joined(every_base).alias("base_spans"),
-            F.transform(F.concat(*[f"_{kind}" for kind in KINDS]), described).alias("candidates"),
+            F.transform(F.concat(*[f"_{kind}" for kind in KINDS]), lambda f: described(f, met(f))).alias("candidates"),
         ),
         "personal",
     )
-    score = trained_score(scanned.select(F.inline("candidates")), names)
-    added = F.filter(
-        "candidates",
-        lambda s: s["kind"].isin(list(ADDED_PATTERNS))
-        & ~s["covered"]
-        & (score(s["features"]) >= ACCEPT),
-    )
+    short, long = scanned.where("long_text IS NULL").drop("long_text"), scanned.where("long_text IS NOT NULL")
+    every = short.select(F.inline("candidates"))
+    rows = None
+    if not long.isEmpty():
+        numbered = long.select("doc_id", F.col("long_text").alias("text"), F.monotonically_increasing_id().alias("row"))
+        numbered = written(numbered, "long_texts")
+        matches = written(located_rows(numbered.select("row", "text")), "matches")
+        rows = matches.select("row", "place", "passed", described(F.col("found"), F.col("covered")).alias("c"))
+        every = every.unionByName(rows.select("c.*"))
+    score = trained_score(every, names)
+
+    def accepted(s: Column) -> Column:
+        return s["kind"].isin(list(ADDED_PATTERNS)) & ~s["covered"] & (score(s["features"]) >= ACCEPT)
+
+    columns = ["doc_id", *[f"n_{kind}" for kind in BASE_PATTERNS], "base_spans", "added_spans", "n_added"]
+    added = F.filter("candidates", accepted)
+    judged = short.withColumns({"added_spans": _joined(added), "n_added": F.size(added).cast("bigint")}).select(*columns)
+    if rows is not None:
+        kept = rows.withColumn("added", accepted(F.col("c"))).where("passed OR added")
+        span = F.struct("place", F.col("c.start").alias("start"), "c.kind", F.col("c.end").alias("end"))
+
+        def listed(which: str) -> Column:
+            return _joined(F.sort_array(F.collect_list(F.when(F.col(which), span))))
+
+        per_text = kept.groupBy("row").agg(
+            *[F.count_if(F.col("passed") & (F.col("c.kind") == kind)).alias(f"n_{kind}") for kind in BASE_PATTERNS],
+            listed("passed").alias("base_spans"),
+            listed("added").alias("added_spans"),
+            F.count_if("added").alias("n_added"),
+        )
+        nothing = {n: F.coalesce(n, F.lit(0 if n.startswith("n_") else "")).alias(n) for n in columns[1:]}
+        long_rows = numbered.select("doc_id", "row").join(per_text, "row", "left").select("doc_id", *nothing.values())
+        judged = judged.unionByName(long_rows)
     spans = F.concat_ws(",", F.expr("nullif(base_spans, '')"), F.expr("nullif(added_spans, '')"))
-    return scanned.withColumns(
-        {"added_spans": _joined(added), "n_added": F.size(added).cast("bigint")}
-    ).select(
+    return judged.select(
         "doc_id",
         *[f"n_{kind}" for kind in BASE_PATTERNS],
         F.sha2("base_spans", 256).alias("base_sha256"),

@@ -124,7 +124,9 @@ def joined(spans, kinds, by_start):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=key))
 
 
-def test_personal_data(docs, rows):
+@pytest.mark.parametrize("most", [64, 1])
+def test_personal_data(docs, rows, monkeypatch, most):
+    monkeypatch.setattr(personal_data, "MOST_MATCHES", most)  # of 1: most texts match by match
     found = {(r["doc_id"], r["base_sha256"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in personal_data.personal_data(docs).collect()}
     expected = set()
     for i, text in pairs(rows):
@@ -134,6 +136,26 @@ def test_personal_data(docs, rows):
     assert found == expected
 
 
+def test_matches_in_a_row_and_as_rows_agree(docs, monkeypatch):
+    plain = ordered(personal_data.personal_data(docs).collect())
+    monkeypatch.setattr(personal_data, "MOST_MATCHES", 1)
+    assert ordered(personal_data.personal_data(docs).collect()) == plain
+
+
+def test_personal_data_of_a_text_full_of_numbers(spark):
+    """200,000 matches in one text; with time in their square this would take hours."""
+    numbers = [f"{10 + i % 90}" for i in range(200_000)]
+    for at in range(0, 200_000, 1000):
+        numbers[at] = "4111 1111 1111 1111," if at % 2000 else "x@y.org"
+    text = "; ".join(numbers)
+    started = time.perf_counter()
+    (found,) = personal_data.personal_data(spark.createDataFrame([row(1, text)], SCHEMA)).collect()
+    spans = brute.personal_base(text)
+    kinds = list(personal_data.BASE_PATTERNS)
+    assert found["base_sha256"] == brute.sha(joined(spans, kinds, False)) and found["n_email"] == 100
+    assert time.perf_counter() - started < 60
+
+
 def test_added_personal_data_is_clear_of_the_base(spark):
     texts = [f"call 030 555 {1000 + i} or +49 30 5551{i:03d}, order 030 555 {2000 + i}" for i in range(60)]
     docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
