@@ -7,9 +7,11 @@ runs backward from the end of a word and pops its segmentations best first.
 
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from array import array
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import product
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -79,59 +81,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(ids, scores, decoded, byte_ids, byte_score, max(map(len, ids)), foreign)
 
 
-class Edge(NamedTuple):
-    start: int
-    ids: tuple[int, ...]
-    score: int
-
-
-def lattice(unit: str, vocab: Vocabulary) -> list[list[Edge]]:
-    """For each position of a word, the pieces that end there."""
-    edges: list[list[Edge]] = [[] for _ in range(len(unit) + 1)]
-    for start in range(len(unit)):
-        for end in range(start + 1, min(len(unit), start + vocab.longest) + 1):
-            piece = vocab.ids.get(unit[start:end])
-            if piece is not None:
-                edges[end].append(Edge(start, (piece,), int(vocab.scores[piece])))
-        if unit[start] not in vocab.ids:
-            raw = unit[start].encode("utf-8", "surrogatepass")
-            own = tuple(vocab.byte_ids[b] for b in raw)
-            edges[start + 1].append(Edge(start, own, vocab.byte_score * len(raw)))
-    return edges
-
-
-def forward_scores(edges: list[list[Edge]]) -> list[int]:
-    """Best score of any segmentation up to each position (Viterbi)."""
-    best = [0] + [-(1 << 62)] * (len(edges) - 1)
-    for end in range(1, len(edges)):
-        for edge in edges[end]:
-            best[end] = max(best[end], best[edge.start] + edge.score)
-    return best
-
-
-def n_best(unit: str, vocab: Vocabulary, n: int = N_BEST) -> list[tuple[int, tuple[int, ...]]]:
-    """The ``n`` best segmentations of a word, best first; equal scores by pieces, last one first.
-
-    A partial segmentation covers the end of the word. What its rest can gain at most is the
-    forward score of the position it has reached, exactly: nothing is expanded in vain, and the
-    n-th pop of a whole segmentation is the n-th best.
-    """
-    edges = lattice(unit, vocab)
-    ahead = forward_scores(edges)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    queue = [(-ahead[-1], (), len(unit), 0)]
-    while queue and len(found) < n:
-        _, path, at, score = heapq.heappop(queue)
-        if not at:
-            ids = tuple(i for ids in reversed(path) for i in ids)
-            found.append((score, ids))
-            continue
-        for edge in edges[at]:
-            gained = score + edge.score
-            heapq.heappush(queue, (-(gained + ahead[edge.start]), (*path, edge.ids), edge.start, gained))
-    return found
-
-
 class _Finder:
     """Ids of pieces by the hash of their characters: -1 for none, -2 where some piece goes on."""
 
@@ -176,6 +125,132 @@ def _hash_of(piece: str) -> int:
     return code
 
 
+class Lattice(NamedTuple):
+    """The pieces of a word by where they end: those of position e are ``bounds[e]:bounds[e + 1]``.
+
+    ``starts`` and ``ids`` say where a piece starts and which it is; -1 stands for the bytes of a character
+    that is no piece. ``ahead`` is the best score of any segmentation up to a position (Viterbi).
+    """
+
+    unit: str
+    bounds: Sequence[int]
+    starts: Sequence[int]
+    ids: Sequence[int]
+    scores: Sequence[int]
+    ahead: Sequence[int]
+
+
+#: Positions whose pieces are looked up at once.
+POSITIONS_AT_ONCE = 1 << 16
+
+
+def lattice(unit: str, vocab: Vocabulary) -> Lattice:
+    """All pieces of a short word."""
+    edges: list[list[tuple[int, int, int]]] = [[] for _ in range(len(unit) + 1)]
+    for start in range(len(unit)):
+        for end in range(start + 1, min(len(unit), start + vocab.longest) + 1):
+            piece = vocab.ids.get(unit[start:end])
+            if piece is not None:
+                edges[end].append((start, piece, int(vocab.scores[piece])))
+        if unit[start] not in vocab.ids:
+            edges[start + 1].append((start, -1, vocab.byte_score * _width(unit[start])))
+    flat = [edge for own in edges for edge in own]
+    bounds = [0, *accumulate(map(len, edges))]
+    return _scored(unit, bounds, *([edge[k] for edge in flat] for k in range(3)))
+
+
+def long_lattice(unit: str, vocab: Vocabulary, finder: _Finder) -> Lattice:
+    """The same in arrays, some 60 bytes for each character."""
+    letters = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    none = np.zeros(0, np.int32)
+    ends, starts, ids, scores = [none], [none], [none], [np.zeros(0, np.int64)]
+    for low in range(0, len(unit), POSITIONS_AT_ONCE):
+        at = np.arange(low, min(low + POSITIONS_AT_ONCE, len(unit)))
+        code = np.zeros(len(at), np.uint64)
+        for length in range(1, vocab.longest + 1):
+            inside = at + length <= len(unit)
+            at, code = at[inside], code[inside]
+            code = (code + letters[at + length - 1]) * _RADIX
+            found = finder.find(code)
+            own, number = at[found >= 0], found[found >= 0]
+            score = vocab.scores[number]
+            if length == 1 and len(own) < len(at):
+                lost = at[found < 0]
+                own, number = np.concatenate([own, lost]), np.concatenate([number, np.full(len(lost), -1)])
+                score = np.concatenate([score, [vocab.byte_score * _width(unit[i]) for i in lost.tolist()]])
+            ends.append((own + length).astype(np.int32))
+            starts.append(own.astype(np.int32))
+            ids.append(number.astype(np.int32))
+            scores.append(score)
+            at, code = at[found != -1], code[found != -1]
+            if not len(at):
+                break
+    end = np.concatenate(ends)
+    order = np.lexsort((np.concatenate(starts), end))
+    bounds = np.searchsorted(end[order], np.arange(len(unit) + 2))
+    return _scored(unit, bounds, *(array(k, np.concatenate(x)[order].tobytes()) for k, x in zip("iiq", (starts, ids, scores))))
+
+
+def _width(letter: str) -> int:
+    return len(letter.encode("utf-8", "surrogatepass"))
+
+
+def _scored(unit: str, bounds, starts, ids, scores) -> Lattice:
+    ahead = array("q", bytes(8 * (len(unit) + 1)))
+    for end in range(1, len(unit) + 1):
+        low, high = bounds[end], bounds[end + 1]
+        ahead[end] = max(ahead[starts[k]] + scores[k] for k in range(low, high))
+    return Lattice(unit, bounds, starts, ids, scores, ahead)
+
+
+def n_best(unit: str, vocab: Vocabulary, finder: _Finder, n: int = N_BEST) -> list[tuple[int, tuple[int, ...]]]:
+    """The ``n`` best segmentations of a word, best first; of equal scores, what was come to first.
+
+    A partial segmentation covers the end of the word. What its rest can gain at most is the
+    forward score of the position it has reached, exactly: nothing is expanded in vain, and the
+    n-th pop of a whole segmentation is the n-th best. Of equally promising ones the one that has come
+    furthest goes on.
+
+    Time and memory grow with the word, some 400 bytes a character: a step remembers its piece and the
+    step before it; no position is left more than n times, and only by its n most promising pieces,
+    as each of these leads to a whole segmentation as good as it promises.
+    """
+    held = lattice(unit, vocab) if len(unit) <= WIDEST else long_lattice(unit, vocab, finder)
+    ahead, starts, scores = held.ahead, held.starts, held.scores
+    pieces, before = array("q", [-1]), array("q", [-1])  # of each step
+    left: Counter[int] = Counter()
+    found: list[tuple[int, tuple[int, ...]]] = []
+    queue = [(-ahead[-1], len(unit), 0)]
+    while queue and len(found) < n:
+        promise, at, step = heapq.heappop(queue)
+        if not at:
+            found.append((-promise, _ids_of(held, vocab, pieces, before, step)))
+            continue
+        if left[at] == n:
+            continue
+        left[at] += 1
+        gained = -promise - ahead[at]
+        edges = range(held.bounds[at], held.bounds[at + 1])
+        promises = [(-(gained + scores[k] + ahead[starts[k]]), starts[k], k) for k in edges]
+        for promise, start, k in heapq.nsmallest(n, promises):
+            pieces.append(k)
+            before.append(step)
+            heapq.heappush(queue, (promise, start, len(pieces) - 1))
+    return found
+
+
+def _ids_of(held: Lattice, vocab: Vocabulary, pieces, before, step: int) -> tuple[int, ...]:
+    ids: list[int] = []
+    while step:
+        k = pieces[step]
+        if held.ids[k] >= 0:
+            ids.append(held.ids[k])
+        else:
+            ids += [vocab.byte_ids[b] for b in held.unit[held.starts[k]].encode("utf-8", "surrogatepass")]
+        step = before[step]
+    return tuple(ids)
+
+
 #: Longer units, a rarity, are segmented one at a time.
 WIDEST = 32
 
@@ -192,8 +267,8 @@ class Segmented(NamedTuple):
 NO_SECOND = 1 << 60
 
 
-def one_by_one(units: list[str], vocab: Vocabulary) -> Segmented:
-    found = [n_best(unit, vocab, 2) for unit in units]
+def one_by_one(units: list[str], vocab: Vocabulary, finder: _Finder) -> Segmented:
+    found = [n_best(unit, vocab, finder, 2) for unit in units]
     return Segmented(
         np.array([f[0][0] for f in found], np.int64),
         np.array([f[0][0] - f[1][0] if len(f) > 1 else NO_SECOND for f in found], np.int64),
@@ -260,15 +335,35 @@ def all_at_once(units: list[str], vocab: Vocabulary, finder: _Finder) -> tuple[S
     return Segmented(best, gaps, taken.sum(axis=1), laid[taken]), strange
 
 
+def least_sums(lists: list[list[int]], n: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The ``n`` least sums of one number of each ascending list, with the places taken; ties by places.
+
+    Every choice is come to once, from the one with its last place but 0 a step lower.
+    """
+    first = (0,) * len(lists)
+    queue, found = [(sum(numbers[0] for numbers in lists), first, 0)], []
+    while queue and len(found) < n:
+        total, pick, last = heapq.heappop(queue)
+        found.append((total, pick))
+        for i in range(last, len(lists)):
+            if pick[i] + 1 < len(lists[i]):
+                gain = lists[i][pick[i] + 1] - lists[i][pick[i]]
+                heapq.heappush(queue, (total + gain, (*pick[:i], pick[i] + 1, *pick[i + 1 :]), i))
+    return found
+
+
 class Encoder:
     """Segments texts, remembering words; one per task."""
 
     def __init__(self, path: str, n: int):
         self.vocab, self.n = vocabulary(path), n
         self.finder = _Finder(self.vocab)
-        self.alternatives = lru_cache(maxsize=50_000)(lambda unit: n_best(unit, self.vocab, self.n))
+        self.remembered = lru_cache(maxsize=50_000)(lambda unit: n_best(unit, self.vocab, self.finder, self.n))
         self.forget()
 
+    def alternatives(self, unit: str) -> list[tuple[int, tuple[int, ...]]]:
+        return self.remembered(unit) if len(unit) <= WIDEST else n_best(unit, self.vocab, self.finder, self.n)
+
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         empty = np.zeros(0, np.int64)
@@ -293,7 +388,7 @@ class Encoder:
             parts.append(result)
             order += own
         if odd:
-            parts.append(one_by_one([texts[i] for i in odd], self.vocab))
+            parts.append(one_by_one([texts[i] for i in odd], self.vocab, self.finder))
             order += odd
         base = len(self.store.scores)
         self.store = Segmented(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -329,14 +424,10 @@ class Encoder:
             others = [(score, ids) for score, ids in ways if tuple(ids) != first]
             ways = [(ways[0][0], first), *others][: self.n]
             choices.append([(ways[0][0] - score, i, ids) for score, ids in ways])
-        ranked = sorted(product(*(range(len(c)) for c in choices)), key=lambda pick: (sum(c[k][0] for c, k in zip(choices, pick, strict=True)), pick))
         return [
-            (
-                sum(c[k][0] for c, k in zip(choices, pick, strict=True)),
-                {c[k][1]: c[k][2] for c, k in zip(choices, pick, strict=True) if k},
-            )
-            for pick in ranked[: self.n]
-        ]
+            (loss, {c[k][1]: c[k][2] for c, k in zip(choices, pick, strict=True) if k})
+            for loss, pick in least_sums([[way[0] for way in ways] for ways in choices], self.n)
+        ]
 
 
 def cut_units(data: np.ndarray, offsets: np.ndarray, foreign: np.ndarray):
@@ -434,7 +525,8 @@ def piece_encoding(docs: DataFrame, path: str = MODEL, n: int = N_BEST) -> DataF
 
     Null and empty texts have no pieces, one empty segmentation and a round trip. Repeated rows
     give repeated results; other columns are not read. One pass, no shuffle; the model file must
-    be on every executor at ``path``. Memory is bounded by the words a task remembers.
+    be on every executor at ``path``. Memory is bounded by the words a task remembers, and by some 400
+    bytes a character of the longest word: texts without spaces are one word where no sign parts them.
     """
     rows = docs.select("doc_id", F.replace("text", F.lit(MARK), F.lit(" ")).alias("text"))
     return rows.mapInArrow(encoded(path, n), ENCODED)

@@ -2,6 +2,7 @@
 
 import random
 import time
+from itertools import product
 
 import brute
 import corpus_pipeline
@@ -375,6 +376,33 @@ def test_n_best_pieces_of_tied_units(text):
     assert len(pieces.encode(text)) == pieces.N_BEST
 
 
+def test_long_words_take_time_in_proportion():
+    """Letters without spaces, and one letter: a step must not cost more further on."""
+    draw = random.Random(12)
+    vocab = pieces.vocabulary(pieces.MODEL)
+    finder = pieces._Finder(vocab)
+    mixed = "".join(draw.choices("etaoinshrdlucmfé☃", k=400))
+    for unit in (mixed, "x" * 400, mixed[:33]):
+        short = pieces.lattice(unit, vocab)
+        assert [list(x) for x in pieces.long_lattice(unit, vocab, finder)[1:]] == [list(x) for x in short[1:]]
+    started = time.perf_counter()
+    for unit in ("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "x" * 200_000):
+        found = pieces.n_best(unit, vocab, finder, 4)
+        assert len({ids for _, ids in found}) == 4 and [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+        assert all(b"".join(vocab.decoded[i] for i in ids).decode() == unit for _, ids in found)
+    assert time.perf_counter() - started < 60
+
+
+def test_least_sums_are_those_of_all_choices():
+    draw = random.Random(13)
+    for _ in range(200):
+        lists = [sorted(draw.choices(range(6), k=draw.randint(1, 4))) for _ in range(draw.randint(0, 4))]
+        every = sorted((sum(x[k] for x, k in zip(lists, pick, strict=True)), pick) for pick in product(*(range(len(x)) for x in lists)))
+        assert pieces.least_sums(lists, 5) == every[:5]
+    # Ten ways of each of nine units are a billion choices.
+    assert len(pieces.least_sums([list(range(10))] * 9, 10)) == 10
+
+
 def test_piece_encoding(docs, rows):
     found = pieces.piece_encoding(docs).collect()
     assert len(found) == len(rows) and all(r["round_trip"] for r in found)
