@@ -31,7 +31,7 @@ SAMPLE, CALIBRATION = 16_384, 256
 #: Children of a node, rounds of k-means, entries a leaf should hold, and sampled ones at least.
 BRANCHES, MEANS_ROUNDS, LEAF_ROWS, LEAF_SAMPLE = 8, 8, 512, 4
 #: Entries of a part, and queries that are compared with a part in one task.
-PART_ROWS, PART_QUERIES = 16_384, 16_384
+PART_ROWS, PART_QUERIES = 4_096, 16_384
 QUERIES_AT_ONCE = 256
 SEED = 7
 
