@@ -14,6 +14,10 @@ from inkfold.workload.tables import RULES, TEMPLATE, TERM_DAYS, TERM_NOTES
 # Fixed values, stated here on their own: the placeholders of templates.
 PLACEHOLDER = r"\{\{\s*([A-Za-z_][A-Za-z0-9_]*)\s*\}\}"
 M = "chr(8291)"
+# Phrases of amounts, instalments, file names and log lines.
+BAHT_WORD = "บาท"
+INSTALMENT, PAID, AMOUNT = "งวดที่", "ชำระ", "เป็นจำนวนเงิน"
+FILE_PREFIX = "สัญญา_"
 S = f"'{SENTINEL}'"
 EDGES = "(' ' || chr(9) || chr(10) || chr(13) || '''\",')"
 ID = "'QO' || o_orderkey"
@@ -37,7 +41,7 @@ def grouped(x: str) -> str:
 
 
 def baht(x: str) -> str:
-    return f"{grouped(x)} || ' บาท'"
+    return f"{grouped(x)} || ' {BAHT_WORD}'"
 
 
 def thai(x: str) -> str:
@@ -48,7 +52,7 @@ def thai(x: str) -> str:
 def term(index: int) -> str:
     percent, note = TERM_NOTES[index]
     amount = f"CAST(o_totalprice AS DECIMAL(18,2)) * CAST({percent} AS DECIMAL(3,0)) * 0.01"
-    return f"'งวดที่ {index + 1} ชำระ {percent}% {note} เป็นจำนวนเงิน ' || {baht(amount)}"
+    return f"'{INSTALMENT} {index + 1} {PAID} {percent}% {note} {AMOUNT} ' || {baht(amount)}"
 
 
 TERMS = " || ', ' || ".join(term(i) for i in range(len(TERM_NOTES)))
@@ -106,7 +110,7 @@ FILE_TEXT = " || chr(10) || ".join(
 )
 # The lines of pending orders, whose dates are not ISO, are broken.
 RESULTS = f"""WITH {RECORD}
-SELECT doc_id, TRUE AS accepted, 200 AS http_status, 'สัญญา_' || doc_id || '.docx' AS file_name,
+SELECT doc_id, TRUE AS accepted, 200 AS http_status, '{FILE_PREFIX}' || doc_id || '.docx' AS file_name,
   base64(encode({FILE_TEXT})) AS file_base64, NULL AS rejected_ending,
   {", ".join(f'"{f}"' for f in CONTRACT_FIELDS)}
 FROM record WHERE NOT contains("Contract_date", '/')
@@ -164,12 +168,12 @@ MARKED_ORDERS = f"""marked AS (SELECT o_orderkey, {MARKED_LINE} AS text FROM {OR
 pieces AS (SELECT o_orderkey, string_split(text, {M}) AS pieces FROM marked),
 placed AS (SELECT o_orderkey, pieces, unnest(range(len(pieces))) AS pos FROM pieces)"""
 
-DOCUMENT_LINES = """split_lines AS (
+DOCUMENT_LINES = f"""split_lines AS (
   SELECT doc_id, lang, string_split(text, chr(10)) AS lines FROM documents),
 placed_lines AS (SELECT doc_id, lang, lines, unnest(range(len(lines))) AS pos FROM split_lines),
 document_lines AS (
   SELECT doc_id, CAST(pos AS INTEGER) AS line_no,
-    CASE WHEN lang = 'en' AND lines[pos + 1] = '' THEN 'ไม่พบข้อมูล' ELSE lines[pos + 1] END AS value
+    CASE WHEN lang = 'en' AND lines[pos + 1] = '' THEN {S} ELSE lines[pos + 1] END AS value
   FROM placed_lines)"""
 
 PIECES = f"""pieces AS (
@@ -390,8 +394,8 @@ SELECT o_orderkey, CAST(pos AS INTEGER) AS seg_seq, pos % 2 = 1 AS is_filled,
   CASE WHEN pos % 2 = 1 THEN 'single' WHEN len(pieces) = 1 THEN 'double' END AS underline,
   CASE WHEN pos % 2 = 1 THEN 'FF0000' END AS color FROM placed""",
     "result_name": f"""SELECT o_orderkey, {ID} AS quotation_id,
-  CASE WHEN o_orderstatus <> 'P' THEN 'สัญญา_' || {ID} || '.docx' END AS file_name,
-  CASE WHEN o_orderstatus <> 'P' THEN 'สัญญา_' ELSE 'contract_' END || {ID} || '.docx' AS shown_name
+  CASE WHEN o_orderstatus <> 'P' THEN '{FILE_PREFIX}' || {ID} || '.docx' END AS file_name,
+  CASE WHEN o_orderstatus <> 'P' THEN '{FILE_PREFIX}' ELSE 'contract_' END || {ID} || '.docx' AS shown_name
 FROM orders""",
     "base64_roundtrip": """SELECT doc_id, base64(encode(text)) AS file_base64, text AS decoded
 FROM documents""",
@@ -465,7 +469,7 @@ UNION ALL SELECT doc_id, 200, NULL, NULL, NULL, base64(encode({FILE_TEXT})) FROM
 UNION ALL SELECT NULL, 422, NULL, NULL, NULL, '] x' FROM record WHERE contains("Contract_date", '/')""",
     "reply_results": f"""SELECT {ID} AS doc_id, {REPLY_GOOD} AS accepted,
   CASE WHEN {REPLY_GOOD} THEN 200 ELSE 500 END AS http_status,
-  {of_reply(f"'สัญญา_' || {ID} || '.docx'")} AS file_name,
+  {of_reply(f"'{FILE_PREFIX}' || {ID} || '.docx'")} AS file_name,
   {of_reply(f"base64(encode({REPLY_FILE}))")} AS file_base64,
   {of_reply(f"sha256({REPLY_TEXT})")} AS reply_sha256,
   CASE WHEN NOT {REPLY_GOOD} THEN sha256({REPLY_TEXT} || {REPLY_ENDING}) END AS rejected_sha256,

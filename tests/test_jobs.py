@@ -202,6 +202,7 @@ def test_contract_tables_stream(spark, tmp_path):
 
 
 T = "2026-01-02 03:04:05"
+# The shapes of log lines, with what they are parsed to.
 LOG = {
     f"[{T}] พยายามล็อกอิน: userid=u": (None, "started", "login", "u", None, None, None),
     f"[✅ สำเร็จ] [{T}] userid=u": ("สำเร็จ", "succeeded", "login", "u", None, None, 200),
