@@ -8,6 +8,7 @@ order agree; a window's class is the pair.
 """
 
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.recurring import owner_numbers, runs_of, told
+from inkfold.llm.recurring import items_of, owner_numbers, runs_of, told
 
 
 class Sides(NamedTuple):
@@ -67,20 +68,32 @@ def sorted_rows(rows: np.ndarray) -> Sides:
     return Sides(order, common)
 
 
-def cuts_told(keys, sigs, places, low, high, span: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """The cuts ``(from, to)`` of each text; windows of one anchor always overlap."""
+def cuts_told(keys, sigs, places, counts, low, high, span: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The cuts ``(from, to)`` of each text, overlapping ones as one.
+
+    Entry i stands for ``counts[i]`` anchors of one text, all with its range of offsets;
+    ``places`` lists them entry by entry. Windows of one anchor always overlap.
+    """
     hit = np.flatnonzero(high >= low)
     if not len(hit):
         return
-    owners = owner_numbers(keys[hit], sigs[hit])
-    order = np.argsort(owners, kind="stable")
-    bounds = runs_of(owners[order])
-    first, hit = hit[order][bounds[:-1]], hit[order]
-    cuts = np.empty((len(hit), 2), np.int64)
-    cuts[:, 0] = places[hit] - high[hit]
-    cuts[:, 1] = places[hit] - low[hit] + span
-    none = np.full(len(first), -1)
-    yield from told(keys[first], sigs[first], none, 2 * np.diff(bounds), cuts.reshape(-1), parts)
+    each = np.repeat(hit, counts[hit])
+    place = places[items_of(np.cumsum(counts), counts, hit)].astype(np.int64)
+    owners = np.repeat(owner_numbers(keys[hit], sigs[hit]), counts[hit])
+    begins, ends = place - high[each], place - low[each] + span
+    order = np.lexsort((begins, owners))
+    each, owners, begins, ends = each[order], owners[order], begins[order], ends[order]
+    # One number line for all texts, each far beyond the one before.
+    far = owners * (int(ends.max()) + 1)
+    reached = np.maximum.accumulate(ends + far)
+    fresh = np.append(True, begins[1:] + far[1:] > reached[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(fresh)) - 1
+    cuts = np.stack([begins[first], reached[last] - far[last]], axis=1)
+    bounds = runs_of(owners[first])
+    texts = each[first[bounds[:-1]]]
+    none = np.full(len(texts), -1)
+    yield from told(keys[texts], sigs[texts], none, 2 * np.diff(bounds), cuts.reshape(-1), parts)
 
 
 def dealt_like(found: DataFrame, name: str, partitions: int) -> DataFrame:
@@ -91,13 +104,33 @@ def dealt_like(found: DataFrame, name: str, partitions: int) -> DataFrame:
 
 def cut_mask(column: pa.Array, offsets: np.ndarray, n: int) -> np.ndarray:
     """Mask of the items of a chunk's texts that lie in a cut."""
-    change = np.zeros(n + 1, np.int64)
+    change = np.zeros(n + 1, np.int32)
     for row, blobs in enumerate(column):
         if blobs.is_valid:
             cuts = np.frombuffer(blobs.as_py(), np.int64).reshape(-1, 2) + offsets[row]
             np.add.at(change, cuts[:, 0], 1)
             np.add.at(change, cuts[:, 1], -1)
-    return np.cumsum(change[:-1]) > 0
+    np.cumsum(change, out=change)
+    return change[:-1] > 0
+
+
+def totals(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many items of each text the mask has."""
+    return np.array([np.count_nonzero(mask[a:b]) for a, b in pairwise(offsets.tolist())], np.int64)
+
+
+def around(data: np.ndarray, places: np.ndarray, lows, highs, span: int, reach: int):
+    """The ``span`` bytes from each place on and the ``reach`` before it, nearest first.
+
+    Zeros stand for what is beyond the text.
+    """
+    padded = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(span, np.uint8)])
+    right = np.lib.stride_tricks.sliding_window_view(padded, span)[places + reach]
+    left = np.lib.stride_tricks.sliding_window_view(padded, reach)[places][:, ::-1]
+    return (
+        right * (np.arange(span) < (highs - places)[:, None]),
+        left * (np.arange(reach) < (places - lows)[:, None]),
+    )
 
 
 def only(chosen: np.ndarray, least: np.ndarray, most: np.ndarray, span: int):

@@ -102,6 +102,12 @@ def runs_of(ordered: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
 
 
+def items_of(ends: np.ndarray, counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Where the items of the runs ``own`` are, if run i has the ``counts[i]`` items up to ``ends[i]``."""
+    size = counts[own]
+    return np.repeat(ends[own] - np.cumsum(size), size) + np.arange(int(size.sum()))
+
+
 class _Blocks:
     """The hashes of a task's texts until there are enough for a block per part."""
 
@@ -165,12 +171,11 @@ def told(keys, sigs, known, counts, data, parts: int) -> Iterator[pa.RecordBatch
     """Answers for texts, ``counts`` items of ``data`` each, in one block per group of texts."""
     dest = part_of(mix(keys.astype(np.uint64) ^ mix(sigs.astype(np.uint64))), parts).astype(np.int64)
     order = np.argsort(dest, kind="stable")
-    ends = np.cumsum(counts)
     bounds = runs_of(dest[order])
+    ends = np.cumsum(counts)
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         own = order[low:high]
-        size = counts[own]
-        items = np.repeat(ends[own] - np.cumsum(size), size) + np.arange(int(size.sum()))
+        size, items = counts[own], items_of(ends, counts, own)
         number = int(dest[own[0]])
         yield block_rows([number], [number], [pack([keys[own], sigs[own], known[own], size, data[items]])])
 

@@ -8,6 +8,7 @@ any member shows as agreement between neighbours.
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from inkfold.llm.contexts import (
     only,
     repeated_range,
     room,
+    totals,
 )
 from inkfold.llm.recurring import (
     BLOCKS,
@@ -39,12 +41,15 @@ from inkfold.llm.repetition import word_ids
 from inkfold.llm.words import (
     SPACE,
     Chunk,
+    Piece,
     Words,
     anchors,
+    at_most,
     chunks,
     find_words,
     window_hashes,
     word_hashes,
+    word_pieces,
 )
 
 SPAN, GRAM = 35, 8
@@ -61,11 +66,20 @@ def seeds_of(chunk: Chunk, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return places, hashes[places] & SHORT
 
 
+def own_seeds(piece: Piece, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a piece of text: places, hashes and the texts they are in."""
+    places, hashes = seeds_of(piece.chunk, words)
+    own = piece.own(places)
+    return places[own], hashes[own], np.searchsorted(words.offsets, places[own], "right") - 1
+
+
 def seed_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """All anchors, repeats inside a text included, for they remove each other."""
-    words = find_words(chunk.data, chunk.offsets)
-    places, hashes = seeds_of(chunk, words)
-    return hashes, np.diff(np.searchsorted(places, words.offsets))
+    """Each text's anchor hashes, twice if they repeat inside it, for repeats remove each other."""
+    found = [at_most(2, *own_seeds(*piece)[1:]) for piece in word_pieces(chunk, REACH, SPAN)]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(len(chunk.offsets) - 1, np.int64)
+    hashes, texts = at_most(2, *map(np.concatenate, zip(*found, strict=True)))
+    return hashes, np.bincount(texts, minlength=len(chunk.offsets) - 1)
 
 
 def sorted_side(ids: np.ndarray) -> Sides:
@@ -80,36 +94,37 @@ def sorted_side(ids: np.ndarray) -> Sides:
 class _Seeds:
     """Recurring anchors of a task's texts with the words around them, for a block per part."""
 
-    def __init__(self, parts: int, texts: int):
-        self.parts, self.texts, self.pending, self.size = parts, texts, [], 0
-
-    def add(self, chunk: Chunk) -> None:
-        words = find_words(chunk.data, chunk.offsets)
-        places, hashes = seeds_of(chunk, words)
-        bounds = np.searchsorted(places, words.offsets)
-        column, kept = chunk.rows.column("hashes"), np.zeros(len(places), bool)
-        for row in range(len(bounds) - 1):
-            own = slice(bounds[row], bounds[row + 1])
-            if own.start < own.stop:
-                known = np.frombuffer(column[row].as_py(), np.uint64)
-                kept[own] = np.isin(hashes[own], known)
-        places, hashes = places[kept], hashes[kept]
-        texts = np.searchsorted(words.offsets, places, "right") - 1
-        lows, highs = words.offsets[texts], words.offsets[texts + 1]
+    def __init__(self, parts: int, texts: int, limit: int):
+        self.parts, self.texts, self.limit, self.pending, self.size = parts, texts, limit, [], 0
+
+    def add(self, chunk: Chunk) -> Iterator[pa.RecordBatch]:
+        """Takes the anchors whose hash recurs, some at a time: a long text has many."""
+        known = [np.frombuffer(x.as_py(), np.uint64) for x in chunk.rows.column("hashes")]
+        key, sig = (chunk.rows.column(name).to_numpy() for name in ("key", "sig"))
+        for piece, words in word_pieces(chunk, REACH, SPAN):
+            places, hashes, texts = own_seeds(piece, words)
+            bounds = np.searchsorted(texts, np.arange(len(known) + 1))
+            kept = [np.isin(hashes[a:b], own) for (a, b), own in zip(pairwise(bounds), known, strict=True)]
+            kept = np.flatnonzero(np.concatenate(kept))
+            raw = piece.chunk.data.tobytes()
+            for at in range(0, len(kept), self.limit):
+                own = kept[at : at + self.limit]
+                self._lay(piece, words, raw, places[own], hashes[own], key[texts[own]], sig[texts[own]], texts[own])
+                if self.size >= self.limit:
+                    yield from self.emit()
+
+    def _lay(self, piece: Piece, words: Words, raw: bytes, places, hashes, keys, sigs, texts) -> None:
+        lows, highs = piece.bounds(words.offsets, texts)
         least, most = room(places, lows, highs, SPAN, REACH)
         useful = np.flatnonzero(least <= most)
         first = np.maximum(places - REACH, lows)[useful]
         last = np.minimum(places + SPAN, highs)[useful]
-        raw = chunk.data.tobytes()
         begins, ends = words.starts[first], words.ends[last - 1]
         around = [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-        keys = chunk.rows.column("key").to_numpy()[texts[useful]]
-        sigs = chunk.rows.column("sig").to_numpy()[texts[useful]]
-        places = places[useful]
         self.pending.append(
             (
-                part_of(hashes[useful], self.parts), keys, sigs, places - lows[useful],
-                least[useful], most[useful], places - first, around,
+                part_of(hashes[useful], self.parts), keys[useful], sigs[useful], (places - lows)[useful],
+                least[useful], most[useful], places[useful] - first, around,
             )
         )
         self.size += len(useful)
@@ -132,7 +147,7 @@ class _Seeds:
         done = whole.order[several]
         if len(done):
             ranges = only(done, least, most, SPAN)
-            yield from cuts_told(keys, sigs, places, *ranges, SPAN, self.texts)
+            yield from cuts_told(keys, sigs, places, np.ones_like(places), *ranges, SPAN, self.texts)
         # One of them goes on and stands for several.
         order, twice = whole.order[~same], several[~same]
         limits = np.searchsorted(part[order], np.arange(self.parts + 1))
@@ -185,7 +200,7 @@ def _extended(columns: list[list[np.ndarray]], parts: int) -> Iterator[pa.Record
 
     everyone = np.arange(len(keys))
     low, high = repeated_range(sorted_side(right), sorted_side(left), least, most, everyone, SPAN, repeated)
-    yield from cuts_told(keys, sigs, places.astype(np.int64), low, high, SPAN, parts)
+    yield from cuts_told(keys, sigs, places, np.ones_like(least), low, high, SPAN, parts)
 
 
 def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +208,7 @@ def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = find_words(chunk.data, chunk.offsets)
         n = len(words.starts)
         gone = cut_mask(chunk.rows.column("cuts"), words.offsets, n)
-        removed = np.concatenate([[0], np.cumsum(gone)])[words.offsets]
+        removed = totals(gone, words.offsets)
         # The kept words of each text, one space after each but the last.
         kept = np.flatnonzero(~gone)
         change = np.zeros(len(chunk.data) + 2, np.int8)
@@ -215,7 +230,7 @@ def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 chunk.rows.column("key"),
                 pa.array(np.diff(words.offsets)),
-                pa.array(np.diff(removed)),
+                pa.array(removed),
                 pa.array(digests, pa.string()),
             ],
             names=[part.split()[0] for part in CLEANED.split(", ")],
@@ -230,11 +245,9 @@ def repeated_passages(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFram
     dealt = rows.repartition(parts, "key", "sig")
 
     def extended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = _Seeds(parts * JOINS_PER_PART, parts)
+        seeds = _Seeds(parts * JOINS_PER_PART, parts, BLOCK_SEEDS)
         for chunk in chunks(batches):
-            seeds.add(chunk)
-            if seeds.size >= BLOCK_SEEDS:
-                yield from seeds.emit()
+            yield from seeds.add(chunk)
         yield from seeds.emit()
 
     seeds = dealt.join(dealt_like(shared, "hashes", parts), ["key", "sig"]).mapInArrow(extended, BLOCKS)

@@ -8,6 +8,7 @@ winner, so bytes known to be equal are never compared again.
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from inkfold.llm.contexts import (
     Sides,
+    around,
     cut_mask,
     cuts_told,
     dealt_like,
@@ -22,6 +24,7 @@ from inkfold.llm.contexts import (
     repeated_range,
     room,
     sorted_rows,
+    totals,
 )
 from inkfold.llm.recurring import (
     BLOCKS,
@@ -30,13 +33,23 @@ from inkfold.llm.recurring import (
     answers,
     block_rows,
     id_of,
+    items_of,
     keyed,
     pack,
     part_of,
     parts_for,
     recurring,
 )
-from inkfold.llm.words import Chunk, anchors, chunks, eights, gram_hashes
+from inkfold.llm.words import (
+    Chunk,
+    Piece,
+    anchors,
+    at_most,
+    byte_pieces,
+    chunks,
+    eights,
+    gram_hashes,
+)
 
 SPAN, GRAM = 50, 20
 REACH = SPAN - GRAM
@@ -59,28 +72,18 @@ def anchor_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return places, gram_hashes(chunk.data, places, GRAM) & SHORT
 
 
+def own_anchors(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a piece of text: places, hashes and the texts they are in."""
+    places, hashes = anchor_hashes(piece.chunk)
+    own = piece.own(places)
+    return places[own], hashes[own], np.searchsorted(piece.chunk.offsets, places[own], "right") - 1
+
+
 def distinct_anchors(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Each text's anchor hashes once, for a repeat inside a text removes nothing."""
-    places, hashes = anchor_hashes(chunk)
-    texts = np.searchsorted(chunk.offsets, places, "right") - 1
-    order = np.lexsort((hashes, texts))
-    hashes, texts = hashes[order], texts[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1])
-    return hashes[fresh], np.bincount(texts[fresh], minlength=len(chunk.offsets) - 1)
-
-
-def shared_places(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors whose hash recurs, with the hash."""
-    places, hashes = anchor_hashes(chunk)
-    bounds = np.searchsorted(places, chunk.offsets)
-    column, kept = chunk.rows.column("hashes"), np.zeros(len(places), bool)
-    for row in range(len(bounds) - 1):
-        own = slice(bounds[row], bounds[row + 1])
-        if own.start < own.stop:
-            known = np.frombuffer(column[row].as_py(), np.uint64)
-            kept[own] = np.isin(hashes[own], known)
-    return places[kept], hashes[kept]
+    found = [at_most(1, *own_anchors(piece)[1:]) for piece in byte_pieces(chunk, REACH, SPAN)]
+    hashes, texts = at_most(1, *map(np.concatenate, zip(*found, strict=True)))
+    return hashes, np.bincount(texts, minlength=len(chunk.offsets) - 1)
 
 
 def front_coded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,24 +181,29 @@ def merged_sides(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width:
 class _Runs:
     """Suffixes of a task's texts until there are enough for a sorted run per part."""
 
-    def __init__(self, parts: int, texts: int):
-        self.parts, self.texts, self.pending, self.size = parts, texts, [], 0
-
-    def add(self, chunk: Chunk) -> None:
-        places, hashes = shared_places(chunk)
-        if not len(places):
-            return
-        texts = np.searchsorted(chunk.offsets, places, "right") - 1
-        lows, highs = chunk.offsets[texts], chunk.offsets[texts + 1]
-        padded = np.concatenate([chunk.data, np.zeros(1, np.uint8)])
-        right = places[:, None] + np.arange(SPAN)
-        right = padded[np.where(right < highs[:, None], right, len(chunk.data))]
-        left = places[:, None] - 1 - np.arange(REACH)
-        left = padded[np.where(left >= lows[:, None], left, len(chunk.data))]
+    def __init__(self, parts: int, texts: int, limit: int):
+        self.parts, self.texts, self.limit, self.pending, self.size = parts, texts, limit, [], 0
+
+    def add(self, chunk: Chunk) -> Iterator[pa.RecordBatch]:
+        """Takes the anchors whose hash recurs, some at a time: a long text has many."""
+        known = [np.frombuffer(x.as_py(), np.uint64) for x in chunk.rows.column("hashes")]
+        key, sig = (chunk.rows.column(name).to_numpy() for name in ("key", "sig"))
+        for piece in byte_pieces(chunk, REACH, SPAN):
+            places, hashes, texts = own_anchors(piece)
+            bounds = np.searchsorted(texts, np.arange(len(known) + 1))
+            kept = [np.isin(hashes[a:b], own) for (a, b), own in zip(pairwise(bounds), known, strict=True)]
+            kept = np.flatnonzero(np.concatenate(kept))
+            for at in range(0, len(kept), self.limit):
+                own = kept[at : at + self.limit]
+                self._lay(piece, places[own], hashes[own], key[texts[own]], sig[texts[own]], texts[own])
+                if self.size >= self.limit:
+                    yield from self.emit()
+
+    def _lay(self, piece: Piece, places, hashes, keys, sigs, texts) -> None:
+        lows, highs = piece.bounds(piece.chunk.offsets, texts)
         least, most = room(places, lows, highs, SPAN, REACH)
         useful = least <= most
-        keys = chunk.rows.column("key").to_numpy()[texts]
-        sigs = chunk.rows.column("sig").to_numpy()[texts]
+        right, left = around(piece.chunk.data, places, lows, highs, SPAN, REACH)
         rows = [part_of(hashes, self.parts), keys, sigs, places - lows, least, most, right, left]
         self.pending.append([x[useful] for x in rows])
         self.size += int(useful.sum())
@@ -209,27 +217,33 @@ class _Runs:
         self.pending, self.size = [], 0
         bounds = np.stack([least, most], axis=1).astype(np.uint8)
         whole = np.ascontiguousarray(np.hstack([right, left, bounds]))
-        whole = whole.view(f"S{whole.shape[1]}").ravel()
-        # By part, then as suffixes; equal neighbourhoods stand together, the least id first.
-        order = np.lexsort((keys, np.unique(whole, return_inverse=True)[1], part))
-        same = np.zeros(len(order), bool)
-        same[1:] = (whole[order][1:] == whole[order][:-1]) & (part[order][1:] == part[order][:-1])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        whole = np.unique(whole.view(f"S{whole.shape[1]}").ravel(), return_inverse=True)[1]
+        # By part, then as suffixes; equal neighbourhoods stand together, the least id first, and
+        # those of one text are one entry with several places.
+        order = np.lexsort((sigs, keys, whole, part))
+        part, keys, sigs, whole = part[order], keys[order], sigs[order], whole[order]
+        places = places[order].astype(np.uint32)
+        same = (whole[1:] == whole[:-1]) & (part[1:] == part[:-1])
+        first = np.flatnonzero(np.append(True, ~same | (keys[1:] != keys[:-1]) | (sigs[1:] != sigs[:-1])))
+        counts = np.diff(np.append(first, len(order)))
+        ends = np.cumsum(counts)
+        alike, order = np.append(False, same)[first], order[first]
+        part, keys, sigs, least, most = part[first], keys[first], sigs[first], least[order], most[order]
         # All windows around a neighbourhood that a smaller id has too are repeats already.
-        settled = keys[order] > keys[order][head]
-        done = order[settled]
-        if len(done):
-            ranges = only(done, least, most, SPAN)
-            yield from cuts_told(keys, sigs, places, *ranges, SPAN, self.texts)
-        order = order[~settled]
-        limits = np.searchsorted(part[order], np.arange(self.parts + 1))
+        head = np.maximum.accumulate(np.where(alike, 0, np.arange(len(order))))
+        settled = keys > keys[head]
+        ranges = only(np.flatnonzero(settled), least, most, SPAN)
+        yield from cuts_told(keys, sigs, places, counts, *ranges, SPAN, self.texts)
+        rest = np.flatnonzero(~settled)
+        limits = np.searchsorted(part[rest], np.arange(self.parts + 1))
         for number in np.flatnonzero(np.diff(limits)):
-            own = order[limits[number] : limits[number + 1]]
-            common, tails = front_coded(right[own])
+            own = rest[limits[number] : limits[number + 1]]
+            common, tails = front_coded(right[order[own]])
             block = pack(
                 [
-                    keys[own], sigs[own], places[own].astype(np.uint32), least[own].astype(np.uint8),
-                    most[own].astype(np.uint8), common, tails, left[own].reshape(-1),
+                    keys[own], sigs[own], counts[own].astype(np.uint32), least[own].astype(np.uint8),
+                    most[own].astype(np.uint8), places[items_of(ends, counts, own)],
+                    common, tails, left[order[own]].reshape(-1),
                 ]
             )
             yield block_rows([number], [None], [block])
@@ -242,8 +256,10 @@ def _merged(blocks: list[list[np.ndarray]], texts: int) -> Iterator[pa.RecordBat
         columns.append([*own, left])
         runs.append((common, tails, np.arange(len(common)) + total))
         total += len(common)
-    keys, sigs, places, least, most, left = (np.concatenate(x) for x in zip(*columns, strict=True))
-    least, most = least.astype(np.int64), most.astype(np.int64)
+    keys, sigs, counts, least, most, places, left = (
+        np.concatenate(x) for x in zip(*columns, strict=True)
+    )
+    counts, least, most = (x.astype(np.int64) for x in (counts, least, most))
     right, left = merged_sides(runs, SPAN), sorted_rows(left.reshape(-1, REACH))
     ranks = np.unique(keys, return_inverse=True)[1].ravel()
     # Equal in suffix and in what stands before: every window of the larger ids is a repeat, and
@@ -262,7 +278,7 @@ def _merged(blocks: list[list[np.ndarray]], texts: int) -> Iterator[pa.RecordBat
 
     low, high = repeated_range(right, left, least, most, np.flatnonzero(~settled), SPAN, later)
     low[settled], high[settled] = least[settled], most[settled]
-    yield from cuts_told(keys, sigs, places.astype(np.int64), low, high, SPAN, texts)
+    yield from cuts_told(keys, sigs, places, counts, low, high, SPAN, texts)
 
 
 def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,16 +289,16 @@ def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[1:] &= ~gone[:-1]
         borders = offsets[1:-1][offsets[1:-1] < len(data)]
         first[borders] = gone[borders]
-        removed, spans = (np.concatenate([[0], np.cumsum(x)])[offsets] for x in (gone, first))
+        removed, spans = totals(gone, offsets), totals(first, offsets)
         kept = data[~gone].tobytes()
-        bounds = offsets - removed
+        bounds = offsets - np.append(0, np.cumsum(removed))
         digests = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 chunk.rows.column("key"),
                 pa.array(np.diff(offsets)),
-                pa.array(np.diff(removed)),
-                pa.array(np.diff(spans)),
+                pa.array(removed),
+                pa.array(spans),
                 pa.array(digests, pa.string()),
             ],
             names=[part.split()[0] for part in CLEANED.split(", ")],
@@ -299,11 +315,9 @@ def suffix_cuts(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     merges = parts * MERGES_PER_PART
 
     def sorted_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _Runs(merges, parts)
+        runs = _Runs(merges, parts, RUN_SUFFIXES)
         for chunk in chunks(batches):
-            runs.add(chunk)
-            if runs.size >= RUN_SUFFIXES:
-                yield from runs.emit()
+            yield from runs.add(chunk)
         yield from runs.emit()
 
     known = dealt_like(shared, "hashes", parts)

@@ -5,6 +5,7 @@ the number of rows per batch; only a single text is never cut.
 """
 
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Arrays of so many numbers stay in a core's cache.
 CHUNK_BYTES = 1 << 18
+#: Longer texts are worked on in stretches of so many bytes, with what surrounds them.
+PIECE_BYTES = 1 << 20
 _U64 = np.uint64
 #: Whitespace of all word rules here: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -91,6 +94,70 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets))
 
 
+class Piece(NamedTuple):
+    """Some texts, or a stretch of a long one: items (bytes or words) ``begin`` to ``end`` and
+    those around them. ``before`` items of the text come earlier; it has ``size`` in all.
+    """
+
+    chunk: Chunk
+    begin: int
+    end: int
+    before: int = 0
+    size: int | None = None
+
+    def own(self, places: np.ndarray) -> np.ndarray:
+        return (self.begin <= places) & (places < self.end)
+
+    def bounds(self, offsets: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where these texts begin and end, in items of this piece, however far outside."""
+        if self.size is None:
+            return offsets[texts], offsets[texts + 1]
+        return np.full(len(texts), -self.before), np.full(len(texts), self.size - self.before)
+
+
+def byte_pieces(chunk: Chunk, left: int, right: int) -> Iterator[Piece]:
+    """The chunk, or its one long text in stretches with so many bytes on either side."""
+    n = len(chunk.data)
+    if n <= PIECE_BYTES or len(chunk.offsets) != 2:
+        yield Piece(chunk, 0, n)
+        return
+    for begin in range(0, n, PIECE_BYTES):
+        end = min(n, begin + PIECE_BYTES)
+        low, high = max(0, begin - left), min(n, end + right)
+        part = Chunk(chunk.rows, chunk.data[low:high], np.array([0, high - low]))
+        yield Piece(part, begin - low, end - low, low, n)
+
+
+def word_pieces(chunk: Chunk, left: int, right: int) -> Iterator[tuple[Piece, Words]]:
+    """The same by words, each piece with its words."""
+    n = len(chunk.data)
+    if n <= PIECE_BYTES or len(chunk.offsets) != 2:
+        words = find_words(chunk.data, chunk.offsets)
+        yield Piece(chunk, 0, len(words.starts)), words
+        return
+    starts = []
+    for at in range(0, n, PIECE_BYTES):
+        inner = ~SPACE[chunk.data[max(0, at - 1) : at + PIECE_BYTES]]
+        if not at:
+            inner = np.append(False, inner)
+        starts.append(np.flatnonzero(inner[1:] & ~inner[:-1]) + at)
+    starts = np.concatenate(starts)
+    for begin, end in pairwise(np.unique(np.searchsorted(starts, np.arange(0, n + PIECE_BYTES, PIECE_BYTES)))):
+        low, high = max(0, begin - left), min(len(starts), end + right)
+        data = chunk.data[starts[low] : starts[high] if high < len(starts) else n]
+        part = Chunk(chunk.rows, data, np.array([0, len(data)]))
+        yield Piece(part, begin - low, end - low, low, len(starts)), find_words(part.data, part.offsets)
+
+
+def at_most(times: int, hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes, sorted, each of them no more than so many times, with their texts."""
+    order = np.lexsort((hashes, texts))
+    hashes, texts = hashes[order], texts[order]
+    kept = np.ones(len(order), bool)
+    kept[times:] = (hashes[times:] != hashes[:-times]) | (texts[times:] != texts[:-times])
+    return hashes[kept], texts[kept]
+
+
 _powers = {"radix": np.ones(1, _U64), "inverse": np.ones(1, _U64)}
 
 
@@ -120,7 +187,31 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
-    return range_hashes(rolling_sums(data), words.starts, words.ends)
+    """64-bit hashes of words, by content alone; a few stretches at a time if there is much."""
+    if len(data) <= 2 * PIECE_BYTES:
+        return range_hashes(rolling_sums(data), words.starts, words.ends)
+    hashes = np.empty(len(words.starts), _U64)
+    cuts = np.unique(np.searchsorted(words.starts, np.arange(0, len(data) + PIECE_BYTES, PIECE_BYTES)))
+    for a, b in pairwise(cuts):
+        # Only the last word that starts in a stretch can be longer than it.
+        if words.ends[b - 1] - words.starts[b - 1] > PIECE_BYTES:
+            hashes[b - 1] = _long_hash(data[words.starts[b - 1] : words.ends[b - 1]])
+            b -= 1
+        if a < b:
+            base = words.starts[a]
+            sums = rolling_sums(data[base : words.ends[b - 1]])
+            hashes[a:b] = range_hashes(sums, words.starts[a:b] - base, words.ends[a:b] - base)
+    return hashes
+
+
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """What ``range_hashes`` gives for all of ``data``."""
+    total = len(data)
+    for at in range(0, len(data), CHUNK_BYTES):
+        part = data[at : at + CHUNK_BYTES]
+        sums = (_BYTE_CODES[part] * _power("radix", len(part))).sum(dtype=_U64)
+        total += int(sums) * pow(_RADIX, at, 1 << 64)
+    return _splitmix(np.array([total % (1 << 64)], _U64))[0]
 
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
