@@ -27,10 +27,11 @@ ROWS_AT_ONCE = 256
 #: Below this the separators do not know. Two families cannot score less, as one's margin is the
 #: negative of the other's; what is in none of the languages is found by ``fits``.
 MIN_SCORE = 0.25
-#: A text fits a language if it is no further below the median of the learned rows than so many
-#: times the distance of their twentieth part. Of the 10,000 test documents, held-out ones too,
-#: none is beyond 9.
-TOLERANCE = 10.0
+#: A text fits if it is no further from a language than so many times the furthest learned row, each
+#: of which is judged by the other rows alone.
+SLACK = 1.5
+#: With fewer different rows a language has the widest spread of those that have as many.
+ENOUGH_ROWS = 20
 #: Different letter groups from which on a longer text is not held to a stricter measure.
 ENOUGH_GROUPS = 400
 
@@ -90,11 +91,19 @@ def linear_svm(vectors: np.ndarray, positive: np.ndarray) -> np.ndarray:
 
 
 class Usage(NamedTuple):
-    """How a language uses letter groups: the log of their shares, and what is usual for a text."""
+    """How a language uses letter groups: the log of their shares, and what is usual for a text.
+
+    ``spread`` is how far the twentieth part of the learned rows is below their ``middle``.
+    """
 
     logs: np.ndarray
     centre: float
-    least: float
+    middle: float
+    spread: float
+
+    def distance(self, likelihood: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """How many times the spread texts are below the middle."""
+        return (self.middle - _excess(likelihood, vectors, self.centre)) / self.spread
 
 
 def _excess(likelihood: np.ndarray, vectors: np.ndarray, centre: float) -> np.ndarray:
@@ -106,32 +115,64 @@ def _excess(likelihood: np.ndarray, vectors: np.ndarray, centre: float) -> np.nd
     return (likelihood - centre) / np.sqrt(1 / groups + 1 / ENOUGH_GROUPS)
 
 
+def _likelihoods_by_others(shares: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Of each row of a language, by the other rows of it."""
+    return np.array([share @ np.log((total - share) / len(shares)) for share in shares])
+
+
 def usage(vectors: np.ndarray) -> Usage:
     """Learned from the rows of one language; each is judged by the others alone."""
     shares = np.square(vectors, dtype=np.float64)
     total = shares.sum(axis=0) + 1 / DIMENSIONS
-    own = np.array([share @ np.log((total - share) / len(shares)) for share in shares])
+    own = _likelihoods_by_others(shares, total)
     centre = float(np.median(own))
     excess = _excess(own, vectors, centre)
     middle, low = np.median(excess), np.quantile(excess, 0.05)
-    return Usage(np.log(total / (len(shares) + 1)), centre, float(middle - TOLERANCE * (middle - low)))
+    return Usage(np.log(total / (len(shares) + 1)), centre, float(middle), float(max(middle - low, 1e-9)))
 
 
-def mixed(a: Usage, b: Usage) -> Usage:
-    """That of a text in two languages, half in each."""
-    return Usage(np.logaddexp(a.logs, b.logs) - np.log(2), (a.centre + b.centre) / 2, min(a.least, b.least))
+def mixed_distance(a: Usage, b: Usage, vectors: np.ndarray) -> np.ndarray:
+    """How far texts are from one in two languages, half in each, by the milder of both."""
+    likelihood = np.square(vectors) @ (np.logaddexp(a.logs, b.logs) - np.log(2))
+    centre = (a.centre + b.centre) / 2
+    return np.minimum(*(x._replace(centre=centre).distance(likelihood, vectors) for x in (a, b)))
+
+
+def tolerance(usages: list[Usage], rows: list[np.ndarray]) -> float:
+    """``SLACK`` times the distance of the learned row that is furthest from all usages.
+
+    ``rows[i]`` are the vectors that ``usages[i]`` was learned from.
+    """
+    furthest = 0.0
+    for i, (own, vectors) in enumerate(zip(usages, rows, strict=True)):
+        shares = np.square(vectors, dtype=np.float64)
+        total = shares.sum(axis=0) + 1 / DIMENSIONS
+        distances = own.distance(_likelihoods_by_others(shares, total), vectors)
+        for row in np.argsort(-distances):
+            if distances[row] <= furthest:
+                break
+            others = own._replace(logs=np.log((total - shares[row]) / len(shares)))
+            one, nearest = vectors[row : row + 1], distances[row]
+            for j, other in enumerate(usages):
+                if i != j:
+                    alone = other.distance(np.square(one) @ other.logs, one)[0]
+                    nearest = min(nearest, alone, mixed_distance(others, other, one)[0])
+            furthest = max(furthest, nearest)
+    return SLACK * furthest
 
 
 class Model(NamedTuple):
     """Separators of families, one against the rest, and of languages, one against one.
 
-    Separators tell the learned languages apart; ``usages`` tell them from everything else.
+    Separators tell the learned languages apart; ``usages``, and how far from them a text may be,
+    tell them from everything else.
     """
 
     families: dict[str, list[str]]
     against_rest: dict[str, np.ndarray]
     pairs: dict[tuple[str, str], np.ndarray]
     usages: list[Usage]
+    tolerance: float = 0.0
 
 
 def fit(vectors: np.ndarray, langs: np.ndarray) -> Model:
@@ -146,18 +187,36 @@ def fit(vectors: np.ndarray, langs: np.ndarray) -> Model:
         for a, b in combinations(members, 2):
             rows = (langs == a) | (langs == b)
             pairs[a, b] = linear_svm(vectors[rows], langs[rows] == a)
-    usages = [usage(vectors[langs == lang]) for lang in sorted(set(langs))]
-    return Model(families, against_rest, pairs, usages + [mixed(a, b) for a, b in combinations(usages, 2)])
+    # Copies of one text would make its letter groups look usual.
+    rows = [np.unique(vectors[langs == lang], axis=0) for lang in sorted(set(langs))]
+    usages = [usage(own) for own in rows]
+    sure = [i for i, own in enumerate(rows) if len(own) >= ENOUGH_ROWS]
+    if sure:
+        widest = max(usages[i].spread for i in sure)
+        usages = [x if i in sure else x._replace(spread=widest) for i, x in enumerate(usages)]
+    known = sure or range(len(rows))
+    allowed = tolerance([usages[i] for i in known], [rows[i] for i in known])
+    return Model(families, against_rest, pairs, usages, allowed)
 
 
 def fits(model: Model, vectors: np.ndarray) -> np.ndarray:
     """Which texts use letter groups as a learned language, or a text in two of them, does.
 
-    The shorter a text, the more it may differ; a few letters fit any language.
+    The shorter a text, the more it may differ; a few letters fit any language. Two languages are
+    mixed only for texts that fit none, and one of the two is the likeliest.
     """
-    shares, found = np.square(vectors), np.zeros(len(vectors), bool)
-    for logs, centre, least in model.usages:
-        found |= _excess(shares @ logs, vectors, centre) >= least
+    shares = np.square(vectors)
+    likelihoods = np.stack([shares @ own.logs for own in model.usages])
+    found = np.zeros(len(vectors), bool)
+    for own, likelihood in zip(model.usages, likelihoods, strict=True):
+        found |= own.distance(likelihood, vectors) <= model.tolerance
+    left = np.flatnonzero(~found)
+    likeliest = likelihoods[:, left].argmax(axis=0)
+    for i in np.unique(likeliest):
+        rows = left[likeliest == i]
+        for j, other in enumerate(model.usages):
+            if i != j:
+                found[rows] |= mixed_distance(model.usages[i], other, vectors[rows]) <= model.tolerance
     return found
 
 

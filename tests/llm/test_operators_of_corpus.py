@@ -304,6 +304,24 @@ def test_language_stage_rejects_what_is_in_no_learned_language(spark):
     assert kept == {r["doc_id"] for r in table.collect()} | {-100}
 
 
+def test_language_tolerance_is_learned(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language.train(language.with_held_out(table))
+    assert len(model.usages) == 4 and 0 < model.tolerance < 20
+    # No labels of held-out rows are needed, copies of one text change little, and a language of
+    # three rows does not open the door to gibberish.
+    hidden = F.when(~F.col("held_out"), F.col("lang"))
+    blind = language.train(language.with_held_out(table).withColumn("lang", hidden))
+    assert blind.tolerance == model.tolerance
+    draw = np.random.default_rng(2)
+    few = [(10_000_000 + i, "kilo mega " * (i + 1), "xx") for i in range(9)]
+    wide = language.train(language.with_held_out(table.union(spark.createDataFrame(few, table.schema))))
+    assert len(wide.usages) == 5 and wide.tolerance < 20
+    text = bytes(draw.integers(97, 123, 2000, np.uint8).tolist())
+    vector = language.profiles(np.frombuffer(text, np.uint8), np.array([0, 2000]))
+    assert not language.fits(wide, vector)[0]
+
+
 def check_bins(lengths, capacities):
     lengths = sorted(lengths, reverse=True)
     owner, offset, final, used = packing.best_fit(lengths, capacities)
