@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.llm.repeats import one_of_repeats
+from inkfold.session import written
+
 #: One bit of a bigint each, so that the salts of a text are a mask of fixed width.
 SALTS = 64
 
@@ -67,7 +70,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The verdict returns to the rows by digest and salt, which spreads hot texts again.
 
     Null texts equal empty ones. Rows that repeat both id and text are one document: all kept or
-    all dropped; a null id is kept only if its whole group has no id. Other columns are not read.
+    all dropped; a null id is kept only if its whole group has no id. ``without_copies`` leaves one of
+    them. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     digests = digested(rows, "doc_id", "text")
@@ -85,11 +89,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, all columns as they are; see ``exact_dedup``."""
+    """One row of each group of equal texts, all columns as they are: that with the least id.
+
+    See ``exact_dedup``. Of rows that repeat the least id, or of a group without ids, one stays as
+    well. Whether any id is repeated is counted first, from the ids alone; where none is, no row is
+    looked at a second time.
+    """
     digests = digested(docs.select("doc_id", "text"), "doc_id", "text")
     # The row as one value: none of its columns can clash with those used here.
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     rows = digested(rows, "doc_id", "text").drop("_norm", "text")
-    verdict = verdicts(digests).hint("shuffle_hash")
-    met = rows.join(verdict, ["_digest", "_salt"])
-    return met.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("_row.*")
+    verdict = verdicts(digests)
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = written(repeated.select(F.col("doc_id").alias("keep_id"), F.lit(True).alias("repeated")), "repeated")
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    if repeated.isEmpty():
+        met = rows.join(verdict.hint("shuffle_hash"), ["_digest", "_salt"])
+        return met.where(first).select("row.*")
+    verdict = verdict.join(repeated, "keep_id", "left").hint("shuffle_hash")
+    met = rows.join(verdict, ["_digest", "_salt"]).where(first)
+    # A join leaves ids that are null unmatched: their rows are repeated, or taken for it.
+    return one_of_repeats(met, ["_digest"], F.coalesce("repeated", F.col("keep_id").isNull()))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from inkfold.llm.components import connected_components
 from inkfold.llm.counted import Gathered, counted
 from inkfold.llm.recurring import NO_ID, PART_BYTES, id_of, keyed, parts_for, row_key, row_sig
+from inkfold.llm.repeats import one_of_repeats
 from inkfold.llm.words import LOWER, Chunk, chunks, find_words, inside, mix, window_hashes, word_hashes
 from inkfold.session import written
 
@@ -244,7 +245,11 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def components_of(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``(key, sig, n, copies, component)``: one row per id and text, see ``near_duplicates``."""
+    """``(key, sig, n, copies, component, first)``: one row per id and text, see ``near_duplicates``.
+
+    ``first`` holds for one of them in each component: of those with the least id, that with the least
+    signature.
+    """
     rows = keyed(docs)
     groups = parts_for(rows, part_bytes)
     sets = written(counted(rows, shingle_hashes, groups, groups * HASH_PARTS, _nodes, SETS), "sets")
@@ -252,19 +257,21 @@ def components_of(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
         sets.where("node IS NOT NULL").groupBy("node").agg(
             F.first("n").cast("int").alias("n"), F.first("shingles").alias("shingles"),
             F.first("bits").alias("bits"), F.first("rare").alias("rare"), F.first("kept").alias("kept"),
-            F.first("totals").alias("totals"), F.min("key").alias("key"),
+            F.first("totals").alias("totals"), F.min(F.struct("key", "sig")).alias("least"),
         ),
         "nodes",
     )
     labels = connected_components(links_of(nodes))
-    own = nodes.select("node", "key").join(labels, "node", "left")
+    own = nodes.select("node", "least").join(labels, "node", "left")
     own = written(own.withColumn("label", F.coalesce("label", "node")), "labels")
     # Written, so that adaptive execution can split the rows of a large component.
-    least = written(own.groupBy("label").agg(F.min("key").alias("component")), "least")
-    of_node = own.join(least, "label").select("node", "component")
+    least = written(own.groupBy("label").agg(F.min("least").alias("least")), "least")
+    of_node = own.select("node", "label").join(least, "label").select("node", "least")
     sets = sets.select("key", "sig", "n", "copies", "node")
+    first = (F.col("key") == F.col("least.key")) & (F.col("sig") == F.col("least.sig"))
     linked = sets.where("node IS NOT NULL").join(of_node, "node")
-    alone = sets.where("node IS NULL").withColumn("component", F.col("key"))
+    linked = linked.withColumns({"component": F.col("least.key"), "first": first}).drop("least")
+    alone = sets.where("node IS NULL").withColumns({"component": F.col("key"), "first": F.lit(True)})
     return linked.unionByName(alone).drop("node")
 
 
@@ -300,15 +307,17 @@ def near_duplicates(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows, all columns as they are, with the least id of their component.
+    """One row of each component, all columns as they are: that with the least id.
 
-    Rows that repeat an id and text all stay if theirs stays, and so do rows without an id whose
-    partners have none either: nothing tells them apart.
+    One stays as well of rows that repeat the least id, with one text or with several that are
+    linked, and of components without ids.
     """
-    first = components_of(docs).where(F.col("key") == F.col("component"))
-    first = first.select("key", "sig").hint("shuffle_hash")
+    first = written(components_of(docs).where("first").select("key", "sig", "copies"), "first")
     rows = docs.select(F.struct("*").alias("row"), row_key().alias("key"), row_sig().alias("sig"))
-    return rows.join(first, ["key", "sig"], "left_semi").select("row.*")
+    if first.where("copies > 1").isEmpty():
+        return rows.join(first.drop("copies").hint("shuffle_hash"), ["key", "sig"], "left_semi").select("row.*")
+    met = rows.join(first.hint("shuffle_hash"), ["key", "sig"])
+    return one_of_repeats(met, ["key", "sig"], F.col("copies") > 1)
 
 
 def links_of(nodes: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every operator against its brute-force version, on a table that holds awkward rows of all kinds."""
 
 import random
+import re
 import time
 from itertools import product
 
@@ -120,6 +121,41 @@ def test_exact_dedup(docs, rows):
     assert ordered(found) == ordered(brute.exact_dedup(pairs(rows)))
 
 
+def test_one_row_of_each_group_of_equal_texts_stays(spark, docs, rows):
+    """Repeated rows and groups without ids included; what stays is a whole row of the table."""
+    ids = {}
+    for i, text in pairs(rows):
+        ids.setdefault(re.sub("[\x20\x09-\x0d]+", " ", text or ""), []).append(i)
+    expected = [(min((i for i in found if i is not None), default=None), text) for text, found in ids.items()]
+    assert len(expected) < len(rows)
+    kept = exact_dedup.without_copies(docs).collect()
+    assert ordered((r["doc_id"], re.sub("[\x20\x09-\x0d]+", " ", r["text"] or "")) for r in kept) == ordered(expected)
+    assert {tuple(r) for r in kept} <= {tuple(r) for r in docs.collect()}
+
+
+def test_one_row_of_each_component_stays(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*base, "end"]), " ".join(f"v{i}" for i in range(60))
+    base = " ".join(base)
+    made = [row(5, base), row(5, base), row(5, near), row(6, near), row(None, base)]  # one component
+    made += [row(None, other), row(None, other), row(None, other + " end")]  # one without ids
+    made += [row(7, "alone"), row(7, "alone"), row(7, "apart"), row(None, "apart again"), row(8, None), row(8, "")]
+    found = jaccard_join.one_of_each(spark.createDataFrame(made, SCHEMA).repartition(3)).collect()
+    kept = ordered((r["doc_id"], r["text"]) for r in found)
+    ids = [i for i, _ in kept]
+    assert ids.count(5) == 1 and ids.count(6) == 0 and ids.count(8) == 1
+    assert sum(1 for i, t in kept if i is None and t in (other, other + " end")) == 1
+    assert [t for i, t in kept if i == 7] == ["alone", "apart"] and (None, "apart again") in kept
+    assert len(kept) == 6
+
+
+def test_a_row_repeated_by_a_third_of_the_table(spark):
+    made = [row(i, f"text {i} " * 9) for i in range(400)] + [row(3, "text 3 " * 9)] * 200
+    docs = spark.createDataFrame(made, SCHEMA).repartition(8)
+    for kept in (exact_dedup.without_copies(docs), jaccard_join.one_of_each(docs)):
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(400))
+
+
 def joined(spans, kinds, by_start):
     key = (lambda s: (s[1], kinds.index(s[0]))) if by_start else (lambda s: (kinds.index(s[0]), s[1]))
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=key))
@@ -535,6 +571,7 @@ def test_pipeline(spark, tmp_path):
     made += [row(100, text, "fr"), row(101, text.replace(" ", "  "), "fr")]  # exact copies
     made += [row(102, text + " fin", "fr"), row(103, "123 456 !!"), row(104, None)]
     made += [row(105, made[3][1] + ' token = "Zx81hQp0Lm4Tn7Rs"', "en")]
+    made += made[:4] + [made[10]] * 3  # rows repeated as a whole
     spark.createDataFrame(made, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     # Copies and texts without letters go. What adds a token at the end is a near copy of 3.
