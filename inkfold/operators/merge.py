@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.constants import CONTRACT_FIELDS, MARKER
+from inkfold.functions.text import wrap_value
 from inkfold.operators.joins import HOT_ROWS, salted_join
 from inkfold.operators.sizes import is_small
 from inkfold.sources.parts import reading_order
@@ -70,34 +71,41 @@ def _with_runs(
     """Documents with the runs of their templates, the columns to keep, and the merged runs in reading order.
 
     A template is one row with its runs, so a document meets it once and its values travel once.
-    Literals and field names of a run are laid side by side and merged inside the row, without
+    Literals and places of fields of a run are laid side by side and merged inside the row, without
     grouping. Templates that pass the size check are broadcast; otherwise the join shuffles, with the
     documents of templates used more than ``limit`` times spread.
+
+    Documents have their values in ``marked``, or unmarked in ``record``: then those that a run uses
+    are marked when it takes them, and the others never.
     """
-    tokenized = tokenize_templates(templates).drop("text")
+    declared = F.array(*[F.lit(field) for field in CONTRACT_FIELDS])
+    # Places from 1, and 0 for a field nobody declared.
+    places = F.transform("fields", lambda field: F.array_position(declared, field).cast("int"))
+    tokenized = tokenize_templates(templates).drop("text").withColumn("fields", places)
     names = [name for name in tokenized.columns if name != "template_id"]
     shown = [name for name in names if name not in ("literals", "fields")]
     entry = F.struct(F.struct(*reading_order()).alias("place"), F.struct(*names).alias("run"))
     in_order = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e.getField("run"))
     whole = tokenized.groupBy("template_id").agg(in_order.alias("_runs")).withColumn("template_found", F.lit(True))
     small = is_small(templates) if small is None else small
-    values = F.map_from_arrays(
-        F.array(*[F.lit(field) for field in CONTRACT_FIELDS]),
-        F.array(*[F.col("marked").getField(field) for field in CONTRACT_FIELDS]),
-    )
+    marked = "marked" in documents.columns
+    source = F.col("marked" if marked else "record")
+    values = F.array(*[source.getField(field) for field in CONTRACT_FIELDS])
     filled = documents.withColumn("_values", values).drop("marked")
     if small:
         joined = filled.join(F.broadcast(whole), "template_id", "left")
     else:
         joined = salted_join(filled, whole, "template_id", limit, "left")
 
+    def value(place: Column) -> Column:
+        found = F.get("_values", place - 1)
+        return F.coalesce(found if marked else wrap_value(found), F.lit(""))
+
     def text(run: Column) -> Column:
         pieces = F.zip_with(
             run.getField("literals"),
             run.getField("fields"),
-            lambda literal, field: F.concat(
-                literal, F.coalesce(F.try_element_at(F.col("_values"), field), F.lit(""))
-            ),
+            lambda literal, place: F.concat(literal, value(place)),
         )
         return F.array_join(pieces, "")
 

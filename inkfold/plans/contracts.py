@@ -159,10 +159,8 @@ def segments_from_templates(
     records: DataFrame, templates: DataFrame, template_id: Column, small: bool | None = None
 ) -> DataFrame:
     """Segments, and a row with status 500 for each record without a template, in one pass."""
-    documents = records.select(
-        "quotation_id", template_id.alias("template_id"), mark_record(F.col("record")).alias("marked")
-    )
-    merged = template_merge_data(documents, templates, small)
+    documents = records.select("quotation_id", template_id.alias("template_id"), "record")
+    merged = template_merge_data(documents, templates, small).drop("record")
     styled = merged.withColumns({n: F.lit(None).cast("string") for n in ("underline", "color") if n not in merged.columns})
     # A document that cannot be made passes through as one piece of text and comes out without it.
     found = F.col("template_found")
