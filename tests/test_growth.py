@@ -58,3 +58,19 @@ def test_marked_and_unmarked_documents_merge_alike(spark):
             known = job(marked, templates, small)
             found = job(records, templates, small).select(*known.columns)
             assert sorted(map(repr, found.collect())) == sorted(map(repr, known.collect()))
+
+
+def test_the_sink_keeps_both_folders_open(spark, tmp_path, monkeypatch):
+    seen, write = [], DataFrameWriter.parquet
+
+    def parquet(self, *args, **options):
+        seen.append(int(spark.conf.get(WRITERS)))
+        return write(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    spark.conf.unset(WRITERS)
+    payloads = spark.createDataFrame([(line,) for line in LINES], "payload STRING").coalesce(1)
+    results.write_results(contracts.contract_results(payloads, RULES, TEMPLATE), str(tmp_path / "sink"))
+    assert seen[0] >= 2 and int(spark.conf.get(WRITERS)) == 0
+    kept = results.read_results(spark, str(tmp_path / "sink")).collect()
+    assert sorted((r["http_status"], r["accepted"]) for r in kept) == [(200, True), (422, False), (422, False)]
