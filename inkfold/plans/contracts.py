@@ -183,7 +183,7 @@ def results_from_templates(
     """
     documents = records.select(
         "payload", "quotation_id", "accepted", "record",
-        F.when(F.col("accepted"), template_id).alias("template_id"), mark_record(F.col("record")).alias("marked"),
+        F.when(F.col("accepted"), template_id).alias("template_id"),
     )
     merged = template_texts(documents, templates, small)
     made = F.col("accepted") & F.col("template_found")

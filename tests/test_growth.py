@@ -60,6 +60,16 @@ def test_marked_and_unmarked_documents_merge_alike(spark):
             assert sorted(map(repr, found.collect())) == sorted(map(repr, known.collect()))
 
 
+def test_results_mark_only_the_values_that_runs_take(spark):
+    records = records_of(spark).select(
+        F.lit(None).cast("string").alias("payload"), "quotation_id", F.lit(True).alias("accepted"), "record"
+    )
+    made = contracts.results_from_templates(records, templates_of(spark), F.lit("t"), True)
+    plan = plan_of(made)
+    assert "map_from_arrays" not in plan and plan.count("RLIKE") <= 2
+    assert {r["contract_data"]["Contract_id"] for r in made.collect()} == {' "7", '}
+
+
 def test_the_sink_keeps_both_folders_open(spark, tmp_path, monkeypatch):
     seen, write = [], DataFrameWriter.parquet
 
