@@ -45,7 +45,10 @@ def thai_date(value: Column) -> Column:
 
 def _grouped(value: Column) -> Column:
     """The amount without its grouping commas and currency word, shown again; null if unreadable."""
-    plain = F.regexp_replace(value.cast("string"), AMOUNT_DRESS, "")
+    text = value.cast("string")
+    # A number reads the same with spaces around it, so the pattern is for the other two.
+    dressed = F.contains(text, F.lit(",")) | F.contains(text, F.lit(CURRENCY_WORD))
+    plain = F.when(dressed, F.regexp_replace(text, AMOUNT_DRESS, "")).otherwise(text)
     return F.format_number(plain.try_cast("decimal(38,2)"), 2)
 
 

@@ -25,6 +25,14 @@ def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def test_plain_amounts_are_read_without_the_pattern(spark, evaluate):
+    values = ["1234.5", " 12 ", "1,234.50 บาท", "12บาท", "\t-3.005\n", "1,2", "x", "", None, "1e3", "1,234,567"]
+    shown = ["1,234.50", "12.00", "1,234.50", "12.00", "-3.01", "1,2", "x", None, None, "1,000.00", "1,234,567.00"]
+    assert evaluate(formats.grouped_amount, values) == shown
+    plan = plan_of(spark.range(1).select(formats.grouped_amount(F.col("id"))))
+    assert re.search(r"THEN regexp_replace", plan)
+
+
 def templates_of(spark):
     rows = [("t", "body", 0, 0, "{{Contract_id}}/{{ Quotation_date }}/{{ Nobody }}."), ("t", "body", 0, 1, None)]
     return spark.createDataFrame(rows, "template_id STRING, part STRING, section INT, run_seq INT, text STRING")
