@@ -25,6 +25,50 @@ def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def orders_in(folder, spark, orders, items):
+    """The tables that payloads are made from, ``items`` to an order and every tenth line without an order."""
+    keys = spark.range(orders)
+    day, key = F.lit("2024-02-03").cast("timestamp"), F.col("id")
+    frames = {
+        "customer": keys.select(
+            key.alias("c_custkey"), F.concat(F.lit("C"), key).alias("c_name"), key.alias("c_nationkey"), F.lit("S").alias("c_mktsegment")
+        ),
+        "part": spark.range(4).select(F.col("id").alias("p_partkey"), F.concat(F.lit("B"), F.col("id") % 2).alias("p_brand")),
+        "orders": keys.select(
+            key.alias("o_orderkey"), key.alias("o_custkey"), F.lit("O").alias("o_orderstatus"),
+            F.lit(1234.5).alias("o_totalprice"), day.alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"),
+        ),
+        "lineitem": spark.range(orders * items).select(
+            F.when(F.col("id") % 10 > 0, F.col("id") % orders).alias("l_orderkey"),
+            (F.col("id") % 5).alias("l_partkey"),
+            (F.col("id") / 100).alias("l_extendedprice"),
+        ),
+    }
+    for name, frame in frames.items():
+        frame.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_modules_take_one_shuffle_by_order_whose_parts_grow_with_the_table(spark, tmp_path):
+    folder = orders_in(tmp_path, spark, 30, 20)
+    made = t.orders_with_modules(spark, folder)
+    plan = plan_of(made)
+    assert "RoundRobin" not in plan
+    splits = t.table(spark, folder, "lineitem").rdd.getNumPartitions()
+    assert re.findall(r"hashpartitioning\(l_orderkey#\d+L?(?:, name#\d+)?, (\d+)\)", plan) == [str(8 * splits)]
+    expected = {}
+    for i in range(600):
+        if i % 10:
+            brand = None if i % 5 == 4 else f"B{i % 5 % 2}"
+            brands = expected.setdefault(i % 30, {})
+            brands[brand] = brands.get(brand, 0) + i
+    rows = made.select("o_orderkey", "modules").collect()
+    assert len(rows) == 30
+    for row in rows:
+        found = row["modules"] and {m["name"]: int(m["monthly"] * 100) for m in row["modules"]}
+        assert found == expected.get(row["o_orderkey"])
+
+
 def test_plain_amounts_are_read_without_the_pattern(spark, evaluate):
     values = ["1234.5", " 12 ", "1,234.50 บาท", "12บาท", "\t-3.005\n", "1,2", "x", "", None, "1e3", "1,234,567"]
     shown = ["1,234.50", "12.00", "1,234.50", "12.00", "-3.01", "1,2", "x", None, None, "1,000.00", "1,234,567.00"]
