@@ -19,6 +19,7 @@ from inkfold.plans.contracts import (
 )
 from inkfold.sources.logs import scan_logs
 from inkfold.sources.quotations import scan_payloads
+from inkfold.sources.results import OPEN_FOLDERS
 from inkfold.sources.templates import Run
 
 
@@ -36,7 +37,11 @@ def _write(
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
     )
-    return (writer.partitionBy(partition) if partition else writer).start()
+    if partition:
+        # The sink asks its session for this in every batch, so it stays on.
+        frame.sparkSession.conf.set(*OPEN_FOLDERS)
+        writer = writer.partitionBy(partition)
+    return writer.start()
 
 
 def generate_contracts_stream(

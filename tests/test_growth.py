@@ -136,3 +136,14 @@ def test_the_sink_keeps_both_folders_open(spark, tmp_path, monkeypatch):
     assert seen[0] >= 2 and int(spark.conf.get(WRITERS)) == 0
     kept = results.read_results(spark, str(tmp_path / "sink")).collect()
     assert sorted((r["http_status"], r["accepted"]) for r in kept) == [(200, True), (422, False), (422, False)]
+
+
+def test_the_stream_keeps_all_folders_open(spark, tmp_path):
+    spark.conf.unset(WRITERS)
+    spark.createDataFrame([(line,) for line in LINES], "value STRING").coalesce(1).write.text(str(tmp_path / "in"))
+    jobs.generate_contracts_stream(
+        spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "progress"), RULES, TEMPLATE
+    ).awaitTermination()
+    assert int(spark.conf.get(WRITERS)) >= 2
+    spark.conf.unset(WRITERS)
+    assert results.read_results(spark, str(tmp_path / "out")).count() == len(LINES)
