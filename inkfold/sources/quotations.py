@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.functions.documents import (
+    STRICT,
     is_json_string,
-    read_json,
     variant_text,
     with_json,
 )
@@ -68,7 +68,8 @@ def payload_gate(payloads: DataFrame) -> DataFrame:
 
 def quotation_scan(payloads: DataFrame) -> DataFrame:
     """``(quotation_id, doc)`` of the accepted payloads, the document as JSON text."""
-    document = read_json(F.col("payload"), "STRUCT<result_quotation: STRING>")
+    # Read for accepted lines only, which are one JSON object as a whole: no end mark is needed again.
+    document = F.from_json("payload", "STRUCT<result_quotation: STRING>", STRICT)
     parsed = F.col("_parsed")
     row = F.struct(
         payload_id(parsed).alias("quotation_id"), document.getField("result_quotation").alias("doc")

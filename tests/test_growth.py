@@ -147,3 +147,9 @@ def test_the_stream_keeps_all_folders_open(spark, tmp_path):
     assert int(spark.conf.get(WRITERS)) >= 2
     spark.conf.unset(WRITERS)
     assert results.read_results(spark, str(tmp_path / "out")).count() == len(LINES)
+
+
+def test_documents_are_checked_as_a_whole_once(spark):
+    scanned = quotation_scan(spark.createDataFrame([(line,) for line in LINES], "payload STRING"))
+    assert plan_of(scanned).count("sha2(") == 1
+    assert [tuple(r) for r in scanned.collect()] == [("a", '{"docno":"1","n":[1.0,"x"]}')]
